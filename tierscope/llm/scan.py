@@ -70,7 +70,7 @@ def token_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, mult: np
     lengths = ends - starts
     inside = np.zeros(len(raw) + 1, np.int8)
     inside[starts] += 1
-    np.subtract.at(inside, ends, 1)
+    inside[ends] -= 1
     inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
     codes = raw[inside].astype(np.uint64) + np.uint64(1)
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
