@@ -76,8 +76,11 @@ def lexicon_keys() -> np.ndarray:
     return np.unique(terms(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1])
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, gold_accuracy: float = 0.95, steps: int = 25) -> np.ndarray:
-    """Posterior of label 1 for each row of ``votes`` (0 or 1), with the given labels as one more voter of known accuracy."""
+def label_model(votes: np.ndarray, abstains: np.ndarray, gold: np.ndarray, prior: float, gold_accuracy: float = 0.95, steps: int = 25) -> np.ndarray:
+    """Posterior of label 1 for each row of ``votes`` (0 or 1), with the given labels as one more voter of known accuracy.
+
+    A voter that abstains says nothing by a 0; the 0 of the others is evidence too.
+    """
     v = votes.astype(np.float64)
     given = np.log(gold_accuracy / (1 - gold_accuracy)) * (2.0 * gold - 1)
     start = np.log(prior / (1 - prior))
@@ -90,8 +93,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, gold_accuracy
         scale = np.sqrt((left**2).mean(axis=0)) + 1e-9
         together = np.maximum((left.T @ left) / len(v) / np.outer(scale, scale), 0)
         np.fill_diagonal(together, 0)
-        weight = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
-        yes, no = np.log(on / off) * weight, np.log((1 - on) / (1 - off)) * weight
+        weight = 1 / (1 + np.where(together > 0.3, together, 0).sum(axis=1))
+        yes, no = np.log(on / off) * weight, np.where(abstains, 0, np.log((1 - on) / (1 - off)) * weight)
         logit = start + given + v @ yes + (1 - v) @ no
         now = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(now - posterior).max() < 1e-4:
@@ -122,7 +125,7 @@ def _level(count: np.ndarray) -> np.ndarray:
     return np.minimum(1 + np.log2(np.maximum(count, 1)), 4) / 2
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300, rate: float = 0.5) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, steps: int = 1000, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Gradient descent with momentum on soft labels."""
     w, b, move, slide = np.zeros(x.shape[1]), float(np.log(y.mean() / (1 - y.mean()))), 0.0, 0.0
     step = np.maximum((x**2).sum(axis=0) / len(x), 0.01)
@@ -145,7 +148,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gold: np.ndarray,
     z = (ones - every * share) / np.sqrt(every * share * (1 - share) + 1)
     listed = np.isin(keys, lexicon_keys())
     ranked = np.argsort(-z, kind="stable")
-    known = np.union1d(ranked[:voters][(z[ranked[:voters]] > 3.5) & (ones[ranked[:voters]] >= 3)], np.flatnonzero(listed & (every >= 2)))
+    first = ranked[:voters]
+    known = np.union1d(first[(z[first] > 3) & (2 * ones[first] > every[first])], np.flatnonzero(listed & (every >= 2)))
     shown = np.stack([r[2] for r in rows])
     votes = np.zeros((n, len(known) + PATTERNS), np.float32)
     place = np.full(len(keys), -1)
@@ -153,9 +157,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gold: np.ndarray,
     hit = place[which] >= 0
     votes[row[hit], place[which[hit]]] = 1
     votes[:, len(known) :] = shown
-    posterior = label_model(votes, gold, prior)
+    # One more voter says whether any lexicon voter spoke.
+    spoke = votes[:, : len(known)].any(axis=1, keepdims=True)
+    posterior = label_model(np.hstack([votes, spoke]), np.arange(votes.shape[1] + 1) < len(known), gold, prior)
     used = np.union1d(known, np.argsort(-np.abs(z), kind="stable")[:inputs])
-    used = used[every[used] >= 3]
+    used = used[np.isin(used, known) | (np.abs(z[used]) > 3)]
     place[:] = -1
     place[used] = np.arange(len(used))
     x = np.zeros((n, len(used) + PATTERNS), np.float32)
