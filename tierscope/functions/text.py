@@ -43,7 +43,8 @@ def json_length(compact: Column) -> Column:
     which needs no recursion on long ones.
     """
     outside = F.regexp_replace(F.regexp_replace(compact, r"\\.", ""), r'"[^"]*+"', "")
-    return F.length(compact) + 5 * F.regexp_count(compact, F.lit(r"[^\x{20}-\x{7e}]")) + F.regexp_count(outside, F.lit("[,:]"))
+    escapes = 5 * F.regexp_count(compact, F.lit(r"[^\x{20}-\x{7e}]")) + 6 * F.regexp_count(compact, F.lit(r"[\x{10000}-\x{10ffff}]"))
+    return F.length(compact) + escapes + F.regexp_count(outside, F.lit("[,:]"))
 
 
 def json_token_estimate(compact: Column) -> Column:

@@ -43,7 +43,7 @@ def report(df: DataFrame, tier: str = "tier", label: str = "difficulty") -> Data
         F.try_divide(F.sum(F.when(t >= d, w).otherwise(0.0)), top).alias("served_token_weighted"),
         F.round(cost, 2).alias("est_cost_policy_usd"),
         F.round(top, 2).alias("est_cost_all_tier3_usd"),
-        F.round(100 * (1 - F.try_divide(cost, top)), 1).alias("est_savings_pct"),
+        F.bround(100 * (1 - F.try_divide(cost, top)), 1).alias("est_savings_pct"),
     )
 
 

@@ -35,21 +35,26 @@ def group_folds(df: DataFrame, group: str, k: int = 5, mode: str = "hash", out:
     return df.join(dealt, df[group].eqNullSafe(dealt["_g"])).drop("_g")
 
 
-def _terms(text: Column, analyzer: str, ngrams: tuple[int, int]) -> Column:
+def _terms(df: DataFrame, text: str, analyzer: str, ngrams: tuple[int, int], id_col: str) -> DataFrame:
+    """(id, term): every occurrence. The words are a column of their own, so runs over them don't split the text again."""
     lo, hi = ngrams
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     if analyzer == "word":
-        words = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: F.length(w) >= 2)
-        made = [words] if lo == 1 else []
-        for n in range(max(lo, 2), hi + 1):
-            made.append(_word_runs(words, n))
-        return F.concat(*made)
-    padded = F.transform(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.concat(*[F.flatten(F.transform(padded, _char_runs(n))) for n in range(lo, hi + 1)])
+        words = F.filter(F.split(lower, r"(?U)\W+"), lambda w: F.length(w) >= 2)
+        made = [_word_runs(F.col("_words"), n) for n in range(lo, hi + 1)]
+    else:
+        words = F.transform(F.filter(F.split(lower, r"(?U)\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+        made = [F.flatten(F.transform("_words", _char_runs(n))) for n in range(lo, hi + 1)]
+    return df.select(id_col, words.alias("_words")).select(id_col, F.explode(F.concat(*made)).alias("term"))
 
 
 def _word_runs(words: Column, n: int) -> Column:
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+    """Runs of ``n`` words, each built by joining the run before with the word behind it."""
+    runs = words
+    for k in range(1, n):
+        left = F.greatest(F.size(words) - k, F.lit(0))
+        runs = F.zip_with(F.slice(runs, F.lit(1), left), F.slice(words, F.lit(k + 1), left), lambda a, b: F.concat(a, F.lit(" "), b))
+    return runs
 
 
 def _char_runs(n: int):
@@ -59,7 +64,7 @@ def _char_runs(n: int):
 
 def tfidf_fit(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2), analyzer: str = "word", min_df: int = 2, max_features: int | None = None, id_col: str = "id") -> DataFrame:
     """(term, idf): ln((1+n)/(1+df))+1 of terms in ``min_df`` texts or more, the most frequent ``max_features`` of them."""
-    terms = df.select(id_col, F.explode(_terms(F.coalesce(F.col(text), F.lit("")), analyzer, ngrams)).alias("term"))
+    terms = _terms(df, text, analyzer, ngrams, id_col)
     tally = terms.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     if max_features:
         tally = tally.orderBy(F.desc("total"), "term").limit(max_features)
@@ -69,7 +74,7 @@ def tfidf_fit(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2), analyz
 
 def tfidf(df: DataFrame, text: str, fit: DataFrame, ngrams: tuple[int, int] = (1, 2), analyzer: str = "word", id_col: str = "id") -> DataFrame:
     """(id, term, weight): sublinear term frequency times idf, each text scaled to length 1."""
-    terms = df.select(id_col, F.explode(_terms(F.coalesce(F.col(text), F.lit("")), analyzer, ngrams)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = _terms(df, text, analyzer, ngrams, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     raw = terms.join(fit.select("term", "idf"), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
     return raw.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("_len")).alias("weight"))
@@ -89,6 +94,12 @@ def assembled(df: DataFrame, features: list[str], out: str = "features") -> Data
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def packed(train: DataFrame) -> DataFrame:
+    """A training set cached in one partition for each 50,000 rows: iterations then cost few tasks."""
+    train = train.cache()
+    return train.coalesce(1 + train.count() // 50_000).cache()
+
+
 def _one_class(train: DataFrame, column: str) -> float | None:
     seen = train.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
     return float(seen["a"] or 0) if seen["a"] == seen["b"] else None
@@ -96,11 +107,12 @@ def _one_class(train: DataFrame, column: str) -> float | None:
 
 def _logistic(c: float, n: int, **options) -> LogisticRegression:
     """``c`` is an inverse penalty on the summed loss; Spark penalises the mean loss."""
-    return LogisticRegression(featuresCol="features", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, **options)
+    return LogisticRegression(featuresCol="features", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=50, **options)
 
 
 def fit_ordinal(train: DataFrame, c: float = 1.0, label: str = "difficulty", make=None) -> Callable[[DataFrame], DataFrame]:
     """Two cumulative binary models; a frame -> with p_d1 <= p_d2. A fold with one class gives a constant."""
+    train = packed(train)
     n, models = train.count(), []
     for k in (1, 2):
         rows = train.withColumn("label", (F.col(label) <= k).cast("double"))
@@ -120,7 +132,7 @@ def fit_ordinal(train: DataFrame, c: float = 1.0, label: str = "difficulty", mak
 
 def fit_multinomial(train: DataFrame, c: float = 1.0, label: str = "difficulty", weight: str | None = None) -> Callable[[DataFrame], DataFrame]:
     """One softmax model; an absent class has probability 0. ``weight`` may be ``balanced`` or a column."""
-    rows = train.withColumn("label", (F.col(label) - 1).cast("double"))
+    rows = packed(train).withColumn("label", (F.col(label) - 1).cast("double"))
     options = {}
     if weight == "balanced":
         sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
@@ -178,7 +190,7 @@ def oof_costs(df: DataFrame, tier_prices: DataFrame, fold: str = "fold", id_col:
 
     targets, df, out = ("context_tokens", "gen_tokens", "n_llm_calls"), df.cache(), None
     for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        train, own = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
+        train, own = packed(df.filter(F.col(fold) != k)), df.filter(F.col(fold) == k)
         for t in targets:
             model = GBTRegressor(featuresCol="features", labelCol="_y", predictionCol=f"_{t}", maxDepth=depth, maxIter=rounds, stepSize=0.06 * 200 / max(rounds, 1) if rounds < 200 else 0.06, seed=13).fit(train.withColumn("_y", F.log1p(t)))
             own = model.transform(own)

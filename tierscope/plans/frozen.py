@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, scoring
-from ..operators.ml import assembled
+from ..operators.ml import assembled, packed
 from ..operators.ranks import apply_ecdf, fit_ecdf, melt
 
 METHODS = ("blend", "score", "ml-tau", "ml-lambda")
@@ -114,9 +114,9 @@ def freeze(df: DataFrame, metrics: DataFrame, features: list[str], groups: DataF
     ranks = apply_ecdf(long, fit_ecdf(long))
     composite = scoring.composite_score(ranks, groups, id_col, normalize=False).withColumn("composite", F.round("composite", 12))
     wide = ranks.groupBy(id_col).pivot("feature", features).agg(F.max("rank")).join(composite, id_col).join(graded.drop("score"), id_col)
-    train = assembled(wide, features).cache()
+    train = packed(assembled(wide, features))
     n = train.count()
-    heads = [PipelineModel([LogisticRegression(featuresCol="features", labelCol="_y", regParam=1.0 / (c * max(n, 1)), standardization=False).fit(train.withColumn("_y", (F.col("difficulty") <= k).cast("double")))]) for k in (1, 2)]
+    heads = [PipelineModel([LogisticRegression(featuresCol="features", labelCol="_y", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50).fit(train.withColumn("_y", (F.col("difficulty") <= k).cast("double")))]) for k in (1, 2)]
     sizes = {t: PipelineModel([GBTRegressor(featuresCol="features", labelCol="_y", maxDepth=3, maxIter=20, stepSize=0.3, seed=13).fit(train.withColumn("_y", F.log1p(t)))]) for t in ("context_tokens", "gen_tokens", "n_llm_calls")}
     scored = train
     for k, model in ((1, heads[0]), (2, heads[1])):

@@ -459,7 +459,7 @@ z AS (SELECT model, CASE WHEN stddev_pop(err_rate) OVER b < 1e-9 THEN NULL ELSE
 st AS (SELECT model, coalesce((coalesce(sum(z1), 0) + coalesce(sum(z2), 0)) / nullif(count(z1) + count(z2), 0), 0) AS struggle FROM z GROUP BY model)"""
 
 
-@query(f"WITH {_STRUGGLE}, c AS (SELECT model, count(*) AS n FROM lg GROUP BY model), o AS (SELECT *, row_number() OVER (ORDER BY round(struggle, 9), model) - 1 AS pos, count(*) OVER () AS k FROM st JOIN c USING (model)) SELECT model, n, round(struggle, 6) AS struggle, CASE WHEN pos < k / 3 THEN 3 WHEN pos < 2 * k / 3 THEN 2 ELSE 1 END AS tier, true AS solid FROM o")
+@query(f"WITH {_STRUGGLE}, cn AS (SELECT model, count(*) AS n FROM lg GROUP BY model), o AS (SELECT *, row_number() OVER (ORDER BY round(struggle, 9), model) - 1 AS pos, count(*) OVER () AS k FROM st JOIN cn USING (model)) SELECT model, n, round(struggle, 6) AS struggle, CASE WHEN pos < k / 3 THEN 3 WHEN pos < 2 * k / 3 THEN 2 ELSE 1 END AS tier, true AS solid FROM o")
 def model_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offpolicy.with_bucket(_logged(spark, sf_dir))
     return rounded(offpolicy.tier_map(offpolicy.struggle(rows), rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")), min_n=2))
@@ -537,7 +537,7 @@ def detector_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- text models ----------------------------------------------------------------
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), x -> length(x) >= 2) AS ws FROM documents WHERE lang = 'en'), g AS (SELECT doc_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])) AS term FROM w),
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 2) AS ws FROM documents WHERE lang = 'en'), g AS (SELECT doc_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])) AS term FROM w),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM w), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n)
 SELECT doc_id AS id, count(*) AS terms, round(max(w / l), 6) AS heaviest FROM x JOIN (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY doc_id) USING (doc_id) GROUP BY doc_id""")
 def word_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,7 +546,7 @@ def word_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(weights.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.max("weight").alias("heaviest")))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), x -> x <> '') AS ws FROM (SELECT doc_id, lower(text) AS text FROM documents WHERE lang = 'en')), p AS (SELECT doc_id, ' ' || unnest(ws) || ' ' AS w FROM w),
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws FROM (SELECT doc_id, lower(text) AS text FROM documents WHERE lang = 'en')), p AS (SELECT doc_id, ' ' || unnest(ws) || ' ' AS w FROM w),
 g AS (SELECT doc_id, substr(w, i, k) AS term FROM p, (VALUES (3), (4)) z(k), range(1, 200) r(i) WHERE i <= greatest(length(w) - k + 1, 1)), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3) SELECT term, df, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM df, (SELECT count(*) AS n FROM w)""")
 def char_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = A.table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
