@@ -141,7 +141,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gold: np.ndarray,
     """``rows``: each text's distinct term keys, their counts, and its pattern votes."""
     n = len(rows)
     keys, which = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(r[0]) for r in rows])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r[0]) for r in rows])
     count = np.concatenate([r[1] for r in rows])
     ones, every = np.bincount(which, weights=gold[row], minlength=len(keys)), np.bincount(which, minlength=len(keys))
     share = gold.mean()
@@ -172,7 +172,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gold: np.ndarray,
     return Linear(keys[used], w[: len(used)], w[len(used) :], b)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000) -> Linear | None:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000) -> Linear | None:
     """Fit on a sample of about ``most_labelled`` labelled documents; None without labels of both kinds."""
 
     def scan(batches):
@@ -193,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000) -> Line
     if not len(gold) or gold.min() == gold.max():
         return None
     rows = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int32), np.frombuffer(r["patterns"], np.uint8)) for r in found]
+    del found
     return fit(rows, gold, min(max(label_share(labels, "toxic"), 0.01), 0.99))
 
 
@@ -215,5 +216,5 @@ def score(docs: DataFrame, model: Linear | None, threshold: float = 0.5) -> Data
     return rows.mapInArrow(scan, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000) -> DataFrame:
     return score(docs, train(docs, labels, most_labelled))
