@@ -132,7 +132,8 @@ def frontier_metrics(points: DataFrame, quality: str = "served", by: tuple[str,
 def reference_points(df: DataFrame, label: str = "difficulty") -> DataFrame:
     """(method, cost_share, served, weighted_served) of the oracle and of each constant tier."""
     options = F.array(*[F.struct(F.lit(n).alias("method"), t.cast("int").alias("tier")) for n, t in (("oracle", F.col(label)), ("always-1", F.lit(1)), ("always-2", F.lit(2)), ("always-3", F.lit(3)))])
-    return operating_point(df.withColumn("_o", F.explode(options)).select("*", "_o.method", "_o.tier"), ("method",), label=label)
+    wide = df.withColumn("_o", F.explode(options)).withColumn("method", F.col("_o.method")).withColumn("tier", F.col("_o.tier")).drop("_o")
+    return operating_point(wide, ("method",), label=label)
 
 
 def random_baseline(df: DataFrame, cuts: list, n: int = 100, id_col: str = "trajectory_id") -> DataFrame:
