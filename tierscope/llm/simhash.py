@@ -21,7 +21,6 @@ from .components import components
 from .scan import mixed
 from .shared import shuffle_partitions, written
 
-SEGMENT_BITS = 32
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LANES = [0, 0x8C2F9D4A6B1E3705, 0x51D7348CB6F2E09B, 0xE6A90B57C41D832F]
 
@@ -67,9 +66,18 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(scan, schema)
 
 
-def _ball(radius: int) -> list[int]:
-    """Masks of at most ``radius`` bits of a segment."""
-    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(SEGMENT_BITS), r)]
+def _ball(radius: int, bits: int) -> list[int]:
+    """Masks of at most ``radius`` of a segment's bits."""
+    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
+
+
+def _segment(k: int, bits: int) -> Column:
+    """Bits k * bits and on of the lanes end to end."""
+    lane, at = divmod(k * bits, 64)
+    own = F.shiftrightunsigned(F.col(f"f{lane}"), at)
+    if at + bits > 64:
+        own = own.bitwiseOR(F.shiftleft(F.col(f"f{lane + 1}"), 64 - at))
+    return own.bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -101,19 +109,18 @@ def _points(segment: int, value: Column, masks: Column) -> Column:
     return F.transform(masks, lambda m: F.struct(F.lit(segment).cast("long").alias("segment"), value.bitwiseXOR(m.cast("long")).alias("value")))
 
 
-def links(classes: DataFrame, lanes: int, most: int) -> DataFrame:
+def links(classes: DataFrame, lanes: int, most: int, segment_bits: int = 32) -> DataFrame:
     """Edges (a, b) between class ids ``cid`` whose fingerprints lie within ``most`` bits and meet in a segment.
 
-    The segments' radius is ``most // segments``, or 2 where that is larger. With 64 bits
-    and up to 5 differing ones every link is found; wider fingerprints with larger ``most``
-    find a link when one of their segments differs in 2 bits at most.
+    The segments' radius is ``most // segments``, or 2 where that is larger. With 64 bits in
+    two segments and up to 5 differing ones every link is found; with a larger ``most`` a link
+    is found when one segment differs in 2 bits at most.
     """
-    segments = lanes * 64 // SEGMENT_BITS
+    segments = lanes * 64 // segment_bits
     radius = min(2, most // segments)
-    masks = F.array(*[F.lit(m) for m in _ball((radius + 1) // 2)])
+    masks = F.array(*[F.lit(m) for m in _ball((radius + 1) // 2, segment_bits)])
     cols = [f"f{k}" for k in range(lanes)]
-    low = F.lit((1 << SEGMENT_BITS) - 1)
-    parts = [F.shiftrightunsigned(F.col(f"f{s // 2}"), 32 * (s % 2)).bitwiseAND(low) for s in range(segments)]
+    parts = [_segment(k, segment_bits) for k in range(segments)]
     # A ball of half the radius on both sides covers the radius.
     points = F.flatten(F.array(*[_points(s, part, masks) for s, part in enumerate(parts)]))
     probes = classes.select("cid", *cols, F.explode(points).alias("p")).select(F.col("p.segment").alias("segment"), F.col("p.value").alias("value"), "cid", *cols)
@@ -155,7 +162,7 @@ def _met(cols: list[np.ndarray], most: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, lanes: int = 1, most: int = 4) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, lanes: int = 1, most: int = 4, segment_bits: int = 32) -> DataFrame:
     """One row per document: doc_id, f0 .. (fingerprint lanes), component_id, the smallest doc_id reachable.
 
     Shingles are ``words`` words of the text with A-Z lower-cased; a shorter text is one
@@ -169,7 +176,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, lanes: int = 1, most: int =
     classes = prints.groupBy(*cols).agg(F.min("doc_id").alias("first"))
     # A class is known by a hash of its lanes; with one lane that is the fingerprint itself.
     named = written(classes.withColumn("cid", F.col("f0") if lanes == 1 else F.xxhash64(*cols)), "classes")
-    member = components(links(named, lanes, most))
+    member = components(links(named, lanes, most, segment_bits))
     placed = named.join(member, named["cid"] == member["node"], "left").select(*cols, "first", F.coalesce("component", "cid").alias("component"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     by_print = placed.join(least, "component").select(*cols, "component_id")
