@@ -56,14 +56,17 @@ class Tokens:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _add(self, keys: list[int], texts: list[bytes]) -> None:
-        for at in range(0, len(keys), 4096):
-            for key, made in zip(keys[at : at + 4096], self.tokenizer.encode_batch_fast([t.decode() for t in texts[at : at + 4096]], add_special_tokens=False), strict=True):
-                ids, k = made.ids, len(self.index)
+        #: Sorted hashes and the slot of each: a few bytes an entry, where a dict takes over a hundred.
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.used, self.size = np.zeros(1 << 16, np.uint32), 0, 0
+        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def _add(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        """Encode new tokens (their hashes in order)."""
+        slots = np.arange(self.size, self.size + len(keys), dtype=np.int32)
+        for at in range(0, len(texts), 4096):
+            for made in self.tokenizer.encode_batch_fast([t.decode() for t in texts[at : at + 4096]], add_special_tokens=False):
+                ids, k = made.ids, self.size
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
                 if k == len(self.first):
@@ -71,7 +74,9 @@ class Tokens:
                 self.ids[self.used : self.used + len(ids)] = ids
                 self.first[k], self.count[k] = self.used, len(ids)
                 self.used += len(ids)
-                self.index[key] = k
+                self.size += 1
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, place, keys), np.insert(self.slots, place, slots)
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
@@ -106,16 +111,21 @@ class Tokens:
         stops[starts[1:] - 1] |= solid[starts[1:] - 1]
         ends = np.flatnonzero(stops) + 1
         codes, unique = pd.factorize(token_hashes(raw, starts, ends))
-        if len(self.index) + len(unique) > self.most:
+        if self.size + len(unique) > self.most:
             self.reset()
-        have, keys = self.index, unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in have]
-        if new:
+        at = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == unique[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
             where = np.zeros(len(unique), np.int64)
             where[codes[::-1]] = np.arange(len(codes))[::-1]
-            at = where[new]
-            self._add([keys[i] for i in new], [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        slot = np.fromiter((have[k] for k in keys), np.int64, len(keys))[codes]
+            new = new[np.argsort(unique[new])]
+            sample = where[new]
+            self._add(unique[new], [data[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, unique)
+        slot = self.slots[at][codes]
         count = self.count[slot]
         done = np.concatenate(([0], np.cumsum(count)))
         flat = self.ids[np.repeat(self.first[slot] - done[:-1], count) + np.arange(done[-1])]

@@ -119,7 +119,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFram
     """
 
     def local(batches):
-        for part in chunks(batches):
+        for part in chunks(batches, limit=3 << 20):
             ids = part.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
             part = part.take(pa.array(order))
