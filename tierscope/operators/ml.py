@@ -91,7 +91,7 @@ def hashed_vectors(weights: DataFrame, width: int = 1024, id_col: str = "id") ->
 
 
 def assembled(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
+    return VectorAssembler(inputCols=features, outputCol=out).transform(df)
 
 
 def packed(train: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def fit_gbt(train: DataFrame, label: str = "difficulty", balanced: bool = False,
 
 def svd_text_head(train: DataFrame, text_vec: str, ranks: str, dims: int = 80, c: float = 1.0, label: str = "difficulty") -> Callable[[DataFrame], DataFrame]:
     """Text vectors reduced to ``dims`` and scaled, beside the ranks, into an ordinal head."""
-    pipe = Pipeline(stages=[PCA(k=dims, inputCol=text_vec, outputCol="_z"), Normalizer(inputCol="_z", outputCol="_u"), VectorAssembler(inputCols=["_u", ranks], outputCol="features", handleInvalid="keep")]).fit(train.drop("features"))
+    pipe = Pipeline(stages=[PCA(k=dims, inputCol=text_vec, outputCol="_z"), Normalizer(inputCol="_z", outputCol="_u"), VectorAssembler(inputCols=["_u", ranks], outputCol="features")]).fit(train.drop("features"))
     head = fit_ordinal(pipe.transform(train.drop("features")), c, label)
     return lambda df: head(pipe.transform(df.drop("features"))).drop("_z", "_u")
 
@@ -192,7 +192,7 @@ def oof_costs(df: DataFrame, tier_prices: DataFrame, fold: str = "fold", id_col:
     for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
         train, own = packed(df.filter(F.col(fold) != k)), df.filter(F.col(fold) == k)
         for t in targets:
-            model = GBTRegressor(featuresCol="features", labelCol="_y", predictionCol=f"_{t}", maxDepth=depth, maxIter=rounds, stepSize=0.06 * 200 / max(rounds, 1) if rounds < 200 else 0.06, seed=13).fit(train.withColumn("_y", F.log1p(t)))
+            model = GBTRegressor(featuresCol="features", labelCol="_y", predictionCol=f"_{t}", maxDepth=depth, maxIter=rounds, stepSize=min(0.3, 0.06 * 200 / rounds) if rounds < 200 else 0.06, seed=13).fit(train.withColumn("_y", F.log1p(t)))
             own = model.transform(own)
         own = own.select(id_col, *[F.greatest(F.expm1(f"_{t}"), F.lit(1.0 if t == "n_llm_calls" else 0.0)).alias(t) for t in targets])
         out = own if out is None else out.unionByName(own)
@@ -239,11 +239,12 @@ def text_grid(df: DataFrame, channels: dict[str, str], cs: tuple[float, ...] = (
     for name, column in channels.items():
         for c in cs:
             for cumulative in ordinal:
-                cols = [column, *([numeric] if numeric else [])]
+                cols = [column, *(["_numeric"] if numeric else [])]
 
                 def fitter(train: DataFrame, cols=cols, c=c, cumulative=cumulative):
-                    made = fit_ordinal(assembled(train.drop("features"), cols), c) if cumulative else fit_multinomial(assembled(train.drop("features"), cols), c)
-                    return lambda test: made(assembled(test.drop("features"), cols))
+                    prepared = lambda d: assembled((d.withColumnRenamed(numeric, "_numeric") if numeric else d).drop("features"), cols)
+                    made = (fit_ordinal if cumulative else fit_multinomial)(prepared(train), c)
+                    return lambda test: made(prepared(test))
 
                 fitters[f"{name} C={c} {'ordinal' if cumulative else 'multinomial'}"] = fitter
     return ladder(df, fitters, fold)
