@@ -57,7 +57,7 @@ def terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def patterns(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Votes of the pattern voters: shouting, exclamations, runs of signs, second-person words are short."""
+    """Votes of the pattern voters: more capitals than small letters, exclamations, runs of signs, a short text."""
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
     size = np.maximum(np.diff(offsets), 1)
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000) -> Line
                 out.append((k.tobytes(), c.astype(np.int32).tobytes(), shown[i].astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *[pa.array(c, pa.binary()) for c in zip(*out, strict=True)]], ["doc_id", "label", "keys", "counts", "patterns"])
 
-    # The limit on rows bounds what the driver holds; 64 KB of keys are enough for 8,000 distinct terms of a text.
+    # The limit on rows bounds what the driver holds: 12 bytes for each distinct term of a sampled text.
     found = labelled_sample(docs, labels, "toxic", most_labelled).select("doc_id", "label", "text").mapInArrow(scan, "doc_id long, label int, keys binary, counts binary, patterns binary").orderBy("doc_id", "keys").limit(2 * most_labelled).collect()
     gold = np.array([r["label"] for r in found], np.float64)
     if not len(gold) or gold.min() == gold.max():
