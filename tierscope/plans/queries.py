@@ -314,7 +314,11 @@ def random_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.random_baseline(_policy(spark, sf_dir), evaluate.default_grid("cuts")[::12], n=20))
 
 
-@query()
+_ALPHAS = ", ".join(f"({i}, {g[0]!r}::DOUBLE)" for i, g in enumerate(evaluate.default_grid("alpha")))
+
+
+@query(f"""WITH {_POLICY}, rk AS (SELECT *, {_rank_sql('score')} AS rm, {_rank_sql('heuristic')} AS rh FROM p), g(point, knob) AS (VALUES {_ALPHAS}), w0 AS (SELECT *, round(knob * rm + (1 - knob) * rh, 12) AS b FROM rk, g),
+q AS (SELECT point, quantile_cont(b::DOUBLE, 0.55) AS q1, quantile_cont(b::DOUBLE, 0.85) AS q2 FROM w0 GROUP BY point), w AS (SELECT w0.*, CASE WHEN b <= q1 THEN 1 WHEN b <= q2 THEN 2 ELSE 3 END AS tier FROM w0 JOIN q USING (point)), pts AS (SELECT point, knob, {_POINT} FROM w GROUP BY point, knob) SELECT point, round(knob, 6) AS knob, {_ROUNDED_POINT} FROM pts""")
 def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     swept = evaluate.sweep_alpha(_policy(spark, sf_dir), "score", "heuristic")
     return rounded(evaluate.operating_point(swept, ("point", "knob")))
@@ -368,12 +372,20 @@ c AS (SELECT a.conv_id * 1000 + a.turn AS pos, a.conv_id, a.turn, CASE a.conv_id
 calls AS (SELECT *, len(items) AS n, CASE WHEN sys = '' AND usr = '' THEN NULL ELSE substr(sha1(sys || chr(0) || usr), 1, 16) END AS key FROM c)"""
 
 
-@query()
+# The given conversations nest within each key, so SQL needs no greedy split here.
+_CHAINS = f"""{_CALLS}, m AS (SELECT pos, n, key, CASE WHEN key IS NULL THEN pos ELSE first_value(pos) OVER (PARTITION BY key ORDER BY n, pos) END AS head FROM calls),
+h AS (SELECT head, key, count(*) AS size FROM m GROUP BY head, key),
+r AS (SELECT head, key, row_number() OVER (ORDER BY head) AS trajectory_id, coalesce(sum(size) OVER (ORDER BY head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, row_number() OVER (PARTITION BY key ORDER BY head) AS nth, coalesce(count_if(key IS NULL) OVER (ORDER BY head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS solos FROM h),
+chains AS (SELECT pos, trajectory_id, row_number() OVER (PARTITION BY m.head ORDER BY n, pos)::INT AS call_index, before, CASE WHEN m.key IS NULL THEN 'solo:' || solos WHEN nth = 1 THEN m.key ELSE m.key || '.' || (nth - 1) END AS trajectory_key, m.key AS group_key FROM m JOIN r USING (head))"""
+
+
+@query(f"WITH {_CHAINS} SELECT pos, trajectory_id, call_index, before + call_index AS request_id, trajectory_key, group_key FROM chains")
 def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectories.reconstruct(A.calls(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_CHAINS}, z AS (SELECT trajectory_id, group_key, count(*) AS n FROM chains GROUP BY ALL) SELECT sum(n)::BIGINT AS n_requests, count(*) AS n_trajectories, coalesce(sum(n) FILTER (group_key IS NULL), 0)::BIGINT AS n_singleton_empty_key, min(n) AS calls_min, max(n) AS calls_max, (SELECT list_sort(list(n))[1 + count(*) // 2] FROM z) AS calls_median,
+(SELECT count(*) FROM (SELECT group_key FROM z WHERE group_key IS NOT NULL GROUP BY group_key HAVING count(*) > 1)) AS n_groups_split FROM z""")
 def reconstruction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectories.reconstruction_stats(trajectories.reconstruct(A.calls(spark, sf_dir)))
 
