@@ -212,15 +212,35 @@ def test_simhash_edges(spark, odd):
 
 
 def test_wide_fingerprints_find_edited_copies(spark):
+    """Two to four changed words of 200 leave a similarity of 0.90, 0.86 and 0.81; ten leave 0.59."""
     rng, rows = np.random.default_rng(9), []
-    for i in range(30):
+    for i in range(240):
         own = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
         edited = list(own)
-        for at in (20, 120):
+        for at in range(10, 10 + 18 * (2, 3, 4, 10)[i % 4], 18):
             edited[at] = "edit"
         rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(edited))]
-    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 42, 28).collect()}
-    assert sum(got[2 * i + 1] == 2 * i for i in range(30)) >= 29 and all(got[2 * i] == 2 * i for i in range(30))
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 44, 24).collect()}
+    found = [sum(got[2 * i + 1] == 2 * i for i in range(k, 240, 4)) for k in range(4)]
+    assert found[0] >= 59 and found[1] >= 56 and found[2] >= 45 and found[3] <= 6, found
+    assert all(got[2 * i] == 2 * i for i in range(240))
+
+
+def test_buckets_that_hold_links():
+    """The check of all buckets at once agrees with comparing all rows of each."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(3, 9, 400)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    bits = rng.integers(0, 1 << 63, (int(sizes.sum()), 4)).astype(np.uint64)
+    cid = rng.integers(0, 1000, len(bits))
+    for k in range(0, 400, 3):  # a copy with one bit changed, or the same class twice
+        a, b = starts[k], starts[k] + sizes[k] - 1
+        bits[b] = bits[a] ^ np.array([1, 0, 0, 0], np.uint64)
+        cid[b] = cid[a] if k % 2 else cid[a] + 1
+    want = [any(cid[a] != cid[b] and np.bitwise_count(bits[a] ^ bits[b]).sum() <= 44 for a, b in itertools.combinations(range(s, s + n), 2)) for s, n in zip(starts, sizes)]
+    assert simhash._holds_links(bits, cid, starts, sizes, 44).tolist() == want and 50 < sum(want) < 300
+    assert simhash._holds_links(bits, cid, starts, sizes, 44, large=2).all()
+    assert not len(simhash._holds_links(bits, cid, starts[:0], sizes[:0], 44))
 
 
 # ---- decontamination --------------------------------------------------------------

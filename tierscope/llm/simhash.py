@@ -81,7 +81,7 @@ def _segment(k: int, bits: int) -> Column:
 
 
 def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(many ^ one).sum(axis=-1)
+    return np.bitwise_count(many ^ one).sum(axis=-1, dtype=np.int64)
 
 
 def _forest(prints: np.ndarray, ids: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -143,6 +143,23 @@ def links(classes: DataFrame, lanes: int, most: int, segment_bits: int = 32) ->
     return probes.mapInArrow(meet, "a long, b long").distinct()
 
 
+def _holds_links(bits: np.ndarray, cid: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int, large: int = 64) -> np.ndarray:
+    """Which buckets hold a link; true unseen for those of more than ``large`` rows.
+
+    Most buckets hold chance meetings alone. Rows ``step`` apart are compared in all buckets
+    at once, for each step that the longest of them has.
+    """
+    found = sizes > large
+    for step in range(1, int(sizes[~found].max(initial=1))):
+        todo = np.flatnonzero(~found & (sizes > step))
+        count = sizes[todo] - step
+        a = np.repeat(starts[todo] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        b = a + step
+        near = (_distances(bits[a], bits[b]) <= most) & (cid[a] != cid[b])
+        found[np.repeat(todo, count)[near]] = True
+    return found
+
+
 def _met(cols: list[np.ndarray], most: int):
     segment, value, cid, *prints = cols
     if len(segment) < 2:
@@ -155,8 +172,10 @@ def _met(cols: list[np.ndarray], most: int):
     two = starts[sizes == 2]
     near = _distances(bits[two], bits[two + 1]) <= most
     edges.update((min(a, b), max(a, b)) for a, b in zip(cid[two[near]].tolist(), cid[two[near] + 1].tolist(), strict=True) if a != b)
-    for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-        edges.update((min(e), max(e)) for e in _forest(bits[at : at + size], cid[at : at + size], most))
+    more = np.flatnonzero(sizes > 2)
+    for k in more[_holds_links(bits, cid, starts[more], sizes[more], most)]:
+        own = slice(starts[k], starts[k] + sizes[k])
+        edges.update((min(e), max(e)) for e in _forest(bits[own], cid[own], most))
     if edges:
         a, b = zip(*edges, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
