@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, benchmark decontamination, packing.
+"""The corpus pipeline: toxicity, exact dedup, near-dedup by shingles, benchmark decontamination, packing.
 
 Each stage works on all that its predecessor kept and returns the columns of documents, the
 last one the packed pieces.
@@ -6,6 +6,8 @@ last one the packed pieces.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,11 @@ from tierscope.llm.exact_dedup import keep_first
 from tierscope.llm.packing import pack_documents
 from tierscope.llm.queries import table, tokenizer_path
 from tierscope.llm.shared import new_path
-from tierscope.llm.simhash import simhash_groups
+from tierscope.llm.shingle_join import jaccard_groups
 from tierscope.llm.toxicity import toxicity_scores
 
-#: Near duplicates: five-word shingles, 256-bit fingerprints in ten segments of 24 bits. Pairs of
-#: Jaccard similarity 0.8 differ in 39 bits on average, pairs of 0.7 in 49.
-SHINGLE_WORDS, LANES, MOST_BITS, SEGMENT_BITS = 5, 4, 44, 24
+#: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 and above.
+SHINGLE_WORDS, LEAST = 5, Fraction(4, 5)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group. Documents without an id stay."""
-    groups = simhash_groups(docs.filter("doc_id is not null"), SHINGLE_WORDS, LANES, MOST_BITS, SEGMENT_BITS)
+    groups = jaccard_groups(docs.filter("doc_id is not null"), SHINGLE_WORDS, LEAST)
     gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
@@ -52,7 +53,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path(), 4096)
 
 
-STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("simhash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("best-fit packing", packing)]
+STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("shingle near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("best-fit packing", packing)]
 
 #: No SQL: stages learn, hash and tokenise. The tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tierscope.llm import decontaminate, exact_dedup, language, packing, quality, queries, sharding, simhash, substring_dedup, toxicity, url_templates
+from tierscope.llm import decontaminate, exact_dedup, language, packing, quality, queries, sharding, shingle_join, simhash, substring_dedup, toxicity, url_templates
 from tierscope.llm.components import components
 from tierscope.llm.scan import text_bytes, words
 
@@ -243,6 +243,58 @@ def test_buckets_that_hold_links():
     assert not len(simhash._holds_links(bits, cid, starts[:0], sizes[:0], 44))
 
 
+# ---- near-dedup of the pipeline -----------------------------------------------------
+def brute_groups(rows, n=5):
+    sets = {}
+    for d, t in rows:
+        own = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(own[i : i + n]) for i in range(max(1, len(own) - n + 1))} if own else set()
+    root = {d: d for d in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if (x == y or 5 * len(x & y) >= 4 * len(x | y)) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
+def edited_copies():
+    """Copies with 1 to 8 of 60 to 200 words changed: similarities around 0.8, of two, of chains, and of one large group."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(150):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(60, 200))]
+        for k in range(3 if i else 60):
+            edited = list(own)
+            for at in rng.integers(0, len(own), rng.integers(0, 6)):
+                edited[at] = f"e{rng.integers(0, 50)}"
+            rows.append((len(rows), " ".join(edited)))
+    line = " ".join(f"c{x}" for x in range(40))
+    rows += [(len(rows) + i, f"{line} {' '.join(f'u{i}x{k}' for k in range(i % 20))}") for i in range(100)]
+    return rows + [(10_000, ""), (10_001, None), (10_002, "a b"), (10_003, "A b"), (10_004, "a c")]
+
+
+def test_near_dedup_is_exact_jaccard(spark):
+    """Every pair of 0.8 and above is found and no pair below it, also in buckets that many documents share."""
+    import corpus_pipeline as pipe
+
+    rows = edited_copies()
+    want = brute_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = sorted(r.doc_id for r in pipe.near_dedup(spark, df, SF).collect())
+    assert kept == sorted(d for d, r in want.items() if d == r) and len(kept) < len(rows) - 100
+    for small, sample, most in ((1, 50, 10), (4, 20_000, 0), (1000, 20_000, 100_000)):
+        got = {r.doc_id: r.component_id for r in shingle_join.jaccard_groups(df, small=small, sample=sample, most_common=most).collect()}
+        assert got == want
+
+
+def test_near_dedup_edges(spark, odd, docs):
+    got = shingle_join.jaccard_groups(odd).collect()
+    assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (2, 3, 4)} == {2}
+    assert shingle_join.jaccard_groups(odd.limit(0)).count() == 0
+    got = {r.doc_id: r.component_id for r in shingle_join.jaccard_groups(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert got == brute_groups(list(docs.items()))
+
+
 # ---- decontamination --------------------------------------------------------------
 def test_decontaminate_blocks_and_brute_force(spark):
     rng = np.random.default_rng(2)

@@ -1,0 +1,233 @@
+"""Near-duplicate groups by the exact Jaccard similarity of shingle sets, by prefix filtering.
+
+All shingles have one order, rare ones first. Two sets of similarity ``least`` share one of the
+first few shingles of that order in both, so only documents that meet in such a prefix are
+compared: no link is missed, and every link is decided on the whole sets. The frequencies
+behind the order come from a sample; they change the work, never the result.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .scan import mixed
+from .shared import shuffle_partitions, written
+from .simhash import shingle_hashes
+
+PAIRS = "a long, b long"
+
+
+def _cid() -> Column:
+    return F.xxhash64("digest").alias("cid")
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, digest, shingles) for each document; ``shingles`` as sorted uint64 bytes."""
+
+    def scan(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                raw = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "digest", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, digest binary, shingles binary")
+
+
+def _common(docs: DataFrame, words: int, sample: int, most: int) -> np.ndarray:
+    """Up to ``most`` frequent shingles of about ``sample`` documents, the least frequent first."""
+    step = max(1, -(-docs.count() // sample))
+
+    def scan(batches):
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), words)).view(np.int64))], ["h"])
+
+    found = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").mapInArrow(scan, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n >= 10")
+    rows = found.orderBy(F.desc("n"), "h").limit(most).select("h").collect()
+    return np.array([r.h for r in rows][::-1], np.int64).view(np.uint64)
+
+
+def _prefix(shingles: np.ndarray, values: np.ndarray, ranks: np.ndarray, least: Fraction) -> np.ndarray:
+    """The first shingles in the common order; one at least is in the prefix of any set as similar as ``least``."""
+    n = len(shingles)
+    at = np.searchsorted(values, shingles)
+    known = np.zeros(n, bool)
+    inside = at < len(values)
+    known[inside] = values[at[inside]] == shingles[inside]
+    own = np.concatenate((shingles[~known], shingles[known][np.argsort(ranks[at[known]])]))
+    return own[: n - -(-least.numerator * n // least.denominator) + 1]
+
+
+def _needed(n, m, least: Fraction):
+    """Shingles that sets of sizes n and m share at least when their similarity is ``least``."""
+    p, q = least.numerator, least.denominator
+    return -(-p * (n + m) // (p + q))
+
+
+def _prefixes(docs: DataFrame, words: int, least: Fraction, common: np.ndarray) -> DataFrame:
+    """(doc_id, digest, n, prefix)."""
+    values, ranks = np.sort(common), np.argsort(common)
+
+    def scan(batches):
+        for batch in batches:
+            sets = [np.frombuffer(s.as_py(), np.uint64) for s in batch.column(2)]
+            prefixes = [_prefix(s, values, ranks, least).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "prefix"])
+
+    return _sets(docs, words).mapInArrow(scan, "doc_id long, digest binary, n int, prefix array<long>")
+
+
+def _buckets(batches):
+    """Column arrays that hold whole buckets (rows of one token, the first column)."""
+    held = None
+    for batch in batches:
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if len(held[0]):
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield [x[:cut] for x in held]
+                held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _able(a, b, n: np.ndarray, pos: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether rows a and b of one bucket can be similar, by their sizes and the places of the shared shingle."""
+    return np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= _needed(n[a], n[b], least)
+
+
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _large(token: np.ndarray, small: int):
+    """First rows, sizes of all buckets, and which have more than ``small`` rows."""
+    starts = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1))
+    sizes = np.diff(np.concatenate((starts, [len(token)])))
+    return starts, sizes, sizes > small
+
+
+def _first_pairs(least: Fraction, small: int):
+    """All able pairs of small buckets. Of large ones a few pairs, to join most of a group at once, and a row (token, null)."""
+
+    def meet(batches):
+        for token, cid, n, pos in _buckets(batches):
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            starts, sizes, large = _large(token, small)
+            within = np.repeat(~large, sizes)
+            for step in range(1, int(sizes[~large].max(initial=1))):
+                a = np.flatnonzero((token[step:] == token[:-step]) & within[step:])
+                a = a[_able(a, a + step, n, pos, least)]
+                yield _batch(cid[a], cid[a + step])
+            for k in np.flatnonzero(large):
+                own = np.arange(starts[k], starts[k] + sizes[k])
+                # Each document takes part in about four of its buckets here.
+                own = own[mixed(token[own].view(np.uint64)) % np.maximum(1, n[own] // 20).astype(np.uint64) == 0]
+                if len(own) > 1:
+                    own = own[np.lexsort((cid[own], n[own]))]
+                    centre = own[np.argmin(mixed((cid[own] ^ token[own]).view(np.uint64)))]
+                    a, b = np.concatenate((own[:-1], np.full(len(own), centre))), np.concatenate((own[1:], own))
+                    ok = _able(a, b, n, pos, least) & (a != b)
+                    yield _batch(cid[a[ok]], cid[b[ok]])
+            if large.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[starts[large]]), pa.nulls(int(large.sum()), pa.int64())], ["a", "b"])
+
+    return meet
+
+
+def _last_pairs(least: Fraction):
+    """All able pairs of large buckets that are not in one component yet."""
+
+    def meet(batches):
+        for token, cid, n, pos, comp in _buckets(batches):
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            starts, sizes, _ = _large(token, 0)
+            for start, size in zip(starts, sizes, strict=True):
+                own = np.arange(start, start + size)
+                names, place, count = np.unique(comp[own], return_inverse=True, return_counts=True)
+                if len(names) < 2:
+                    continue
+                # Every pair of two components has an end outside the largest one.
+                rest, other = own[place != np.argmax(count)], own[place == np.argmax(count)]
+                for k, at in enumerate(rest):
+                    against = np.concatenate((rest[k + 1 :], other))
+                    against = against[comp[against] != comp[at]]
+                    against = against[_able(at, against, n, pos, least)]
+                    if len(against):
+                        yield _batch(np.full(len(against), cid[at]), cid[against])
+
+    return meet
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """The pairs (a, b) of classes whose whole shingle sets are as similar as ``least``."""
+
+    def possible(batches):
+        # Shingles up to the last that both prefixes hold are counted, what follows is bounded by the sizes.
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(batch.column(2), batch.column(3), *[batch.column(k).to_pylist() for k in (4, 5)], strict=True):
+                _, i, j = np.intersect1d(np.asarray(x.values), np.asarray(y.values), assume_unique=True, return_indices=True)
+                keep.append(len(i) > 0 and len(i) + min(n - 1 - int(i.max()), m - 1 - int(j.max())) >= _needed(n, m, least))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def similar(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * least.denominator >= least.numerator * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c, v, *more: classes.select(F.col("cid").alias(c), F.col("prefix").alias(v), *more)
+    near = pairs.join(side("a", "x", F.col("n").alias("na")), "a").join(side("b", "y", F.col("n").alias("nb")), "b").select("a", "b", "x", "y", "na", "nb").mapInArrow(possible, PAIRS)
+    near = written(near, "near")
+    wanted = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
+    ids = classes.join(wanted, "cid", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    # An id may have several texts: the class tells which is meant.
+    sets = written(_sets(texts, words).select(_cid(), "shingles").join(wanted, "cid", "left_semi"), "sets").groupBy("cid").agg(F.first("shingles").alias("s"))
+    whole = near.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("y")), "b")
+    return whole.select("a", "b", "x", "y").mapInArrow(similar, PAIRS)
+
+
+def jaccard_groups(docs: DataFrame, words: int = 5, least: Fraction = Fraction(4, 5), small: int = 16, sample: int = 20_000, most_common: int = 100_000) -> DataFrame:
+    """One row per document: doc_id, component_id, the smallest doc_id reachable by pairs of similarity ``least`` and above.
+
+    Shingles are ``words`` words with A-Z lower-cased, as sets of 64-bit hashes; a shorter text
+    is one shingle. Texts of equal sets, and those without words, are one class: only classes
+    are compared. A null doc_id names a component only when no other id is in it (then null).
+    ``small``, ``sample`` and ``most_common`` change the work, not the result.
+    """
+    common = _common(docs, words, sample, most_common)
+    prints = written(_prefixes(docs, words, least, common), "prints")
+    grouped = prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = written(grouped.select(_cid(), "first", "n", "prefix"), "classes")
+    partitions = shuffle_partitions(docs.sparkSession)
+    points = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cid", "n", "pos")
+    dealt = lambda df: df.repartition(partitions, "token").sortWithinPartitions("token")
+    met = written(dealt(points).mapInArrow(_first_pairs(least, small), PAIRS), "met")
+    edges = written(_verified(docs, classes, met.filter("b is not null").distinct(), words, least), "links")
+    member = components(edges)
+    large = met.filter("b is null").select(F.col("a").alias("token"))
+    if not large.isEmpty():
+        apart = points.join(large, "token", "left_semi").join(member.withColumnRenamed("node", "cid"), "cid", "left")
+        left = apart.select("token", "cid", "n", "pos", F.coalesce("component", "cid").alias("comp"))
+        more = written(dealt(left).mapInArrow(_last_pairs(least), PAIRS), "met").distinct()
+        more = written(_verified(docs, classes, more, words, least), "links")
+        if not more.isEmpty():
+            member = components(edges.unionByName(more))
+    placed = classes.join(member, classes["cid"] == member["node"], "left").select("cid", "first", F.coalesce("component", "cid").alias("component"))
+    named = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    return prints.select("doc_id", _cid()).join(placed.join(named, "component").select("cid", "component_id"), "cid").select("doc_id", "component_id")
