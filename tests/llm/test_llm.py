@@ -165,6 +165,17 @@ def test_substring_edges(spark, odd):
     assert substring_dedup.drop_repeats(odd.limit(0)).count() == 0
 
 
+def test_windows_are_told_apart_by_64_bits():
+    """Hashes of one anchor and place that differ in one bit, high or low, are different windows."""
+    h = 0x0123456789ABCDEF
+    for other, later in ((h, [2]), (h ^ 1, []), (h ^ (1 << 63), [])):
+        batch = substring_dedup._seeds_batch(np.array([7, 7], np.uint64), np.array([1, 2]), np.array([0, 0]), np.array([0, 0]), (np.array([h, other], np.uint64), np.array([0, 1, 2])))
+        assert [d for part in substring_dedup._decided(substring_dedup._arrays(batch), 2, 20) for d in part.column(0).to_pylist()] == later
+    hashes = np.arange(30, dtype=np.uint64)
+    whole = substring_dedup.seeds(hashes, np.array([0, 30]), np.array([1]), 20, 5)[1]
+    assert whole.tolist() == substring_dedup._runs(hashes, 20).tolist()
+
+
 # ---- simhash ----------------------------------------------------------------------
 def fingerprint(text, n=4):
     own = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))

@@ -76,11 +76,11 @@ def seeds(hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, window: int,
     starts, row = starts[inside], row[inside]
     if not len(starts):
         empty = np.zeros(0, np.int64)
-        return empty.astype(np.uint64), empty.astype(np.uint32), empty, empty, empty
+        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     whole = _runs(hashes, window)[starts]
     grams = _runs(hashes, gram)
     place = _least(grams, window - gram + 1)[starts]
-    return grams[place], (whole >> np.uint64(32)).astype(np.uint32), row, starts, place
+    return grams[place], whole, row, starts, place
 
 
 def _merged(row: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ def _spans_batch(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Reco
 def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     """(doc_id, start, end): word spans covered by windows whose words also start earlier in the corpus.
 
-    A window is known by its anchor's hash (64 bits), place and own hash (32 bits). Tasks
+    A window is known by its anchor's hash (64 bits), place and own hash (64 bits). Tasks
     compare the windows of their own chunk first and send on only the earliest, so a passage
     that many documents share arrives once from each chunk.
     """
@@ -166,7 +166,7 @@ def _seeds_batch(anchor, doc, pos, first, windows) -> pa.RecordBatch:
     else:
         whole, cuts = windows
         keys = pa.array(anchor.view(np.int64), pa.int64())
-        blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(whole))])
+        blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(whole))])
     return pa.RecordBatch.from_arrays([keys, pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(first, pa.int32()), blobs], ["anchor", "doc_id", "pos", "first", "windows"])
 
 
@@ -175,14 +175,14 @@ def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
     anchor = batch.column(0)
     known = np.asarray(anchor.is_valid())
     blobs = pc.fill_null(batch.column(4), b"")
-    sizes = np.asarray(pc.binary_length(blobs), dtype=np.int64) // 4
+    sizes = np.asarray(pc.binary_length(blobs), dtype=np.int64) // 8
     raw = b"".join(blobs.to_pylist()) if blobs.offset else None
     if raw is None:
         offsets = np.frombuffer(blobs.buffers()[1], np.int32)[: len(blobs) + 1]
         raw = memoryview(blobs.buffers()[2] or b"")[offsets[0] : offsets[-1]]
     lowest = np.iinfo(np.int64).min
     keys = np.where(known, np.asarray(pc.fill_null(anchor, 0)), lowest)
-    return [keys, *[batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)], np.where(known, sizes, 0), np.frombuffer(raw, np.uint32)]
+    return [keys, *[batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)], np.where(known, sizes, 0), np.frombuffer(raw, np.uint64)]
 
 
 def _joined(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
