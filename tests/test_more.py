@@ -102,3 +102,14 @@ def test_triggers_and_overlap(spark, tmp_path):
     keys = trajectories.with_group_key(io.read_linked(spark, str(tmp_path)))
     assert trajectories.key_overlap(keys, keys.limit(1)).count() == 1
     assert trajectories.model_totals(keys.withColumn("tokens", F.lit(2)), "tokens").first().tokens == 6
+
+
+def test_matched_pairs_at_the_reference_gap(spark, monkeypatch):
+    """The query pairs within 0.05, as the operator does by default."""
+    from tierscope.operators import offpolicy
+    from tierscope.plans import queries
+
+    seen, own = [], offpolicy.matched_pairs
+    monkeypatch.setattr(offpolicy, "matched_pairs", lambda df, **options: seen.append(options.get("max_gap", 0.05)) or own(df, **options))
+    gaps = [r.score_gap for r in queries.QUERIES["matched_pairs"](spark, "/root/testdata/sf0.001").collect()]
+    assert seen == [0.05] and gaps and max(gaps) <= 0.05

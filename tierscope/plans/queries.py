@@ -524,7 +524,7 @@ def interaction_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _composite(spark, sf_dir, A.text_features(spark, sf_dir)).withColumnRenamed("composite", "score").withColumn("tier", F.when(F.col("trajectory_id") % 3 == 0, 3).otherwise(1)).withColumn("model", F.concat(F.lit("m"), F.col("tier")))
-    return offpolicy.matched_pairs(rows, max_gap=0.0005, limit=None)
+    return offpolicy.matched_pairs(rows, max_gap=0.05, limit=None)
 
 
 @query(f"""WITH {_TEXT_SQL}, long AS (UNPIVOT (SELECT trajectory_id, {", ".join(f"{f}::DOUBLE AS {f}" for f in A.FEATURES)} FROM t) ON {", ".join(A.FEATURES)} INTO NAME feature VALUE value), f AS (SELECT * FROM long WHERE trajectory_id % 2 = 0), w AS (SELECT * FROM long WHERE trajectory_id % 2 = 1),
