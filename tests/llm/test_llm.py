@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tierscope.llm import decontaminate, exact_dedup, language, packing, quality, queries, sharding, shingle_join, simhash, substring_dedup, toxicity, url_templates
+from tierscope.llm import decontaminate, exact_dedup, language, near_dedup, packing, quality, queries, scan, sharding, simhash, substring_dedup, toxicity, url_templates
 from tierscope.llm.components import components
 from tierscope.llm.scan import text_bytes, words
 
@@ -173,7 +173,7 @@ def test_windows_are_told_apart_by_64_bits():
         assert [d for part in substring_dedup._decided(substring_dedup._arrays(batch), 2, 20) for d in part.column(0).to_pylist()] == later
     hashes = np.arange(30, dtype=np.uint64)
     whole = substring_dedup.seeds(hashes, np.array([0, 30]), np.array([1]), 20, 5)[1]
-    assert whole.tolist() == substring_dedup._runs(hashes, 20).tolist()
+    assert whole.tolist() == scan.runs(hashes, 20).tolist()
 
 
 # ---- simhash ----------------------------------------------------------------------
@@ -284,7 +284,7 @@ def edited_copies():
     return rows + [(10_000, ""), (10_001, None), (10_002, "a b"), (10_003, "A b"), (10_004, "a c")]
 
 
-def test_near_dedup_is_exact_jaccard(spark):
+def test_near_dedup_against_exact_jaccard(spark, monkeypatch):
     """Every pair of 0.8 and above is found and no pair below it, also in buckets that many documents share."""
     import corpus_pipeline as pipe
 
@@ -293,16 +293,17 @@ def test_near_dedup_is_exact_jaccard(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     kept = sorted(r.doc_id for r in pipe.near_dedup(spark, df, SF).collect())
     assert kept == sorted(d for d, r in want.items() if d == r) and len(kept) < len(rows) - 100
-    for small, sample, most in ((1, 50, 10), (4, 20_000, 0), (1000, 20_000, 100_000)):
-        got = {r.doc_id: r.component_id for r in shingle_join.jaccard_groups(df, small=small, sample=sample, most_common=most).collect()}
+    for crowd in (2, 512):  # 2: nearly every shared point is split into blocks
+        monkeypatch.setattr(near_dedup, "CROWD", crowd)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, recall=0.9999).collect()}
         assert got == want
 
 
 def test_near_dedup_edges(spark, odd, docs):
-    got = shingle_join.jaccard_groups(odd).collect()
+    got = near_dedup.near_groups(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (2, 3, 4)} == {2}
-    assert shingle_join.jaccard_groups(odd.limit(0)).count() == 0
-    got = {r.doc_id: r.component_id for r in shingle_join.jaccard_groups(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert near_dedup.near_groups(odd.limit(0)).count() == 0
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     assert got == brute_groups(list(docs.items()))
 
 
@@ -328,7 +329,7 @@ def test_decontaminate_blocks_and_brute_force(spark):
                     found |= ids
         want.append((d, len(own), len(hit), tuple(sorted(found))))
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for bound in (10**6, 4):  # 4: several blocks
+    for bound in (10**6, 900):  # 900: several blocks
         got = [(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.find_benchmark(df, bench, 4, bound).collect()]
         assert sorted(got) == sorted(want)
     assert decontaminate.find_benchmark(df, bench.limit(0)).filter("n_hit > 0").count() == 0

@@ -93,3 +93,33 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts = np.flatnonzero(solid & (~before | edge[:-1]))
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+_ASCII_LOWER = np.arange(256, dtype=np.uint8)
+_ASCII_LOWER[65:91] += 32
+
+
+def fold_ascii(raw: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased."""
+    return _ASCII_LOWER[raw]
+
+
+_RUN_STEP = np.uint64(0xD1342543DE82EF95)
+
+
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Order-dependent hashes of every ``n`` consecutive values, by doubling."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    out, size, part, width = None, 0, h, 1
+    left = n
+    while left:
+        if left & 1:
+            own = part[size : size + len(h) - n + 1]
+            out = own.copy() if out is None else out * _RUN_STEP + own
+            size += width
+        left >>= 1
+        if left:
+            part = mixed(part[:-width] * _RUN_STEP + part[width:])
+            width *= 2
+    return mixed(out)

@@ -39,14 +39,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that no later step reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`written` that no later step reads."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_folder(df.sparkSession, folder)
+
+
+def free_name(wanted: str, taken) -> str:
+    """``wanted``, with underscores before it until no column of ``taken`` has the name, upper or lower case."""
+    low = {t.lower() for t in taken}
+    while wanted.lower() in low:
+        wanted = "_" + wanted
+    return wanted
+
+
+def broadcast_if_small(df: DataFrame, n_rows: int, most: int = 500_000) -> DataFrame:
+    """Hint a broadcast of a table of a few fixed-width columns when it has ``most`` rows at most; a shuffle join otherwise."""
+    return F.broadcast(df) if n_rows <= most else df
 
 
 def held_out(doc_id: Column) -> Column:

@@ -16,33 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import chunks, mixed, text_bytes, token_hashes, words
+from .scan import chunks, runs, text_bytes, token_hashes, words
 from .shared import shuffle_partitions
 
-_STEP = np.uint64(0xD1342543DE82EF95)
 SEEDS = "anchor long, doc_id long, pos int, first int, windows binary"
 SPANS = "doc_id long, start int, end int"
 
 
-def _runs(h: np.ndarray, n: int) -> np.ndarray:
-    """Order-dependent hashes of every ``n`` consecutive values, by doubling."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    out, size, part, width = None, 0, h, 1
-    left = n
-    step = _STEP
-    while left:
-        if left & 1:
-            own = part[size : size + len(h) - n + 1]
-            out = own.copy() if out is None else out * step + own
-            size += width
-        left >>= 1
-        if left:
-            part = mixed(part[:-width] * step + part[width:])
-            width *= 2
-    return mixed(out)
-
-
 def _least(h: np.ndarray, n: int) -> np.ndarray:
     """Places of the least of every ``n`` consecutive values, the leftmost of equal ones."""
     best, width = np.arange(len(h)), 1
@@ -77,8 +57,8 @@ def seeds(hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, window: int,
     if not len(starts):
         empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
-    whole = _runs(hashes, window)[starts]
-    grams = _runs(hashes, gram)
+    whole = runs(hashes, window)[starts]
+    grams = runs(hashes, gram)
     place = _least(grams, window - gram + 1)[starts]
     return grams[place], whole, row, starts, place
 

@@ -218,3 +218,15 @@ def score(docs: DataFrame, model: Linear | None, threshold: float = 0.5) -> Data
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000) -> DataFrame:
     return score(docs, train(docs, labels, most_labelled))
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that :func:`toxicity_scores` does not predict toxic, with all their columns; each row by its own text."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_labelled)), docs.columns.index("text")
+
+    def scan(batches):
+        own = sent.value
+        for part in chunks(batches, limit=1 << 20):
+            yield part if own is None else part.filter(pa.array(own.scores(*text_bytes(part.column(at))) < threshold))
+
+    return docs.mapInArrow(scan, docs.schema)
