@@ -1,7 +1,9 @@
-"""The corpus pipeline: toxicity, exact dedup, near-dedup by shingles, benchmark decontamination, packing.
+"""The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, benchmark decontamination, packing.
 
 Each stage works on all that its predecessor kept and returns the columns of documents, the
-last one the packed pieces.
+last one the packed pieces. Rows are judged one by one, by a row number of the stage's own,
+so rows that share a doc_id or have none do not share a fate. Null text counts as empty;
+an empty table stays empty; extra columns, whatever their names, come through unchanged.
 """
 
 from __future__ import annotations
@@ -9,43 +11,37 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tierscope.llm.decontaminate import find_benchmark
+from tierscope.llm.decontaminate import keep_clean
 from tierscope.llm.exact_dedup import keep_first
+from tierscope.llm.near_dedup import keep_one
 from tierscope.llm.packing import pack_documents
 from tierscope.llm.queries import table, tokenizer_path
-from tierscope.llm.shared import new_path
-from tierscope.llm.shingle_join import jaccard_groups
-from tierscope.llm.toxicity import toxicity_scores
+from tierscope.llm.shared import drop_folder, new_path
+from tierscope.llm.toxicity import keep_civil
 
 #: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 and above.
 SHINGLE_WORDS, LEAST = 5, Fraction(4, 5)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic. Rows with equal ids share the harshest verdict; a null id is judged as one document."""
-    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    toxic = scores.filter("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["_toxic"]), "left_anti")
+    """Rows that are not predicted toxic; null and empty texts stay. Repeated rows share their verdict."""
+    return keep_civil(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are equal without spaces."""
+    """One row of each group of texts that are equal without spaces: most code points, then smallest doc_id (null last). All null, empty and blank texts are one group."""
     return keep_first(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group. Documents without an id stay."""
-    groups = jaccard_groups(docs.filter("doc_id is not null"), SHINGLE_WORDS, LEAST)
-    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The row with the smallest doc_id (null last) of each near-duplicate group; of repeated rows one. Texts without words are one group."""
+    return keep_one(docs, SHINGLE_WORDS, LEAST)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    found = find_benchmark(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+    """Rows without any benchmark window; null and empty texts have none. Repeated rows share their verdict."""
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,17 +49,20 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path(), 4096)
 
 
-STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("shingle near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("best-fit packing", packing)]
+STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("best-fit packing", packing)]
 
-#: No SQL: stages learn, hash and tokenise. The tests hold the stages against brute force.
+#: No SQL: stages learn, hash and tokenise. The tests hold each stage against a brute-force version on small tables.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again; a table goes when the next one is written."""
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if old:
+            drop_folder(spark, old)
+        old = path
     return STAGES[-1][1](spark, docs, sf_dir)
