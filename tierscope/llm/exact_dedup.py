@@ -8,11 +8,10 @@ seen before is a hit, and the whole bytes of hits are compared with those of the
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, new_path, written
+from .shared import SPACES, drop_folder, drop_written, free_name, new_path, skew_join, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,16 +24,32 @@ def normalized(text: Column) -> Column:
     return out
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_locator``, the file and row that hold each row's content.
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of a file: one relation under projections and filters only."""
+    todo, leaves = [docs._jdf.queryExecution().analyzed()], 0
+    while todo:
+        node = todo.pop()
+        name, children = node.nodeName(), node.children()
+        if not children.size():
+            leaves += 1
+            if not name.startswith("LogicalRelation") and name != "LogicalRelation":
+                return False
+        elif name not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        todo += [children.apply(i) for i in range(children.size())]
+    return leaves == 1
 
-    A DataFrame that was not read from files is written to the shared folder first.
+
+def located(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with one more column that names each row's place, and that column's name.
+
+    The place is the file and row of a plain scan; the rows of any other DataFrame (joined,
+    exploded, made in memory) are written to the shared folder first, with a number each.
     """
-    at = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    try:
-        return docs.withColumn("_locator", at)
-    except AnalysisException:
-        return written(docs, "content").withColumn("_locator", at)
+    name = free_name("_locator", docs.columns)
+    if _is_scan(docs) and "_metadata" not in {c.lower() for c in docs.columns}:
+        return docs.withColumn(name, F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))), name
+    return written(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "content"), name
 
 
 def _order(n_points: Column, doc_id: Column, locator: Column) -> Column:
@@ -43,7 +58,13 @@ def _order(n_points: Column, doc_id: Column, locator: Column) -> Column:
 
 
 def keyed_state(spark: SparkSession, arrivals: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    """Run the stream over the arrivals folder to its end; one row per digest: n_rows and the best row."""
+    """Run the stream over the arrivals folder to its end; one row per digest: n_rows and the best row.
+
+    The state store's settings hold in a session of the stream's own.
+    """
+    told, spark = spark, SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for k, v in {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}.items():
+        spark.conf.set(k, v)
     reader = spark.readStream.schema(schema)
     reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader.option("maxBytesPerTrigger", 64 << 30)
     keyed = reader.parquet(arrivals).groupBy("digest").agg(F.count(F.lit(1)).alias("n_rows"), F.max(_order(F.col("n_points"), F.col("doc_id"), F.col("_locator"))).alias("best"))
@@ -52,18 +73,11 @@ def keyed_state(spark: SparkSession, arrivals: str, schema, files_per_trigger: i
     def emit(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        query = keyed.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", home).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    query = keyed.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", home).trigger(availableNow=True).start()
+    query.awaitTermination()
+    drop_folder(spark, home)
     # A key that several batches changed has several rows; its count only grows.
-    return spark.read.schema(keyed.schema).parquet(f"{out}/epoch=*").groupBy("digest").agg(F.max_by(F.struct("n_rows", "best"), "n_rows").alias("s")).select("digest", "s.n_rows", "s.best")
+    return told.read.schema(keyed.schema).parquet(f"{out}/epoch=*").groupBy("digest").agg(F.max_by(F.struct("n_rows", "best"), "n_rows").alias("s")).select("digest", "s.n_rows", "s.best")
 
 
 def exact_dedup(docs: DataFrame, digest_chars: int = 64, files_per_trigger: int | None = None) -> DataFrame:
@@ -73,26 +87,36 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64, files_per_trigger: int
     points stays, then the smallest doc_id. Null text counts as empty, so all null, empty and
     blank texts are one group. A null doc_id sorts after all others. Repeated rows (same
     doc_id and text) are copies of each other: one stays. An empty table gives no rows. Extra
-    columns are ignored. ``digest_chars`` shortens the state's key (tests use it to force hits
+    columns are ignored. Joined or exploded tables are taken row by row. ``digest_chars`` shortens the state's key (tests use it to force hits
     whose bytes differ); such rows are grouped by their whole text instead.
     """
-    spark = docs.sparkSession
-    content = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if "_locator" not in docs.columns else docs)
+    content, name = located(docs.select("doc_id", "text"))
+    return _judged(content, name, digest_chars, files_per_trigger)
+
+
+def _judged(content: DataFrame, name: str, digest_chars: int = 64, files_per_trigger: int | None = None) -> DataFrame:
+    spark = content.sparkSession
+    content = content.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col(name).alias("_locator"))
     rows = content.select("doc_id", "_locator", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_points"), F.sha2(normalized(F.col("text")).cast("binary"), 256).alias("text_sha256"))
     path = new_path(spark, "arrivals")
     rows.withColumn("digest", F.substring("text_sha256", 1, digest_chars)).write.parquet(path)
     arrivals = spark.read.parquet(path)
-    state = keyed_state(spark, path, arrivals.schema, files_per_trigger)
-    members = written(arrivals.join(state, "digest"), "members")
+    state = written(keyed_state(spark, path, arrivals.schema, files_per_trigger), "keyed")
+    members = written(skew_join(arrivals, state, ["digest"], "n_rows"), "members")
+    drop_written(arrivals, state)
 
-    hits = members.filter("n_rows > 1").select("_locator", "digest", "n_points", "doc_id", "text_sha256", F.col("best.locator").alias("rep"))
+    hits = members.filter("n_rows > 1").select("_locator", "digest", "n_points", "n_rows", "doc_id", "text_sha256", F.col("best.locator").alias("rep"))
     fetched = written(content.select("_locator", normalized(F.col("text")).alias("bytes")).join(hits, "_locator"), "hits")
-    reps = fetched.filter("_locator = rep").select("digest", F.col("bytes").alias("rep_bytes"))
+    # A large group's representative is copied to several salts, and its rows are dealt over them.
+    salts = F.ceil(F.col("n_rows") / 1000).cast("int")
+    reps = fetched.filter("_locator = rep").select("digest", F.col("bytes").alias("rep_bytes"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = fetched.withColumn("salt", F.pmod(F.xxhash64("_locator"), salts).cast("int"))
     # Rows whose bytes differ in spite of an equal digest form groups of their own text.
-    checked = fetched.join(reps, "digest").withColumn("apart", F.when(F.col("bytes") == F.col("rep_bytes"), F.lit("")).otherwise(F.concat(F.lit("="), "bytes"))).drop("bytes", "rep_bytes", "rep")
+    checked = dealt.join(reps, ["digest", "salt"]).withColumn("apart", F.when(F.col("bytes") == F.col("rep_bytes"), F.lit("")).otherwise(F.concat(F.lit("="), "bytes"))).drop("bytes", "rep_bytes", "rep", "salt", "n_rows")
     checked = written(checked, "checked")
+    drop_written(fetched)
     groups = checked.groupBy("digest", "apart").agg(F.count(F.lit(1)).alias("group_size"), F.max(_order(F.col("n_points"), F.col("doc_id"), F.col("_locator"))).alias("best"))
-    grouped = checked.join(groups, ["digest", "apart"])
+    grouped = skew_join(checked, groups, ["digest", "apart"], "group_size")
 
     def result(df: DataFrame, size: Column) -> DataFrame:
         return df.select("doc_id", F.when(F.col("best.has_id"), F.bitwise_not(F.col("best.not_id"))).alias("keep_id"), size.cast("long").alias("group_size"), (F.col("_locator") == F.col("best.locator")).alias("kept"), "text_sha256", F.col("_locator").alias("locator"))
@@ -101,7 +125,7 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64, files_per_trigger: int
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    content = located(docs)
-    kept = exact_dedup(content).filter("kept").select(F.col("locator").alias("_locator"))
-    return content.join(kept, "_locator", "left_semi").drop("_locator")
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever their names."""
+    content, name = located(docs)
+    kept = _judged(content, name).filter("kept").select(F.col("locator").alias(name))
+    return content.join(kept, name, "left_semi").drop(name)

@@ -71,3 +71,18 @@ def held_out(doc_id: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_share: int = 100_000) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (unique ``keys``; ``size`` counts a group's rows).
+
+    Groups that hold more than one of ``hot_share`` parts of all rows, at most ``hot_share``
+    of them and no group under 1,000 rows, are broadcast, so their rows stay where they are.
+    """
+    groups = written(groups, "groups")
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.filter(F.col(size) > max(1000, total // hot_share))
+    if hot.isEmpty():
+        return rows.join(groups, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups, keys)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys).select(*rest.columns))
