@@ -1,15 +1,15 @@
 """Removal of word passages that occur earlier in the corpus, by seed and extend.
 
 Winnowing picks anchors: hashes of short word runs, at least one within any passage of the
-threshold length. Occurrences of the same anchor meet in one place, with the hashes of
-the passages that extend them to both sides. Of equal passages all but the earliest
-occurrence are repeats; runs of overlapping repeats merge into maximal ones.
+threshold length. Each anchor is extended to both sides, to every passage of that length
+around it. Passages that reach further to the right meet under the hash of the anchor with
+the words after it that they all hold, the others under that with the words before it, so
+a short common line is no crowded key. Of equal passages all but the earliest occurrence
+are repeats; runs of overlapping repeats merge into maximal ones.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .scan import chunks, runs, text_bytes, token_hashes, words
 from .shared import shuffle_partitions
 
-SEEDS = "anchor long, doc_id long, pos int, first int, windows binary"
-SPANS = "doc_id long, start int, end int"
+SEEDS = "anchor long, doc_id long, text_key long, pos int, first int, windows binary"
+SPANS = "doc_id long, text_key long, start int, end int"
+#: Repeated windows that a task remembers across its chunks.
+REMEMBERED = 1 << 18
 
 
 def _least(h: np.ndarray, n: int) -> np.ndarray:
@@ -44,11 +46,12 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
     return parts
 
 
-def seeds(hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, window: int, gram: int):
-    """(anchor, window hash, row, start, anchor's place) of every window of each text.
+def seeds(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int):
+    """(key, window hash, row, start, anchor's place) of every window of each text.
 
     ``hashes`` are the word hashes of all texts end to end, ``bounds`` the word offsets.
-    Windows do not cross texts.
+    Windows do not cross texts. The key is the hash of the anchor with the words that all
+    windows which hold it on the same side share.
     """
     starts = np.arange(max(0, len(hashes) - window + 1))
     row = np.searchsorted(bounds, starts, side="right") - 1
@@ -58,9 +61,13 @@ def seeds(hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, window: int,
         empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     whole = runs(hashes, window)[starts]
-    grams = runs(hashes, gram)
-    place = _least(grams, window - gram + 1)[starts]
-    return grams[place], whole, row, starts, place
+    place = _least(runs(hashes, gram), window - gram + 1)[starts]
+    half = (window - gram + 1) // 2
+    before = place - starts >= half
+    key = np.empty(len(starts), np.uint64)
+    key[before] = runs(hashes, half + gram)[place[before] - half]
+    key[~before] = ~runs(hashes, window - half + 1)[place[~before]]
+    return key, whole, row, starts, place
 
 
 def _merged(row: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,73 +80,117 @@ def _merged(row: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray
     return row[first], start[first], start[last] + window
 
 
-def _later(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by keys, doc, pos; and whether each row in that order comes after the first of its keys."""
-    order = np.lexsort((pos, doc, *keys[::-1]))
+def _later(keys: list[np.ndarray], order_by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order by keys, then ``order_by``; and whether each row in that order differs from the first of its keys."""
+    order = np.lexsort((*order_by[::-1], *keys[::-1]))
     same = np.ones(len(order) - 1 if len(order) else 0, bool)
     for k in keys:
         k = k[order]
         same &= k[1:] == k[:-1]
     lead = np.flatnonzero(np.concatenate(([True], ~same))) if len(order) else np.zeros(0, np.int64)
     first = np.repeat(lead, np.diff(np.concatenate((lead, [len(order)]))))
-    d, p = doc[order], pos[order]
-    return order, (d != d[first]) | (p != p[first])
+    later = np.zeros(len(order), bool)
+    for v in order_by:
+        v = v[order]
+        later |= v != v[first]
+    return order, later
+
+
+def _spans_batch(doc: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "text_key", "start", "end"])
+
+
+class _Seen:
+    """Earliest known occurrences (doc, text, pos) of windows that repeated in earlier chunks of the task.
+
+    What is not remembered is only sent on once more; results do not depend on it.
+    """
 
+    def __init__(self):
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros((0, 3), np.int64)
 
-def _spans_batch(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "start", "end"])
+    def later(self, whole: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which windows are remembered with an earlier occurrence; earlier ones are remembered instead."""
+        if not len(self.keys) or not len(whole):
+            return np.zeros(len(whole), bool)
+        place = np.minimum(np.searchsorted(self.keys, whole), len(self.keys) - 1)
+        known, old = self.keys[place] == whole, self.at[place]
+        before = np.zeros(len(whole), bool)
+        for k in (2, 1, 0):
+            before = (old[:, k] < at[:, k]) | ((old[:, k] == at[:, k]) & before)
+        move = known & ~before
+        self.at[place[move]] = at[move]
+        return known & before
+
+    def add(self, whole: np.ndarray, at: np.ndarray) -> None:
+        if len(self.keys) + len(whole) <= REMEMBERED:
+            keys, first = np.unique(np.concatenate((self.keys, whole)), return_index=True)
+            self.keys, self.at = keys, np.concatenate((self.at, at))[first]
 
 
 def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
-    """(doc_id, start, end): word spans covered by windows whose words also start earlier in the corpus.
+    """(doc_id, text_key, start, end): word spans covered by windows whose words also start earlier in the corpus.
 
-    A window is known by its anchor's hash (64 bits), place and own hash (64 bits). Tasks
-    compare the windows of their own chunk first and send on only the earliest, so a passage
-    that many documents share arrives once from each chunk.
+    A window is known by its key (64 bits), its anchor's place in it and its own hash (64
+    bits). Tasks compare the windows of their own chunks first and send on only the earliest,
+    so a passage that many documents share arrives about once from each task.
     """
 
     def local(batches):
+        seen = _Seen()
         for part in chunks(batches, limit=3 << 20):
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")
-            part = part.take(pa.array(order))
-            ids = ids[order]
+            ids, texts = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            order = np.lexsort((texts, ids))
+            part, ids, texts = part.take(pa.array(order)), ids[order], texts[order]
             raw, offsets = text_bytes(part.column("text"))
             a, b, bounds = words(raw, offsets)
-            anchor, whole, row, start, place = seeds(token_hashes(raw, a, b), bounds, ids, window, gram)
-            if not len(anchor):
+            key, whole, row, start, place = seeds(token_hashes(raw, a, b), bounds, window, gram)
+            if not len(key):
                 continue
             pos = start - bounds[row]
-            by, later = _later([anchor, whole, start - place], ids[row], pos)
-            out = np.sort(by[later])
-            r, s, e = _merged(row[out], pos[out], window)
-            yield _seeds_batch(None, ids[r], s, e, None)
+            by, later = _later([key, whole, start - place], [ids[row], texts[row], pos])
             keep = np.sort(by[~later])
-            anchor, whole, row, pos, place = anchor[keep], whole[keep], row[keep], pos[keep], place[keep]
-            # Windows of one anchor occurrence start at consecutive words, save for local repeats.
-            new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1))))
-            yield _seeds_batch(anchor[new], ids[row[new]], pos[new], (place - bounds[row])[new] - pos[new], (whole, np.concatenate((new, [len(whole)]))))
+            at = np.stack([ids[row[keep]], texts[row[keep]], pos[keep]], axis=1)
+            old = seen.later(whole[keep], at)
+            repeated = np.isin(whole[keep], whole[by[later]])
+            seen.add(whole[keep][repeated & ~old], at[repeated & ~old])
+            out = np.sort(np.concatenate((by[later], keep[old])))
+            r, s, e = _merged(row[out], pos[out], window)
+            yield _seeds_batch(None, ids[r], texts[r], s, e, None)
+            keep = keep[~old]
+            key, whole, row, pos, place = key[keep], whole[keep], row[keep], pos[keep], place[keep]
+            if not len(key):
+                continue
+            # Windows of one key occurrence start at consecutive words, save for local repeats.
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1))))
+            yield _seeds_batch(key[new], ids[row[new]], texts[row[new]], pos[new], (place - bounds[row])[new] - pos[new], (whole, np.concatenate((new, [len(whole)]))))
 
     def shared(batches):
-        held: list[np.ndarray] | None = None
+        # Batches gather until the key changes, then all whole keys are decided.
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             now = _arrays(batch)
             if not len(now[0]):
                 continue
-            held = now if held is None else _joined(held, now)
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            yield from _decided(held, cut, window)
-            held = _from(held, cut)
-        if held is not None:
-            yield from _decided(held, len(held[0]), window)
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("doc_id is not null").mapInArrow(local, SEEDS)
+            if held and held[0][0][-1] == now[0][-1]:
+                held.append(now)
+                continue
+            rows = _joined([*held, now])
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from _decided(rows, cut, window)
+            held = [_from(rows, cut)]
+        if held:
+            rows = _joined(held)
+            yield from _decided(rows, len(rows[0]), window)
+
+    text_key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key, F.col("text").alias("text")).filter("doc_id is not null").mapInArrow(local, SEEDS)
     sent = found.repartition(shuffle_partitions(docs.sparkSession), F.col("anchor"), F.when(F.col("windows").isNull(), F.col("doc_id"))).sortWithinPartitions("anchor")
     return sent.mapInArrow(shared, SPANS)
 
 
-def _seeds_batch(anchor, doc, pos, first, windows) -> pa.RecordBatch:
-    """Seeds; or, with anchor None, spans (doc, start, end) that are decided already."""
+def _seeds_batch(anchor, doc, text, pos, first, windows) -> pa.RecordBatch:
+    """Seeds; or, with anchor None, spans (doc, text, start, end) that are decided already."""
     n = len(doc)
     if anchor is None:
         keys, blobs = pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())
@@ -147,14 +198,14 @@ def _seeds_batch(anchor, doc, pos, first, windows) -> pa.RecordBatch:
         whole, cuts = windows
         keys = pa.array(anchor.view(np.int64), pa.int64())
         blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(whole))])
-    return pa.RecordBatch.from_arrays([keys, pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(first, pa.int32()), blobs], ["anchor", "doc_id", "pos", "first", "windows"])
+    return pa.RecordBatch.from_arrays([keys, pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(pos, pa.int32()), pa.array(first, pa.int32()), blobs], ["anchor", "doc_id", "text_key", "pos", "first", "windows"])
 
 
 def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """[anchor, doc, pos, first, count, hashes end to end]; decided spans have count 0 and sort first."""
+    """[anchor, doc, text, pos, first, count, hashes end to end]; decided spans have count 0 and sort first."""
     anchor = batch.column(0)
     known = np.asarray(anchor.is_valid())
-    blobs = pc.fill_null(batch.column(4), b"")
+    blobs = pc.fill_null(batch.column(5), b"")
     sizes = np.asarray(pc.binary_length(blobs), dtype=np.int64) // 8
     raw = b"".join(blobs.to_pylist()) if blobs.offset else None
     if raw is None:
@@ -162,23 +213,23 @@ def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
         raw = memoryview(blobs.buffers()[2] or b"")[offsets[0] : offsets[-1]]
     lowest = np.iinfo(np.int64).min
     keys = np.where(known, np.asarray(pc.fill_null(anchor, 0)), lowest)
-    return [keys, *[batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)], np.where(known, sizes, 0), np.frombuffer(raw, np.uint64)]
+    return [keys, *[batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4)], np.where(known, sizes, 0), np.frombuffer(raw, np.uint64)]
 
 
-def _joined(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
-    return [np.concatenate(x) for x in zip(a, b, strict=True)]
+def _joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return parts[0] if len(parts) == 1 else [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def _from(x: list[np.ndarray], cut: int) -> list[np.ndarray]:
-    return [*[c[cut:] for c in x[:5]], x[5][int(x[4][:cut].sum()) :]]
+    return [*[c[cut:] for c in x[:6]], x[6][int(x[5][:cut].sum()) :]]
 
 
 def _decided(x: list[np.ndarray], cut: int, window: int):
     """Spans of the rows before ``cut`` whose windows also start earlier."""
-    key, doc, pos, first, count, hashes = x
+    key, doc, text, pos, first, count, hashes = x
     known = np.flatnonzero(count[:cut] == 0)
     if len(known):
-        yield _spans_batch(doc[known], pos[known], first[known])
+        yield _spans_batch(doc[known], text[known], pos[known], first[known])
     key = key[:cut]
     if len(key) < 2:
         return
@@ -195,11 +246,16 @@ def _decided(x: list[np.ndarray], cut: int, window: int):
     base = np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
     shift = np.arange(int(n.sum())) - base
     rep = np.repeat(rows, n)
-    start, d = pos[rep] + shift, doc[rep]
-    order, later = _later([key[rep], hashes[np.repeat(begin, n) + shift], first[rep] - shift], d, start)
+    start = pos[rep] + shift
+    order, later = _later([key[rep], hashes[np.repeat(begin, n) + shift], first[rep] - shift], [doc[rep], text[rep], start])
     out = order[later]
-    out = out[np.lexsort((start[out], d[out]))]
-    yield _spans_batch(*_merged(d[out], start[out], window))
+    out = out[np.lexsort((start[out], text[rep[out]], doc[rep[out]]))]
+    # Documents by (doc, text): a row number stands for them while spans merge.
+    d, t = doc[rep[out]], text[rep[out]]
+    which = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (t[1:] != t[:-1])))) if len(out) else np.zeros(0, np.int64)
+    w, s, e = _merged(which, start[out], window)
+    lead = np.searchsorted(which, w)
+    yield _spans_batch(d[lead], t[lead], s, e)
 
 
 def drop_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
@@ -209,11 +265,12 @@ def drop_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     it occurs with an earlier start too (smaller doc_id, or same document); windows are
     judged on the input. ``kept_text`` joins the words that stay by one space. Null and empty
     texts have no words. A row without doc_id is neither compared nor changed. Repeated
-    rows with the same doc_id are the same document: the first stays whole, in all of them.
+    rows (same doc_id and text) are the same document: what stays in one stays in all of them.
+    Rows that share a doc_id but not the text are different documents, in order of the text's hash.
     Extra columns are ignored; an empty table gives no rows.
     """
-    spans = repeated_spans(docs, window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    spans = repeated_spans(docs, window, gram).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.col("text").alias("text"))
 
     def cut(batches):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
@@ -236,8 +293,5 @@ def drop_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
                 out.append((doc_id, len(own), len(own) - len(kept), merged, b" ".join(kept).decode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    return texts.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
-
+    return texts.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
 
-def kept_digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
