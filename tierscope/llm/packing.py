@@ -4,7 +4,8 @@ Documents are tokenised and cut where they are longer than a sequence. Pieces ar
 random into blocks of bounded size. Several islands evolve packings of the same block:
 crossover injects whole well-filled bins of one parent into another, bins that hold an
 injected piece lose it with all their others, and displaced pieces are placed by best fit.
-After each epoch an island's elite moves to the next island of its ring. What the best
+After each epoch an island's elite moves to the next island of its ring. A block evolves
+until its packing has as few bins as its total length allows, or its epochs are over. What the best
 packings leave in bins with room is dealt into new blocks and packed again.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import chunks, text_bytes, token_hashes
-from .shared import written
+from .shared import broadcast_if_small, written
 
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
@@ -49,7 +50,7 @@ class Tokens:
     above is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -193,22 +194,49 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> float:
     return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(len(bins), 1)
 
 
+def _fill(bin_: list[int], sizes: list[int]) -> int:
+    return sum(sizes[i] for i in bin_)
+
+
+def _exchanged(bins: list[list[int]], room: list[int], loose: list[int], sizes: list[int]) -> list[int]:
+    """Swap displaced pieces for smaller ones, or pairs of them, of a bin where that fills it better; what is loose then."""
+    loose = sorted(loose, key=lambda i: -sizes[i])
+    for b in range(len(bins)):
+        if not room[b] or not loose:
+            continue
+        own = sorted(bins[b], key=lambda i: sizes[i])[:8]
+        best = (0, None, None)
+        for out in [(i,) for i in own] + [(i, j) for x, i in enumerate(own) for j in own[x + 1 :]]:
+            gone = _fill(list(out), sizes)
+            # The largest loose piece that the bin can hold without them.
+            at = bisect_left(loose, -(gone + room[b]), key=lambda i: -sizes[i])
+            if at < len(loose) and sizes[loose[at]] - gone > best[0]:
+                best = (sizes[loose[at]] - gone, out, at)
+        if best[0]:
+            gain, out, at = best
+            bins[b] = [i for i in bins[b] if i not in out] + [loose.pop(at)]
+            room[b] -= gain
+            for i in out:
+                insort(loose, i, key=lambda k: -sizes[k])
+    return loose
+
+
 def crossover(one: list[list[int]], other: list[list[int]], sizes: list[int], capacity: int, rng: random.Random, share: float = 0.3) -> list[list[int]]:
-    """Inject whole well-filled bins of ``other`` into ``one``."""
-    ranked = sorted(other, key=lambda b: -sum(sizes[i] for i in b))
+    """Inject whole well-filled bins of ``other`` into ``one``; bins that hold an injected piece go, their other pieces are displaced.
+
+    As a mutation, some of the least filled bins that stay are opened too.
+    """
+    ranked = sorted(other, key=lambda b: -_fill(b, sizes))
     good = ranked[: max(1, int(len(ranked) * share))]
     taken = [b for b in good if rng.random() < 0.5]
     inside = {i for b in taken for i in b}
-    bins, room, loose = [list(b) for b in taken], [capacity - sum(sizes[i] for i in b) for b in taken], []
-    for b in one:
-        rest = [i for i in b if i not in inside]
-        fill = sum(sizes[i] for i in rest)
-        if len(rest) == len(b) and (capacity - fill) * 64 < capacity:
-            bins.append(rest)
-            room.append(capacity - fill)
-        else:
-            loose += rest
-    best_fit(bins, room, sorted(loose, key=lambda i: -sizes[i]), sizes, capacity)
+    stay = sorted((b for b in one if inside.isdisjoint(b)), key=lambda b: -_fill(b, sizes))
+    opened = stay[len(stay) - min(len(stay), rng.randrange(1, 4 + len(stay) // 10)) :]
+    stay = stay[: len(stay) - len(opened)]
+    loose = [i for b in one if not inside.isdisjoint(b) for i in b if i not in inside] + [i for b in opened for i in b]
+    bins = [list(b) for b in taken] + [list(b) for b in stay]
+    room = [capacity - _fill(b, sizes) for b in bins]
+    best_fit(bins, room, sorted(_exchanged(bins, room, loose, sizes), key=lambda i: -sizes[i]), sizes, capacity)
     return bins
 
 
@@ -219,29 +247,37 @@ def first_packing(sizes: list[int], capacity: int, rng: random.Random, noise: fl
 
 
 def evolve(population: list[list[list[int]]], sizes: list[int], capacity: int, rng: random.Random, generations: int) -> list[list[list[int]]]:
-    """A few generations on one island, best first; ends early at the lower bound of bins."""
+    """Some generations on one island, best first; ends early at the lower bound of bins."""
     least = -(-sum(sizes) // capacity)
-    ranked = sorted(population, key=lambda p: (len(p), -fitness(p, sizes, capacity)))
+    order = lambda p: (len(p), -fitness(p, sizes, capacity))
+    ranked = sorted(population, key=order)
     for _ in range(generations):
         if len(ranked[0]) <= least:
             break
-        one, other = rng.sample(ranked[: max(2, len(ranked))], 2) if len(ranked) > 1 else (ranked[0], ranked[0])
-        child = crossover(one, other, sizes, capacity, rng)
-        ranked = sorted([*ranked, child], key=lambda p: (len(p), -fitness(p, sizes, capacity)))[: len(population)]
+        one, other = sorted(rng.sample(range(len(ranked)), 2)) if len(ranked) > 1 else (0, 0)
+        child = crossover(ranked[one], ranked[other], sizes, capacity, rng)
+        ranked = sorted([*ranked, child], key=order)[: len(population)]
     return ranked
 
 
-def _islands(pieces: DataFrame, capacity: int, block_size: int, islands: int, epochs: int, generations: int, salt: int) -> DataFrame:
-    """One round: deal pieces into blocks, evolve the islands of each block, keep the best packing.
+def _packing(rows: pd.DataFrame) -> list[list[int]]:
+    bins: dict[int, list[int]] = {}
+    for i, b in enumerate(rows["bin"].tolist()):
+        bins.setdefault(b, []).append(i)
+    return list(bins.values())
+
 
-    Returns (doc_id, copy, piece, length, block, bin, fill). The migration between the
-    islands of a block crosses a shuffle: each epoch's output holds every island's elite, and
-    the next epoch starts each island from its own and its neighbour's.
+def _islands(pieces: DataFrame, capacity: int, block_size: int, islands: int, epochs: int, generations: int, salt: int, population: int = 5) -> DataFrame:
+    """One round: deal pieces into blocks, pack each, evolve islands for the blocks above their bound, keep the best packing.
+
+    Returns (doc_id, copy, piece, length, block, bin). The migration between the islands of a
+    block crosses a shuffle: each epoch's output holds every island's elite, and the next
+    epoch starts each island from its own and its neighbour's.
     """
     total = pieces.count()
     blocks = max(1, -(-total // block_size))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "copy", "piece", F.lit(salt)), F.lit(blocks)).cast("long"))
-    schema = "doc_id long, copy long, piece int, length long, block long, island int, bin int"
+    schema = "doc_id long, copy long, piece int, length long, block long, island int, bin int, bins int, least int"
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
         return rows.sort_values(["doc_id", "copy", "piece"], na_position="first", ignore_index=True)
@@ -250,48 +286,60 @@ def _islands(pieces: DataFrame, capacity: int, block_size: int, islands: int, ep
         number = np.zeros(len(rows), np.int32)
         for b, items in enumerate(bins):
             number[items] = b
-        return rows[["doc_id", "copy", "piece", "length", "block"]].assign(island=np.int32(island), bin=number)
-
-    def packing(rows: pd.DataFrame) -> list[list[int]]:
-        return [g.tolist() for g in pd.Series(np.arange(len(rows))).groupby(rows["bin"].to_numpy()).apply(np.array)]
+        least = -(-int(rows["length"].sum()) // capacity)
+        return rows[["doc_id", "copy", "piece", "length", "block"]].assign(island=np.int32(island), bin=number, bins=np.int32(len(bins)), least=np.int32(least))
 
     def start(rows: pd.DataFrame) -> pd.DataFrame:
-        island = int(rows["island"].iloc[0])
         rows = order(rows)
-        rng, sizes = random.Random(f"{salt}/{rows['block'].iloc[0]}/{island}"), rows["length"].tolist()
-        population = [first_packing(sizes, capacity, rng, noise) for noise in ((0.0, 0.05, 0.15) if island == 0 else (0.02, 0.1, 0.3))]
-        return written_out(rows, island, evolve(population, sizes, capacity, rng, generations)[0])
-
-    def migrate(key, rows: pd.DataFrame) -> pd.DataFrame:
-        island, elites = int(key[1]), {}
-        for (_, origin), own in rows.groupby(["island", "origin"], dropna=False):
-            elites[int(origin)] = order(own)
-        rows = elites[island]
-        rng, sizes = random.Random(f"{salt}/{key[0]}/{island}/next"), rows["length"].tolist()
-        population = [packing(e) for _, e in sorted(elites.items())]
-        return written_out(rows, island, evolve(population, sizes, capacity, rng, generations)[0])
-
-    copies = dealt.select("doc_id", "copy", "piece", "length", "block", F.explode(F.array(*[F.lit(k) for k in range(islands)])).alias("island"))
-    now = copies.groupBy("block", "island").applyInPandas(start, schema)
-    for _ in range(epochs - 1):
-        # Each elite stays on its island and moves to the next of the ring.
-        moved = now.withColumn("origin", F.col("island")).select("*", F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(islands)))).alias("to")).withColumn("island", F.col("to").cast("int")).drop("to")
-        now = moved.groupBy("block", "island").applyInPandas(migrate, schema)
-    now = written(now, "islands")
-    best = now.groupBy("block", "island", "bin").agg(F.sum("length").alias("fill")).groupBy("block", "island").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("fill").cast("double") * F.col("fill")).alias("square")).groupBy("block").agg(F.min_by("island", F.struct("n", -F.col("square"), "island")).alias("island"))
-    return now.join(best, ["block", "island"]).drop("island")
-
-
-def pack(pieces: DataFrame, capacity: int = 4096, block_size: int = 2048, islands: int = 2, epochs: int = 2, generations: int = 3, rounds: int = 2, full: float = 0.995) -> DataFrame:
+        return written_out(rows, 0, first_packing(rows["length"].tolist(), capacity, random.Random(0), 0.0))
+
+    def epoch(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """One island: its elite, the neighbour's, and new packings make its population."""
+        island = int(key[1])
+        elites = {int(origin): order(own) for origin, own in rows.groupby("origin")}
+        rows = elites.get(island, next(iter(elites.values())))
+        sizes, rng = rows["length"].tolist(), random.Random(f"{salt}/{key[0]}/{island}/{len(elites)}")
+        bred = [_packing(e) for _, e in sorted(elites.items())]
+        bred += [first_packing(sizes, capacity, rng, noise) for noise in (0.02, 0.05, 0.1, 0.2, 0.4)[: max(0, population - len(bred))]]
+        return written_out(rows, island, evolve(bred, sizes, capacity, rng, generations)[0])
+
+    now = written(dealt.groupBy("block").applyInPandas(start, schema), "islands")
+    done = []
+    for k in range(epochs + 1):
+        best = now.groupBy("block").agg(F.min_by("island", F.struct("bins", "island")).alias("island"), F.min(F.col("bins") - F.col("least")).alias("above"))
+        best = written(best, "best")
+        closed = best.filter("above <= 0") if k < epochs else best
+        done.append(now.join(closed.select("block", "island"), ["block", "island"]).select("doc_id", "copy", "piece", "length", "block", "bin"))
+        still = best.filter("above > 0").select("block")
+        n_still = still.count()
+        if k == epochs or not n_still:
+            break
+        left = now.join(broadcast_if_small(still, n_still), "block", "left_semi").withColumn("origin", F.col("island"))
+        # The first packing starts all islands; later each elite stays and moves to the next of the ring.
+        to = F.array(*[F.lit(i) for i in range(islands)]) if not k else F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
+        moved = left.withColumn("island", F.explode(F.array_distinct(to)))
+        now = written(moved.groupBy("block", "island").applyInPandas(epoch, schema), "islands")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+#: Of a sequence's number: three bits for the round, forty for the block, twenty for the bin.
+_BIN, _BLOCK = 20, 40
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, block_size: int = 2048, islands: int = 3, epochs: int = 2, generations: int = 30, rounds: int = 2, full: float = 0.995) -> DataFrame:
     """``pieces`` with sequence_id and offset: few sequences of at most ``capacity``, gapless from 0.
 
-    A piece as long as a sequence is one by itself. Blocks hold about ``block_size`` pieces
-    whatever the input's size, so memory is bounded. Bins filled less than ``full`` are
-    emptied after each round but the last, and their pieces dealt into new blocks. The same
-    input gives the same packing. An empty table gives no rows.
+    A piece as long as a sequence is one by itself (a negative sequence_id). Blocks hold about
+    ``block_size`` pieces whatever the input's size, so memory is bounded. Bins filled less
+    than ``full`` are emptied after each round but the last, and their pieces dealt into new
+    blocks. Which pieces share a block depends on how the input is partitioned, so
+    packings of one input may differ, not their validity. An empty table gives no rows.
     """
     pieces = written(pieces, "pieces")
-    whole = pieces.filter(F.col("length") >= capacity).select("doc_id", "copy", "piece", F.concat_ws("/", F.lit("w"), F.col("copy"), F.col("piece")).alias("name"), F.lit(0).cast("long").alias("offset"))
+    whole = pieces.filter(F.col("length") >= capacity).select("copy", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left, placed = pieces.filter(F.col("length") < capacity).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "copy", "piece", "length"), []
     for k in range(rounds):
         packed = _islands(left, capacity, block_size, islands, epochs, generations, k)
@@ -299,16 +347,21 @@ def pack(pieces: DataFrame, capacity: int = 4096, block_size: int = 2048, island
         packed = written(packed.join(fills, ["block", "bin"]), "packed")
         done = packed if k == rounds - 1 else packed.filter(F.col("fill") >= full * capacity)
         left = packed.filter(F.col("fill") < full * capacity).select("doc_id", "copy", "piece", "length")
-        placed.append(done.select("doc_id", "copy", "piece", "length", F.concat_ws("/", F.lit(k), F.col("block"), F.col("bin")).alias("name")))
+        number = F.shiftleft(F.lit(k).cast("long"), _BIN + _BLOCK) + F.shiftleft("block", _BIN) + F.col("bin")
+        placed.append(done.select("doc_id", "copy", "piece", "length", number.alias("sequence_id")))
     bins = placed[0]
     for more in placed[1:]:
         bins = bins.unionByName(more)
-    before = Window.partitionBy("name").orderBy("doc_id", "copy", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("doc_id", "copy", "piece", "name", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
-    places = bins.unionByName(whole).select(F.col("copy").alias("_copy"), F.col("piece").alias("_piece"), F.xxhash64("name").alias("sequence_id"), "offset")
+    before = Window.partitionBy("sequence_id").orderBy("doc_id", "copy", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("copy", "piece", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+    places = bins.unionByName(whole).select(F.col("copy").alias("_copy"), F.col("piece").alias("_piece"), "sequence_id", "offset")
     return pieces.join(places, (F.col("copy") == F.col("_copy")) & (F.col("piece") == F.col("_piece"))).drop("_copy", "_piece")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, **options) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts hold the end id alone; repeated rows and null ids are packed row by
+    row; extra columns are ignored; an empty table gives no rows.
+    """
     return pack(cut_pieces(docs, tokenizer_path, capacity), capacity, **options).drop("copy")
