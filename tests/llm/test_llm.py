@@ -68,6 +68,27 @@ def test_exact_dedup_compares_bytes_on_hits(spark):
     assert {(r.doc_id, r.keep_id) for r in got} == {(i, i % 37) for i in range(120)}
 
 
+def test_exact_dedup_of_any_dataframe(spark, tmp_path):
+    """Joined, exploded, united and renamed tables: each row is judged once, also one that comes from the same row of a file."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 40")
+    n, texts = base.count(), base.select(exact_dedup.normalized(F.col("text"))).distinct().count()
+    two = spark.range(2).select(F.col("id").alias("_locator"))
+    for df in (base.crossJoin(two), base.withColumn("_locator", F.explode(F.array(F.lit(0), F.lit(1)))), base.withColumn("_locator", F.lit(0)).unionAll(base.withColumn("_locator", F.lit(1)))):
+        got = exact_dedup.exact_dedup(df).collect()
+        assert len(got) == 2 * n and sum(r.kept for r in got) == texts
+        kept = exact_dedup.keep_first(df)
+        assert kept.columns == df.columns and kept.count() == texts and kept.select("_locator").distinct().count() >= 1
+    spark.createDataFrame([(1, "a", "f"), (2, "a ", "g"), (3, None, "h")], "doc_id long, text string, _metadata string").write.parquet(str(tmp_path / "named"))
+    assert sorted(r.doc_id for r in exact_dedup.keep_first(spark.read.parquet(str(tmp_path / "named"))).collect()) == [2, 3]
+
+
+def test_exact_dedup_hot_group(spark):
+    """A group of over 1,000 rows takes the broadcast and salted ways."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), F.col("id") % 100)).alias("text"))
+    got = exact_dedup.exact_dedup(df).collect()
+    assert len(got) == 4000 and {(r.keep_id, r.group_size) for r in got if r.doc_id % 2 == 0} == {(0, 2000)} and {r.keep_id for r in got if r.doc_id % 2} == set(range(1, 100, 2))
+
+
 # ---- url templates ----------------------------------------------------------------
 def test_urls(spark):
     urls = ["http://A.example.org/es/1?q", "https://x.org", "http://x.org/a", "http://b.example.org/en/12#t", "http://c.com/fr/9", "http://c.com/de/9", "ftp://d.net/x/7", "no scheme", None, "http://C.com?x", "http://notorg/a"]
@@ -130,6 +151,38 @@ def test_genetic_steps():
     assert len(best) <= min(len(one), len(other))
 
 
+def test_islands_beat_best_fit_decreasing(spark):
+    """Pieces of a quarter to a half of a sequence: evolution saves sequences that best fit needs."""
+    rng = np.random.default_rng(8)
+    sizes = [int(x) for x in rng.integers(1024, 2048, 600)]
+    bins: list = []
+    packing.best_fit(bins, [], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 4096)
+    greedy, bound = len(bins), -(-sum(sizes) // 4096)
+    df = spark.createDataFrame([(i, i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing.PIECES)
+    got = packing.pack(df, 4096).collect()
+    fill = defaultdict(int)
+    for r in sorted(got, key=lambda r: r.offset):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert len(got) == 600 and max(fill.values()) <= 4096 and bound <= len(fill) < greedy
+
+
+def test_pieces_against_the_tokenizer(spark, docs):
+    """Every piece's start, length and checksum, from the tokenizer text by text; sequences near the bound."""
+    from tokenizers import Tokenizer
+
+    plain, want = Tokenizer.from_file(queries.tokenizer_path()), {}
+    for d, t in docs.items():
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            own = ids[k : k + 4096]
+            want[d, k // 4096] = (k, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+    got = queries.QUERIES["op3_best_fit_packing"](spark, SF).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    bound = -(-sum(n for _, n, _ in want.values()) // 4096)
+    assert len({r.sequence_id for r in got}) <= bound * 1.02 + 1
+
+
 # ---- substring dedup --------------------------------------------------------------
 def brute_removed(rows, window):
     tokens = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows}
@@ -157,6 +210,17 @@ def test_substring_dedup_brute_force(spark):
         assert got == brute_removed(rows, window)
 
 
+def test_substring_shared_ids_and_memory(spark, monkeypatch):
+    """Rows that share an id keep their own spans; what tasks remember changes nothing."""
+    passage, other = " ".join(f"p{k}" for k in range(30)), " ".join(f"q{k}" for k in range(200))
+    rows = [(1, passage), (2, passage), (2, other), (3, f"head of all lines {passage}"), (3, other)]
+    want = {(1, 0, 30), (2, 30, 30), (2, 0, 200), (3, 30, 34), (3, 200, 200)}
+    for chunk in (3 << 20, 1):  # 1: each text is a chunk
+        monkeypatch.setattr(substring_dedup, "chunks", lambda batches, limit=0, chunk=chunk: scan.chunks(batches, limit=chunk))
+        got = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+        assert {(r.doc_id, r.n_removed, r.n_words) for r in got} == want
+
+
 def test_substring_edges(spark, odd):
     got = substring_dedup.drop_repeats(odd).collect()
     assert len(got) == len(ODD)
@@ -169,10 +233,10 @@ def test_windows_are_told_apart_by_64_bits():
     """Hashes of one anchor and place that differ in one bit, high or low, are different windows."""
     h = 0x0123456789ABCDEF
     for other, later in ((h, [2]), (h ^ 1, []), (h ^ (1 << 63), [])):
-        batch = substring_dedup._seeds_batch(np.array([7, 7], np.uint64), np.array([1, 2]), np.array([0, 0]), np.array([0, 0]), (np.array([h, other], np.uint64), np.array([0, 1, 2])))
+        batch = substring_dedup._seeds_batch(np.array([7, 7], np.uint64), np.array([1, 2]), np.array([0, 0]), np.array([0, 0]), np.array([0, 0]), (np.array([h, other], np.uint64), np.array([0, 1, 2])))
         assert [d for part in substring_dedup._decided(substring_dedup._arrays(batch), 2, 20) for d in part.column(0).to_pylist()] == later
     hashes = np.arange(30, dtype=np.uint64)
-    whole = substring_dedup.seeds(hashes, np.array([0, 30]), np.array([1]), 20, 5)[1]
+    whole = substring_dedup.seeds(hashes, np.array([0, 30]), 20, 5)[1]
     assert whole.tolist() == scan.runs(hashes, 20).tolist()
 
 

@@ -6,9 +6,11 @@ sides, so values that differ in up to 2 bits meet in a common point. What meets
 on one lane, then on the complete fingerprints, then on the shingle sets themselves.
 
 Points that very many documents share are never listed pair by pair. Each chunk of
-documents, and then each point, first picks leaders and links the others to them; verified
-links give components. A second pass compares only documents of different components that
-share a point, so no link between what meets is lost.
+documents, and then each point, first picks leaders and links the others to them; of these
+links each document's nearest and first are verified and give components. A second pass
+compares all documents of different components that share a point, so no link between
+what meets is lost. Its pairs travel as small matrices between blocks of neighbouring documents, and
+whole blocks of shingle sets meet, so a crowd of nearly similar documents costs few rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ _STEP = 0x9E3779B97F4A7C15
 _SHORT = np.uint64(0xA24BAED4963EE407)
 #: Points with more rows than this are split over tasks in the second pass.
 CROWD = 512
+#: Classes and bytes of shingle sets in a block of the second pass.
+BLOCK, BLOCK_BYTES = 128, 1 << 19
 BUFFER = 1 << 19
 
 
@@ -154,18 +158,20 @@ def leaders(point: np.ndarray, f: np.ndarray, n: np.ndarray, most: int) -> tuple
 MEETINGS = "point long, cid long, f long, n long"
 
 
-def _edge_batch(a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """Pairs as rows without a point: (null, a, b, 0)."""
-    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64))], names)
+_NAMES = ["point", "cid", "f", "n"]
 
 
-_NAMES = ["point", "cid", "f", "n"]
+def _distinct(cid: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of classes, and a place in ``pairs`` (end to end) of each."""
+    a, b = (cid[np.concatenate([p[k] for p in pairs])] for k in (0, 1))
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0, return_index=True)
 
 
-def _pairs(cid: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    a, b = (cid[np.concatenate([p[k] for p in pairs])] if pairs else np.zeros(0, np.int64) for k in (0, 1))
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
+def _edge_batch(cid: np.ndarray, f: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Pairs as rows without a point: (null, a, b, their distance on the last lane)."""
+    both, at = _distinct(cid, pairs)
+    a, b = (np.concatenate([p[k] for p in pairs])[at] for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.bitwise_count(f[a] ^ f[b]).astype(np.int64))], _NAMES)
 
 
 def _class_arrays(batch: pa.RecordBatch, lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +179,7 @@ def _class_arrays(batch: pa.RecordBatch, lanes: int) -> tuple[np.ndarray, np.nda
 
 
 def _first_meetings(classes: DataFrame, plan: Plan) -> DataFrame:
-    """Links of followers to leaders (point null: cid, f are the two classes), and points of more than ``CROWD`` classes (cid null)."""
+    """Links of followers to leaders (point null: cid and f are the two classes, n their distance), and points of more than ``CROWD`` classes (cid null)."""
 
     def local(batches):
         for batch in batches:
@@ -187,7 +193,7 @@ def _first_meetings(classes: DataFrame, plan: Plan) -> DataFrame:
                 f, n = prints[own, -1], np.ones(len(own), np.int64)
                 lead, pairs = leaders(point, f, n, plan.lane_most)
                 if pairs:
-                    yield _edge_batch(*_pairs(cid[own], pairs), _NAMES)
+                    yield _edge_batch(cid[own], f, pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(x[lead]) for x in (point, cid[own], f.view(np.int64), n)], _NAMES)
 
     def meet(batches):
@@ -201,7 +207,7 @@ def _first_meetings(classes: DataFrame, plan: Plan) -> DataFrame:
             n = n.copy()
             lead, pairs = leaders(point, f.view(np.uint64), n, plan.lane_most)
             if pairs:
-                yield _edge_batch(*_pairs(cid, pairs), _NAMES)
+                yield _edge_batch(cid, f.view(np.uint64), pairs)
             point, cid, f, n = (x[lead] for x in (point, cid, f, n))
             # Of the last point, which may go on, the leaders stay.
             cut = len(point) if last else int(np.searchsorted(point, point[-1])) if len(point) else 0
@@ -237,14 +243,47 @@ def _one(batches: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
     return pa.concat_batches(batches) if len(batches) > 1 else batches[0]
 
 
+def _picked(links: DataFrame) -> DataFrame:
+    """(a, b): of each class's links (cid, f, n), the nearest and the one to the first class."""
+    both = links.select(F.col("cid").alias("x"), F.col("f").alias("y"), "n").unionByName(links.select(F.col("f").alias("x"), F.col("cid").alias("y"), "n"))
+    best = both.groupBy("x").agg(F.min_by("y", F.struct("n", "y")).alias("near"), F.min("y").alias("low"))
+    pairs = best.select("x", F.explode(F.array_distinct(F.array("near", "low"))).alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _blocked(classes: DataFrame, cluster: DataFrame) -> DataFrame:
+    """``classes`` with ``block`` and ``slot``: runs of classes, those of a cluster side by side, of ``BLOCK`` classes and ``BLOCK_BYTES`` at most (or one larger class)."""
+    rows = classes.join(cluster, "cid", "left").select("cid", "n", "print", "first", F.coalesce("cluster", "cid").alias("cluster"))
+    ordered = rows.repartitionByRange(shuffle_partitions(classes.sparkSession), "cluster", "cid").sortWithinPartitions("cluster", "cid")
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        block, used, room = TaskContext.get().partitionId() << 33, 0, BLOCK_BYTES
+        for batch in batches:
+            blocks, slots = [], []
+            for n in batch.column("n").to_pylist():
+                if used and (used == BLOCK or n * 8 > room):
+                    block, used, room = block + 1, 0, BLOCK_BYTES
+                blocks.append(block)
+                slots.append(used)
+                used, room = used + 1, room - n * 8
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64()), pa.array(slots, pa.int32())], [*batch.schema.names, "block", "slot"])
+
+    return ordered.mapInArrow(number, T.StructType([*ordered.schema.fields, T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType())]))
+
+
 def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b): classes of different components that share a point and are near on the last lane.
+    """(left, right, pairs): blocks, and which of their classes are of different components, share a point and are near on the last lane.
+
+    ``pairs`` holds 16-bit numbers, the left slot times ``BLOCK`` plus the right one.
 
     A crowded point's rows of its largest component are only compared with the rest. Both
     sides are dealt into blocks of ``CROWD`` rows and every two blocks meet in a task of
     their own; a point of one component is left out.
     """
-    rows = classes.join(comp, "cid", "left").select("cid", "print", F.coalesce("component", "cid").alias("component"))
+    known = classes.join(comp, "cid", "left")
+    rows = known.select((F.col("block") * BLOCK + F.col("slot")).alias("cid"), "print", F.coalesce("component", "cid").alias("component"))
     schema = "point long, cid long, f long, component long"
 
     def spread(batches):
@@ -289,7 +328,7 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
     if n_crowd:
         shaped = shaped.unionByName(lefts).unionByName(rights)
     dealt = shaped.repartition(shuffle_partitions(classes.sparkSession), "point", "left", "right").sortWithinPartitions("point", "left", "right", "side")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return dealt.mapInArrow(meet, "left long, right long, pairs binary").groupBy("left", "right").agg(F.collect_list("pairs").alias("pairs"))
 
 
 def _across(starts: np.ndarray, cut: int, rows: list[np.ndarray], most: int):
@@ -320,8 +359,30 @@ def _across(starts: np.ndarray, cut: int, rows: list[np.ndarray], most: int):
         for at in other:
             keep(one, np.full(len(one), at))
     if found:
-        a, b = _pairs(cid, found)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        both, _ = _distinct(cid, found)
+        blocks, slots = both // BLOCK, both % BLOCK
+        order = np.lexsort((blocks[:, 1], blocks[:, 0]))
+        blocks, code = blocks[order], (slots[:, 0] * BLOCK + slots[:, 1])[order].astype(np.uint16)
+        cuts = np.flatnonzero(np.concatenate(([True], (blocks[1:] != blocks[:-1]).any(axis=1), [True])))
+        blobs = [code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks[cuts[:-1], 0]), pa.array(blocks[cuts[:-1], 1]), pa.array(blobs, pa.binary())], ["left", "right", "pairs"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * least.denominator >= least.numerator * (len(x) + len(y) - both)
+
+
+def _sets(marked: DataFrame, wanted: DataFrame, n_words: int, extra: dict[str, str]) -> DataFrame:
+    """(cid, shingles) of the wanted classes (cid, first): one row stands for all of a class, so each wanted text is read once."""
+
+    def sets(batches):
+        for part in chunks(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), n_words)], pa.binary())], ["cid", "shingles"])
+
+    rows = written(wanted.select("cid", F.col("first.row").alias(extra["row"])), "wanted")
+    texts = marked.select(extra["row"], "text").join(broadcast_if_small(rows, rows.count()), extra["row"]).select("cid", "text")
+    return written(texts.mapInArrow(sets, "cid long, shingles binary"), "sets")
 
 
 def _verified(marked: DataFrame, classes: DataFrame, pairs: DataFrame, plan: Plan, n_words: int, least: Fraction, extra: dict[str, str]) -> DataFrame:
@@ -338,32 +399,79 @@ def _verified(marked: DataFrame, classes: DataFrame, pairs: DataFrame, plan: Pla
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                keep = []
-                for x, y in zip(part.column(2), part.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both * q >= p * (len(x) + len(y) - both))
+                keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(part.column(2), part.column(3), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def sets(batches):
-        for part in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), n_words)], pa.binary())], ["cid", "shingles"])
-
     side = lambda c, v, m: classes.select(F.col("cid").alias(c), F.col("print").alias(v), F.col("n").alias(m))
     # Sets of too different sizes cannot be similar.
     able = (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)
     near = written(pairs.join(side("a", "x", "na"), "a").join(side("b", "y", "nb"), "b").filter(able).select("a", "b", "x", "y").mapInArrow(close, "a long, b long"), "near")
     wanted = classes.join(near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct(), "cid", "left_semi")
-    # One row stands for all of a class, so each wanted text is read once.
-    rows = wanted.select("cid", F.col("first.row").alias(extra["row"]))
-    texts = marked.select(extra["row"], "text").join(broadcast_if_small(rows, rows.count()), extra["row"]).select("cid", "text")
-    held = written(texts.mapInArrow(sets, "cid long, shingles binary"), "sets")
+    held = _sets(marked, wanted, n_words, extra)
     whole = near.join(held.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     out = written(whole.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "links")
     drop_written(near, held)
     return out
 
 
+def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan: Plan, n_words: int, least: Fraction, extra: dict[str, str]) -> DataFrame:
+    """Links (a, b) among the pairs of blocks (left, right, pairs), decided like those of :func:`_verified`; as many as join the components."""
+
+    def named(batches):
+        for batch in batches:
+            for left, right, blobs in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                code = np.unique(np.frombuffer(b"".join(blobs), np.uint16)).astype(np.int64)
+                ids = np.unique(np.concatenate((left * BLOCK + code // BLOCK, right * BLOCK + code % BLOCK)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids)], ["at"])
+
+    at = F.col("block") * BLOCK + F.col("slot")
+    wanted = classes.join(met.mapInArrow(named, "at long").distinct(), at == F.col("at"), "left_semi")
+    held = _sets(marked, wanted, n_words, extra)
+    members = wanted.select("cid", "block", "slot", "print").join(held, "cid")
+    blocks = written(members.groupBy("block").agg(F.collect_list(F.struct("slot", "cid", "print", "shingles")).alias("rows")), "blocks")
+
+    def decide(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                code = np.unique(np.frombuffer(b"".join(batch.column("pairs")[k].as_py()), np.uint16)).astype(np.int64)
+                one, other = (_block_arrays(batch.column(c)[k], plan.lanes) for c in ("rows_l", "rows_r"))
+                i, j = code // BLOCK, code % BLOCK
+                n, m = one[2][i], other[2][j]
+                ok = (np.bitwise_count(one[1][i] ^ other[1][j]).sum(axis=1, dtype=np.int64) <= plan.most) & (n * least.denominator >= m * least.numerator) & (m * least.denominator >= n * least.numerator)
+                # What this block pair has linked already needs no more links.
+                root: dict[int, int] = {}
+                found = []
+                for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                    x, y = int(one[0][a]), int(other[0][b])
+                    if _root(root, x) != _root(root, y) and _alike(one[3][a], other[3][b], least):
+                        root[_root(root, x)] = _root(root, y)
+                        found.append((min(x, y), max(x, y)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    side = lambda c, v: blocks.select(F.col("block").alias(c), F.col("rows").alias(v))
+    whole = met.join(side("left", "rows_l"), "left").join(side("right", "rows_r"), "right")
+    out = written(whole.select("pairs", "rows_l", "rows_r").mapInArrow(decide, "a long, b long"), "links")
+    drop_written(held, blocks)
+    return out
+
+
+def _root(parents: dict[int, int], x: int) -> int:
+    while parents.get(x, x) != x:
+        x = parents[x]
+    return x
+
+
+def _block_arrays(rows, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """By slot: class, fingerprint, set size, and the sets."""
+    cid, prints, n, sets = np.zeros(BLOCK, np.int64), np.zeros((BLOCK, lanes), np.uint64), np.zeros(BLOCK, np.int64), {}
+    for slot, own, fp, shingles in zip(*[rows.values.field(k) for k in range(4)], strict=True):
+        k = slot.as_py()
+        sets[k] = np.frombuffer(shingles.as_buffer(), np.uint64)
+        cid[k], prints[k], n[k] = own.as_py(), np.frombuffer(fp.as_buffer(), np.uint64), len(sets[k])
+    return cid, prints, n, sets
+
+
 def _order(doc_id: Column, row: Column) -> Column:
     """Smallest first: documents with an id by it, then those without, then by row."""
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), row.alias("row"))
@@ -383,18 +491,19 @@ def _grouped(docs: DataFrame, n_words: int, least: Fraction, recall: float) -> t
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     search = classes.filter("n > 0")
     met = written(_first_meetings(search, plan), "met")
-    pairs = written(met.filter("point is null").select(F.col("cid").alias("a"), F.col("f").alias("b")).distinct(), "pairs")
-    links = _verified(marked, classes, pairs, plan, n_words, least, extra)
+    pairs = written(_picked(met.filter("point is null")), "pairs")
+    links = _verified(marked, search, pairs, plan, n_words, least, extra)
     member = components(links)
     comp = lambda: member.select(F.col("node").alias("cid"), "component")
-    more = _second_meetings(search, comp(), met.filter("cid is null"), plan).join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "pairs")
+    cluster = components(pairs).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    blocked = written(_blocked(search, cluster), "blocked")
+    more = written(_second_meetings(blocked, comp(), met.filter("cid is null"), plan), "blockpairs")
     if not more.isEmpty():
-        again = _verified(marked, classes, more, plan, n_words, least, extra)
+        again = _across_blocks(marked, blocked, more, plan, n_words, least, extra)
         if not again.isEmpty():
             member = components(links.unionByName(again))
         drop_written(again)
-    drop_written(met, pairs, more, links)
+    drop_written(met, pairs, more, links, blocked)
     classes = classes.join(comp(), "cid", "left").select("digest", "first", F.coalesce("component", "cid").alias("component"))
     return marked, classes, extra
 
