@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import shuffle_partitions, written
+from .shared import ordered_places, skew_join, written
 
 
 def hilbert_index(dims: list[Column], bits: int) -> Column:
@@ -40,26 +39,28 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return F.aggregate(levels, start, step, lambda acc: acc["h"])
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A column as a double that keeps its order; strings by their first six bytes."""
-    c = F.col(name)
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(c.cast("double"), F.lit(-1.0))
-
-
 def hilbert_order(rows: DataFrame, dims: list[str], bits: int = 5) -> DataFrame:
-    """``rows`` with ``curve``: each dimension is cut at its quantiles into 2**bits cells, nulls lowest."""
-    numbered = rows.select("*", *[_number(rows, d).alias(f"_n{k}") for k, d in enumerate(dims)])
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = numbered.agg(*[F.percentile_approx(f"_n{k}", shares, 10000).alias(f"_c{k}") for k in range(len(dims))]).first()
+    """``rows`` with ``curve``: each dimension has 2**bits cells, nulls lowest.
 
-    def cell(k: int) -> Column:
-        points = F.array(*[F.lit(float(p)) for p in sorted(set(cuts[k] or [0.0]))])
-        return F.size(F.filter(points, lambda p: p < F.col(f"_n{k}")))
-
-    gridded = numbered.select("*", *[cell(k).alias(f"_g{k}") for k in range(len(dims))])
-    return gridded.withColumn("curve", hilbert_index([F.col(f"_g{k}") for k in range(len(dims))], bits)).drop(*[f"_{a}{k}" for a in "ng" for k in range(len(dims))])
+    A value's cell is the place of its rows' middle among all rows in order of the value, so
+    every dimension spans the grid however few values it has, and whole strings count.
+    """
+    total = rows.count()
+    cells = []
+    for k, d in enumerate(dims):
+        tally = ordered_places(rows.groupBy(d).agg(F.count(F.lit(1)).alias(f"_n{k}")), [d], f"_n{k}")
+        cell = F.call_function("div", (F.col("before") * 2 + F.col(f"_n{k}")) * (1 << bits), F.lit(2 * max(total, 1)).cast("long")).cast("int")
+        values = written(tally.select(d, f"_n{k}", cell.alias(f"_g{k}")), "cells")
+        keyed = values.select(F.col(d).alias(f"_d{k}"), f"_n{k}", f"_g{k}")
+        n_values = values.count()
+        if n_values <= 500_000:
+            rows = rows.join(F.broadcast(keyed), F.col(d).eqNullSafe(F.col(f"_d{k}")))
+        else:  # many values: a hot one, and null, is broadcast all the same
+            known = skew_join(rows.filter(F.col(d).isNotNull()).withColumn(f"_d{k}", F.col(d)), keyed.filter(F.col(f"_d{k}").isNotNull()), [f"_d{k}"], f"_n{k}")
+            rows = known.unionByName(rows.filter(F.col(d).isNull()).join(F.broadcast(keyed.filter(F.col(f"_d{k}").isNull())), F.lit(True)).select(*known.columns))
+        rows = rows.drop(f"_d{k}", f"_n{k}")
+        cells.append(f"_g{k}")
+    return rows.withColumn("curve", hilbert_index([F.col(c) for c in cells], bits)).drop(*cells)
 
 
 def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source"), n_shards: int = 40, bits: int = 5) -> DataFrame:
@@ -69,35 +70,24 @@ def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source"),
     each dimension in their group, so they are neighbours on the curve; then the text's hash
     and doc_id decide. Shards are runs of the curve whose row counts differ by one at most;
     slots run from 0. Null text has no bytes (size 16) and crc32 0; null metadata sorts first; repeated rows
-    take neighbouring slots; an empty table gives no rows; missing dims are skipped.
+    take neighbouring slots; an empty table gives no rows; missing dims are skipped, extra columns ignored.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     dims = [d for d in dims if d in docs.columns]
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("hash"), *[F.col(d).alias(f"dim_{d}") for d in dims]), "meta")
     group = ["size", "text_crc32", "hash"]
     if dims:
-        shared = rows.groupBy(*group).agg(*[F.min(f"dim_{d}").alias(f"dim_{d}") for d in dims])
-        rows = rows.select("doc_id", *group).join(shared, group)
+        shared = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), *[F.min(f"dim_{d}").alias(f"dim_{d}") for d in dims])
+        rows = written(skew_join(rows.select("doc_id", *group), shared, group, "copies").drop("copies"), "shared")
     ordered = hilbert_order(rows, [*[f"dim_{d}" for d in dims], "size"], bits)
-    keys = ["curve", "size", "text_crc32", "hash", "doc_id"]
-    placed = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
-    # The id holds the partition in its upper bits and the row's place in the lower 33.
-    placed = written(placed.select("doc_id", "size", "text_crc32", "curve", F.monotonically_increasing_id().alias("_at")), "curve")
-    part = F.shiftright("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each partition
-    before, total = {}, 0
-    for r in sorted(counts, key=lambda r: r["_part"]):
-        before[r["_part"]] = total
-        total += r["n"]
-    offset = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    rank = F.element_at(offset, part) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    n = F.lit(max(total, 1)).cast("long")
-    shard = F.call_function("div", F.col("_rank") * n_shards, n)
+    placed = ordered_places(ordered.select("doc_id", "size", "text_crc32", "hash", "curve"), ["curve", "size", "text_crc32", "hash", "doc_id"])
+    n = F.lit(max(rows.count(), 1)).cast("long")
+    shard = F.call_function("div", F.col("before") * n_shards, n)
     first = F.call_function("div", F.col("shard").cast("long") * n + (n_shards - 1), F.lit(n_shards).cast("long"))
-    return placed.withColumn("_rank", rank).withColumn("shard", shard.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return placed.withColumn("shard", shard.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("before") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def write_shards(docs: DataFrame, shards: DataFrame, path: str) -> None:
-    """Write whole documents, one folder for each shard, sorted so that file statistics prune on every dimension."""
+    """Write whole documents (unique doc_id), one folder for each shard, sorted so that file statistics prune on every dimension."""
     shards = shards.select("doc_id", "shard", "slot")
     docs.join(shards, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

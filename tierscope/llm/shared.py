@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six characters [\x20\x09-\x0D].
@@ -86,3 +86,18 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, ho
         return rows.join(groups, keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups, keys)
     return rest.unionByName(rows.join(F.broadcast(hot), keys).select(*rest.columns))
+
+
+def ordered_places(df: DataFrame, order: list[str], n: str | None = None) -> DataFrame:
+    """``df``, written in range partitions of ``order``, with ``before``: how many rows (or how much of ``n``) come before each row."""
+    placed = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    # The id holds the partition in its upper bits and the row's place in the lower 33.
+    placed = written(placed.withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftright("_at", 33))
+    one = F.col(n) if n else F.lit(1)
+    sums = placed.groupBy("_part").agg(F.sum(one).alias("_sum"))  # a row for each partition
+    shift = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    if n:
+        inside = F.coalesce(F.sum(n).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_inside", inside).join(F.broadcast(shift), "_part").withColumn("before", F.col("_shift") + F.col("_inside")).drop("_at", "_part", "_shift", "_inside")
