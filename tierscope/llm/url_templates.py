@@ -1,8 +1,8 @@
 """URL filtering by path templates learned for each host.
 
 The paths of a host form a tree of segments. Level by level, segments that vary (numbers,
-identifiers, or too many different ones) become wildcards, and sibling branches that do
-not differ in their labels or in how often paths end there are merged. A path's template is
+identifiers) become wildcards, and sibling branches that do not differ in their labels or
+in how often paths end there are merged. A path's template is
 then judged by the smoothed share of unwanted labels among the urls that fit it.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_written, written
+from .shared import skew_join, written
 
 #: (host, path, verdict): a rule fits its host and all subdomains, below its path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -48,32 +48,46 @@ def _z(ones: Column, n: Column, all_ones: Column, all_n: Column) -> Column:
     return F.coalesce(over(over(ones, n) - over(rest, rest_n), error), F.lit(0.0))
 
 
-def path_templates(urls: DataFrame, max_depth: int = 8, most_branches: int = 50, significance: float = 2.0) -> DataFrame:
+def _shape_varies(segment: Column) -> Column:
+    """Numbers and identifiers: a segment with a digit, or a long one."""
+    return segment.rlike(r"[0-9]") | (F.length(segment) > 40)
+
+
+def path_templates(urls: DataFrame, significance: float = 2.0) -> DataFrame:
     """``urls`` (host, path, n, n_labelled, n_bad) with ``template``.
 
-    Segments deeper than ``max_depth`` form one wildcard. The tree is walked from the hosts
-    down; at each level a branch is kept by name only if its segment does not vary and its
-    labels, or its share of paths that end there, differ from its siblings'.
+    The tree is walked from the hosts down to its real depth. A branch keeps its name when
+    its labels differ from its siblings' significantly, whatever its shape and however many
+    siblings it has; one whose shape does not vary also when its share of paths that end
+    there differs, or when it has no sibling. All others of a node are one wildcard. Below a
+    node that a single url reaches nothing is left to compare, so its path ends the walk.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    depth = urls.agg(F.max(F.size(parts))).first()[0] or 0
     now = urls.withColumn("parts", parts).withColumn("template", F.col("host"))
-    for level in range(min(depth, max_depth)):
-        here = now.withColumn("segment", F.get("parts", F.lit(level))).withColumn("ends", F.when(F.size("parts") == level + 1, F.col("n")).otherwise(F.lit(0)))
-        inner = here.filter(F.col("segment").isNotNull())
+    out, level = [], 0
+    while True:
+        rest = F.slice("parts", level + 1, F.greatest(F.size("parts") - level, F.lit(0)))
+        nodes = now.filter(F.size("parts") > level).groupBy("template").agg(F.count(F.lit(1)).alias("urls"))
+        here = skew_join(now.filter(F.size("parts") > level), nodes, ["template"], "urls")
+        alone = F.concat_ws("/", F.col("template"), F.array_join(F.transform(rest, lambda s: F.when(_shape_varies(s), F.lit(WILD)).otherwise(s)), "/"))
+        out += [now.filter(F.size("parts") <= level).drop("parts"), here.filter("urls = 1").withColumn("template", alone).drop("parts", "urls")]
+        here = here.filter("urls > 1").drop("urls").withColumn("segment", F.get("parts", F.lit(level))).withColumn("ends", F.when(F.size("parts") == level + 1, F.col("n")).otherwise(F.lit(0)))
         sums = [F.sum(c).alias(c) for c in ("n", "n_labelled", "n_bad", "ends")]
-        branch = inner.groupBy("template", "segment").agg(*sums)
+        branch = here.groupBy("template", "segment").agg(F.count(F.lit(1)).alias("urls"), *sums)
         node = branch.groupBy("template").agg(F.count(F.lit(1)).alias("branches"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "n_labelled", "n_bad", "ends")])
-        apart = (F.abs(_z(F.col("n_bad"), F.col("n_labelled"), F.col("all_n_bad"), F.col("all_n_labelled"))) > significance) | (F.abs(_z(F.col("ends"), F.col("n"), F.col("all_ends"), F.col("all_n"))) > significance)
-        varies = F.col("segment").rlike(r"[0-9]") | (F.length("segment") > 40) | (F.col("branches") > most_branches)
-        named = branch.join(node, "template").select("template", "segment", F.when(~varies & (apart | (F.col("branches") == 1)), F.col("segment")).otherwise(F.lit(WILD)).alias("step"))
-        nxt = here.join(named, ["template", "segment"], "left").withColumn("template", F.when(F.col("step").isNotNull(), F.concat_ws("/", "template", "step")).otherwise(F.col("template"))).drop("segment", "ends", "step")
-        nxt = written(nxt, "templates")
-        if level:
-            drop_written(now)
-        now = nxt
-    deeper = F.when(F.size("parts") > max_depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return now.withColumn("template", deeper).drop("parts")
+        labels_apart = F.abs(_z(F.col("n_bad"), F.col("n_labelled"), F.col("all_n_bad"), F.col("all_n_labelled"))) > significance
+        ends_apart = F.abs(_z(F.col("ends"), F.col("n"), F.col("all_ends"), F.col("all_n"))) > significance
+        keeps = labels_apart | (~_shape_varies(F.col("segment")) & (ends_apart | (F.col("branches") == 1)))
+        named = skew_join(branch, node, ["template"], "branches").select("template", "segment", "urls", F.when(keeps, F.col("segment")).otherwise(F.lit(WILD)).alias("step"))
+        nxt = skew_join(here, named, ["template", "segment"], "urls").withColumn("template", F.concat_ws("/", "template", "step")).drop("segment", "ends", "step", "urls")
+        nxt = written(nxt.select(*now.columns), "templates")
+        if nxt.isEmpty():
+            break
+        now, level = nxt, level + 1
+    done = out[0]
+    for more in out[1:]:
+        done = done.unionByName(more)
+    return done
 
 
 def template_purity(urls: DataFrame, strength: float = 4.0) -> DataFrame:
@@ -104,8 +118,11 @@ def judge_urls(pages: DataFrame, rules=RULES, label: str | None = None, threshol
     rows = rows.withColumn("rule", rule).withColumn("said", said)
     known = F.col("given") if label else F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0)
     bad = F.coalesce(F.sum(known), F.lit(0))
+    rows = written(rows, "rows")
     urls = written(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count(known).alias("n_labelled"), bad.alias("n_bad")), "urls")
     templates = path_templates(urls, **options)
-    judged = templates.join(template_purity(templates), "template").select("host", "path", "template", "purity")
+    templates = written(templates, "templates")
+    purity = template_purity(templates).join(templates.groupBy("template").agg(F.count(F.lit(1)).alias("urls")), "template")
+    judged = skew_join(templates, purity, ["template"], "urls").select("host", "path", F.col("n").alias("_n"), "template", "purity")
     verdict = F.coalesce("said", F.when(F.col("purity") > threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return skew_join(rows, judged, ["host", "path"], "_n").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
