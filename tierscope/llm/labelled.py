@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .shared import held_out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, longest: int = 200_000) -> DataFrame:
     """(doc_id, text, label) of about ``most`` labelled documents, half of each label where there are enough.
 
+    Texts of more than ``longest`` bytes are not learned from, so the bytes to learn from are bounded too.
+
     Rows are chosen by a hash of doc_id under a threshold that the label's count sets, so the
     choice is the same wherever rows lie. Held-out documents and null labels or ids are left
     out. Of several labels for one document the smallest counts.
@@ -24,7 +26,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     share = F.when(F.col("label") == 1, want[1] / max(ones, 1)).otherwise(want[0] / max(zeros, 1))
     # The limit bounds what is broadcast even when hashes are unlucky.
     chosen = rows.withColumn("u", unit).filter(F.col("u") < share).orderBy("u").limit(2 * most).select("doc_id", "label")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
     return text.join(F.broadcast(chosen), "doc_id")
 
 

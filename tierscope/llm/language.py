@@ -18,6 +18,8 @@ from .shared import held_out
 
 ORDERS = (1, 2, 3)
 BUCKETS = (1 << 9, 1 << 12, 1 << 13)
+#: Bytes of a long text that are looked at at a time.
+SLICE = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 # Spaces, digits and signs are one symbol, so that n-grams tell about letters and word ends only.
@@ -27,24 +29,26 @@ _FOLD[:65] = _FOLD[91:97] = _FOLD[123:128] = 32
 def presence(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows of hashed n-gram presence; each order's part has length 1 over the square root of the number of orders."""
     n, parts = len(offsets) - 1, []
-    folded = _FOLD[raw].astype(np.uint64)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    # A capital of U+00C0 to U+00DE folds onto its small letter.
-    if len(raw) > 1:
-        second = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)) + 1
-        folded[second] += np.uint64(0x20)
-    for order, buckets in zip(ORDERS, BUCKETS, strict=True):
-        seen = np.zeros((n, buckets), np.float32)
-        size = len(folded) - order + 1
-        if size > 0:
-            key = folded[:size].copy()
-            for k in range(1, order):
-                key = key * np.uint64(256) + folded[k : k + size]
-            same = row[:size] == row[order - 1 :]
-            slot = (key if order == 1 else mixed(key) >> np.uint64(16)) & np.uint64(buckets - 1)
-            seen[row[:size][same], slot[same].astype(np.int64)] = 1
-        norm = np.sqrt(seen.sum(axis=1, keepdims=True))
-        parts.append(seen / np.maximum(norm, 1) / np.float32(np.sqrt(len(ORDERS))))
+    seen = [np.zeros((n, buckets), np.float32) for buckets in BUCKETS]
+    for at in range(0, len(raw), SLICE):  # slices overlap by the longest n-gram
+        part = raw[at : at + SLICE + max(ORDERS) - 1]
+        folded = _FOLD[part].astype(np.uint64)
+        row = np.searchsorted(offsets, np.arange(at, at + len(part)), side="right") - 1
+        # A capital of U+00C0 to U+00DE folds onto its small letter.
+        lead = np.concatenate((raw[at - 1 : at] if at else np.zeros(1, np.uint8), part[:-1]))
+        folded[(lead == 0xC3) & (part >= 0x80) & (part <= 0x9E)] += np.uint64(0x20)
+        for order, buckets, own in zip(ORDERS, BUCKETS, seen, strict=True):
+            size = len(folded) - order + 1
+            if size > 0:
+                key = folded[:size].copy()
+                for k in range(1, order):
+                    key = key * np.uint64(256) + folded[k : k + size]
+                same = row[:size] == row[order - 1 :]
+                slot = (key if order == 1 else mixed(key) >> np.uint64(16)) & np.uint64(buckets - 1)
+                own[row[:size][same], slot[same].astype(np.int64)] = 1
+    for own in seen:
+        norm = np.sqrt(own.sum(axis=1, keepdims=True))
+        parts.append(own / np.maximum(norm, 1) / np.float32(np.sqrt(len(ORDERS))))
     return np.hstack(parts)
 
 
@@ -85,19 +89,22 @@ def fit(x: np.ndarray, langs: list[str], n_landmarks: int = 160, ridge: float =
 
 
 def train(docs: DataFrame, most_labelled: int = 3000, n_landmarks: int = 160) -> LanguageModel | None:
-    """Fit on at most ``most_labelled`` labelled rows outside the held-out fold, chosen evenly over the languages by hash.
+    """Fit on about ``most_labelled`` labelled rows outside the held-out fold, chosen evenly over the languages by hash.
 
-    None when there is no such row. The driver holds the presence rows of that sample only.
+    Every language gives two rows at least and one landmark, so with very many languages the
+    sample and the landmarks grow with their number, never with the documents. None when there
+    is no such row. The driver holds the presence rows of that sample only.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labelled // 10).collect()
+    langs = rows.groupBy("lang").count().orderBy("lang").collect()
     if not langs:
         return None
     # Each language gives its share of the rows: a hash under a threshold that its count sets.
+    most_labelled, n_landmarks = max(most_labelled, 2 * len(langs)), max(n_landmarks, len(langs))
     each = -(-most_labelled // len(langs))
-    cut = F.create_map(*[F.lit(v) for r in langs for v in (r["lang"], min(1.0, 1.2 * each / r["count"]))])
+    cut = docs.sparkSession.createDataFrame([(r["lang"], max(each * 1.2, each + 4.0) / r["count"]) for r in langs], "lang string, cut double")
     unit = (F.xxhash64("doc_id", F.lit("language")).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    chosen = rows.withColumn("u", unit).filter(F.col("u") < F.element_at(cut, F.col("lang")))
+    chosen = rows.withColumn("u", unit).join(F.broadcast(cut), "lang").filter(F.col("u") < F.col("cut"))
 
     def scan(batches):
         for part in chunks(batches, limit=1 << 20):
@@ -105,7 +112,7 @@ def train(docs: DataFrame, most_labelled: int = 3000, n_landmarks: int = 160) ->
             packed = np.packbits(x > 0, axis=1)
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("u"), pa.array([p.tobytes() for p in packed], pa.binary())], ["lang", "u", "bits"])
 
-    found = sorted(chosen.select("lang", "u", "text").mapInArrow(scan, "lang string, u double, bits binary").orderBy("u", "lang").limit(2 * most_labelled).collect(), key=lambda r: (r["u"], r["lang"]))
+    found = sorted(chosen.select("lang", "u", "text").mapInArrow(scan, "lang string, u double, bits binary").orderBy("u", "lang").limit(2 * most_labelled + 8 * len(langs)).collect(), key=lambda r: (r["u"], r["lang"]))
     kept, count = [], {}
     for r in found:
         if count.setdefault(r["lang"], 0) < each:
@@ -127,7 +134,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     Null texts and texts without a letter, empty ones too, are ``und`` with score 0; so is every text when there
     was nothing to learn from. Whole texts count, however long. Ties go to the first language
-    by name. Repeated rows get equal results; an empty table gives no rows.
+    by name. Repeated rows get equal results; an empty table gives no rows; extra columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and weights: their number is a parameter
 

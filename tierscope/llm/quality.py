@@ -1,8 +1,8 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are hashed shapes of its characters (n-grams over letter case, digits, spaces
-and each sign) and repeated words. TF-IDF weights and a truncated singular value
-decomposition of the labelled sample give the latent space. The labelled vectors go to all
+A text's terms are its hashed words, hashed shapes of its characters (n-grams over letter
+case, digits, spaces and each sign) and rates of repeated words. TF-IDF weights and a
+truncated singular value decomposition of the labelled sample give the latent space. The labelled vectors go to all
 executors; every document is compared with all of them in blocked products.
 """
 
@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import label_share, labelled_sample
-from .scan import chunks, mixed, text_bytes, token_hashes, words
+from .scan import chunks, fold_ascii, hashed_words, mixed, text_bytes
 from .shared import held_out
 
-SHAPES = 1 << 10
+SHAPES, WORDS = 1 << 10, 1 << 10
 EXTRA = 4
-WIDTH = SHAPES + EXTRA
+WIDTH = SHAPES + WORDS + EXTRA
+#: Bytes of a long text that are counted at a time.
+SLICE = 1 << 20
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = 97
 _CLASS[65:91] = 65
@@ -30,27 +32,26 @@ _CLASS[13] = 10
 
 
 def terms(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows of term rates: shapes of three characters, then words that repeat the last, the one before, any earlier one, and long words."""
+    """Rows of term rates: shapes of three characters, words, then words that repeat the last, the one before, any earlier one, and the number of words."""
     n = len(offsets) - 1
     out = np.zeros((n, WIDTH), np.float32)
-    kind = _CLASS[raw].astype(np.uint64)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    size = len(kind) - 2
-    if size > 0:
+    for at in range(0, max(len(raw) - 2, 0), SLICE):
+        kind = _CLASS[raw[at : at + SLICE + 2]].astype(np.uint64)
+        row = np.searchsorted(offsets, np.arange(at, at + len(kind)), side="right") - 1
+        size = len(kind) - 2
         same = row[:size] == row[2:]
         slot = mixed((kind[:size] * np.uint64(256) + kind[1 : size + 1]) * np.uint64(256) + kind[2:]) >> np.uint64(40)
         slot = (slot & np.uint64(SHAPES - 1)).astype(np.int64)
-        out[:, :SHAPES] = np.bincount((row[:size] * SHAPES + slot)[same], minlength=n * SHAPES).reshape(n, SHAPES)
-        out[:, :SHAPES] /= np.maximum(out[:, :SHAPES].sum(axis=1, keepdims=True), 1)
-    starts, ends, bounds = words(raw, offsets)
-    hashes = token_hashes(raw, starts, ends)
+        out[:, :SHAPES] += np.bincount((row[:size] * SHAPES + slot)[same], minlength=n * SHAPES).reshape(n, SHAPES)
+    out[:, :SHAPES] /= np.maximum(out[:, :SHAPES].sum(axis=1, keepdims=True), 1)
+    hashes, bounds = hashed_words(fold_ascii(raw), offsets)
+    rates = out[:, SHAPES + WORDS :]
     for i in range(n):
         h = hashes[bounds[i] : bounds[i + 1]]
+        if len(h):
+            out[i, SHAPES : SHAPES + WORDS] = np.bincount((h >> np.uint64(40)).astype(np.int64) & (WORDS - 1), minlength=WORDS) / len(h)
         if len(h) > 2:
-            out[i, SHAPES] = (h[1:] == h[:-1]).mean()
-            out[i, SHAPES + 1] = (h[2:] == h[:-2]).mean()
-            out[i, SHAPES + 2] = max(0.0, 1 - len(np.unique(h)) / len(h) ** 0.9)
-            out[i, SHAPES + 3] = min(1.0, len(h) / 2000)
+            rates[i] = (h[1:] == h[:-1]).mean(), (h[2:] == h[:-2]).mean(), max(0.0, 1 - len(np.unique(h)) / len(h) ** 0.9), len(h) / (len(h) + 1000)
     return np.sqrt(out)
 
 

@@ -123,3 +123,26 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
             part = mixed(part[:-width] * _RUN_STEP + part[width:])
             width *= 2
     return mixed(out)
+
+
+def hashed_words(raw: np.ndarray, offsets: np.ndarray, limit: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the n + 1 word offsets of the texts; long texts are hashed in slices cut at spaces."""
+    if len(raw) <= limit:
+        starts, ends, bounds = words(raw, offsets)
+        return token_hashes(raw, starts, ends), bounds
+    out, counts = [], []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        n = 0
+        while a < b:
+            to = min(b, a + limit)
+            if to < b:
+                spaces = np.flatnonzero(_IS_SPACE[raw[a:to]])
+                while not len(spaces) and to < b:  # one word longer than a slice
+                    to = min(b, to + limit)
+                    spaces = np.flatnonzero(_IS_SPACE[raw[a:to]])
+                to = a + int(spaces[-1]) + 1 if to < b else to
+            starts, ends, _ = words(raw[a:to], np.array([0, to - a]))
+            out.append(token_hashes(raw[a:to], starts, ends))
+            n, a = n + len(starts), to
+        counts.append(n)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(counts)))
