@@ -36,7 +36,7 @@ _SHORT = np.uint64(0xA24BAED4963EE407)
 #: Points with more rows than this are split over tasks in the second pass.
 CROWD = 512
 #: Classes and bytes of shingle sets in a block of the second pass.
-BLOCK, BLOCK_BYTES = 128, 1 << 19
+BLOCK, BLOCK_BYTES = 256, 1 << 20
 BUFFER = 1 << 19
 
 
@@ -51,7 +51,7 @@ class Plan:
     lane_most: int  #: differing bits of the last lane
 
 
-def plan_search(n: int, least: Fraction = Fraction(4, 5), recall: float = 0.99) -> Plan:
+def plan_search(n: int, least: Fraction = Fraction(4, 5), recall: float = 0.98) -> Plan:
     """Segments of a width that follows from the number of documents, and as many as ``recall`` at ``least`` takes.
 
     Of sets with Jaccard similarity s the cosine is 2s / (1 + s) at least (equal sizes), and a
@@ -297,7 +297,7 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
                 yield pa.RecordBatch.from_arrays([pa.array(points.ravel()), pa.array(cid[own]), pa.array(prints[own, -1].view(np.int64)), pa.array(component[own])], ["point", "cid", "f", "component"])
 
     def meet(batches):
-        held = None
+        held, found = None, {}
         for now, last in _buffered(batches):
             rows = [c.to_numpy(zero_copy_only=False) for c in now.columns]
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
@@ -305,7 +305,12 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
             new = np.concatenate(([True], (point[1:] != point[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))) if len(point) else np.zeros(0, bool)
             starts = np.flatnonzero(new)
             cut = len(point) if last else int(starts[-1]) if len(starts) else 0
-            yield from _across(starts[starts < cut], cut, rows, plan.lane_most)
+            # A task's pairs of the same two blocks gather, as a bounded set of numbers for each.
+            for key, code in _across(starts[starts < cut], cut, rows, plan.lane_most):
+                found[key] = np.unique(np.concatenate((found[key], code))) if key in found else code
+            if last or sum(map(len, found.values())) > BUFFER:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["left", "right", "pairs"])
+                found = {}
             held = [x[cut:] for x in rows]
 
     points = rows.mapInArrow(spread, schema)
@@ -332,7 +337,7 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
 
 
 def _across(starts: np.ndarray, cut: int, rows: list[np.ndarray], most: int):
-    """Near pairs of different components within each group of rows."""
+    """Near pairs of different components within each group of rows: ((left block, right block), numbers of the pairs)."""
     if not len(starts):
         return
     _, _, right, side, cid, f, comp = rows
@@ -364,8 +369,8 @@ def _across(starts: np.ndarray, cut: int, rows: list[np.ndarray], most: int):
         order = np.lexsort((blocks[:, 1], blocks[:, 0]))
         blocks, code = blocks[order], (slots[:, 0] * BLOCK + slots[:, 1])[order].astype(np.uint16)
         cuts = np.flatnonzero(np.concatenate(([True], (blocks[1:] != blocks[:-1]).any(axis=1), [True])))
-        blobs = [code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(blocks[cuts[:-1], 0]), pa.array(blocks[cuts[:-1], 1]), pa.array(blobs, pa.binary())], ["left", "right", "pairs"])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield (int(blocks[a, 0]), int(blocks[a, 1])), code[a:b]
 
 
 def _alike(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
@@ -508,7 +513,7 @@ def _grouped(docs: DataFrame, n_words: int, least: Fraction, recall: float) -> t
     return marked, classes, extra
 
 
-def near_groups(docs: DataFrame, n_words: int = 5, least: Fraction = Fraction(4, 5), recall: float = 0.99) -> DataFrame:
+def near_groups(docs: DataFrame, n_words: int = 5, least: Fraction = Fraction(4, 5), recall: float = 0.98) -> DataFrame:
     """One row per document: doc_id, component_id, the smallest doc_id reachable by links of similarity ``least`` and above.
 
     Similarity is Jaccard's of the sets of ``n_words``-word shingles (64-bit hashes), A-Z
@@ -525,7 +530,7 @@ def near_groups(docs: DataFrame, n_words: int = 5, least: Fraction = Fraction(4,
     return marked.join(named, extra["digest"]).select(F.col("doc_id").cast("long").alias("doc_id"), "component_id")
 
 
-def keep_one(docs: DataFrame, n_words: int = 5, least: Fraction = Fraction(4, 5), recall: float = 0.99) -> DataFrame:
+def keep_one(docs: DataFrame, n_words: int = 5, least: Fraction = Fraction(4, 5), recall: float = 0.98) -> DataFrame:
     """One row of each group of :func:`near_groups`, with all columns of ``docs``: that of the smallest doc_id.
 
     Rows are told apart by an own number, so rows that share a doc_id are judged each by its

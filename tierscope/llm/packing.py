@@ -50,13 +50,10 @@ class Tokens:
     above is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.reset()
-
-    def reset(self) -> None:
         #: Sorted hashes and the slot of each: a few bytes an entry, where a dict takes over a hundred.
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.used, self.size = np.zeros(1 << 16, np.uint32), 0, 0
@@ -112,8 +109,7 @@ class Tokens:
         stops[starts[1:] - 1] |= solid[starts[1:] - 1]
         ends = np.flatnonzero(stops) + 1
         codes, unique = pd.factorize(token_hashes(raw, starts, ends))
-        if self.size + len(unique) > self.most:
-            self.reset()
+        before = self.keys, self.slots, self.used, self.size
         at = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
         inside = at < len(self.keys)
@@ -132,6 +128,8 @@ class Tokens:
         flat = self.ids[np.repeat(self.first[slot] - done[:-1], count) + np.arange(done[-1])]
         cuts = done[np.searchsorted(starts, offsets)]
         out = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        if self.size > self.most:  # a full table keeps what came first, mostly the frequent tokens
+            self.keys, self.slots, self.used, self.size = before
         for i in np.flatnonzero(odd):
             out[i] = np.array(self.tokenizer.encode(data[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids, np.uint32)
         return out
