@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scoring
-from .ranks import melt, self_rank
+from .ranks import melt, quantiles, running, self_rank
 
 BUDGETS = [0.25 + 0.01 * i for i in range(76)]
 
@@ -85,7 +85,7 @@ def sweep_tiers(df: DataFrame, kind: str, grid: list | None = None, score: str =
     if kind == "cuts":
         shares = sorted({min(x, 1.0) for g in grid for x in g})
         at = {s: i for i, s in enumerate(shares)}
-        q = df.agg(F.percentile(F.col(score).cast("double"), F.array(*[F.lit(s) for s in shares])).alias("_q"))
+        q = quantiles(df, score, shares)
         knobs = spark.createDataFrame([(*r, at[min(r[1], 1.0)], at[min(r[2], 1.0)]) for r in rows], "point int, knob double, knob2 double, _i int, _j int")
         wide = df.crossJoin(F.broadcast(knobs.crossJoin(q)))
         return wide.withColumn("tier", F.when(F.col(score) <= F.get("_q", "_i"), 1).when(F.col(score) <= F.get("_q", "_j"), 2).otherwise(3)).drop("_q", "_i", "_j")
@@ -97,6 +97,25 @@ def sweep_tiers(df: DataFrame, kind: str, grid: list | None = None, score: str =
     raise ValueError(f"no such sweep: {kind}")
 
 
+def cut_points(df: DataFrame, score: str, cuts: list, by: tuple[str, ...] = (), label: str = "difficulty") -> DataFrame:
+    """(by, point, knob, knob2, cost_share, served, weighted_served) of every pair of quantile cuts.
+
+    Rows are tallied once by the number of cut scores below theirs; each pair of cuts then
+    adds up a few tallies, so rows are never repeated for the pairs.
+    """
+    keys = list(by)
+    shares = sorted({min(x, 1.0) for g in cuts for x in g})
+    at = {s: i for i, s in enumerate(shares)}
+    q = quantiles(df, score, shares, by)
+    marked = (df.join(F.broadcast(q), keys) if keys else df.crossJoin(F.broadcast(q))).withColumn("_bin", F.size(F.filter("_q", lambda x: x < F.col(score))))
+    cells = marked.groupBy(*keys, "_bin", label).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in ("c1", "c2", "c3")])
+    knobs = df.sparkSession.createDataFrame([(i, float(a), float(b), at[min(a, 1.0)], at[min(b, 1.0)]) for i, (a, b) in enumerate(cuts)], "point int, knob double, knob2 double, _i int, _j int")
+    tier = F.when(F.col("_bin") <= F.col("_i"), 1).when(F.col("_bin") <= F.col("_j"), 2).otherwise(3)
+    wide = cells.crossJoin(F.broadcast(knobs)).withColumn("tier", tier)
+    ok = F.col("tier") >= F.col(label)
+    return wide.groupBy(*keys, "point", "knob", "knob2").agg((F.sum(own_cost()) / F.sum("c3")).alias("cost_share"), (F.sum(F.when(ok, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("served"), (F.sum(F.when(ok, F.col("c3")).otherwise(0.0)) / F.sum("c3")).alias("weighted_served"))
+
+
 def sweep_alpha(df: DataFrame, ml: str, heuristic: str, grid: list | None = None, id_col: str = "trajectory_id") -> DataFrame:
     """``df`` for every blend weight, cut at the default quantiles of each blend."""
     ranks = self_rank(melt(df, [id_col], [ml, heuristic])).groupBy(id_col).agg(F.max(F.when(F.col("feature") == ml, F.col("rank"))).alias("_m"), F.max(F.when(F.col("feature") == heuristic, F.col("rank"))).alias("_h"))
@@ -109,6 +128,8 @@ def sweep_alpha(df: DataFrame, ml: str, heuristic: str, grid: list | None = None
 
 def sweep(df: DataFrame, kind: str, grid: list | None = None, **options) -> DataFrame:
     """(point, knob, knob2, cost_share, served, weighted_served) for every knob."""
+    if kind == "cuts":
+        return cut_points(df, options.get("score", "score"), grid or default_grid(kind))
     return operating_point(sweep_tiers(df, kind, grid, **options), ("point", "knob", "knob2"))
 
 
@@ -144,15 +165,9 @@ def random_baseline(df: DataFrame, cuts: list, n: int = 100, id_col: str = "traj
     spark = df.sparkSession
     draws = df.crossJoin(F.broadcast(spark.range(n).select(F.col("id").alias("draw"))))
     unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col("draw").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    scored = draws.withColumn("_u", unit)
-    shares = sorted({min(x, 1.0) for g in cuts for x in g})
-    at = {s: i for i, s in enumerate(shares)}
-    q = scored.groupBy("draw").agg(F.percentile("_u", F.array(*[F.lit(s) for s in shares])).alias("_q"))
-    knobs = spark.createDataFrame([(i, at[min(a, 1.0)], at[min(b, 1.0)]) for i, (a, b) in enumerate(cuts)], "point int, _i int, _j int")
-    wide = scored.join(F.broadcast(q), "draw").crossJoin(F.broadcast(knobs))
-    tiers = wide.withColumn("tier", F.when(F.col("_u") <= F.get("_q", "_i"), 1).when(F.col("_u") <= F.get("_q", "_j"), 2).otherwise(3))
-    area = frontier_metrics(operating_point(tiers, ("draw", "point")), by=("draw",))
-    return area.agg(F.avg("auc").alias("auc_mean"), F.percentile("auc", 0.025).alias("auc_low"), F.percentile("auc", 0.975).alias("auc_high"))
+    area = frontier_metrics(cut_points(draws.withColumn("_u", unit), "_u", cuts, ("draw",)), by=("draw",))
+    ends = area.groupBy().agg(F.avg("auc").alias("auc_mean"), F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))  # a row a draw
+    return ends.select("auc_mean", F.col("_q")[0].alias("auc_low"), F.col("_q")[1].alias("auc_high"))
 
 
 def unit_draw(*parts: Column) -> Column:
@@ -176,12 +191,7 @@ def search_group_weights(group_means: DataFrame, labelled: DataFrame, draws: Dat
     keys = list(by)
     scored = group_means.join(F.broadcast(draws), "grp").groupBy(id_col, "draw").agg(F.round(F.sum(F.col("sign") * F.col("weight") * F.col("mean_rank")) / F.sum("weight"), 12).alias("score"))
     rows = labelled.join(scored, id_col)
-    shares = sorted({min(x, 1.0) for g in cuts for x in g})
-    at = {s: i for i, s in enumerate(shares)}
-    q = rows.groupBy(*keys, "draw").agg(F.percentile("score", F.array(*[F.lit(s) for s in shares])).alias("_q"))
-    knobs = labelled.sparkSession.createDataFrame([(i, at[min(a, 1.0)], at[min(b, 1.0)]) for i, (a, b) in enumerate(cuts)], "point int, _i int, _j int")
-    tiers = rows.join(F.broadcast(q), [*keys, "draw"]).crossJoin(F.broadcast(knobs)).withColumn("tier", F.when(F.col("score") <= F.get("_q", "_i"), 1).when(F.col("score") <= F.get("_q", "_j"), 2).otherwise(3))
-    area = frontier_metrics(operating_point(tiers, (*keys, "draw", "point")), by=(*keys, "draw"))
+    area = frontier_metrics(cut_points(rows, "score", cuts, (*keys, "draw")), by=(*keys, "draw"))
     return area.groupBy(*keys).agg(F.max_by("draw", F.struct("auc", -F.col("draw"))).alias("draw"), F.max("auc").alias("auc"))
 
 
@@ -224,8 +234,8 @@ def adoption_frontier(routes: DataFrame, quality: Column | None = None, steps: i
     """
     own = quality if quality is not None else F.size(F.filter("route", lambda r: r == F.col("logged_model"))) / F.size("route")
     # Ranks by cost from counts of cheaper costs, then places among equal ones.
-    tally = routes.groupBy("cost_logged_usd").agg(F.count(F.lit(1)).alias("_n"))
-    below = tally.select("cost_logged_usd", F.coalesce(F.sum("_n").over(Window.orderBy("cost_logged_usd").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    tally = routes.groupBy(F.col("cost_logged_usd").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    below = running(tally, []).select(F.col("value").alias("cost_logged_usd"), (F.col("upto_n") - F.col("n")).alias("_below"))
     placed = routes.withColumn("_q", own.cast("double")).join(below, "cost_logged_usd").withColumn("_rank", F.col("_below") + F.row_number().over(Window.partitionBy("cost_logged_usd").orderBy("trajectory_id")))
     total = routes.agg(F.count(F.lit(1)).alias("_all"))
     fracs = routes.sparkSession.range(steps + 1).select((F.col("id") / steps).alias("adopt_frac")).crossJoin(total)

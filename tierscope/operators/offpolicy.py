@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .ranks import apply_ecdf, fit_ecdf, quantile_bucket, split_halves
+from .ranks import apply_ecdf, fit_ecdf, quantile_bucket, quantiles, running, split_halves
 
 #: P(Poisson(1) <= k) for k = 0, 1, ...
 _POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
@@ -91,8 +91,8 @@ def split_half_map(df: DataFrame, min_n: int = 8, id_col: str = "trajectory_id")
 
 def matched_cells(df: DataFrame) -> DataFrame:
     """``df`` (score, tier, signals) with ``hard`` (score at the 60th percentile or above) and ``low`` (tier 1 or 2)."""
-    limit = df.agg(F.percentile(F.col("score").cast("double"), 0.6).alias("_q"))
-    return df.crossJoin(F.broadcast(limit)).withColumn("hard", F.col("score") >= F.col("_q")).withColumn("low", F.col("tier").isin(1, 2)).drop("_q")
+    limit = quantiles(df, "score", (0.6,))
+    return df.crossJoin(F.broadcast(limit)).withColumn("hard", F.col("score") >= F.col("_q")[0]).withColumn("low", F.col("tier").isin(1, 2)).drop("_q")
 
 
 def cell_table(cells: DataFrame, least: int = 10) -> DataFrame:
@@ -186,15 +186,15 @@ def ks_statistic(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("feature",))
     keys = list(by)
     both = a.select(*keys, "value", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*keys, "value", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     tally = both.groupBy(*keys, "value").agg(F.sum("_a").alias("na"), F.sum("_b").alias("nb"))
-    run, whole = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    gap = F.abs(F.sum("na").over(run) / F.sum("na").over(whole) - F.sum("nb").over(run) / F.sum("nb").over(whole))
-    return tally.withColumn("_g", gap).groupBy(*keys).agg(F.max("_g").alias("ks"))
+    gap = F.abs(F.col("upto_na") / F.col("total_na") - F.col("upto_nb") / F.col("total_nb"))
+    return running(tally, keys, ("na", "nb")).groupBy(*keys).agg(F.max(gap).alias("ks"))
 
 
 def shift_report(fit: DataFrame, new: DataFrame) -> DataFrame:
     """(feature, fit_median, new_median, ks, mean_fit_rank, shift): how far each feature moved; order by shift for the top."""
-    ranks = apply_ecdf(new, fit_ecdf(fit), mid=True).groupBy("feature").agg(F.round(F.avg("rank"), 3).alias("mean_fit_rank"), F.round(F.median("value"), 3).alias("new_median"))
-    old = fit.groupBy("feature").agg(F.round(F.median("value"), 3).alias("fit_median"))
+    ranks = apply_ecdf(new, fit_ecdf(fit), mid=True).groupBy("feature").agg(F.round(F.avg("rank"), 3).alias("mean_fit_rank"))
+    median = lambda df, name: quantiles(df, "value", (0.5,), ("feature",)).select("feature", F.round(F.get("_q", F.lit(0)), 3).alias(name))
+    old = median(fit, "fit_median").join(median(new, "new_median"), "feature")
     ks = ks_statistic(fit, new).withColumn("ks", F.round("ks", 3))
     return old.join(ranks, "feature").join(ks, "feature").withColumn("shift", F.round(F.abs(F.col("mean_fit_rank") - 0.5), 3))
 

@@ -1,8 +1,9 @@
 """Empirical ranks fitted on some rows and applied to others, quantile cuts, halves.
 
 Ranks are right-continuous ECDF values; a feature that is constant where it was fitted
-ranks 0.5 everywhere. Everything runs in long form (feature, value), so no column is sorted
-in one task on its own.
+ranks 0.5 everywhere. Everything runs in long form (feature, value) on counts of distinct
+values. Each key's values are cut at approximate quantiles into pieces; a piece is sorted
+by itself and starts from the sums of the pieces before it, so no task holds a whole column.
 """
 
 from __future__ import annotations
@@ -10,18 +11,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PIECES = 256
+
 
 def melt(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     """Long form: ids, feature, value."""
     return df.unpivot(ids, [F.col(f).cast("double").alias(f) for f in features], "feature", "value")
 
 
-def _counts(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct values of each key with the number of rows up to and below each: the work grows with distinct values."""
-    own = Window.partitionBy(*keys)
+def _over(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of a table of a row (or a few hundred) for each key."""
+    return df.join(F.broadcast(small), keys) if keys else df.crossJoin(F.broadcast(small))
+
+
+def _grouped(df: DataFrame, keys: list[str]):
+    return df.groupBy(*keys) if keys else df.groupBy()
+
+
+def _piece(value: Column, cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c < value))
+
+
+def _cuts(tally: DataFrame, keys: list[str], *more: Column, pieces: int = PIECES) -> DataFrame:
+    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    return _grouped(tally, keys).agg(F.coalesce(F.percentile_approx("value", shares, F.lit(1000)), F.array().cast("array<double>")).alias("_cuts"), *more)
+
+
+def running(tally: DataFrame, keys: list[str], cols: tuple[str, ...] = ("n",), pieces: int = PIECES) -> DataFrame:
+    """``tally`` (distinct keys and ``value``) with ``distinct`` and, for each of ``cols``, ``upto_`` (its sum up to the value) and ``total_``."""
+    cuts = _cuts(tally, keys, F.count(F.lit(1)).alias("distinct"), *[F.sum(c).alias(f"total_{c}") for c in cols], pieces=pieces)
+    placed = _over(tally, cuts, keys).withColumn("_piece", _piece(F.col("value"), F.col("_cuts"))).drop("_cuts")
+    sums = placed.groupBy(*keys, "_piece").agg(*[F.sum(c).alias(c) for c in cols])
+    earlier = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # at most PIECES rows a key
+    before = sums.select(*keys, "_piece", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in cols])
+    run = Window.partitionBy(*keys, "_piece").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    joined = _over(placed, before, [*keys, "_piece"])
+    return joined.select(*tally.columns, "distinct", *[(F.col(f"_before_{c}") + F.sum(c).over(run)).alias(f"upto_{c}") for c in cols], *[f"total_{c}" for c in cols])
+
+
+def _counts(long: DataFrame, keys: list[str], pieces: int = PIECES) -> DataFrame:
+    """Distinct values of each key with the number of rows up to and below each."""
     tally = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return tally.select(*keys, "value", upto.alias("upto"), (upto - F.col("n")).alias("below"), F.sum("n").over(own).alias("total"), F.count(F.lit(1)).over(own).alias("distinct"))
+    return running(tally, keys, pieces=pieces).select(*keys, "value", F.col("upto_n").alias("upto"), (F.col("upto_n") - F.col("n")).alias("below"), F.col("total_n").alias("total"), "distinct")
 
 
 def self_rank(long: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
@@ -39,28 +70,52 @@ def fit_ecdf(long: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
 def apply_ecdf(long: DataFrame, ecdf: DataFrame, by: tuple[str, ...] = ("feature",), mid: bool = False) -> DataFrame:
     """``long`` with ``rank`` under fitted steps; 0 below the least fitted value, 0.5 without a fit.
 
-    Steps and distinct probe values are merged in one ordered run for each key, an as-of join
-    without a range condition. ``mid`` centres ties on their mass.
+    Steps and distinct probe values are merged in one ordered run for each piece of a key, an
+    as-of join without a range condition; a piece starts from the last step before it.
+    ``mid`` centres ties on their mass.
     """
     keys = list(by)
-    probes = long.select(*keys, "value").distinct().select(*keys, "value", F.lit(1).alias("probe"), *[F.lit(None).cast("long").alias(c) for c in ("upto", "total", "distinct")], F.lit(None).cast("double").alias("at"))
-    steps = ecdf.select(*keys, "value", F.lit(0).alias("probe"), *[F.col(c).cast("long").alias(c) for c in ("upto", "total", "distinct")], F.col("value").alias("at"))
-    run = Window.partitionBy(*keys).orderBy("value", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    merged = steps.unionByName(probes)
-    filled = merged.select(*keys, "value", "probe", F.last("upto", True).over(run).alias("seen"), F.last("at", True).over(run).alias("step"), F.max("total").over(whole).alias("n"), F.max("distinct").over(whole).alias("kinds"))
-    if mid:  # the rows below a probe are those up to its step, less the step's own where it is at the probe
-        low = merged.filter("probe = 0").select(*keys, F.col("value").alias("step"), (F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy(*keys).orderBy("value")), F.lit(0))).alias("own"))
-        filled = filled.join(low, [*keys, "step"], "left")
-        right = F.coalesce("seen", F.lit(0))
-        left = F.when(F.col("step") == F.col("value"), right - F.col("own")).otherwise(right)
-        rank = (left + right) / (2 * F.col("n"))
-    else:
-        rank = F.coalesce("seen", F.lit(0)) / F.col("n")
-    table = filled.filter("probe = 1").select(*keys, "value", F.when(F.col("n").isNull() | (F.col("kinds") == 1), 0.5).otherwise(rank).alias("rank"))
+    cuts = _cuts(ecdf, keys, F.max("total").alias("n"), F.max("distinct").alias("kinds"))
+    none = F.lit(None).cast("struct<at:double,upto:long,below:long>")
+    steps = ecdf.select(*keys, "value", F.lit(0).alias("probe"), F.struct(F.col("value").alias("at"), F.col("upto").cast("long").alias("upto"), F.col("below").cast("long").alias("below")).alias("step"))
+    probes = long.select(*keys, "value").distinct().select(*keys, "value", F.lit(1).alias("probe"), none.alias("step"))
+    both = steps.unionByName(probes)
+    # A key without a fit has no cuts: all its rows are one piece and rank 0.5.
+    merged = both.join(F.broadcast(cuts), keys, "left").withColumn("_piece", F.coalesce(_piece(F.col("value"), F.col("_cuts")), F.lit(0))).drop("_cuts")
+    last = merged.groupBy(*keys, "_piece").agg(F.max_by("step", F.when(F.col("probe") == 0, F.struct("value", "step.upto"))).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "_piece", F.last("_last", True).over(earlier).alias("_carried"))
+    run = Window.partitionBy(*keys, "_piece").orderBy("value", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    filled = merged.join(F.broadcast(carried), [*keys, "_piece"]).withColumn("_step", F.coalesce(F.last("step", True).over(run), F.col("_carried"))).filter("probe = 1")
+    right = F.coalesce(F.col("_step.upto"), F.lit(0))
+    left = F.when(F.col("_step.at") == F.col("value"), F.col("_step.below")).otherwise(right)
+    rank = (left + right) / (2 * F.col("n")) if mid else right / F.col("n")
+    table = filled.select(*keys, "value", F.when(F.col("n").isNull() | (F.col("kinds") == 1), 0.5).otherwise(rank).alias("rank"))
     return long.join(table, [*keys, "value"])
 
 
+def quantiles(df: DataFrame, value: str, shares, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, _q): the exact quantiles at ``shares``, linear between neighbours, as one array; empty without values.
+
+    ``shares`` is a list, or a table (by, shares array) of each key's own.
+    """
+    keys = list(by)
+    places = _counts(df.select(*keys, F.col(value).cast("double").alias("value")).filter("value is not null"), keys, 16 if keys else PIECES)  # many keys share the work already
+    if isinstance(shares, DataFrame):
+        places = _over(places, shares, keys)
+    else:
+        places = places.withColumn("shares", F.array(*[F.lit(float(s)) for s in shares]))
+    # The places that each share falls between, from 0; a value covers those of its rows.
+    at = F.transform("shares", lambda s, i: F.struct(i.alias("i"), (s * (F.col("total") - 1)).alias("place")))
+    covers = lambda p: (p >= F.col("below")) & (p < F.col("upto"))
+    touched = F.filter(at, lambda x: covers(F.floor(x["place"])) | covers(F.ceil(x["place"])))
+    ends = places.select(*keys, "value", "below", "upto", F.explode(touched).alias("t")).select(*keys, F.col("t.i").alias("i"), F.col("t.place").alias("place"), F.when(covers(F.floor("t.place")), F.col("value")).alias("low"), F.when(covers(F.ceil("t.place")), F.col("value")).alias("high"))
+    each = ends.groupBy(*keys, "i").agg(F.max("place").alias("place"), F.max("low").alias("low"), F.max("high").alias("high"))
+    share = F.col("place") - F.floor("place")
+    q = F.when(share == 0, F.col("low")).otherwise((F.ceil("place") - F.col("place")) * F.col("low") + share * F.col("high"))
+    return _grouped(each, keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))), lambda x: x["q"]).alias("_q"))
+
+
 def rank_columns(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     """Wide ranks: ids and one column for each feature."""
     return self_rank(melt(df, ids, features)).groupBy(*ids).pivot("feature", features).agg(F.max("rank"))
@@ -68,17 +123,14 @@ def rank_columns(df: DataFrame, ids: list[str], features: list[str]) -> DataFram
 
 def quantile_cut(df: DataFrame, score: str, cuts: tuple[float, float] = (0.55, 0.85), by: list[str] | None = None, out: str = "tier") -> DataFrame:
     """Tier 1, 2 or 3 by the score's linear-interpolated quantiles; a score on a cut takes the cheaper tier."""
-    q = F.percentile(F.col(score).cast("double"), F.array(*[F.lit(float(c)) for c in cuts]))
-    limits = (df.groupBy(*by) if by else df.groupBy()).agg(q.alias("_q"))
-    joined = df.join(limits, by) if by else df.crossJoin(F.broadcast(limits))
+    joined = _over(df, quantiles(df, score, cuts, tuple(by or ())), by or [])
     return joined.withColumn(out, F.when(F.col(score) <= F.col("_q")[0], 1).when(F.col(score) <= F.col("_q")[1], 2).otherwise(3)).drop("_q")
 
 
 def quantile_bucket(df: DataFrame, score: str, qs: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8), out: str = "bucket") -> DataFrame:
     """How many of the score's quantiles a row reaches; a score on a quantile moves up."""
-    limits = df.agg(F.percentile(F.col(score).cast("double"), F.array(*[F.lit(float(q)) for q in qs])).alias("_q"))
     reached: Column = sum(((F.col(score) >= F.col("_q")[i]).cast("int") for i in range(len(qs))), F.lit(0))
-    return df.crossJoin(F.broadcast(limits)).withColumn(out, reached).drop("_q")
+    return _over(df, quantiles(df, score, qs), []).withColumn(out, reached).drop("_q")
 
 
 def split_halves(df: DataFrame, order: str, out: str = "half") -> DataFrame:

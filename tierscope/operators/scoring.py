@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranks import melt, quantile_cut, self_rank
+from .ranks import melt, quantile_cut, quantiles, self_rank
 
 # ---- fixed values -------------------------------------------------------------
 GROUPS = {
@@ -130,20 +130,8 @@ def average_probs(a: DataFrame, b: DataFrame, w: float, id_col: str = "trajector
 
 def _interpolated(df: DataFrame, score: str, shares: DataFrame, by: list[str]) -> DataFrame:
     """(by, q1, q2): quantiles of ``score`` at data-driven shares (by, p1, p2), linear between neighbours."""
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    tally = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(own.orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-    placed = tally.select(*by, F.col(score).alias("_s"), (upto - 1).alias("_last"), (upto - F.col("_n")).alias("_first"), F.lead(score).over(own.orderBy(score)).alias("_next"), F.sum("_n").over(own).alias("_all"))
-    joined = placed.join(F.broadcast(shares), by) if by else placed.crossJoin(F.broadcast(shares))
-
-    def at(p: str) -> Column:
-        place = F.col(p) * (F.col("_all") - 1)
-        low = F.floor(place)
-        inside = (low >= F.col("_first")) & (low <= F.col("_last"))
-        above = F.when(low + 1 <= F.col("_last"), F.col("_s")).otherwise(F.coalesce("_next", F.col("_s")))
-        return F.max(F.when(inside, F.col("_s") + (above - F.col("_s")) * (place - low)))
-
-    return (joined.groupBy(*by) if by else joined.groupBy()).agg(at("p1").alias("q1"), at("p2").alias("q2"))
+    own = shares.select(*by, F.array("p1", "p2").alias("shares"))
+    return quantiles(df, score, own, tuple(by)).select(*by, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("q2"))
 
 
 def _marginals(df: DataFrame, label: str, by: list[str]) -> DataFrame:

@@ -309,9 +309,30 @@ def constant_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.reference_points(_policy(spark, sf_dir)))
 
 
-@query()
+def _unit_sql(*parts: str) -> str:
+    """The number in 0..1 that :func:`evaluate.unit_draw` takes from its parts."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
+def _cut_points_sql(source: str, score: str, by: str) -> str:
+    """Table ``pts`` (by, point, x, y): cost share and served share of every pair of quantile cuts of ``source``."""
+    cuts = evaluate.default_grid("cuts")
+    shares = sorted({min(x, 1.0) for g in cuts for x in g})
+    knobs = ", ".join(f"({i}, {shares.index(min(a, 1.0))}, {shares.index(min(b, 1.0))})" for i, (a, b) in enumerate(cuts))
+    return f"""q AS (SELECT {by}, quantile_cont({score}, {shares!r}) AS q FROM {source} GROUP BY {by}), cl AS (SELECT {by}, len(list_filter(q, lambda x: x < {score})) AS bin, difficulty, count(*) AS n, sum(c1) AS c1, sum(c2) AS c2, sum(c3) AS c3 FROM {source} JOIN q USING ({by}) GROUP BY ALL),
+k(point, i, j) AS (VALUES {knobs}), wd AS (SELECT *, CASE WHEN bin <= i THEN 1 WHEN bin <= j THEN 2 ELSE 3 END AS tier FROM cl, k), pts AS (SELECT {by}, point, sum(CASE tier WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END) / sum(c3) AS x, coalesce(sum(n) FILTER (tier >= difficulty), 0) / sum(n) AS y FROM wd GROUP BY {by}, point)"""
+
+
+def _area_sql(by: str) -> str:
+    """Table ``ar`` (by, auc) of the frontiers of ``pts``."""
+    return f"""bd AS (SELECT i, 0.25::DOUBLE + 0.01::DOUBLE * i AS budget FROM range(76) t(i)), en AS (SELECT {by}, i, coalesce(max(y) FILTER (x <= budget), 0) AS best FROM pts, bd GROUP BY {by}, i),
+sg AS (SELECT {by}, (lead(best) OVER (PARTITION BY {by} ORDER BY i) + best) / 2 * 0.01 AS a FROM en), ar AS (SELECT {by}, sum(a) / 0.75 AS auc FROM sg GROUP BY {by})"""
+
+
+@query(f"""WITH {_POLICY}, dr AS (SELECT p.*, draw, {_unit_sql('trajectory_id::VARCHAR', 'draw::VARCHAR')} AS u FROM p, range(100) t(draw)), {_cut_points_sql('dr', 'u', 'draw')}, {_area_sql('draw')}
+SELECT round(avg(auc), 6) AS auc_mean, round(quantile_cont(auc, 0.025), 6) AS auc_low, round(quantile_cont(auc, 0.975), 6) AS auc_high FROM ar""")
 def random_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluate.random_baseline(_policy(spark, sf_dir), evaluate.default_grid("cuts")[::12], n=20))
+    return rounded(evaluate.random_baseline(_policy(spark, sf_dir), evaluate.default_grid("cuts"), n=100))
 
 
 _ALPHAS = ", ".join(f"({i}, {g[0]!r}::DOUBLE)" for i, g in enumerate(evaluate.default_grid("alpha")))
@@ -332,14 +353,27 @@ def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = long.join(F.broadcast(groups), "feature").groupBy("trajectory_id", "grp").agg(F.avg("rank").alias("mean_rank"))
     sized = rows.withColumn("context_tokens", F.col("usr_tokens")).withColumn("gen_tokens", F.col("n_commas")).withColumn("n_llm_calls", F.col("n_lines"))
     labelled = rows.select("trajectory_id", "difficulty").join(costs.tier_costs(sized, io.tier_prices(spark)), "trajectory_id")
-    return rounded(evaluate.search_group_weights(means, labelled, evaluate.weight_draws(spark, 12, A.FEATURE_GROUPS), evaluate.default_grid("cuts")[::9]))
+    return rounded(evaluate.search_group_weights(means, labelled, evaluate.weight_draws(spark, 300, A.FEATURE_GROUPS), evaluate.default_grid("cuts")))
 
 
-@query()
+def _variants_sql() -> str:
+    names = list(scoring.METRIC_WEIGHTS)
+    ranked = ", ".join(f"{_rank_sql(f'{k}::DOUBLE')} AS r{i}" for i, k in enumerate(names))
+    drawn = ", ".join(f"{scoring.METRIC_WEIGHTS[k]!r}::DOUBLE * (0.5 + 1.5 * {_unit_sql('draw::VARCHAR', repr(k))}) AS w{i}" for i, k in enumerate(names))
+    total, weight = " + ".join(f"w{i} * r{i}" for i in range(len(names))), " + ".join(f"w{i}" for i in range(len(names)))
+    clip = lambda base, name: f"greatest(0.3, least(0.95, {base}::DOUBLE + 0.1 * {_unit_sql('draw::VARCHAR', repr(name))} - 0.05))"
+    at = lambda p: f"v[1 + floor({p} * (len(v) - 1))::INT] + (v[least(len(v), 2 + floor({p} * (len(v) - 1))::INT)] - v[1 + floor({p} * (len(v) - 1))::INT]) * ({p} * (len(v) - 1) - floor({p} * (len(v) - 1)))"
+    return f"""WITH {_TOOLS}, {_score_sql()}, {_GRADE.format(e=scoring.OVERRIDES['n_tool_errors'], c=scoring.OVERRIDES['n_tool_calls'])}, rk AS (SELECT trajectory_id, difficulty, n_tool_errors, n_tool_calls, {ranked} FROM graded), wt AS (SELECT draw, {drawn}, {clip(scoring.CUTS[0], 'low')} AS p1, greatest({clip(scoring.CUTS[0], 'low')} + 0.02, {clip(scoring.CUTS[1], 'high')}) AS p2 FROM range(30) t(draw)),
+sc AS (SELECT *, round(({total}) / ({weight}), 12) AS s2 FROM rk, wt), vs AS (SELECT draw, any_value(p1) AS p1, any_value(p2) AS p2, list_sort(list(s2)) AS v FROM sc GROUP BY draw), q AS (SELECT draw, {at('p1')} AS q1, {at('p2')} AS q2 FROM vs),
+d AS (SELECT draw, difficulty, CASE WHEN n_tool_errors >= {scoring.OVERRIDES['n_tool_errors']} OR n_tool_calls >= {scoring.OVERRIDES['n_tool_calls']} THEN 3 WHEN s2 <= q1 THEN 1 WHEN s2 <= q2 THEN 2 ELSE 3 END AS own FROM sc JOIN q USING (draw))
+SELECT draw, round(avg((own = difficulty)::INT), 6) AS agreement, round(avg((own = difficulty)::INT), 6) AS exact FROM d GROUP BY draw"""
+
+
+@query(_variants_sql())
 def evaluator_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = effort.log_metrics(A.tool_rows(spark, sf_dir))
     graded = scoring.grade(metrics)
-    return rounded(evaluate.evaluator_sensitivity(metrics, graded.withColumn("tier", F.col("difficulty")), n=10))
+    return rounded(evaluate.evaluator_sensitivity(metrics, graded.withColumn("tier", F.col("difficulty")), n=30))
 
 
 # ---- fold-calibrated cuts -------------------------------------------------------
@@ -460,31 +494,48 @@ def adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- off-policy -----------------------------------------------------------------
 def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' tool logs as tasks served by one of six models."""
+    """Users' tool logs as tasks served by one of seven models, the last of which serves few."""
     m = offpolicy.error_rate(effort.log_metrics(A.tool_rows(spark, sf_dir)))
-    return m.select("trajectory_id", F.concat(F.lit("m"), F.col("trajectory_id") % 6).alias("model"), F.col("gen_tokens").cast("double").alias("score"), "err_rate", F.col("max_repeat_streak").cast("double").alias("streak"))
+    return m.select("trajectory_id", F.concat(F.lit("m"), F.when(F.col("trajectory_id") % 40 == 0, 6).otherwise(F.col("trajectory_id") % 6)).alias("model"), F.col("gen_tokens").cast("double").alias("score"), "err_rate", F.col("max_repeat_streak").cast("double").alias("streak"))
 
 
-_LOGGED = f"{_TOOLS}, lg AS (SELECT trajectory_id, 'm' || (trajectory_id % 6) AS model, gen_tokens::DOUBLE AS score, n_tool_errors / greatest(n_tool_calls, 1) AS err_rate, max_repeat_streak::DOUBLE AS streak FROM m)"
+_LOGGED = f"{_TOOLS}, lg AS (SELECT trajectory_id, 'm' || (CASE WHEN trajectory_id % 40 = 0 THEN 6 ELSE trajectory_id % 6 END) AS model, gen_tokens::DOUBLE AS score, n_tool_errors / greatest(n_tool_calls, 1) AS err_rate, max_repeat_streak::DOUBLE AS streak FROM m)"
 _STRUGGLE = f"""{_LOGGED}, qq AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS q FROM lg), bk AS (SELECT lg.*, (score >= q[1])::INT + (score >= q[2])::INT + (score >= q[3])::INT + (score >= q[4])::INT AS bucket FROM lg, qq),
 z AS (SELECT model, CASE WHEN stddev_pop(err_rate) OVER b < 1e-9 THEN NULL ELSE (err_rate - avg(err_rate) OVER b) / stddev_pop(err_rate) OVER b END AS z1, CASE WHEN stddev_pop(streak) OVER b < 1e-9 THEN NULL ELSE (streak - avg(streak) OVER b) / stddev_pop(streak) OVER b END AS z2 FROM bk WINDOW b AS (PARTITION BY bucket)),
 st AS (SELECT model, coalesce((coalesce(sum(z1), 0) + coalesce(sum(z2), 0)) / nullif(count(z1) + count(z2), 0), 0) AS struggle FROM z GROUP BY model)"""
 
 
-@query(f"WITH {_STRUGGLE}, cn AS (SELECT model, count(*) AS n FROM lg GROUP BY model), o AS (SELECT *, row_number() OVER (ORDER BY round(struggle, 9), model) - 1 AS pos, count(*) OVER () AS k FROM st JOIN cn USING (model)) SELECT model, n, round(struggle, 6) AS struggle, CASE WHEN pos < k / 3 THEN 3 WHEN pos < 2 * k / 3 THEN 2 ELSE 1 END AS tier, true AS solid FROM o")
+def _map_sql(min_n: int, struggles: str = "st", counts: str = "cn") -> str:
+    """Tables ``o`` (all models by place) and ``mp`` (model, n, struggle, tier, solid)."""
+    return f"""o AS (SELECT *, row_number() OVER (ORDER BY round(struggle, 9), model) - 1 AS pos, n >= {min_n} OR max(n) OVER () < {min_n} AS solid FROM {struggles} JOIN {counts} USING (model)), so AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS nth, count(*) OVER () AS k FROM o WHERE solid),
+sd AS (SELECT model, pos, CASE WHEN nth < k / 3 THEN 3 WHEN nth < 2 * k / 3 THEN 2 ELSE 1 END AS tier FROM so), nr AS (SELECT o.model, arg_min(sd.tier, abs(sd.pos - o.pos) * 1000 + sd.pos) AS near FROM o, sd GROUP BY o.model), mp AS (SELECT model, n, struggle, coalesce(sd.tier, near) AS tier, solid FROM o LEFT JOIN sd USING (model) JOIN nr USING (model))"""
+
+
+_COUNTS = "cn AS (SELECT model, count(*) AS n FROM lg GROUP BY model)"
+
+
+def _mapped(rows: DataFrame) -> DataFrame:
+    return offpolicy.tier_map(offpolicy.struggle(rows), rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(f"WITH {_STRUGGLE}, {_COUNTS}, {_map_sql(15)} SELECT model, n, round(struggle, 6) AS struggle, tier, solid FROM mp")
 def model_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = offpolicy.with_bucket(_logged(spark, sf_dir))
-    return rounded(offpolicy.tier_map(offpolicy.struggle(rows), rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")), min_n=2))
+    return rounded(_mapped(offpolicy.with_bucket(_logged(spark, sf_dir))))
 
 
-@query()
+_WEIGHT = " + ".join(f"(u >= {p!r})::INT" for p in offpolicy._POISSON)
+
+
+@query(f"""WITH {_STRUGGLE}, {_COUNTS}, {_map_sql(15)}, bu AS (SELECT model, bucket, err_rate, streak, replicate, {_unit_sql('trajectory_id::VARCHAR', 'replicate::VARCHAR')} AS u FROM bk, range(200) t(replicate)), bw AS (SELECT *, {_WEIGHT} AS w FROM bu), lo AS (SELECT replicate, model, bucket, w, 'e' AS sig, err_rate AS v FROM bw WHERE w > 0 UNION ALL SELECT replicate, model, bucket, w, 's', streak FROM bw WHERE w > 0),
+ce AS (SELECT replicate, model, bucket, sig, sum(w) AS n, sum(w * v) AS s, sum(w * v * v) AS s2 FROM lo GROUP BY ALL), mm AS (SELECT *, sum(s) OVER b / sum(n) OVER b AS m, sum(s2) OVER b / sum(n) OVER b AS m2 FROM ce WINDOW b AS (PARTITION BY replicate, bucket, sig)), dv AS (SELECT *, sqrt(greatest(m2 - m * m, 0)) AS dev FROM mm),
+bs AS (SELECT replicate, model, coalesce(sum((s - n * m) / dev) FILTER (dev >= 1e-9) / nullif(sum(n) FILTER (dev >= 1e-9), 0), 0) AS struggle FROM dv GROUP BY replicate, model), bp AS (SELECT replicate, model, mp.tier AS own, row_number() OVER (PARTITION BY replicate ORDER BY round(bs.struggle, 9), model) - 1 AS nth, count(*) OVER (PARTITION BY replicate) AS k FROM bs JOIN mp USING (model) WHERE solid),
+sb AS (SELECT model, avg((own = CASE WHEN nth < k / 3 THEN 3 WHEN nth < 2 * k / 3 THEN 2 ELSE 1 END)::INT) AS stability FROM bp GROUP BY model) SELECT model, n, round(struggle, 6) AS struggle, tier, solid, round(coalesce(stability, 0), 6) AS stability FROM mp LEFT JOIN sb USING (model)""")
 def tier_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offpolicy.with_bucket(_logged(spark, sf_dir))
-    mapped = offpolicy.tier_map(offpolicy.struggle(rows), rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")), min_n=2)
-    return rounded(offpolicy.tier_stability(rows, mapped, n=50, min_n=2))
+    return rounded(offpolicy.tier_stability(rows, _mapped(rows)))
 
 
-@query()
+@query(f"""WITH {_STRUGGLE.replace("lg AS (", "l0 AS (", 1).replace(", qq AS", ", lg AS (SELECT * EXCLUDE place FROM (SELECT *, row_number() OVER (ORDER BY trajectory_id) - 1 AS place FROM l0) WHERE place % 2 = 0), qq AS", 1)}, {_COUNTS}, {_map_sql(8)} SELECT model, n, round(struggle, 6) AS struggle, tier, solid FROM mp""")
 def half_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(offpolicy.split_half_map(_logged(spark, sf_dir)))
 
@@ -516,9 +567,21 @@ def interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(offpolicy.diff_in_diff(_cells(spark, sf_dir)).drop("least"))
 
 
-@query()
+def _did_weighted_sql(v: str) -> str:
+    cell = lambda h, lo: f"sum(w * {v}) FILTER ({'' if h else 'NOT '}hard AND {'' if lo else 'NOT '}low) / nullif(sum(w) FILTER ({'' if h else 'NOT '}hard AND {'' if lo else 'NOT '}low), 0)"
+    return f"({cell(1, 1)} - {cell(1, 0)}) - ({cell(0, 1)} - {cell(0, 0)})"
+
+
+_LEAST = ", ".join(f"coalesce(sum(w) FILTER ({h}hard AND {lo}low), 0)" for h in ("", "NOT ") for lo in ("", "NOT "))
+
+
+@query(f"""WITH {_CELLS}, cu AS (SELECT cl.*, replicate, {_unit_sql('trajectory_id::VARCHAR', 'replicate::VARCHAR')} AS u FROM cl, range(5000) t(replicate)), cw AS (SELECT *, {_WEIGHT} AS w FROM cu), rp AS (SELECT replicate, {_did_weighted_sql('err_rate')} AS e, {_did_weighted_sql('streak')} AS s, least({_LEAST}) AS fewest FROM cw WHERE w > 0 GROUP BY replicate),
+ci AS (SELECT quantile_cont(e, [0.025, 0.975]) AS qe, quantile_cont(s, [0.025, 0.975]) AS qs, count(*) AS n_boot FROM rp WHERE fewest >= 5), pt AS (SELECT {_did_sql('err_rate')} AS did_err, {_did_sql('streak')} AS did_streak FROM cl),
+al AS (SELECT did_err, did_streak, n_boot, qe[1] AS err_low, qe[2] AS err_high, coalesce(qe[1] > 0 OR qe[2] < 0, false) AS err_significant, qs[1] AS streak_low, qs[2] AS streak_high, coalesce(qs[1] > 0 OR qs[2] < 0, false) AS streak_significant FROM pt, ci)
+SELECT round(did_err, 6) AS did_err, round(did_streak, 6) AS did_streak, n_boot, round(err_low, 6) AS err_low, round(err_high, 6) AS err_high, err_significant, round(streak_low, 6) AS streak_low, round(streak_high, 6) AS streak_high, streak_significant,
+CASE WHEN err_significant AND did_err > 0 AND streak_significant AND did_streak > 0 THEN 'SUPPORTED' WHEN (err_significant AND did_err > 0) OR (streak_significant AND did_streak > 0) THEN 'PARTIALLY SUPPORTED' WHEN (err_significant AND did_err < 0) OR (streak_significant AND did_streak < 0) THEN 'REFUTED-DIRECTION' ELSE 'INCONCLUSIVE' END AS verdict FROM al""")
 def interaction_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(offpolicy.diff_in_diff_ci(_cells(spark, sf_dir), n=100, block=100))
+    return rounded(offpolicy.diff_in_diff_ci(_cells(spark, sf_dir)))
 
 
 @query()
@@ -527,16 +590,19 @@ def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offpolicy.matched_pairs(rows, max_gap=0.05, limit=None)
 
 
-@query(f"""WITH {_TEXT_SQL}, long AS (UNPIVOT (SELECT trajectory_id, {", ".join(f"{f}::DOUBLE AS {f}" for f in A.FEATURES)} FROM t) ON {", ".join(A.FEATURES)} INTO NAME feature VALUE value), f AS (SELECT * FROM long WHERE trajectory_id % 2 = 0), w AS (SELECT * FROM long WHERE trajectory_id % 2 = 1),
+_SHIFT = f"""{_TEXT_SQL}, long AS (UNPIVOT (SELECT trajectory_id, {", ".join(f"{f}::DOUBLE AS {f}" for f in A.FEATURES)} FROM t) ON {", ".join(A.FEATURES)} INTO NAME feature VALUE value),
 v AS (SELECT feature, value, count_if(trajectory_id % 2 = 0) AS a, count_if(trajectory_id % 2 = 1) AS b FROM long GROUP BY feature, value), g AS (SELECT feature, abs(sum(a) OVER o / sum(a) OVER (PARTITION BY feature) - sum(b) OVER o / sum(b) OVER (PARTITION BY feature)) AS gap FROM v WINDOW o AS (PARTITION BY feature ORDER BY value)),
-ks AS (SELECT feature, round(max(gap), 3) AS ks FROM g GROUP BY feature), md AS (SELECT feature, round(median(value) FILTER (trajectory_id % 2 = 0), 3) AS fit_median, round(median(value) FILTER (trajectory_id % 2 = 1), 3) AS new_median FROM long GROUP BY feature)
-SELECT feature, fit_median, new_median, ks FROM md JOIN ks USING (feature)""")
+ks AS (SELECT feature, round(max(gap), 3) AS ks FROM g GROUP BY feature), md AS (SELECT feature, round(median(value) FILTER (trajectory_id % 2 = 0), 3) AS fit_median, round(median(value) FILTER (trajectory_id % 2 = 1), 3) AS new_median FROM long GROUP BY feature)"""
+
+
+@query(f"WITH {_SHIFT} SELECT feature, fit_median, new_median, ks FROM md JOIN ks USING (feature)")
 def shift_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = ranks.melt(A.text_features(spark, sf_dir), ["trajectory_id"], A.FEATURES)
     return offpolicy.shift_report(long.filter("trajectory_id % 2 = 0"), long.filter("trajectory_id % 2 = 1")).select("feature", "fit_median", "new_median", "ks")
 
 
-@query()
+@query(f"""WITH {_SHIFT}, rk AS (SELECT feature, b, CASE WHEN count_if(a > 0) OVER (PARTITION BY feature) = 1 THEN 0.5 ELSE (2 * sum(a) OVER (PARTITION BY feature ORDER BY value) - a) / (2 * sum(a) OVER (PARTITION BY feature)) END AS r FROM v), mr AS (SELECT feature, round(sum(r * b) / sum(b), 3) AS mean_fit_rank FROM rk GROUP BY feature)
+SELECT feature, fit_median, new_median, mean_fit_rank, ks, round(abs(mean_fit_rank - 0.5), 3) AS shift FROM md JOIN ks USING (feature) JOIN mr USING (feature) ORDER BY shift DESC, feature LIMIT 5""")
 def largest_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = ranks.melt(A.text_features(spark, sf_dir), ["trajectory_id"], A.FEATURES)
     return offpolicy.top_shifts(offpolicy.shift_report(long.filter("trajectory_id % 2 = 0"), long.filter("trajectory_id % 2 = 1")), 5)
@@ -549,20 +615,20 @@ def detector_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- text models ----------------------------------------------------------------
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 2) AS ws FROM documents WHERE lang = 'en'), g AS (SELECT doc_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])) AS term FROM w),
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 2) AS ws FROM documents), g AS (SELECT doc_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])) AS term FROM w),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM w), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n)
 SELECT doc_id AS id, count(*) AS terms, round(max(w / l), 6) AS heaviest FROM x JOIN (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY doc_id) USING (doc_id) GROUP BY doc_id""")
 def word_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " ").alias("text"))
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " ").alias("text"))
     weights = ml.tfidf(docs, "text", ml.tfidf_fit(docs, "text"))
     return rounded(weights.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.max("weight").alias("heaviest")))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws FROM (SELECT doc_id, lower(text) AS text FROM documents WHERE lang = 'en')), p AS (SELECT doc_id, ' ' || unnest(ws) || ' ' AS w FROM w),
-g AS (SELECT doc_id, substr(w, i, k) AS term FROM p, (VALUES (3), (4)) z(k), range(1, 200) r(i) WHERE i <= greatest(length(w) - k + 1, 1)), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3) SELECT term, df, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM df, (SELECT count(*) AS n FROM w)""")
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws FROM (SELECT doc_id, lower(text) AS text FROM documents)), p AS (SELECT doc_id, ' ' || unnest(ws) || ' ' AS w FROM w),
+z(k) AS (VALUES (3), (4), (5)), gi AS (SELECT doc_id, w, k, unnest(range(1, greatest(length(w) - k + 1, 1) + 1)) AS i FROM p, z), g AS (SELECT doc_id, substr(w, i, k) AS term FROM gi), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3) SELECT term, df, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM df, (SELECT count(*) AS n FROM w)""")
 def char_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
-    return rounded(ml.tfidf_fit(docs, "text", (3, 4), "char_wb", min_df=3))
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rounded(ml.tfidf_fit(docs, "text", (3, 5), "char_wb", min_df=3))
 
 
 def _ranked_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -584,9 +650,9 @@ def method_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trajectory_id"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)])
+    vectors = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trajectory_id"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
     scored = vectors.withColumn("score", (F.col("x0") + F.col("x1")) / 2)
-    return scoring.cluster_tiers(scored, [f"x{i}" for i in range(16)], "score").select("trajectory_id", "tier")
+    return scoring.cluster_tiers(scored, [f"x{i}" for i in range(64)], "score").select("trajectory_id", "tier")
 
 
 @query()
