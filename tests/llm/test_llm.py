@@ -442,8 +442,9 @@ def test_near_dedup_against_exact_jaccard(spark, monkeypatch):
     kept, alone = {r.doc_id for r in pipe.near_dedup(spark, df, SF).collect()}, {d for d, r in want.items() if d == r}
     # No document goes without a link of 0.8; of those that should, 98 of 100 at least do.
     assert kept >= alone and len(alone) < len(rows) - 100 and len(kept - alone) <= 0.02 * (len(rows) - len(alone))
-    for crowd in (2, 512):  # 2: nearly every shared point is split into blocks
+    for crowd, dense in ((2, 0), (512, 10**6)):  # 2: nearly every shared point is split; 0: whole blocks are sent
         monkeypatch.setattr(near_dedup, "CROWD", crowd)
+        monkeypatch.setattr(near_dedup, "DENSE", dense)
         got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, recall=0.9999).collect()}
         assert got == want
 

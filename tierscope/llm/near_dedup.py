@@ -37,6 +37,8 @@ _SHORT = np.uint64(0xA24BAED4963EE407)
 CROWD = 512
 #: Classes and bytes of shingle sets in a block of the second pass.
 BLOCK, BLOCK_BYTES = 256, 1 << 20
+#: Pairs of two blocks from which on whole blocks are sent; fewer are sent pair by pair.
+DENSE = 128
 BUFFER = 1 << 19
 
 
@@ -274,7 +276,7 @@ def _blocked(classes: DataFrame, cluster: DataFrame) -> DataFrame:
 
 
 def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, plan: Plan) -> DataFrame:
-    """(left, right, pairs): blocks, and which of their classes are of different components, share a point and are near on the last lane.
+    """(left, right, pairs, n): blocks, and which n pairs of their classes are of different components, share a point and are near on the last lane.
 
     ``pairs`` holds 16-bit numbers, the left slot times ``BLOCK`` plus the right one.
 
@@ -332,8 +334,14 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
     shaped = plain.select("point", F.lit(0).alias("left"), F.lit(-1).alias("right"), F.lit(0).alias("side"), "cid", "f", "component")
     if n_crowd:
         shaped = shaped.unionByName(lefts).unionByName(rights)
+    def unique(batches):
+        for batch in batches:
+            codes = [np.unique(np.frombuffer(b"".join(blobs), np.uint16)) for blobs in batch.column("pairs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([len(c) for c in codes], pa.int32())], ["left", "right", "pairs", "n"])
+
     dealt = shaped.repartition(shuffle_partitions(classes.sparkSession), "point", "left", "right").sortWithinPartitions("point", "left", "right", "side")
-    return dealt.mapInArrow(meet, "left long, right long, pairs binary").groupBy("left", "right").agg(F.collect_list("pairs").alias("pairs"))
+    gathered = dealt.mapInArrow(meet, "left long, right long, pairs binary").groupBy("left", "right").agg(F.collect_list("pairs").alias("pairs"))
+    return gathered.mapInArrow(unique, "left long, right long, pairs binary, n int")
 
 
 def _across(starts: np.ndarray, cut: int, rows: list[np.ndarray], most: int):
@@ -419,13 +427,30 @@ def _verified(marked: DataFrame, classes: DataFrame, pairs: DataFrame, plan: Pla
     return out
 
 
+def _numbers(batch: pa.RecordBatch):
+    """(left, right, numbers of the pairs) of each row."""
+    for left, right, blob in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+        yield left, right, np.frombuffer(blob, np.uint16).astype(np.int64)
+
+
+def _single_pairs(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that block pairs (left, right, pairs) hold."""
+
+    def each(batches):
+        for batch in batches:
+            for left, right, code in _numbers(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(left * BLOCK + code // BLOCK), pa.array(right * BLOCK + code % BLOCK)], ["x", "y"])
+
+    at = lambda place, name: classes.select((F.col("block") * BLOCK + F.col("slot")).alias(place), F.col("cid").alias(name))
+    return met.mapInArrow(each, "x long, y long").join(at("x", "p"), "x").join(at("y", "q"), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
 def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan: Plan, n_words: int, least: Fraction, extra: dict[str, str]) -> DataFrame:
     """Links (a, b) among the pairs of blocks (left, right, pairs), decided like those of :func:`_verified`; as many as join the components."""
 
     def named(batches):
         for batch in batches:
-            for left, right, blobs in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                code = np.unique(np.frombuffer(b"".join(blobs), np.uint16)).astype(np.int64)
+            for left, right, code in _numbers(batch):
                 ids = np.unique(np.concatenate((left * BLOCK + code // BLOCK, right * BLOCK + code % BLOCK)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids)], ["at"])
 
@@ -438,7 +463,7 @@ def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan:
     def decide(batches):
         for batch in batches:
             for k in range(len(batch)):
-                code = np.unique(np.frombuffer(b"".join(batch.column("pairs")[k].as_py()), np.uint16)).astype(np.int64)
+                code = np.frombuffer(batch.column("pairs")[k].as_py(), np.uint16).astype(np.int64)
                 one, other = (_block_arrays(batch.column(c)[k], plan.lanes) for c in ("rows_l", "rows_r"))
                 i, j = code // BLOCK, code % BLOCK
                 n, m = one[2][i], other[2][j]
@@ -503,11 +528,15 @@ def _grouped(docs: DataFrame, n_words: int, least: Fraction, recall: float) -> t
     cluster = components(pairs).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
     blocked = written(_blocked(search, cluster), "blocked")
     more = written(_second_meetings(blocked, comp(), met.filter("cid is null"), plan), "blockpairs")
-    if not more.isEmpty():
-        again = _across_blocks(marked, blocked, more, plan, n_words, least, extra)
+    found = []
+    for part, decide in ((more.filter(F.col("n") > DENSE), lambda p: _across_blocks(marked, blocked, p, plan, n_words, least, extra)), (more.filter(F.col("n") <= DENSE), lambda p: _verified(marked, search, _single_pairs(p, blocked), plan, n_words, least, extra))):
+        if not part.isEmpty():
+            found.append(decide(part))
+    if found:
+        again = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         if not again.isEmpty():
             member = components(links.unionByName(again))
-        drop_written(again)
+        drop_written(*found)
     drop_written(met, pairs, more, links, blocked)
     classes = classes.join(comp(), "cid", "left").select("digest", "first", F.coalesce("component", "cid").alias("component"))
     return marked, classes, extra
