@@ -39,6 +39,8 @@ CROWD = 512
 BLOCK, BLOCK_BYTES = 256, 1 << 20
 #: Pairs of two blocks from which on whole blocks are sent; fewer are sent pair by pair.
 DENSE = 128
+#: Two to this power blocks form a tile; dense block pairs of two tiles are decided together.
+TILE = 3
 BUFFER = 1 << 19
 
 
@@ -449,10 +451,14 @@ def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan:
     """Links (a, b) among the pairs of blocks (left, right, pairs), decided like those of :func:`_verified`; as many as join the components."""
 
     def named(batches):
+        held = np.zeros(0, np.int64)
         for batch in batches:
             for left, right, code in _numbers(batch):
-                ids = np.unique(np.concatenate((left * BLOCK + code // BLOCK, right * BLOCK + code % BLOCK)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids)], ["at"])
+                held = np.unique(np.concatenate((held, left * BLOCK + code // BLOCK, right * BLOCK + code % BLOCK)))
+                if len(held) > BUFFER:
+                    yield pa.RecordBatch.from_arrays([pa.array(held)], ["at"])
+                    held = held[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held)], ["at"])
 
     at = F.col("block") * BLOCK + F.col("slot")
     wanted = classes.join(met.mapInArrow(named, "at long").distinct(), at == F.col("at"), "left_semi")
@@ -461,10 +467,16 @@ def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan:
     blocks = written(members.groupBy("block").agg(F.collect_list(F.struct("slot", "cid", "print", "shingles")).alias("rows")), "blocks")
 
     def decide(batches):
+        tile, held = None, {}
         for batch in batches:
-            for k in range(len(batch)):
+            for k, (one_tile, other_tile, left, right) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("tl", "tr", "left", "right")], strict=True)):
+                if (one_tile, other_tile) != tile:
+                    tile, held = (one_tile, other_tile), {}
+                if right is None:
+                    held[left] = _block_arrays(batch.column("rows")[k], plan.lanes)
+                    continue
                 code = np.frombuffer(batch.column("pairs")[k].as_py(), np.uint16).astype(np.int64)
-                one, other = (_block_arrays(batch.column(c)[k], plan.lanes) for c in ("rows_l", "rows_r"))
+                one, other = held[left], held[right]
                 i, j = code // BLOCK, code % BLOCK
                 n, m = one[2][i], other[2][j]
                 ok = (np.bitwise_count(one[1][i] ^ other[1][j]).sum(axis=1, dtype=np.int64) <= plan.most) & (n * least.denominator >= m * least.numerator) & (m * least.denominator >= n * least.numerator)
@@ -479,9 +491,14 @@ def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    side = lambda c, v: blocks.select(F.col("block").alias(c), F.col("rows").alias(v))
-    whole = met.join(side("left", "rows_l"), "left").join(side("right", "rows_r"), "right")
-    out = written(whole.select("pairs", "rows_l", "rows_r").mapInArrow(decide, "a long, b long"), "links")
+    # A tile's blocks come first, then its block pairs, so a task holds the blocks of two tiles.
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    tiled = met.select(F.shiftright("left", TILE).alias("tl"), F.shiftright("right", TILE).alias("tr"), "left", "right", "pairs")
+    needed = tiled.select("tl", "tr", F.explode(F.array("left", "right")).alias("block")).distinct()
+    sent = needed.join(blocks, "block").select("tl", "tr", F.col("block").alias("left"), none("long", "right"), none("binary", "pairs"), "rows")
+    both = sent.unionByName(tiled.withColumn("rows", F.lit(None).cast(blocks.schema["rows"].dataType)))
+    dealt = both.repartition(shuffle_partitions(marked.sparkSession), "tl", "tr").sortWithinPartitions("tl", "tr", "right")
+    out = written(dealt.mapInArrow(decide, "a long, b long"), "links")
     drop_written(held, blocks)
     return out
 
