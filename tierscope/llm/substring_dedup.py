@@ -2,10 +2,9 @@
 
 Winnowing picks anchors: hashes of short word runs, at least one within any passage of the
 threshold length. Each anchor is extended to both sides, to every passage of that length
-around it. Passages that reach further to the right meet under the hash of the anchor with
-the words after it that they all hold, the others under that with the words before it, so
-a short common line is no crowded key. Of equal passages all but the earliest occurrence
-are repeats; runs of overlapping repeats merge into maximal ones.
+around it, and occurrences of the same anchor meet. An anchor is long enough that a short
+common line is no crowded key. Of equal passages all but the earliest occurrence are
+repeats; runs of overlapping repeats merge into maximal ones.
 """
 
 from __future__ import annotations
@@ -50,8 +49,7 @@ def seeds(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     """(key, window hash, row, start, anchor's place) of every window of each text.
 
     ``hashes`` are the word hashes of all texts end to end, ``bounds`` the word offsets.
-    Windows do not cross texts. The key is the hash of the anchor with the words that all
-    windows which hold it on the same side share.
+    Windows do not cross texts. The key is the anchor's hash.
     """
     starts = np.arange(max(0, len(hashes) - window + 1))
     row = np.searchsorted(bounds, starts, side="right") - 1
@@ -61,12 +59,9 @@ def seeds(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int):
         empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     whole = runs(hashes, window)[starts]
-    place = _least(runs(hashes, gram), window - gram + 1)[starts]
-    half = (window - gram + 1) // 2
-    before = place - starts >= half
-    key = np.empty(len(starts), np.uint64)
-    key[before] = runs(hashes, half + gram)[place[before] - half]
-    key[~before] = ~runs(hashes, window - half + 1)[place[~before]]
+    grams = runs(hashes, gram)
+    place = _least(grams, window - gram + 1)[starts]
+    key = grams[place]
     return key, whole, row, starts, place
 
 
@@ -128,7 +123,7 @@ class _Seen:
             self.keys, self.at = keys, np.concatenate((self.at, at))[first]
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     """(doc_id, text_key, start, end): word spans covered by windows whose words also start earlier in the corpus.
 
     A window is known by its key (64 bits), its anchor's place in it and its own hash (64
@@ -258,7 +253,7 @@ def _decided(x: list[np.ndarray], cut: int, window: int):
     yield _spans_batch(d[lead], t[lead], s, e)
 
 
-def drop_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, spans (removed word ranges), kept_text.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A word goes when a window of ``window`` words that covers
