@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tierscope.llm import decontaminate, exact_dedup, language, near_dedup, packing, quality, queries, scan, sharding, simhash, substring_dedup, toxicity, url_templates
-from tierscope.llm.components import components
+from tierscope.llm.components import components, forest
 from tierscope.llm.scan import text_bytes, words
 
 SF = "/root/testdata/sf0.001"
@@ -364,6 +364,33 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_match_union_find(spark):
+    rng = np.random.default_rng(5)
+    chain = [(k, k + 1) for k in range(1000, 1200)]
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 400, (260, 2))] + chain + chain[:9] + [(b, a) for a, b in chain[:9]]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(int(a)), find(int(b))
+        root[max(a, b)] = min(a, b)
+    linked = {int(x) for a, b in edges if a != b for x in (a, b)}
+    got = components(spark.createDataFrame([tuple(map(int, e)) for e in edges], "a long, b long").repartition(7)).collect()
+    assert len(got) == len(linked)
+    assert {r.node: r.component for r in got} == {x: find(x) for x in linked}
+
+
+def test_forest_connects_what_its_edges_do():
+    a, b = forest(np.array([5, 9, 7, 3, 3], np.int64), np.array([9, 7, 5, 4, 3], np.int64))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(4, 3), (7, 5), (9, 5)]
+    assert not len(forest(np.zeros(0, np.int64), np.zeros(0, np.int64))[0])
+
+
 def test_simhash_edges(spark, odd):
     got = simhash.simhash_groups(odd, 5, 4, 34).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (2, 3, 4)} == {2}

@@ -552,7 +552,8 @@ def _grouped(docs: DataFrame, n_words: int, least: Fraction, recall: float) -> t
     if found:
         again = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         if not again.isEmpty():
-            member = components(links.unionByName(again))
+            stars = member.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            member = components(stars.unionByName(again))
         drop_written(*found)
     drop_written(met, pairs, more, links, blocked)
     classes = classes.join(comp(), "cid", "left").select("digest", "first", F.coalesce("component", "cid").alias("component"))
