@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the given tables, and their SQL where SQL can express them."""
+"""The queries op1 to op13 over the given tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, packing, quality, sharding, simhash, substring_dedup, toxicity, url_templates
+from . import decontaminate, exact_dedup, language, packing, pivot_search, prefix_trie, quality, sharding, simhash, substring_dedup, token_alignment, toxicity, url_templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_exact_dedup, op2_url_filter, op3_best_fit_packing, op4_substring_dedup, op5_simhash, op6_quality, op7_language, op8_toxicity, op9_hilbert_shards, op10_decontaminate)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0, k=5, scale=256.0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    q.__name__: q
+    for q in (
+        op1_exact_dedup, op2_url_filter, op3_best_fit_packing, op4_substring_dedup, op5_simhash, op6_quality, op7_language, op8_toxicity, op9_hilbert_shards, op10_decontaminate,
+        op11_token_alignment, op12_pivot_search, op13_prefix_trie,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -96,4 +116,21 @@ n AS (SELECT doc_id, count(*) AS n_hit FROM p GROUP BY doc_id),
 m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM h GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op12_pivot_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # CRC-32 bit by bit (reflected polynomial 0xEDB88320); nodes by the lists of turns themselves.
+    "op13_prefix_trie": """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST)::INT AS i, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda k: ascii(k)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda k, bit: xor(k >> 1, (k & 1) * 3988292384)))) % 6 AS h FROM t),
+re AS (SELECT c.conv_id, t.i, t.r, t.x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.i <= h UNION ALL SELECT conv_id, i + 10, r, x FROM c JOIN t USING (conv_id) WHERE i > h),
+s AS (SELECT conv_id, coalesce(any_value(l), []) AS s FROM c LEFT JOIN (SELECT conv_id, list({'r': r, 'x': x} ORDER BY i) AS l FROM re GROUP BY conv_id) USING (conv_id) GROUP BY conv_id),
+m AS (SELECT conv_id, len(s) AS n, unnest(range(len(s) + 1)) AS d, s FROM s),
+node AS (SELECT d, s[1:d] AS p, min(conv_id) AS least, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM m GROUP BY ALL),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+own AS (SELECT node.*, coalesce(kids.n, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(node.p[d].x) ELSE 0 END AS saved FROM node LEFT JOIN kids USING (p)),
+up AS (SELECT *, unnest(range(d + 1)) AS a FROM own), sums AS (SELECT p[1:a] AS p, sum(saved)::BIGINT AS saved_tokens, count_if(n_children = 0) AS n_leaves FROM up GROUP BY ALL)
+SELECT own.least AS conv_id, own.d AS depth, parent.least AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends AS ends_sha256 FROM own JOIN sums USING (p) LEFT JOIN own parent ON own.d > 0 AND parent.p = own.p[1:own.d - 1]""",
 }
