@@ -33,7 +33,7 @@ def test_matches_sql(spark, name):
 
 
 # ---- 12 ---------------------------------------------------------------------------
-@pytest.mark.parametrize(("seed", "n", "size"), [(0, 400, 1), (1, 900, 40), (2, 7, 1), (3, 300, 1e7)])
+@pytest.mark.parametrize(("seed", "n", "size"), [(0, 400, 1), (1, 900, 40), (2, 7, 1), (3, 300, 1e6)])
 def test_pivot_search_is_exact(spark, monkeypatch, seed, n, size):
     monkeypatch.setattr(pivot_search, "CANDIDATES", 64)
     monkeypatch.setattr(pivot_search, "QUERIES", 8)
