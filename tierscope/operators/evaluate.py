@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scoring
-from .ranks import melt, quantiles, running, self_rank
+from .ranks import melt, over, places, quantile_cut, quantiles, running, self_rank
 
 BUDGETS = [0.25 + 0.01 * i for i in range(76)]
 
@@ -107,7 +107,7 @@ def cut_points(df: DataFrame, score: str, cuts: list, by: tuple[str, ...] = (),
     shares = sorted({min(x, 1.0) for g in cuts for x in g})
     at = {s: i for i, s in enumerate(shares)}
     q = quantiles(df, score, shares, by)
-    marked = (df.join(F.broadcast(q), keys) if keys else df.crossJoin(F.broadcast(q))).withColumn("_bin", F.size(F.filter("_q", lambda x: x < F.col(score))))
+    marked = over(df, q, keys).withColumn("_bin", places(F.col("_q"), len(shares), lambda x: x < F.col(score)))
     cells = marked.groupBy(*keys, "_bin", label).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in ("c1", "c2", "c3")])
     knobs = df.sparkSession.createDataFrame([(i, float(a), float(b), at[min(a, 1.0)], at[min(b, 1.0)]) for i, (a, b) in enumerate(cuts)], "point int, knob double, knob2 double, _i int, _j int")
     tier = F.when(F.col("_bin") <= F.col("_i"), 1).when(F.col("_bin") <= F.col("_j"), 2).otherwise(3)
@@ -121,8 +121,6 @@ def sweep_alpha(df: DataFrame, ml: str, heuristic: str, grid: list | None = None
     ranks = self_rank(melt(df, [id_col], [ml, heuristic])).groupBy(id_col).agg(F.max(F.when(F.col("feature") == ml, F.col("rank"))).alias("_m"), F.max(F.when(F.col("feature") == heuristic, F.col("rank"))).alias("_h"))
     knobs = df.sparkSession.createDataFrame([(i, float(g[0]), None) for i, g in enumerate(grid or default_grid("alpha"))], "point int, knob double, knob2 double")
     wide = df.join(ranks, id_col).crossJoin(F.broadcast(knobs)).withColumn("_b", F.round(F.col("knob") * F.col("_m") + (1 - F.col("knob")) * F.col("_h"), 12))
-    from .ranks import quantile_cut
-
     return quantile_cut(wide, "_b", scoring.CUTS, by=["point"]).drop("_m", "_h", "_b")
 
 
@@ -189,7 +187,7 @@ def search_group_weights(group_means: DataFrame, labelled: DataFrame, draws: Dat
     draws are scored in one job.
     """
     keys = list(by)
-    scored = group_means.join(F.broadcast(draws), "grp").groupBy(id_col, "draw").agg(F.round(F.sum(F.col("sign") * F.col("weight") * F.col("mean_rank")) / F.sum("weight"), 12).alias("score"))
+    scored = group_means.join(draws, "grp").groupBy(id_col, "draw").agg(F.round(F.sum(F.col("sign") * F.col("weight") * F.col("mean_rank")) / F.sum("weight"), 12).alias("score"))
     rows = labelled.join(scored, id_col)
     area = frontier_metrics(cut_points(rows, "score", cuts, (*keys, "draw")), by=(*keys, "draw"))
     return area.groupBy(*keys).agg(F.max_by("draw", F.struct("auc", -F.col("draw"))).alias("draw"), F.max("auc").alias("auc"))
@@ -211,12 +209,9 @@ def evaluator_sensitivity(metrics: DataFrame, graded: DataFrame, n: int = 30, id
     high = clip(scoring.CUTS[1] + 0.1 * unit_draw(F.col("_test"), F.lit("high")) - 0.05)
     shares = spark.range(n).select(F.col("id").alias("_test")).select(F.col("_test").alias("draw"), low.alias("p1"), F.greatest(low + 0.02, high).alias("p2"))
     q = scoring._interpolated(scored, "score", shares, ["draw"])
-    own = scored.join(F.broadcast(q), "draw").withColumn("_d", F.when(F.col("score") <= F.col("q1"), 1).when(F.col("score") <= F.col("q2"), 2).otherwise(3))
+    own = over(scored, q, ["draw"]).withColumn("_d", F.when(F.col("score") <= F.col("q1"), 1).when(F.col("score") <= F.col("q2"), 2).otherwise(3))
     joined = own.join(graded.select(id_col, "difficulty", "tier", *scoring.OVERRIDES), id_col)
-    hard = F.lit(False)
-    for name, least in scoring.OVERRIDES.items():
-        hard = hard | (F.col(name) >= least)
-    joined = joined.withColumn("_d", F.when(hard, 3).otherwise(F.col("_d")))
+    joined = joined.withColumn("_d", scoring.overridden(F.col("_d")))
     return joined.groupBy("draw").agg(_share(F.col("_d") == F.col("difficulty")).alias("agreement"), _share(F.col("_d") == F.col("tier")).alias("exact"))
 
 

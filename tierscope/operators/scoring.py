@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranks import melt, quantile_cut, quantiles, self_rank
+from ..sources.tables import written
+from .ranks import melt, over, quantile_cut, quantiles, self_rank
 
 # ---- fixed values -------------------------------------------------------------
 GROUPS = {
@@ -45,41 +46,60 @@ def composite_score(ranks: DataFrame, groups: DataFrame, id_col: str = "trajecto
     return score.crossJoin(F.broadcast(span)).select(id_col, scaled.alias("composite"))
 
 
-def difficulty_score(metrics: DataFrame, weights: dict | None = None, residual_tier: str | None = None, id_col: str = "trajectory_id") -> DataFrame:
-    """``metrics`` with ``score``, the weighted mean of metric ranks.
-
-    With ``residual_tier``, the ranks of policy-sensitive metrics lose the median of their
-    tier, are centred on 0.5 and clipped to 0..1.
-    """
+def _difficulty(metrics: DataFrame, weights: dict | None, residual_tier: str | None, id_col: str) -> DataFrame:
+    """(id, score), written."""
     w = METRIC_WEIGHTS | (weights or {})
     ids = [id_col, *([residual_tier] if residual_tier else [])]
     ranks = self_rank(melt(metrics, ids, list(w)))
     if residual_tier:
-        medians = ranks.filter(F.col("feature").isin(*POLICY_SENSITIVE)).groupBy("feature", residual_tier).agg(F.median("rank").alias("mid"))
-        ranks = ranks.join(F.broadcast(medians), ["feature", residual_tier], "left")
+        ranks = written(ranks, "ranks")
+        medians = quantiles(ranks.filter(F.col("feature").isin(*POLICY_SENSITIVE)), "rank", (0.5,), ("feature", residual_tier)).select("feature", residual_tier, F.get("_q", F.lit(0)).alias("mid"))
+        ranks = ranks.join(medians, ["feature", residual_tier], "left")
         ranks = ranks.withColumn("rank", F.when(F.col("mid").isNull(), F.col("rank")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("rank") - F.col("mid") + 0.5))))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in w.items() for x in kv]), F.col("feature"))
-    scores = ranks.groupBy(id_col).agg((F.sum(F.col("rank") * weight) / sum(w.values())).alias("score"))
-    return metrics.join(scores, id_col)
+    # The sum's order varies; scores that are equal must also compare equal.
+    return written(ranks.groupBy(id_col).agg(F.round(F.sum(F.col("rank") * weight) / sum(w.values()), 12).alias("score")), "difficulty")
 
 
-def grade(metrics: DataFrame, weights: dict | None = None, cuts: tuple[float, float] = CUTS, overrides: dict | None = None, residual_tier: str | None = None, id_col: str = "trajectory_id") -> DataFrame:
-    """``metrics`` with ``score`` and ``difficulty`` (1 to 3); rows at an override's threshold are 3."""
-    # The sum's order varies; scores that are equal must also compare equal.
-    scored = difficulty_score(metrics, weights, residual_tier, id_col).withColumn("score", F.round("score", 12))
-    graded = quantile_cut(scored, "score", cuts, out="difficulty")
-    limits = OVERRIDES if overrides is None else overrides
+def difficulty_score(metrics: DataFrame, weights: dict | None = None, residual_tier: str | None = None, id_col: str = "trajectory_id") -> DataFrame:
+    """``metrics`` with ``score``, the weighted mean of metric ranks.
+
+    With ``residual_tier``, the ranks of policy-sensitive metrics lose the median of their
+    tier, are centred on 0.5 and clipped to 0..1.
+    """
+    return metrics.join(_difficulty(metrics, weights, residual_tier, id_col), id_col)
+
+
+def overridden(tier: Column, limits: dict | None = None) -> Column:
+    """``tier``, or 3 for rows at a limit of :data:`OVERRIDES`."""
     hard = F.lit(False)
-    for name, least in limits.items():
+    for name, least in (OVERRIDES if limits is None else limits).items():
         hard = hard | (F.col(name) >= least)
-    return graded.withColumn("difficulty", F.when(hard, 3).otherwise(F.col("difficulty")))
+    return F.when(hard, 3).otherwise(tier)
+
+
+def grade(metrics: DataFrame, weights: dict | None = None, cuts: tuple[float, float] = CUTS, overrides: dict | None = None, residual_tier: str | None = None, id_col: str = "trajectory_id") -> DataFrame:
+    """``metrics`` with ``score`` and ``difficulty`` (1 to 3); rows at an override's threshold are 3."""
+    scores = _difficulty(metrics, weights, residual_tier, id_col)
+    graded = quantile_cut(metrics.join(scores, id_col), "score", cuts, out="difficulty", scores=scores)
+    return graded.withColumn("difficulty", overridden(F.col("difficulty"), overrides))
+
+
+def _blended(df: DataFrame, ml: str, heuristic: str, alpha: float, id_col: str, out: str) -> DataFrame:
+    """(id, blend), written."""
+    ranks = self_rank(melt(df, [id_col], [ml, heuristic]))
+    return written(ranks.groupBy(id_col).agg(F.round(F.sum(F.when(F.col("feature") == ml, F.lit(alpha) * F.col("rank")).otherwise((1 - alpha) * F.col("rank"))), 12).alias(out)), "blend")
 
 
 def blend(df: DataFrame, ml: str, heuristic: str, alpha: float = ALPHA, id_col: str = "trajectory_id", out: str = "blend") -> DataFrame:
     """``df`` with alpha x rank of one score + (1 - alpha) x rank of the other."""
-    ranks = self_rank(melt(df, [id_col], [ml, heuristic]))
-    mixed = ranks.groupBy(id_col).agg(F.round(F.sum(F.when(F.col("feature") == ml, F.lit(alpha) * F.col("rank")).otherwise((1 - alpha) * F.col("rank"))), 12).alias(out))
-    return df.join(mixed, id_col)
+    return df.join(_blended(df, ml, heuristic, alpha, id_col, out), id_col)
+
+
+def blend_tiers(df: DataFrame, ml: str, heuristic: str, alpha: float = ALPHA, cuts: tuple[float, float] = CUTS, id_col: str = "trajectory_id") -> DataFrame:
+    """``df`` with ``blend`` and the ``tier`` that its quantiles give."""
+    mixed = _blended(df, ml, heuristic, alpha, id_col, "blend")
+    return quantile_cut(df.join(mixed, id_col), "blend", cuts, scores=mixed)
 
 
 def score_of(p1: Column, p2: Column) -> Column:
@@ -147,9 +167,9 @@ def cuts_known_marginals(df: DataFrame, score: str, label: str, out: str = "tier
 def cuts_by_fold(df: DataFrame, score: str, label: str, fold: str, out: str = "tier") -> DataFrame:
     """Tiers cut at the label mix and score quantiles of the other folds."""
     folds = df.select(F.col(fold).alias("_test")).distinct()
-    train = df.join(F.broadcast(folds), F.col(fold) != F.col("_test"))
+    train = df.select(fold, score, label).join(F.broadcast(folds), F.col(fold) != F.col("_test"))  # a row a fold
     q = _interpolated(train, score, _marginals(train, label, ["_test"]), ["_test"]).withColumnRenamed("_test", fold)
-    return df.join(F.broadcast(q), fold).withColumn(out, F.when(F.col(score) <= F.col("q1"), 1).when(F.col(score) <= F.col("q2"), 2).otherwise(3)).drop("q1", "q2")
+    return over(df, q, [fold]).withColumn(out, F.when(F.col(score) <= F.col("q1"), 1).when(F.col(score) <= F.col("q2"), 2).otherwise(3)).drop("q1", "q2")
 
 
 def cluster_tiers(df: DataFrame, features: list[str], score: str, method: str = "kmeans", seed: int = 13, weights: dict | None = None, fit_on: Column | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import costs, effort, evaluate, ml, offpolicy, ranks, scoring, trajectories
 from ..sources import io
+from ..sources.tables import written
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,7 +171,7 @@ def _composite(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 
 @query(f"WITH {_TEXT_SQL}, {_composite_sql()}, q AS (SELECT quantile_cont(composite::DOUBLE, 0.55) AS q1, quantile_cont(composite::DOUBLE, 0.85) AS q2 FROM comp) SELECT trajectory_id, round(composite, 6) AS composite, CASE WHEN composite <= q1 THEN 1 WHEN composite <= q2 THEN 2 ELSE 3 END AS tier FROM comp, q")
 def composite_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranks.quantile_cut(_composite(spark, sf_dir, A.text_features(spark, sf_dir)), "composite"))
+    return rounded(ranks.quantile_cut(written(_composite(spark, sf_dir, A.text_features(spark, sf_dir)), "composite"), "composite"))
 
 
 # ---- costs and dispatch ---------------------------------------------------------
@@ -221,11 +222,11 @@ _BLEND = f"b0 AS (SELECT *, round(0.85::DOUBLE * ({_rank_sql('score')}) + (1 - 0
 
 @query(f"WITH {_POLICY}, {_BLEND} SELECT trajectory_id, round(blend, 9) AS blend, tier FROM b")
 def blend_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranks.quantile_cut(scoring.blend(_policy(spark, sf_dir), "score", "heuristic"), "blend").select("trajectory_id", "blend", "tier"), 9)
+    return rounded(_blended(spark, sf_dir).select("trajectory_id", "blend", "tier"), 9)
 
 
 def _blended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranks.quantile_cut(scoring.blend(_policy(spark, sf_dir), "score", "heuristic"), "blend")
+    return scoring.blend_tiers(written(_policy(spark, sf_dir), "policy"), "score", "heuristic")
 
 
 _OWN = "CASE tier WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END"
@@ -291,7 +292,7 @@ def _cuts_knobs(sf_sql: str) -> str:
 
 @query(_cuts_knobs("") + f" SELECT point, round(knob, 6) AS knob, round(knob2, 6) AS knob2, {_ROUNDED_POINT} FROM pts")
 def cut_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluate.sweep(_policy(spark, sf_dir), "cuts"))
+    return rounded(evaluate.sweep(written(_policy(spark, sf_dir), "policy"), "cuts"))
 
 
 _FRONTIER = """, grid AS (SELECT range AS i, 0.25::DOUBLE + 0.01 * range AS budget FROM range(76)), d AS (SELECT DISTINCT cost_share AS x, served AS y FROM pts),
@@ -341,7 +342,7 @@ _ALPHAS = ", ".join(f"({i}, {g[0]!r}::DOUBLE)" for i, g in enumerate(evaluate.de
 @query(f"""WITH {_POLICY}, rk AS (SELECT *, {_rank_sql('score')} AS rm, {_rank_sql('heuristic')} AS rh FROM p), g(point, knob) AS (VALUES {_ALPHAS}), w0 AS (SELECT *, round(knob * rm + (1 - knob) * rh, 12) AS b FROM rk, g),
 q AS (SELECT point, quantile_cont(b::DOUBLE, 0.55) AS q1, quantile_cont(b::DOUBLE, 0.85) AS q2 FROM w0 GROUP BY point), w AS (SELECT w0.*, CASE WHEN b <= q1 THEN 1 WHEN b <= q2 THEN 2 ELSE 3 END AS tier FROM w0 JOIN q USING (point)), pts AS (SELECT point, knob, {_POINT} FROM w GROUP BY point, knob) SELECT point, round(knob, 6) AS knob, {_ROUNDED_POINT} FROM pts""")
 def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    swept = evaluate.sweep_alpha(_policy(spark, sf_dir), "score", "heuristic")
+    swept = evaluate.sweep_alpha(written(_policy(spark, sf_dir), "policy"), "score", "heuristic")
     return rounded(evaluate.operating_point(swept, ("point", "knob")))
 
 
@@ -655,14 +656,53 @@ def cluster_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.cluster_tiers(scored, [f"x{i}" for i in range(64)], "score").select("trajectory_id", "tier")
 
 
+_FROZEN_METRICS = {"n_tool_calls": "n_bars", "n_llm_calls": "n_lines", "gen_tokens": "usr_tokens", "context_tokens": "usr_tokens", "n_tool_errors": "n_license", "n_distinct_tools": "n_exclaim", "tool_output_tokens": "n_commas", "max_repeat_streak": "n_digits", "n_user_turns": "n_lines", "reasoning_tokens": "n_digits"}
+
+
+def _frozen(spark: SparkSession, sf_dir: str):
+    """(router, new rows, their metrics): fitted on even documents, saved and loaded again."""
+    from ..sources.tables import scratch_dir
+    from .frozen import freeze, load
+
+    rows = written(A.text_features(spark, sf_dir).drop("text"), "rows")
+    metrics = rows.select("trajectory_id", *[F.col(f).alias(m) for m, f in _FROZEN_METRICS.items()])
+    even, path = F.col("trajectory_id") % 2 == 0, f"{scratch_dir(spark)}/frozen"
+    version = freeze(rows.filter(even), metrics.filter(even), A.FEATURES, scoring.group_table(spark, A.FEATURE_GROUPS, A.FEATURE_WEIGHTS), io.tier_prices(spark)).save(path)
+    return load(spark, path, version), rows.filter(~even), metrics.filter(~even)
+
+
 @query()
 def frozen_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on even documents, route odd ones without a refit."""
-    from .frozen import freeze
+    router, rows, _ = _frozen(spark, sf_dir)
+    return rounded(router.route(rows))
 
-    rows = A.text_features(spark, sf_dir)
-    metrics = rows.select("trajectory_id", *[F.col(f).alias(m) for f, m in (("n_bars", "n_tool_calls"), ("n_lines", "n_llm_calls"), ("usr_tokens", "gen_tokens"), ("usr_tokens", "context_tokens"), ("n_license", "n_tool_errors"), ("n_exclaim", "n_distinct_tools"), ("n_commas", "tool_output_tokens"), ("n_digits", "max_repeat_streak"), ("n_lines", "n_user_turns"), ("n_digits", "reasoning_tokens"))])
-    groups = scoring.group_table(spark, A.FEATURE_GROUPS, A.FEATURE_WEIGHTS)
-    even = F.col("trajectory_id") % 2 == 0
-    frozen = freeze(rows.filter(even), metrics.filter(even), A.FEATURES, groups, io.tier_prices(spark))
-    return rounded(frozen.route(rows.filter(~even)))
+
+def _frozen_sql() -> str:
+    names = list(_FROZEN_METRICS)
+    weight = " ".join(f"WHEN '{k}' THEN {w}" for k, w in scoring.METRIC_WEIGHTS.items())
+    return f"""WITH {_TEXT_SQL}, m AS (SELECT trajectory_id, {', '.join(f'{f} AS {k}' for k, f in _FROZEN_METRICS.items())} FROM t),
+long AS (UNPIVOT (SELECT trajectory_id, {', '.join(f'{k}::DOUBLE AS {k}' for k in names)} FROM m) ON {', '.join(names)} INTO NAME feature VALUE value),
+fit AS (SELECT feature, value, count(*) AS n FROM long WHERE trajectory_id % 2 = 0 GROUP BY ALL), tot AS (SELECT feature, sum(n) AS total, count(*) AS kinds FROM fit GROUP BY feature),
+rk AS (SELECT v.feature, v.value, CASE WHEN any_value(kinds) = 1 THEN 0.5 ELSE coalesce(sum(n) FILTER (fit.value <= v.value), 0) / any_value(total)::DOUBLE END AS rank FROM (SELECT DISTINCT feature, value FROM long) v JOIN fit USING (feature) JOIN tot USING (feature) GROUP BY v.feature, v.value),
+sc AS (SELECT trajectory_id, round(sum(rank * CASE feature {weight} END) / {sum(scoring.METRIC_WEIGHTS.values())}, 12) AS score FROM long JOIN rk USING (feature, value) GROUP BY trajectory_id),
+q AS (SELECT quantile_cont(score::DOUBLE, 0.55) AS q1, quantile_cont(score::DOUBLE, 0.85) AS q2 FROM sc WHERE trajectory_id % 2 = 0)
+SELECT trajectory_id, round(score, 6) AS score, CASE WHEN n_tool_errors >= {scoring.OVERRIDES['n_tool_errors']} OR n_tool_calls >= {scoring.OVERRIDES['n_tool_calls']} THEN 3 WHEN score <= q1 THEN 1 WHEN score <= q2 THEN 2 ELSE 3 END AS difficulty FROM sc JOIN m USING (trajectory_id), q WHERE trajectory_id % 2 = 1"""
+
+
+@query(_frozen_sql())
+def frozen_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difficulty of odd documents under ranks and cuts fitted on even ones."""
+    router, _, metrics = _frozen(spark, sf_dir)
+    return rounded(router.grade(metrics).select("trajectory_id", "score", "difficulty"))
+
+
+@query()
+def frozen_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The held-out report of each method, over one frozen router."""
+    from .frozen import METHODS
+
+    router, rows, metrics = _frozen(spark, sf_dir)
+    priced = costs.tier_costs(metrics, io.tier_prices(spark))
+    made = [router.report(rows, metrics, priced, m).select(F.lit(m).alias("method"), "*") for m in METHODS]
+    return rounded(made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3]))
