@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, Normalizer, VectorAssembler
@@ -12,7 +15,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .evaluate import class_report
+from .ranks import fold_ranks, melt, quantiles
 from .scoring import cuts_by_fold, cuts_known_marginals, score_of
 
 Fitter = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
@@ -94,15 +99,30 @@ def assembled(df: DataFrame, features: list[str], out: str = "features") -> Data
     return VectorAssembler(inputCols=features, outputCol=out).transform(df)
 
 
-def packed(train: DataFrame) -> DataFrame:
-    """A training set cached in one partition for each 50,000 rows: iterations then cost few tasks."""
-    train = train.cache()
-    return train.coalesce(1 + train.count() // 50_000).cache()
+def fold_features(df: DataFrame, features: list[str], keep: list[str], fold: str = "fold", id_col: str = "trajectory_id") -> DataFrame:
+    """(id, test, keep, fold, features), written: every row for each test fold, with its ranks among the rows of all other folds.
 
+    Cross-validation takes a fold's training rows where ``fold`` differs from ``test`` and its
+    test rows where they are equal; both are ranked by the same steps, which no test row moves.
+    """
+    rows = written(df.select(id_col, fold, *keep, *features), "fold-rows")
+    long = fold_ranks(melt(rows, [id_col, fold], features), fold)
+    wide = long.groupBy(id_col, "test").pivot("feature", features).agg(F.max("rank"))
+    return written(assembled(wide, features).select(id_col, "test", "features").join(rows.select(id_col, fold, *keep), id_col), "fold-ranks")
+
+
+def sides(df: DataFrame, k: int, fold: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """(training rows, test rows) of one test fold; of :func:`fold_features` those with its ranks."""
+    own = df.filter(F.col("test") == k).drop("test") if "test" in df.columns else df
+    return own.filter(F.col(fold) != k), own.filter(F.col(fold) == k)
 
-def _one_class(train: DataFrame, column: str) -> float | None:
-    seen = train.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
-    return float(seen["a"] or 0) if seen["a"] == seen["b"] else None
+
+def each_fold(df: DataFrame, run: Callable[[int], DataFrame], fold: str = "fold", at_once: int = 4) -> DataFrame:
+    """The union of ``run(k)`` over all folds; a few folds are fitted side by side, since each has many small jobs."""
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    with ThreadPoolExecutor(at_once) as pool:
+        made = [f.result() for f in [pool.submit(inheritable_thread_target(df.sparkSession)(run), k) for k in folds]]
+    return reduce(DataFrame.unionByName, made)
 
 
 def _logistic(c: float, n: int, **options) -> LogisticRegression:
@@ -112,12 +132,13 @@ def _logistic(c: float, n: int, **options) -> LogisticRegression:
 
 def fit_ordinal(train: DataFrame, c: float = 1.0, label: str = "difficulty", make=None) -> Callable[[DataFrame], DataFrame]:
     """Two cumulative binary models; a frame -> with p_d1 <= p_d2. A fold with one class gives a constant."""
-    train = packed(train)
-    n, models = train.count(), []
+    seen = train.agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("low"), F.max(label).alias("high")).first()
+    models = []
     for k in (1, 2):
-        rows = train.withColumn("label", (F.col(label) <= k).cast("double"))
-        constant = _one_class(rows, "label")
-        models.append(constant if constant is not None else (make() if make else _logistic(c, n)).fit(rows))
+        if seen["n"] == 0 or seen["low"] > k or seen["high"] <= k:
+            models.append(float(seen["n"] > 0 and seen["high"] <= k))
+        else:
+            models.append((make() if make else _logistic(c, seen["n"])).fit(train.withColumn("label", (F.col(label) <= k).cast("double"))))
 
     def apply(df: DataFrame) -> DataFrame:
         for k, m in ((1, models[0]), (2, models[1])):
@@ -132,19 +153,17 @@ def fit_ordinal(train: DataFrame, c: float = 1.0, label: str = "difficulty", mak
 
 def fit_multinomial(train: DataFrame, c: float = 1.0, label: str = "difficulty", weight: str | None = None) -> Callable[[DataFrame], DataFrame]:
     """One softmax model; an absent class has probability 0. ``weight`` may be ``balanced`` or a column."""
-    rows = packed(train).withColumn("label", (F.col(label) - 1).cast("double"))
-    options = {}
+    rows = train.withColumn("label", (F.col(label) - 1).cast("double"))
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    total, options = sum(sizes.values()), {}
     if weight == "balanced":
-        sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
-        total = rows.count()
-        rows = rows.join(F.broadcast(sizes), "label").withColumn("_w", total / (sizes.count() * F.col("_c")))
-        options["weightCol"] = "_w"
+        share = F.element_at(F.create_map(*[F.lit(x) for y, n in sizes.items() for x in (y, total / (len(sizes) * n))]), F.col("label"))
+        rows, options["weightCol"] = rows.withColumn("_w", share), "_w"
     elif weight:
         mean = rows.agg(F.avg(weight)).first()[0] or 1.0
-        rows = rows.withColumn("_w", F.col(weight) / float(mean))
-        options["weightCol"] = "_w"
-    constant = _one_class(rows, "label")
-    model = None if constant is not None else _logistic(c, rows.count(), family="multinomial", **options).fit(rows)
+        rows, options["weightCol"] = rows.withColumn("_w", F.col(weight) / float(mean)), "_w"
+    constant = next(iter(sizes), 0.0) if len(sizes) < 2 else None
+    model = None if constant is not None else _logistic(c, total, family="multinomial", **options).fit(rows)
 
     def apply(df: DataFrame) -> DataFrame:
         if model is None:
@@ -176,32 +195,32 @@ def svd_text_head(train: DataFrame, text_vec: str, ranks: str, dims: int = 80, c
 
 def oof_probs(df: DataFrame, fitter: Fitter, fold: str = "fold", id_col: str = "trajectory_id") -> DataFrame:
     """``df`` with p_d1 and p_d2 from models that did not see the row's fold."""
-    df = df.cache()
-    out = None
-    for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        own = fitter(df.filter(F.col(fold) != k))(df.filter(F.col(fold) == k))
-        out = own if out is None else out.unionByName(own)
-    return out
+
+    def one(k: int) -> DataFrame:
+        train, own = sides(df, k, fold)
+        return fitter(train)(own)
+
+    return each_fold(df, one, fold)
 
 
 def oof_costs(df: DataFrame, tier_prices: DataFrame, fold: str = "fold", id_col: str = "trajectory_id", depth: int = 3, rounds: int = 20) -> DataFrame:
     """(id, c1, c2, c3) from sizes predicted at routing time: boosted regressors of their logarithms for each fold."""
     from .costs import tier_costs
 
-    targets, df, out = ("context_tokens", "gen_tokens", "n_llm_calls"), df.cache(), None
-    for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        train, own = packed(df.filter(F.col(fold) != k)), df.filter(F.col(fold) == k)
+    targets = ("context_tokens", "gen_tokens", "n_llm_calls")
+
+    def one(k: int) -> DataFrame:
+        train, own = sides(df, k, fold)
         for t in targets:
             model = GBTRegressor(featuresCol="features", labelCol="_y", predictionCol=f"_{t}", maxDepth=depth, maxIter=rounds, stepSize=min(0.3, 0.06 * 200 / rounds) if rounds < 200 else 0.06, seed=13).fit(train.withColumn("_y", F.log1p(t)))
             own = model.transform(own)
-        own = own.select(id_col, *[F.greatest(F.expm1(f"_{t}"), F.lit(1.0 if t == "n_llm_calls" else 0.0)).alias(t) for t in targets])
-        out = own if out is None else out.unionByName(own)
-    return tier_costs(out, tier_prices, id_col=id_col)
+        return own.select(id_col, *[F.greatest(F.expm1(f"_{t}"), F.lit(1.0 if t == "n_llm_calls" else 0.0)).alias(t) for t in targets])
+
+    return tier_costs(each_fold(df, one, fold), tier_prices, id_col=id_col)
 
 
 def stack(df: DataFrame, level0: dict[str, Fitter], fold: str = "fold", inner: int = 4, group: str = "workspace", id_col: str = "trajectory_id") -> DataFrame:
     """Nested stacking: inner out-of-fold probabilities of every level-0 model train a meta model; both see outer-train rows only."""
-    df, out = df.cache(), None
     names = [f"{n}_{p}" for n in level0 for p in ("p_d1", "p_d2")]
 
     def widened(base: DataFrame, predict: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -209,24 +228,24 @@ def stack(df: DataFrame, level0: dict[str, Fitter], fold: str = "fold", inner: i
             base = f(base).withColumnRenamed("p_d1", f"{n}_p_d1").withColumnRenamed("p_d2", f"{n}_p_d2")
         return base
 
-    for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        train = group_folds(df.filter(F.col(fold) != k), group, inner, out="_inner")
-        meta = train
+    def one(k: int) -> DataFrame:
+        rows, own = sides(df, k, fold)
+        train = meta = group_folds(rows, group, inner, out="_inner")
         for n, fitter in level0.items():
-            own = oof_probs(train, fitter, "_inner").select(id_col, F.col("p_d1").alias(f"{n}_p_d1"), F.col("p_d2").alias(f"{n}_p_d2"))
-            meta = meta.join(own, id_col)
-        head = fit_multinomial(assembled(meta.drop("features"), names))
-        test = widened(df.filter(F.col(fold) == k), {n: fitter(train) for n, fitter in level0.items()})
-        own = head(assembled(test.drop("features"), names)).select(*df.drop("features").columns, "p_d1", "p_d2")
-        out = own if out is None else out.unionByName(own)
-    return out
+            inside = oof_probs(train, fitter, "_inner").select(id_col, F.col("p_d1").alias(f"{n}_p_d1"), F.col("p_d2").alias(f"{n}_p_d2"))
+            meta = meta.join(inside, id_col)
+        head = fit_multinomial(written(assembled(meta.drop("features"), names), "stack"))
+        test = widened(own, {n: fitter(train) for n, fitter in level0.items()})
+        return head(assembled(test.drop("features"), names)).select(*own.drop("features").columns, "p_d1", "p_d2")
+
+    return each_fold(df, one, fold, 2)
 
 
 def ladder(df: DataFrame, fitters: dict[str, Fitter], fold: str = "fold", label: str = "difficulty") -> DataFrame:
     """(method, exact, balanced, adjacent, d3_recall, exact_known): every candidate under one protocol, with fold cuts and known-marginal cuts."""
     out = None
     for name, fitter in fitters.items():
-        scored = oof_probs(df, fitter, fold).withColumn("score", F.round(score_of(F.col("p_d1"), F.col("p_d2")), 12))
+        scored = written(oof_probs(df, fitter, fold).select(fold, label, F.round(score_of(F.col("p_d1"), F.col("p_d2")), 12).alias("score")), "oof")
         known = class_report(cuts_known_marginals(scored, "score", label), label=label).select(F.col("exact").alias("exact_known"))
         own = class_report(cuts_by_fold(scored, "score", label, fold), label=label).crossJoin(known).select(F.lit(name).alias("method"), "*")
         out = own if out is None else out.unionByName(own)
@@ -256,20 +275,29 @@ def nested_selection(df: DataFrame, grid: dict[str, Fitter], group: str = "works
     For each outer fold, inner folds of its training rows pick the configuration and give the
     scores that its cuts come from; the outer rows only score.
     """
-    df, out, picks = group_folds(df, group, outer).cache(), None, None
-    for k in sorted(r[0] for r in df.select("fold").distinct().collect()):
-        train = group_folds(df.filter(F.col("fold") != k).drop("fold"), group, inner).cache()
-        best, kept = None, None
+    df = written(group_folds(df, group, outer), "outer")
+
+    def one(k: int) -> tuple[DataFrame, list[tuple[int, str, float]]]:
+        train = written(group_folds(df.filter(F.col("fold") != k).drop("fold"), group, inner), "inner")
+        best, kept, picks = None, None, []
         for name, fitter in grid.items():
-            scored = oof_probs(train, fitter).withColumn("score", F.round(score_of(F.col("p_d1"), F.col("p_d2")), 12))
-            exact = class_report(cuts_by_fold(scored, "score", label, "fold"), label=label).first()["exact"]
-            row = df.sparkSession.createDataFrame([(k, name, float(exact or 0))], "fold int, method string, exact double")
-            picks = row if picks is None else picks.unionByName(row)
-            if best is None or (exact or 0) > best[0]:
-                best, kept = (exact or 0, name, fitter), scored
+            scored = written(oof_probs(train, fitter).select("fold", label, F.round(score_of(F.col("p_d1"), F.col("p_d2")), 12).alias("score")), "oof")
+            exact = float(class_report(cuts_by_fold(scored, "score", label, "fold"), label=label).first()["exact"] or 0)
+            picks.append((k, name, exact))
+            if best is None or exact > best[0]:
+                best, kept = (exact, name, fitter), scored
         shares = kept.agg(F.avg((F.col(label) == 1).cast("double")).alias("a"), F.avg((F.col(label) <= 2).cast("double")).alias("b")).first()
-        q1, q2 = kept.agg(F.percentile("score", [shares["a"], shares["b"]])).first()[0]
+        q1, q2 = quantiles(kept, "score", [shares["a"], shares["b"]]).first()[0]
         own = best[2](train)(df.filter(F.col("fold") == k)).withColumn("score", F.round(score_of(F.col("p_d1"), F.col("p_d2")), 12))
-        own = own.withColumn("tier", F.when(F.col("score") <= q1, 1).when(F.col("score") <= q2, 2).otherwise(3)).withColumn("method", F.lit(best[1]))
-        out = own if out is None else out.unionByName(own)
+        return own.withColumn("tier", F.when(F.col("score") <= q1, 1).when(F.col("score") <= q2, 2).otherwise(3)).withColumn("method", F.lit(best[1])), picks
+
+    told: list[tuple[int, str, float]] = []
+
+    def predictions(k: int) -> DataFrame:
+        own, picks = one(k)
+        told.extend(picks)
+        return own
+
+    out = each_fold(df, predictions, at_once=2)
+    picks = df.sparkSession.createDataFrame(told, "fold int, method string, exact double")
     return out, picks.groupBy("method").agg(F.avg("exact").alias("exact"))

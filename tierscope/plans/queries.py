@@ -634,8 +634,24 @@ def char_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ml.group_folds(A.tasks(spark, sf_dir), "workspace")
-    wide = ranks.rank_columns(rows, ["trajectory_id"], A.FEATURES)
-    return ml.assembled(wide, A.FEATURES).join(rows.select("trajectory_id", "workspace", "difficulty", "fold"), "trajectory_id")
+    return ml.fold_features(rows, A.FEATURES, ["workspace", "difficulty"])
+
+
+def _fold_ranks_sql() -> str:
+    names = ", ".join(f"{f}::DOUBLE AS {f}" for f in A.FEATURES)
+    return f"""WITH {_TASKS}, long AS (UNPIVOT (SELECT trajectory_id, fold, {names} FROM lab) ON {", ".join(A.FEATURES)} INTO NAME feature VALUE value), k AS (SELECT DISTINCT fold AS test FROM lab),
+fit AS (SELECT test, feature, value, count(*) AS n FROM k JOIN long ON fold <> test GROUP BY ALL), tot AS (SELECT test, feature, sum(n) AS total, count(*) AS kinds FROM fit GROUP BY ALL),
+rk AS (SELECT v.test, v.feature, v.value, CASE WHEN any_value(kinds) = 1 THEN 0.5 ELSE coalesce(sum(n) FILTER (fit.value <= v.value), 0) / any_value(total)::DOUBLE END AS rank FROM (SELECT DISTINCT test, feature, value FROM k, long) v JOIN fit USING (test, feature) JOIN tot USING (test, feature) GROUP BY ALL)
+SELECT trajectory_id, fold, test, feature, round(rank, 9) AS rank FROM long JOIN rk USING (feature, value)"""
+
+
+@query(_fold_ranks_sql())
+def fold_fitted_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled document's ranks under the steps of all folds but one, for each fold left out."""
+    rows = ml.group_folds(A.tasks(spark, sf_dir), "workspace")
+    found = ranks.fold_ranks(ranks.melt(written(rows.select("trajectory_id", "fold", *A.FEATURES), "fold-rows"), ["trajectory_id", "fold"], A.FEATURES))
+    present = rows.select(F.col("fold").alias("test")).distinct()
+    return rounded(found.join(F.broadcast(present), "test").select("trajectory_id", "fold", "test", "feature", "rank"), 9)
 
 
 @query()
@@ -645,7 +661,7 @@ def ordinal_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def method_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitters = {"ordinal": ml.fit_ordinal, "multinomial balanced": lambda t: ml.fit_multinomial(t, weight="balanced")}
+    fitters = {"ordinal": ml.fit_ordinal, "multinomial": ml.fit_multinomial, "multinomial balanced": lambda t: ml.fit_multinomial(t, weight="balanced")}
     return rounded(ml.ladder(_ranked_tasks(spark, sf_dir), fitters))
 
 
