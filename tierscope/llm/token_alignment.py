@@ -26,6 +26,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from .shared import written
 
 #: Bounds on a worker's memory: units and characters that it keeps, bytes of text in a batch, pairs that it sums before it sends them on.
 UNITS, UNIT_CHARS, BATCH_BYTES, PAIRS = 600_000, 16_000_000, 2_000_000, 1_000_000
+#: Units that are tokenised as one text.
+CHUNK = 2000
 #: Rows of a block of the table of pairs: some 40 bytes each where they are broadcast.
 BLOCK = 1_000_000
 
@@ -83,6 +86,7 @@ class Tokens:
         self.facts = np.zeros((0, 5), np.int64)  # whole, n_a, n_b, n_groups, n_links
         self.first = np.zeros(1, np.int64)  # of a unit's links in ``links``
         self.links = np.zeros(0, np.int64)
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
 
     def units(self, text: str) -> list[str]:
         """The units of space + text, each without its leading space."""
@@ -93,32 +97,51 @@ class Tokens:
         return text.split(" ")
 
     def learn(self, units: list[str]) -> None:
-        """Align units not seen before."""
-        whole = [(" " + u).encode("utf-8", "surrogatepass") for u in units]
-        a_ids, a_ends, a_ok = self._first(units, whole)
-        b_ids, b_ends, b_ok = self._second(units, whole)
-        ok = a_ok & b_ok
-        sizes = np.array([len(w) for w in whole], np.int64)
-        start = np.concatenate([[0], np.cumsum(sizes)])
-
-        def flat(ids: list, ends: list) -> tuple[np.ndarray, np.ndarray]:
-            return np.array([i for own, k in zip(ids, ok, strict=True) if k for i in own], np.int64), np.array([e + s for own, s, k in zip(ends, start[:-1].tolist(), ok, strict=True) if k for e in own], np.int64)
-
-        (ia, ea), (ib, eb) = flat(a_ids, a_ends), flat(b_ids, b_ends)
+        """Align units not seen before, many in one text: joined by spaces they are cut where they were cut before."""
+        alone = [[u] for u in units if not u or u[-1].isspace()] if self.by_unit else [[u] for u in units]
+        others = [u for u in units if u and not u[-1].isspace()] if self.by_unit else []
+        chunks = [others[i : i + CHUNK] for i in range(0, len(others), CHUNK)] + alone
+        while chunks:
+            texts = [" ".join(c) for c in chunks]
+            first, second = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, return_type="proto", num_threads=1)
+            again = []
+            for chunk, text, a, b in zip(chunks, texts, first, second, strict=True):
+                whole = (" " + text).encode()
+                end = np.cumsum([len(u.encode()) + 1 for u in chunk]) if len(whole) != len(text) + 1 else np.cumsum([len(u) + 1 for u in chunk])
+                (ia, ea), (ib, eb) = self._first(text, whole, a), self._second(whole, b)
+                if ea is not None and eb is not None and np.isin(end, ea).all() and np.isin(end, eb).all():
+                    self._align(chunk, end, ia, ea, ib, eb)
+                elif len(chunk) > 1:
+                    again += [[u] for u in chunk]
+                else:
+                    self._add(chunk, [""], np.zeros((1, 5), np.int64), np.zeros(0, np.int64))
+            chunks = again
+        self._settle()
+
+    def _align(self, units: list[str], end: np.ndarray, ia: np.ndarray, ea: np.ndarray, ib: np.ndarray, eb: np.ndarray) -> None:
         # Each stretch between two ends of either kind is one link; each end of both kinds closes a group.
         stretch, both = np.union1d(ea, eb), np.intersect1d(ea, eb, assume_unique=True)
-        links = ia[np.searchsorted(ea, stretch)] * self.n_b + ib[np.searchsorted(eb, stretch)] if len(stretch) else np.zeros(0, np.int64)
-        unit_end = start[1:]
-        count = lambda ends: np.diff(np.concatenate([[0], np.searchsorted(ends, unit_end, "right")]))
-        facts = np.stack([ok.astype(np.int64), count(ea), count(eb), count(both), count(stretch)], 1)
-        said = self._said(ia, ea, ib, eb, both, unit_end)
-        parts = np.concatenate([[0], np.cumsum(facts[:, 1] + facts[:, 2])])
-        self.at.update((u, len(self.said) + i) for i, u in enumerate(units))
-        self.said.extend("".join(said[s:e]) for s, e in zip(parts[:-1].tolist(), parts[1:].tolist(), strict=True))
+        links = ia[np.searchsorted(ea, stretch)] * self.n_b + ib[np.searchsorted(eb, stretch)]
+        count = lambda ends: np.diff(np.concatenate([[0], np.searchsorted(ends, end, "right")]))
+        facts = np.stack([np.ones(len(units), np.int64), count(ea), count(eb), count(both), count(stretch)], 1)
+        said = self._said(ia, ea, ib, eb, both, end)
+        parts = np.concatenate([[0], np.cumsum(facts[:, 1] + facts[:, 2])]).tolist()
+        self._add(units, ["".join(said[s:e]) for s, e in zip(parts[:-1], parts[1:], strict=True)], facts, links)
+
+    def _add(self, units: list[str], said: list[str], facts: np.ndarray, links: np.ndarray) -> None:
+        at = len(self.said)
+        self.at.update(zip(units, range(at, at + len(units)), strict=True))
+        self.said += said
+        self.fresh.append((facts, links))
+        self.chars += sum(map(len, units))
+
+    def _settle(self) -> None:
+        facts, links = zip(*self.fresh, strict=True)
+        self.fresh = []
+        facts = np.concatenate(facts)
         self.facts = np.concatenate([self.facts, facts])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(facts[:, 4])])
-        self.links = np.concatenate([self.links, links])
-        self.chars += int(sizes.sum())
+        self.links = np.concatenate([self.links, *links])
 
     def _said(self, ia, ea, ib, eb, both, unit_end) -> list[str]:
         """Ids with their separators, in the order of the groups: first a group's tokens of the one kind, then those of the other."""
@@ -134,52 +157,40 @@ class Tokens:
         out[np.arange(len(ib)) + a_before[gb + 1]] = self.b_said[ib * 4 + b_end]
         return out.tolist()
 
-    def _first(self, units, whole):
-        ids, ends, ok = [], [], np.zeros(len(units), bool)
-        for i, made in enumerate(self.a.encode_batch([" " + u for u in units], add_special_tokens=False)):
-            text, own = whole[i], made.ids
-            place = None
-            if len(text) != len(units[i]) + 1:  # byte places of characters
-                place = np.concatenate([[0], np.cumsum([1 if ord(c) < 128 else 2 if ord(c) < 2048 else 3 if ord(c) < 65536 else 4 for c in " " + units[i]])])
-            cuts = [(s if place is None else int(place[s]), e if place is None else int(place[e])) for s, e in made.offsets]
-            got = refined(text, cuts, [self.a_bytes[k] for k in own])
-            ids.append(own), ends.append(got)
-            ok[i] = got is not None
-        return ids, ends, ok
-
-    def _second(self, units, whole):
-        ids, ends, ok = [], [], np.zeros(len(units), bool)
-        for i, made in enumerate(self.b.encode(units, return_type="proto", num_threads=1)):
-            pieces, own, cuts = made.pieces, [], []
-            for p in pieces:
-                own.append(p.id), cuts.append((p.begin + 1, p.end + 1))
-            if cuts:
-                cuts[0] = (0, cuts[0][1])  # the space in front is the tokenizer's own
-            got = refined(whole[i], cuts, [self.b_bytes[k] for k in own])
-            ids.append(own), ends.append(got)
-            ok[i] = got is not None
-        return ids, ends, ok
-
-
-def refined(text: bytes, cuts: list[tuple[int, int]], decoded: list[bytes]) -> list[int] | None:
+    def _first(self, text: str, whole: bytes, made) -> tuple[np.ndarray, np.ndarray | None]:
+        ids = made.ids
+        spans = np.fromiter(chain.from_iterable(made.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+        if len(whole) != len(text) + 1:  # from characters to bytes
+            code = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32)
+            spans = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))])[spans]
+        return np.array(ids, np.int64), refined(whole, spans[:, 0], spans[:, 1], list(map(self.a_bytes.__getitem__, ids)))
+
+    def _second(self, whole: bytes, made) -> tuple[np.ndarray, np.ndarray | None]:
+        told = np.fromiter(chain.from_iterable((p.id, p.begin, p.end) for p in made.pieces), np.int64).reshape(-1, 3)
+        start, end = told[:, 1] + 1, told[:, 2] + 1
+        start[:1] = 0  # the space in front is the tokenizer's own
+        return told[:, 0], refined(whole, start, end, list(map(self.b_bytes.__getitem__, told[:, 0].tolist())))
+
+
+def refined(text: bytes, start: np.ndarray, end: np.ndarray, decoded: list[bytes]) -> np.ndarray | None:
     """Byte ends of tokens from coarse cuts (byte spans) and decoded bytes; None where the bytes are not those of the text.
 
-    A token whose span starts where the one before ends is cut there. Tokens whose spans overlap,
-    or leave nothing for one of them, form a run that is cut by the decoded bytes alone.
+    A token whose span the next one follows is cut at its span's end. Tokens whose spans overlap,
+    or that have an empty one, form a run with what follows, cut by the decoded bytes.
     """
-    ends, at, i, n = [], 0, 0, len(cuts)
-    while i < n:
-        j = i
-        while j + 1 < n and not (cuts[j + 1][0] == cuts[j][1] > cuts[j][0] and cuts[j][1] > at):
-            j += 1
-        stop = cuts[j][1]
-        if b"".join(decoded[i : j + 1]) != text[at:stop]:
-            return None
-        for piece in decoded[i : j + 1]:
-            at += len(piece)
-            ends.append(at)
-        i = j + 1
-    return ends if at == len(text) and n else None
+    if not len(decoded) or b"".join(decoded) != text:
+        return None
+    cut = np.ones(len(decoded), bool)
+    cut[:-1] = (start[1:] == end[:-1]) & (end[:-1] > start[:-1])
+    sizes = np.fromiter(map(len, decoded), np.int64, len(decoded))
+    ends = np.where(cut, end, 0)
+    if not cut.all():
+        by_bytes = np.cumsum(sizes)
+        run = np.concatenate([[0], np.cumsum(cut)[:-1]])  # of each token
+        before = np.concatenate([[0], ends[cut][:-1]])  # where its run starts
+        first = np.concatenate([[True], cut[:-1]])
+        ends = np.where(cut, end, before[run] + by_bytes - (by_bytes - sizes)[first][run])
+    return ends if ends[-1] == len(text) and (np.diff(ends, prepend=0) == sizes).all() else None
 
 
 _LOADED: dict[tuple[str, str], Tokens] = {}
@@ -205,10 +216,11 @@ def _batched(ids: list, texts: list) -> Iterator[tuple[list, list]]:
 def figures(tokens: Tokens, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
     """For each text: n_a, n_b, n_groups, n_links, groups_sha256, its different pairs and their numbers."""
     split = [tokens.units(t) if t and "▁" not in t else None for t in texts]
-    fresh = list({u: None for units in split if units for u in units if u not in tokens.at})
+    every = set(chain.from_iterable(units for units in split if units))
+    fresh = [u for u in every if u not in tokens.at]
     if len(tokens.at) + len(fresh) > UNITS or tokens.chars > UNIT_CHARS:
         tokens.forget()
-        fresh = list({u: None for units in split if units for u in units})
+        fresh = list(every)
     if fresh:
         tokens.learn(fresh)
     nothing = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
