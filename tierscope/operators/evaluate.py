@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from . import scoring
 from .ranks import melt, over, places, quantile_cut, quantiles, running, self_rank
 
@@ -100,20 +101,27 @@ def sweep_tiers(df: DataFrame, kind: str, grid: list | None = None, score: str =
 def cut_points(df: DataFrame, score: str, cuts: list, by: tuple[str, ...] = (), label: str = "difficulty") -> DataFrame:
     """(by, point, knob, knob2, cost_share, served, weighted_served) of every pair of quantile cuts.
 
-    Rows are tallied once by the number of cut scores below theirs; each pair of cuts then
-    adds up a few tallies, so rows are never repeated for the pairs.
+    Rows are tallied once by the number of cut scores below theirs. Sums up to each tally, one
+    short array a key, then give every pair as differences at two places.
     """
     keys = list(by)
     shares = sorted({min(x, 1.0) for g in cuts for x in g})
     at = {s: i for i, s in enumerate(shares)}
-    q = quantiles(df, score, shares, by)
-    marked = over(df, q, keys).withColumn("_bin", places(F.col("_q"), len(shares), lambda x: x < F.col(score)))
-    cells = marked.groupBy(*keys, "_bin", label).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in ("c1", "c2", "c3")])
+    marked = over(df, quantiles(df, score, shares, by), keys).withColumn("_bin", places(F.col("_q"), len(shares), lambda x: x < F.col(score)))
+    enough = lambda t, v: F.sum(F.when(F.col(label) <= t, v).otherwise(F.lit(0.0)))
+    one, top = F.lit(1.0), F.col("c3")
+    cells = marked.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(c) for c in ("c1", "c2", "c3")], enough(1, top).alias("w1"), enough(2, top).alias("w2"), enough(1, one).alias("n1"), enough(2, one).alias("n2"), F.sum(one).alias("n"))
+    upto = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_bin")  # a row for each cut at most
+    sums = ("c1", "c2", "c3", "w1", "w2", "n1", "n2", "n")
+    run = cells.select(*keys, "_bin", *[F.sum(c).over(upto).alias(c) for c in sums])
+    each = (run.groupBy(*keys) if keys else run.groupBy()).agg(F.array_sort(F.collect_list(F.struct("_bin", *sums))).alias("_l")).withColumn("_bins", F.transform("_l", lambda x: x["_bin"])).filter(F.size("_l") > 0)
     knobs = df.sparkSession.createDataFrame([(i, float(a), float(b), at[min(a, 1.0)], at[min(b, 1.0)]) for i, (a, b) in enumerate(cuts)], "point int, knob double, knob2 double, _i int, _j int")
-    tier = F.when(F.col("_bin") <= F.col("_i"), 1).when(F.col("_bin") <= F.col("_j"), 2).otherwise(3)
-    wide = cells.crossJoin(F.broadcast(knobs)).withColumn("tier", tier)
-    ok = F.col("tier") >= F.col(label)
-    return wide.groupBy(*keys, "point", "knob", "knob2").agg((F.sum(own_cost()) / F.sum("c3")).alias("cost_share"), (F.sum(F.when(ok, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("served"), (F.sum(F.when(ok, F.col("c3")).otherwise(0.0)) / F.sum("c3")).alias("weighted_served"))
+    found = lambda k: F.get("_l", places(F.col("_bins"), len(shares) + 1, lambda b: b <= F.col(k)) - 1)
+    wide = each.crossJoin(F.broadcast(knobs)).select(*keys, "point", "knob", "knob2", found("_i").alias("a"), found("_j").alias("b"), F.element_at("_l", -1).alias("t"))
+    v = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(0.0))
+    # Tier 1 up to the first cut, tier 2 between the cuts, tier 3 beyond.
+    parts = lambda x, y, z: v("a", x) + (v("b", y) - v("a", y)) + (v("t", z) - v("b", z))
+    return wide.select(*keys, "point", "knob", "knob2", (parts("c1", "c2", "c3") / v("t", "c3")).alias("cost_share"), (parts("n1", "n2", "n") / v("t", "n")).alias("served"), (parts("w1", "w2", "c3") / v("t", "c3")).alias("weighted_served"))
 
 
 def sweep_alpha(df: DataFrame, ml: str, heuristic: str, grid: list | None = None, id_col: str = "trajectory_id") -> DataFrame:
@@ -181,16 +189,21 @@ def weight_draws(spark, n: int, groups: dict | None = None) -> DataFrame:
 
 
 def search_group_weights(group_means: DataFrame, labelled: DataFrame, draws: DataFrame, cuts: list, by: tuple[str, ...] = (), id_col: str = "trajectory_id") -> DataFrame:
-    """The draw of group weights with the largest frontier area, for each fold in ``by``.
+    """(by, draw, auc): the draw of group weights with the largest frontier area, for each value of ``by`` (say, each test fold's training rows).
 
-    ``group_means``: (id, grp, mean_rank); ``labelled``: (id, difficulty, c1..c3, by). All
+    ``group_means``: (id, by, grp, mean_rank); ``labelled``: (id, difficulty, c1..c3). All
     draws are scored in one job.
     """
     keys = list(by)
-    scored = group_means.join(draws, "grp").groupBy(id_col, "draw").agg(F.round(F.sum(F.col("sign") * F.col("weight") * F.col("mean_rank")) / F.sum("weight"), 12).alias("score"))
-    rows = labelled.join(scored, id_col)
+    scored = group_means.join(draws, "grp").groupBy(id_col, *keys, "draw").agg(F.round(F.sum(F.col("sign") * F.col("weight") * F.col("mean_rank")) / F.sum("weight"), 9).alias("score"))
+    rows = written(labelled.join(scored, id_col).select(*keys, "draw", "score", "difficulty", "c1", "c2", "c3"), "draws")
     area = frontier_metrics(cut_points(rows, "score", cuts, (*keys, "draw")), by=(*keys, "draw"))
-    return area.groupBy(*keys).agg(F.max_by("draw", F.struct("auc", -F.col("draw"))).alias("draw"), F.max("auc").alias("auc"))
+    return area.groupBy(*keys).agg(F.max_by("draw", F.struct(F.round("auc", 9), -F.col("draw"))).alias("draw"), F.max("auc").alias("auc"))
+
+
+def consensus_weights(picks: DataFrame, draws: DataFrame) -> DataFrame:
+    """(grp, weight): the mean weight of each group over the folds' picks, to two digits."""
+    return picks.join(draws, "draw").groupBy("grp").agg(F.round(F.avg("weight"), 2).alias("weight"))
 
 
 def evaluator_sensitivity(metrics: DataFrame, graded: DataFrame, n: int = 30, id_col: str = "trajectory_id") -> DataFrame:
@@ -256,13 +269,10 @@ def matched_points(points: DataFrame, target: float, on: str = "cost_share") ->
     return points.agg(F.min_by(F.struct(*points.columns), order).alias("p")).select("p.*")
 
 
-def bootstrap_point(df: DataFrame, n: int = 2000, block: int = 200, id_col: str = "trajectory_id") -> DataFrame:
+def bootstrap_point(df: DataFrame, n: int = 2000, id_col: str = "trajectory_id") -> DataFrame:
     """Mean and 95 % interval of served and cost share over ``n`` resamples with Poisson weights."""
-    from .offpolicy import bootstrap_weights
-
-    parts = None
-    for at in range(0, n, block):
-        w = bootstrap_weights(df.select(id_col, (F.col("tier") >= F.col("difficulty")).cast("double").alias("ok"), own_cost().alias("own"), F.col("c3").alias("top")), id_col, min(block, n - at), at)
-        one = w.groupBy("replicate").agg((F.sum(F.col("w") * F.col("ok")) / F.sum("w")).alias("served"), (F.sum(F.col("w") * F.col("own")) / F.sum(F.col("w") * F.col("top"))).alias("cost_share"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.agg(*[f(c).alias(f"{c}_{k}") for c in ("served", "cost_share") for k, f in (("mean", F.avg), ("low", lambda c: F.percentile(c, 0.025)), ("high", lambda c: F.percentile(c, 0.975)))])
+    from .offpolicy import replicate_sums
+
+    rows = df.select(id_col, (F.col("tier") >= F.col("difficulty")).cast("double").alias("ok"), own_cost().alias("own"), F.col("c3").alias("top"))
+    each = replicate_sums(rows, [], ["ok", "own", "top"], n, id_col).select((F.col("ok") / F.col("w")).alias("served"), (F.col("own") / F.col("top")).alias("cost_share"))
+    return each.agg(*[f(c).alias(f"{c}_{k}") for c in ("served", "cost_share") for k, f in (("mean", F.avg), ("low", lambda c: F.percentile(c, 0.025)), ("high", lambda c: F.percentile(c, 0.975)))])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
+import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,27 +25,77 @@ def served_difficulty(df: DataFrame) -> DataFrame:
     return df.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("served_difficulty"))
 
 
-def bootstrap_weights(df: DataFrame, id_col: str, n: int, first: int = 0) -> DataFrame:
-    """``df`` for each replicate with weight ``w``, Poisson(1) drawn by md5 of id and replicate; zero weights left out."""
-    unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col("replicate").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    steps: Column = sum(((F.col("_u") >= p).cast("int") for p in _POISSON), F.lit(0))
-    wide = df.crossJoin(F.broadcast(df.sparkSession.range(first, first + n).select(F.col("id").alias("replicate"))))
-    return wide.withColumn("_u", unit).withColumn("w", steps).drop("_u").filter("w > 0")
+def _poisson(ids: list[str], first: int, n: int) -> np.ndarray:
+    """(rows, n) Poisson(1) weights by md5 of id and replicate."""
+    steps = np.array([int(p * (1 << 32)) + (p * (1 << 32) > int(p * (1 << 32))) for p in _POISSON], np.uint64)
+    tails = [f"|{r}".encode() for r in range(first, first + n)]
+    drawn = bytearray()
+    for i in ids:
+        head = hashlib.md5(i.encode())
+        for tail in tails:
+            h = head.copy()
+            h.update(tail)
+            drawn += h.digest()[:4]
+    return np.searchsorted(steps, np.frombuffer(bytes(drawn), ">u4").astype(np.uint64), "right").reshape(len(ids), n).astype(np.float64)
 
 
-def struggle(df: DataFrame, by: tuple[str, ...] = (), weight: str | None = None, signals: tuple[str, ...] = ("err_rate", "streak")) -> DataFrame:
-    """(by, model, struggle): mean z-score of the signals within score buckets; a bucket without spread is left out.
+def replicate_sums(df: DataFrame, cells: list[str], values: list[str], n: int, id_col: str = "trajectory_id", block: int = 500) -> DataFrame:
+    """(cells, replicate, w, values): of each resample, every cell's sum of weights and weighted sums of the values (nulls count as 0).
+
+    A resample gives every row a Poisson(1) weight by md5 of its id and the replicate. A task
+    adds its rows' weights x values into one matrix a cell, so what is shuffled is a row for each
+    task, cell and replicate, however many rows there are.
+    """
+    names = ["w", *values]
+    schema = ", ".join([*[f"{c} {t}" for c, t in df.select(*cells).dtypes], "first int", *[f"{v} array<double>" for v in names]])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def sent() -> pd.DataFrame:
+            rows = [(*cell, first, *m[:, first : first + block].tolist()) for cell, m in sums.items() for first in range(0, n, block)]
+            return pd.DataFrame(rows, columns=[*cells, "first", *names])
+
+        for df in batches:
+            own = df[values].to_numpy(np.float64, na_value=np.nan) if values else np.zeros((len(df), 0))
+            own = np.column_stack([np.ones(len(df)), np.nan_to_num(own)])
+            groups = df.groupby(cells, dropna=False, sort=False).indices if cells else {(): np.arange(len(df))}
+            for cell, at in groups.items():
+                cell = cell if isinstance(cell, tuple) else (cell,)
+                m = sums.setdefault(tuple(None if c is None or c != c else c for c in cell), np.zeros((len(names), n)))
+                for i in range(0, len(at), 256):
+                    some = at[i : i + 256]
+                    for first in range(0, n, block):
+                        m[:, first : first + block] += own[some].T @ _poisson(df[id_col].iloc[some].astype(str).tolist(), first, min(block, n - first))
+            if len(sums) * len(names) * n > 20_000_000:
+                yield sent()
+                sums.clear()
+        if sums:
+            yield sent()
+
+    parts = df.select(F.col(id_col).cast("string").alias(id_col), *cells, *values).mapInPandas(add, schema)
+    each = parts.select(*cells, "first", F.posexplode(F.arrays_zip(*names)).alias("at", "x")).select(*cells, (F.col("first") + F.col("at")).alias("replicate"), *[F.col(f"x.{v}").alias(v) for v in names])
+    return each.groupBy(*cells, "replicate").agg(*[F.sum(v).alias(v) for v in names])
+
+
+def struggle(df: DataFrame, signals: tuple[str, ...] = ("err_rate", "streak")) -> DataFrame:
+    """(model, struggle): mean z-score of the signals within score buckets; a bucket without spread is left out.
 
     Sums only: two small aggregates, whatever the number of rows. ``df`` holds model, bucket
     and the signals.
     """
-    w = F.col(weight) if weight else F.lit(1)
-    long = df.select(*by, "model", "bucket", w.alias("_w"), *signals).unpivot([*by, "model", "bucket", "_w"], [F.col(s).cast("double").alias(s) for s in signals], "signal", "v")
-    cell = long.groupBy(*by, "model", "bucket", "signal").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("v")).alias("s"), F.sum(F.col("_w") * F.col("v") * F.col("v")).alias("s2"))
+    v = {s: F.col(s).cast("double") for s in signals}
+    cell = df.groupBy("model", "bucket").agg(F.count(F.lit(1)).cast("double").alias("w"), *[F.sum(v[s]).alias(s) for s in signals], *[F.sum(v[s] * v[s]).alias(f"{s}_2") for s in signals])
+    return _struggle(cell, [], signals)
+
+
+def _struggle(cell: DataFrame, by: list[str], signals: tuple[str, ...]) -> DataFrame:
+    """(by, model, struggle) of cell sums (by, model, bucket, w, signals and their squares)."""
+    long = cell.select(*by, "model", "bucket", F.col("w").alias("n"), F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("s"), F.col(f"{s}_2").alias("s2")) for s in signals])).alias("x")).select(*by, "model", "bucket", "n", "x.*").filter("n > 0")
     own = Window.partitionBy(*by, "bucket", "signal")
     mean = F.sum("s").over(own) / F.sum("n").over(own)
     sd = F.sqrt(F.greatest(F.sum("s2").over(own) / F.sum("n").over(own) - mean * mean, F.lit(0.0)))
-    z = cell.withColumn("_m", mean).withColumn("_sd", sd)
+    z = long.withColumn("_m", mean).withColumn("_sd", sd)
     live = F.col("_sd") >= 1e-9
     return z.groupBy(*by, "model").agg(F.coalesce(F.try_divide(F.sum(F.when(live, (F.col("s") - F.col("n") * F.col("_m")) / F.col("_sd"))), F.sum(F.when(live, F.col("n")))), F.lit(0.0)).alias("struggle"))
 
@@ -72,8 +124,10 @@ def tier_map(struggles: DataFrame, counts: DataFrame, min_n: int = 15) -> DataFr
 
 def tier_stability(df: DataFrame, mapped: DataFrame, n: int = 200, min_n: int = 15, id_col: str = "trajectory_id") -> DataFrame:
     """``mapped`` with ``stability``: the share of resamples that give a model its tier; 0 for models that are not solid."""
-    weighted = bootstrap_weights(df, id_col, n)
-    each = struggle(weighted, ("replicate",), "w").join(F.broadcast(mapped.select("model", "n", F.col("tier").alias("_own"), F.col("solid").alias("_solid"))), "model")
+    signals = ("err_rate", "streak")
+    squared = df.select(id_col, "model", "bucket", *signals, *[(F.col(s) * F.col(s)).alias(f"{s}_2") for s in signals])
+    cells = replicate_sums(squared, ["model", "bucket"], [*signals, *[f"{s}_2" for s in signals]], n, id_col)
+    each = _struggle(cells, ["replicate"], signals).join(mapped.select("model", "n", F.col("tier").alias("_own"), F.col("solid").alias("_solid")), "model")
     votes = _ranked(each, ["replicate"], min_n).filter("_solid")
     share = votes.groupBy("model").agg(F.avg((F.col("tier") == F.col("_own")).cast("double")).alias("stability"))
     return mapped.join(share, "model", "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
@@ -101,28 +155,26 @@ def cell_table(cells: DataFrame, least: int = 10) -> DataFrame:
     return cells.groupBy("hard", "low").agg(F.count(F.lit(1)).alias("n"), F.when(enough, F.round(F.avg("err_rate"), 4)).alias("err_rate"), F.when(enough, F.round(F.avg("streak"), 2)).alias("streak"))
 
 
-def diff_in_diff(cells: DataFrame, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
-    """(by, did_err, did_streak, least): low minus high tier on hard tasks, less the same on easy ones; least is the smallest cell."""
-    w = F.col(weight) if weight else F.lit(1)
+def diff_in_diff(cells: DataFrame) -> DataFrame:
+    """(did_err, did_streak, least): low minus high tier on hard tasks, less the same on easy ones; least is the smallest cell."""
+    return _did(cells.groupBy("hard", "low").agg(F.count(F.lit(1)).cast("double").alias("w"), F.sum("err_rate").alias("err_rate"), F.sum("streak").alias("streak")), [])
+
+
+def _did(sums: DataFrame, by: list[str]) -> DataFrame:
+    """The interactions of cell sums (by, hard, low, w, err_rate, streak)."""
 
     def mean(v: str, hard: bool, low: bool) -> Column:
         own = (F.col("hard") == hard) & (F.col("low") == low)
-        return F.try_divide(F.sum(F.when(own, w * F.col(v))), F.sum(F.when(own, w)))
+        return F.try_divide(F.sum(F.when(own, F.col(v))), F.sum(F.when(own, F.col("w"))))
 
     did = lambda v: (mean(v, True, True) - mean(v, True, False)) - (mean(v, False, True) - mean(v, False, False))
-    sizes = [F.coalesce(F.sum(F.when((F.col("hard") == h) & (F.col("low") == lo), w)), F.lit(0)) for h in (True, False) for lo in (True, False)]
-    return cells.groupBy(*by).agg(did("err_rate").alias("did_err"), did("streak").alias("did_streak"), F.least(*sizes).alias("least"))
+    sizes = [F.coalesce(F.sum(F.when((F.col("hard") == h) & (F.col("low") == lo), F.col("w"))), F.lit(0.0)) for h in (True, False) for lo in (True, False)]
+    return sums.groupBy(*by).agg(did("err_rate").alias("did_err"), did("streak").alias("did_streak"), F.least(*sizes).alias("least"))
 
 
-def diff_in_diff_ci(cells: DataFrame, n: int = 5000, block: int = 500, id_col: str = "trajectory_id") -> DataFrame:
-    """One row: both interactions, their 95 % intervals, significance and a verdict.
-
-    Replicates with a cell below 5 are left out. Blocks bound how far rows are multiplied at once.
-    """
-    parts = None
-    for at in range(0, n, block):
-        one = diff_in_diff(bootstrap_weights(cells.select(id_col, "hard", "low", "err_rate", "streak"), id_col, min(block, n - at), at), ("replicate",), "w").filter("least >= 5")
-        parts = one if parts is None else parts.unionByName(one)
+def diff_in_diff_ci(cells: DataFrame, n: int = 5000, id_col: str = "trajectory_id") -> DataFrame:
+    """One row: both interactions, their 95 % intervals, significance and a verdict. Replicates with a cell below 5 are left out."""
+    parts = _did(replicate_sums(cells, ["hard", "low"], ["err_rate", "streak"], n, id_col), ["replicate"]).filter("least >= 5")
     limits = parts.agg(*[F.percentile(f"did_{v}", F.array(F.lit(0.025), F.lit(0.975))).alias(f"_{v}") for v in ("err", "streak")], F.count(F.lit(1)).alias("n_boot"))
     out = diff_in_diff(cells).crossJoin(limits)
     for v in ("err", "streak"):

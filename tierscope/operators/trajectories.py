@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import written
 
 
 def with_group_key(requests: DataFrame) -> DataFrame:
@@ -25,24 +26,71 @@ def with_hashes(requests: DataFrame) -> DataFrame:
     return requests.withColumn("hashes", F.transform("items_raw", lambda i: F.xxhash64(F.coalesce(F.to_json(F.try_parse_json(i)), i))))
 
 
-def _chains(rows: pd.DataFrame) -> pd.DataFrame:
-    """Attach each request, by length then place, to the chain whose tail is its longest prefix."""
-    rows = rows.sort_values(["n", "pos"], kind="stable")
-    tails: list[tuple[int, tuple]] = []
+def _parents(rows: pd.DataFrame) -> pd.DataFrame:
+    """(pos, parent) of one range of requests in the order of (key, blob, pos): the last request before it that is equal or its longest prefix.
+
+    In this order a request's prefixes come before it, so they are what is left on a stack from
+    which everything that isn't a prefix goes; ``above`` has those of the range's first request.
+    """
+    rows = rows.sort_values(["key", "blob", "pos"], kind="stable")
+    parents, key, stack = [], rows["key"].iloc[0], [(int(a["n"]), int(a["pos"]), None) for a in rows["above"].iloc[0]]
+    first = rows["blob"].iloc[0]
+    stack = [(n, pos, first[: 8 * n]) for n, pos, _ in stack]
+    for pos, own, blob in zip(rows["pos"].tolist(), rows["key"], rows["blob"], strict=True):
+        if own != key:
+            key, stack = own, []
+        while stack and not blob.startswith(stack[-1][2]):
+            stack.pop()
+        parents.append(stack[-1][1] if stack else None)
+        if stack and stack[-1][2] == blob:
+            stack.pop()
+        stack.append((len(blob) // 8, pos, blob))
+    return pd.DataFrame({"pos": rows["pos"].to_numpy(), "parent": pd.array(parents, "Int64")})
+
+
+def _heads(rows: pd.DataFrame) -> pd.DataFrame:
+    """(pos, head): a request that goes on with its parent's chain has its parent's head, any other one is a head."""
+    rows = rows.sort_values(["key", "blob", "pos"], kind="stable")
+    head: dict[int, int] = {}
+    last = None
+    for a in rows["above"].iloc[0]:  # from the shortest prefix to the longest
+        last = head[int(a["pos"])] = last if a["goes_on"] and last is not None else int(a["first"])
     heads = []
-    for pos, own in zip(rows["pos"], rows["hashes"], strict=True):
-        own = tuple(own)
-        fits = [(len(tail), -k) for k, (_, tail) in enumerate(tails) if own[: len(tail)] == tail]
-        if fits:
-            k = -max(fits)[1]
-            tails[k] = (tails[k][0], own)
-        else:
-            k = len(tails)
-            tails.append((pos, own))
-        heads.append(tails[k][0])
+    for pos, parent, goes_on in zip(rows["pos"].tolist(), rows["parent"].tolist(), rows["goes_on"].tolist(), strict=True):
+        head[pos] = head[int(parent)] if goes_on else pos
+        heads.append(head[pos])
     return pd.DataFrame({"pos": rows["pos"].to_numpy(), "n": rows["n"].to_numpy(), "key": rows["key"].to_numpy(), "head": heads})
 
 
+def split_chains(requests: DataFrame) -> DataFrame:
+    """(pos, n, key, head) of requests (pos, key, hashes, n): by length and place, each joins the chain whose tail is its longest prefix, or opens one.
+
+    Only a request's parent, the last one before it that is equal or its longest prefix, can be
+    a tail when it comes: whatever lies above the parent was taken over when the parent came. So
+    of a parent's children the first by length and place goes on with its chain. Parents come from ranges
+    of the requests in the order of their items, each of which starts with the prefixes of its
+    first request; no range holds more than its share, however many requests an opening has.
+    """
+    blob = F.unhex(F.array_join(F.transform("hashes", lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    rows = requests.select("pos", "key", "n", blob.alias("blob")).repartitionByRange("key", "blob")
+    placed = written(rows.withColumn("part", F.spark_partition_id()), "requests")
+    # The prefixes of each range's first request, a few lookups for each range.
+    first = placed.groupBy("part").agg(F.min(F.struct("key", "blob")).alias("f")).select("part", "f.*")
+    at = F.sequence(F.lit(0), F.shiftright(F.octet_length("blob"), 3) - 1)
+    looked = first.filter(F.octet_length("blob") > 0).select("part", "key", F.col("blob").alias("_whole"), F.explode(at).alias("_n")).select("part", "key", F.substring("_whole", F.lit(1), 8 * F.col("_n")).alias("blob"))
+    mark = lambda df: df.withColumn("_h", F.xxhash64("key", "blob"))
+    above = mark(placed.select("key", "blob", "n", "pos")).join(mark(looked).select("part", "_h", F.col("key").alias("_k"), F.col("blob").alias("_b")), "_h").filter((F.col("key") == F.col("_k")) & (F.col("blob") == F.col("_b")))
+    above = written(above.groupBy("part", "n").agg(F.max("pos").alias("pos"), F.min("pos").alias("first")), "prefixes")  # of equal requests the last and the first
+    ordered = lambda df, *cols: df.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("n", "pos", *cols))).alias("above"))
+    none = lambda col: F.coalesce(F.col("above"), F.array().cast(col))
+    parents = placed.join(F.broadcast(ordered(above)), "part", "left").withColumn("above", none("array<struct<n:int,pos:bigint>>")).groupBy("part").applyInPandas(_parents, "pos long, parent long")
+    linked = written(placed.join(parents, "pos"), "linked")
+    child = linked.filter("parent is not null").groupBy("parent").agg(F.min(F.struct("n", "pos")).alias("c")).select(F.col("c.pos").alias("pos"), F.lit(True).alias("goes_on"))
+    flagged = linked.join(child, "pos", "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
+    known = ordered(above.join(child.withColumnRenamed("pos", "first"), "first", "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False))), "first", "goes_on")
+    return flagged.join(F.broadcast(known), "part", "left").withColumn("above", none("array<struct<n:int,pos:bigint,first:bigint,goes_on:boolean>>")).groupBy("part").applyInPandas(_heads, "pos long, n int, key string, head long")
+
+
 def reconstruct(requests: DataFrame) -> DataFrame:
     """(pos, trajectory_id, call_index, request_id, trajectory_key, group_key) of requests (pos, key, hashes).
 
@@ -57,7 +105,8 @@ def reconstruct(requests: DataFrame) -> DataFrame:
     checked = with_key.withColumn("_nests", F.min(nests).over(Window.partitionBy("key"))).drop("_before")
     head = F.first("pos").over(Window.partitionBy("key").orderBy("n", "pos"))
     plain = checked.filter("_nests").withColumn("head", head).select("pos", "n", "key", "head")
-    split = checked.filter("not _nests").select("pos", "n", "key", "hashes").groupBy("key").applyInPandas(_chains, "pos long, n int, key string, head long")
+    split = checked.filter("not _nests").select("pos", "key", "hashes", "n")
+    split = split_chains(split)
     solo = rows.filter(F.col("key").isNull()).select("pos", "n", "key", F.col("pos").alias("head"))
     members = plain.unionByName(split).unionByName(solo)
     members = members.withColumn("call_index", F.row_number().over(Window.partitionBy("head").orderBy("n", "pos")))

@@ -49,6 +49,15 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(made, "system", "user")
 
 
+def branching_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls (pos, key, hashes) whose items are coarse, role and parity of length, and whose keys several conversations share or none has: groups that repeat, branch and don't nest."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    each = turns.select("conv_id", "t", F.explode("t").alias("c")).filter("c.role = 'assistant'")
+    before = F.filter("t", lambda x: x["turn"] < F.col("c.turn"))
+    key = F.when(F.col("conv_id") % 7 > 0, F.concat(F.lit("g"), F.col("conv_id") % 7))
+    return each.select((F.col("conv_id") * 1000 + F.col("c.turn")).alias("pos"), key.alias("key"), F.transform(before, lambda x: F.xxhash64(x["role"], F.length(x["text"]) % 2)).alias("hashes"))
+
+
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tasks: counts of patterns that occur in them, labels as difficulty where there are any."""
     docs = table(spark, sf_dir, "documents")
