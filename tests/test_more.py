@@ -54,7 +54,7 @@ def test_reports(rows, spark):
     assert abs(near.cost_share - 0.5) == min(abs(r.cost_share - 0.5) for r in points.collect())
     logged = evaluate.logged_policy(priced, spark.createDataFrame([("m0", 1), ("m1", 3)], "model string, tier int")).first()
     assert 0 < logged.cost_share < 1
-    ci = evaluate.bootstrap_point(priced.withColumn("tier", F.lit(2)), 40, 20).first()
+    ci = evaluate.bootstrap_point(priced.withColumn("tier", F.lit(2)), 40).first()
     assert ci.served_low <= ci.served_mean <= ci.served_high
     shape = effort.shape_stats(spark.createDataFrame([(1,), (1,), (4,)], "n_calls int")).first()
     assert (shape.n_trajectories, shape.n_requests, shape.logged_calls_median, shape.logged_calls_max, shape.one_call_only_pct) == (3, 6, 1.0, 4, 66.7)

@@ -166,8 +166,8 @@ def test_offpolicy(spark):
     assert all(r.struggle == 0.0 for r in flat.collect())
     cells = offpolicy.cell_table(offpolicy.matched_cells(rows.limit(12).withColumn("tier", F.col("trajectory_id") % 3 + 1)))
     assert all(r.err_rate is None for r in cells.collect() if r.n < 10)
-    w = offpolicy.bootstrap_weights(rows.select("trajectory_id"), "trajectory_id", 50)
-    assert 0.9 < w.agg(F.sum("w")).first()[0] / 3000 < 1.1
+    w = offpolicy.replicate_sums(rows, [], [], 50)
+    assert w.count() == 50 and 0.9 < w.agg(F.sum("w")).first()[0] / 3000 < 1.1
 
 
 def brute_pairs(rows, gap):

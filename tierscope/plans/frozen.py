@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,8 +140,12 @@ def freeze(df: DataFrame, metrics: DataFrame, features: list[str], groups: DataF
     rows = _with_composite(written(self_rank(long), "fit-ranks"), features, groups, id_col)
     train = written(assembled(rows.join(graded, id_col), features), "fit-rows")
     n = train.count()
-    heads = [PipelineModel([LogisticRegression(featuresCol="features", labelCol="_y", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50).fit(train.withColumn("_y", (F.col("difficulty") <= k).cast("double")))]) for k in (1, 2)]
-    sizes = {t: PipelineModel([GBTRegressor(featuresCol="features", labelCol="_y", maxDepth=3, maxIter=rounds, stepSize=0.3, seed=13).fit(train.withColumn("_y", F.log1p(t)))]) for t in SIZES}
+    fits = [LogisticRegression(featuresCol="features", labelCol=f"_y{k}", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50) for k in (1, 2)]
+    fits += [GBTRegressor(featuresCol="features", labelCol=f"_{t}", maxDepth=3, maxIter=rounds, stepSize=0.3, seed=13) for t in SIZES]
+    rows = train.select("*", *[(F.col("difficulty") <= k).cast("double").alias(f"_y{k}") for k in (1, 2)], *[F.log1p(t).alias(f"_{t}") for t in SIZES])
+    with ThreadPoolExecutor(len(fits)) as pool:  # each has many small jobs
+        models = [PipelineModel([m]) for m in pool.map(inheritable_thread_target(df.sparkSession)(lambda f: f.fit(rows)), fits)]
+    heads, sizes = models[:2], dict(zip(SIZES, models[2:], strict=True))
     scored = written(_with_probabilities(train, heads).select(id_col, "composite", "ml"), "fit-scores")
     tagged = lambda steps, kind: steps.withColumn("kind", F.lit(kind))
     ecdf = tagged(fit_ecdf(long), "feature").unionByName(tagged(fit_ecdf(melt(metrics, [id_col], list(scoring.METRIC_WEIGHTS))), "metric")).unionByName(tagged(fit_ecdf(melt(scored, [id_col], ["composite", "ml"])), "score"))
