@@ -60,6 +60,25 @@ def test_exact_dedup_edges(spark, odd):
     assert kept.columns == odd.columns and kept.count() == len(groups)
 
 
+def test_exact_dedup_of_any_source(spark, tmp_path):
+    """Rows of paths read twice, of other formats and of unions are told apart; a plain scan of Parquet files is not copied."""
+    rows = spark.createDataFrame([(i, f"text {i % 7}") for i in range(20)], "doc_id long, text string").repartition(3)
+    for kind in ("parquet", "json", "orc", "csv"):
+        rows.write.format(kind).save(str(tmp_path / kind))
+    schema, at = "doc_id long, text string", lambda kind: str(tmp_path / kind)
+    once = spark.read.parquet(at("parquet"))
+    assert exact_dedup._is_scan(once.filter("doc_id >= 0").select("text", "doc_id"))
+    twice = {"path twice": spark.read.parquet(at("parquet"), at("parquet")), "union": once.union(once)}
+    for name, docs in twice.items():
+        assert not exact_dedup._is_scan(docs), name
+        got = exact_dedup.exact_dedup(docs).collect()
+        assert len(got) == 40 and sum(r.kept for r in got) == 7 and {r.group_size for r in got} == {4, 6}, name
+        assert exact_dedup.keep_first(docs).count() == 7
+    for kind in ("json", "orc", "csv"):
+        got = exact_dedup.exact_dedup(spark.read.schema(schema).format(kind).load(at(kind))).collect()
+        assert len(got) == 20 and sum(r.kept for r in got) == 7
+
+
 def test_exact_dedup_compares_bytes_on_hits(spark):
     """With a digest of one character many texts hit the same key; whole bytes must keep them apart, over several batches."""
     rows = [(i, f"text {i % 37}") for i in range(120)]

@@ -25,26 +25,30 @@ def normalized(text: Column) -> Column:
 
 
 def _is_scan(docs: DataFrame) -> bool:
-    """Whether each row of ``docs`` is one row of a file: one relation under projections and filters only."""
-    todo, leaves = [docs._jdf.queryExecution().analyzed()], 0
+    """Whether file and row name each row of ``docs``: one relation of Parquet files, none read twice, under projections and filters only."""
+    todo, leaves = [docs._jdf.queryExecution().analyzed()], []
     while todo:
         node = todo.pop()
-        name, children = node.nodeName(), node.children()
+        children = node.children()
         if not children.size():
-            leaves += 1
-            if not name.startswith("LogicalRelation") and name != "LogicalRelation":
-                return False
-        elif name not in ("Project", "Filter", "SubqueryAlias"):
+            leaves.append(node)
+        elif node.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
             return False
         todo += [children.apply(i) for i in range(children.size())]
-    return leaves == 1
+    if len(leaves) != 1 or not leaves[0].nodeName().startswith("LogicalRelation"):
+        return False
+    relation = leaves[0].relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return False
+    return len(relation.location().inputFiles()) == len(docs._jdf.inputFiles())  # the latter names each file once
 
 
 def located(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with one more column that names each row's place, and that column's name.
 
-    The place is the file and row of a plain scan; the rows of any other DataFrame (joined,
-    exploded, made in memory) are written to the shared folder first, with a number each.
+    The place is the file and row of a plain scan of Parquet files; the rows of any other
+    DataFrame (joined, exploded, of another format, of a path given twice, made in memory) are
+    written to the shared folder first, with a number each.
     """
     name = free_name("_locator", docs.columns)
     if _is_scan(docs) and "_metadata" not in {c.lower() for c in docs.columns}:
