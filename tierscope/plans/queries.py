@@ -12,6 +12,7 @@ from ..operators import costs, effort, evaluate, ml, offpolicy, ranks, scoring,
 from ..sources import io
 from ..sources.tables import written
 from . import adapters as A
+from . import nested
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -763,4 +764,5 @@ def frozen_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3]))
 
 
-SQL: dict[str, str] = {name: sql if isinstance(sql, str) else sql() for name, sql in _TOLD.items()}
+QUERIES |= nested.QUERIES
+SQL: dict[str, str] = {name: sql if isinstance(sql, str) else sql() for name, sql in _TOLD.items()} | nested.SQL
