@@ -67,22 +67,27 @@ def _char_runs(n: int):
     return lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))
 
 
-def tfidf_fit(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2), analyzer: str = "word", min_df: int = 2, max_features: int | None = None, id_col: str = "id") -> DataFrame:
+def term_counts(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2), analyzer: str = "word", id_col: str = "id") -> DataFrame:
+    """(id, term, tf), written: the fit and the weights read it instead of splitting the texts again."""
+    return written(_terms(df, text, analyzer, ngrams, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+
+
+def tfidf_fit(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2), analyzer: str = "word", min_df: int = 2, max_features: int | None = None, id_col: str = "id", counts: DataFrame | None = None) -> DataFrame:
     """(term, idf): ln((1+n)/(1+df))+1 of terms in ``min_df`` texts or more, the most frequent ``max_features`` of them."""
-    terms = _terms(df, text, analyzer, ngrams, id_col)
-    tally = terms.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    counts = counts if counts is not None else _terms(df, text, analyzer, ngrams, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tally = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     if max_features:
         tally = tally.orderBy(F.desc("total"), "term").limit(max_features)
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     return tally.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf(df: DataFrame, text: str, fit: DataFrame, ngrams: tuple[int, int] = (1, 2), analyzer: str = "word", id_col: str = "id") -> DataFrame:
+def tfidf(df: DataFrame, text: str, fit: DataFrame, ngrams: tuple[int, int] = (1, 2), analyzer: str = "word", id_col: str = "id", counts: DataFrame | None = None) -> DataFrame:
     """(id, term, weight): sublinear term frequency times idf, each text scaled to length 1."""
-    terms = _terms(df, text, analyzer, ngrams, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = terms.join(fit.select("term", "idf"), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
-    return raw.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("_len")).alias("weight"))
+    counts = counts if counts is not None else _terms(df, text, analyzer, ngrams, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    raw = counts.join(fit.select("term", "idf"), "term").select(id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "term", (F.col("w") / length).alias("weight"))
 
 
 def hashed_vectors(weights: DataFrame, width: int = 1024, id_col: str = "id") -> DataFrame:

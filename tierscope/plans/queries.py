@@ -661,7 +661,8 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT co
 SELECT doc_id AS id, count(*) AS terms, round(max(w / l), 6) AS heaviest FROM x JOIN (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY doc_id) USING (doc_id) GROUP BY doc_id""")
 def word_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " ").alias("text"))
-    weights = ml.tfidf(docs, "text", ml.tfidf_fit(docs, "text"))
+    counts = ml.term_counts(docs, "text")
+    weights = ml.tfidf(docs, "text", ml.tfidf_fit(docs, "text", counts=counts), counts=counts)
     return rounded(weights.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.max("weight").alias("heaviest")))
 
 
