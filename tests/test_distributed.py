@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tierscope.operators import evaluate, ml, offpolicy, ranks, scoring, trajectories
+from tierscope.operators import boosting, evaluate, ml, offpolicy, ranks, scoring, trajectories
 from tierscope.plans import adapters as A
 
 SF = "/root/testdata/sf0.001"
@@ -139,3 +139,42 @@ def test_split_is_the_greedy_one(many_ranges, seed):
     rows = [(pos, rnd.choice("xyz"), [rnd.choice([-1, 0, 5]) for _ in range(rnd.randrange(7))]) for pos in rnd.sample(range(10_000), 300)]
     df = many_ranges.createDataFrame(rows, "pos long, key string, hashes array<long>").withColumn("n", F.size("hashes"))
     assert {r.pos: r.head for r in trajectories.split_chains(df).collect()} == greedy(rows)
+
+
+def boost_rows(spark, n=400):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(8)
+    x = rng.random((n, 3))
+    y, c = np.sin(6 * x[:, 0]) + (x[:, 1] > 0.6), (x[:, 0] > 0.5).astype(int) + (x[:, 1] > 0.7)
+    df = spark.createDataFrame([(i % 2, x[i].tolist(), float(y[i]), float(c[i])) for i in range(n)], "m int, a array<double>, y double, c double")
+    return x, y, c, df.withColumn("features", array_to_vector("a"))
+
+
+def test_first_split_is_the_best_of_all(spark):
+    x, y, _, df = boost_rows(spark)
+    model = boosting.fit_boosted(df, ["y"], rounds=1, depth=1, step=1.0)
+    bins, best = boosting.binned(x), None
+    for f in range(3):
+        for b in range(256):
+            left = bins[:, f] <= b
+            if 20 <= left.sum() <= len(y) - 20:
+                loss = ((y[left] - y[left].mean()) ** 2).sum() + ((y[~left] - y[~left].mean()) ** 2).sum()
+                if best is None or loss < best[0] - 1e-9:
+                    best = (loss, f, b)
+    assert (model.feature[0, 0, 0, 0], model.cut[0, 0, 0, 0]) == best[1:]
+    got = np.array([r.p[0] for r in df.select(model.predict(F.col("features")).alias("p")).collect()])
+    assert ((got - y) ** 2).sum() == pytest.approx(best[0])
+
+
+def test_boosting_is_the_same_however_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "CHECKPOINT", 2)
+    x, _, c, df = boost_rows(spark)
+    one, many = (boosting.fit_boosted(df.repartition(k), ["c"], model="m", loss="multinomial", rounds=6) for k in (1, 5))
+    assert (one.feature == many.feature).all() and (one.cut == many.cut).all() and np.allclose(one.leaf, many.leaf)
+    bins = boosting.binned(x)
+    hits = [np.mean(one.scores(bins[m::2], m).argmax(1) == c[m::2]) for m in (0, 1)]
+    assert min(hits) > 0.9
+    alone = boosting.fit_boosted(df.filter("m = 1"), ["c"], loss="multinomial", rounds=6)
+    assert (alone.cut[0] == many.cut[1]).all()  # models side by side don't touch each other
+    assert boosting.fit_boosted(df.limit(0), ["y"], rounds=2).models == []

@@ -8,14 +8,14 @@ from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from .boosting import fit_boosted
 from .evaluate import class_report
 from .ranks import fold_ranks, melt, quantiles
 from .scoring import cuts_by_fold, cuts_known_marginals, score_of
@@ -180,15 +180,32 @@ def fit_multinomial(train: DataFrame, c: float = 1.0, label: str = "difficulty",
     return apply
 
 
-def fit_gbt(train: DataFrame, label: str = "difficulty", balanced: bool = False, depth: int = 3, rounds: int = 20) -> Callable[[DataFrame], DataFrame]:
-    """Boosted trees on the two cumulative targets."""
-    weight = None
-    if balanced:
-        sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-        train = train.join(F.broadcast(sizes), label).withColumn("_w", 1.0 / F.col("_c"))
-        weight = "_w"
-    make = lambda: GBTClassifier(featuresCol="features", maxDepth=depth, maxIter=rounds, stepSize=0.1, seed=13, **({"weightCol": weight} if weight else {}))
-    return fit_ordinal(train, label=label, make=make)
+def _balanced(df: DataFrame, by: list[str], label: str) -> DataFrame:
+    """``df`` with ``_w``: rows of each class weigh as much as those of any other."""
+    sizes = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_c"))
+    return df.join(F.broadcast(sizes), [*by, label]).withColumn("_w", 1.0 / F.col("_c"))  # a row for each class and fold
+
+
+def _cumulative(df: DataFrame, scores: Column) -> DataFrame:
+    """``df`` with p_d1 and p_d2 from an array of three raw class scores."""
+    rows = df.withColumn("_s", scores)
+    e = [F.exp(F.col("_s")[k] - F.array_max("_s")) for k in range(3)]
+    total = e[0] + e[1] + e[2]
+    return rows.withColumn("p_d1", e[0] / total).withColumn("p_d2", (e[0] + e[1]) / total).drop("_s")
+
+
+def fit_gbt(train: DataFrame, label: str = "difficulty", balanced: bool = False, depth: int = 3, rounds: int = 200) -> Callable[[DataFrame], DataFrame]:
+    """Boosted trees on the three classes."""
+    rows = train.withColumn("_y", F.col(label) - 1)
+    model = fit_boosted(_balanced(rows, [], label) if balanced else rows, ["_y"], loss="multinomial", weight="_w" if balanced else None, rounds=rounds, depth=depth)
+    return lambda df: _cumulative(df, model.predict(F.col("features")))
+
+
+def oof_boosted(df: DataFrame, fold: str = "fold", label: str = "difficulty", balanced: bool = False, rounds: int = 200) -> DataFrame:
+    """The test rows of :func:`fold_features` with p_d1 and p_d2 of boosted trees; all folds' models grow side by side."""
+    train = df.filter(F.col(fold) != F.col("test")).withColumn("_y", F.col(label) - 1)
+    model = fit_boosted(_balanced(train, ["test"], label) if balanced else train, ["_y"], model="test", loss="multinomial", weight="_w" if balanced else None, rounds=rounds)
+    return _cumulative(df.filter(F.col(fold) == F.col("test")), model.predict(F.col("features"), F.col("test").cast("long")))
 
 
 def svd_text_head(train: DataFrame, text_vec: str, ranks: str, dims: int = 80, c: float = 1.0, label: str = "difficulty") -> Callable[[DataFrame], DataFrame]:
@@ -208,20 +225,21 @@ def oof_probs(df: DataFrame, fitter: Fitter, fold: str = "fold", id_col: str = "
     return each_fold(df, one, fold)
 
 
-def oof_costs(df: DataFrame, tier_prices: DataFrame, fold: str = "fold", id_col: str = "trajectory_id", depth: int = 3, rounds: int = 20) -> DataFrame:
-    """(id, c1, c2, c3) from sizes predicted at routing time: boosted regressors of their logarithms for each fold."""
+def oof_costs(df: DataFrame, tier_prices: DataFrame, fold: str = "fold", id_col: str = "trajectory_id", depth: int = 3, rounds: int = 200) -> DataFrame:
+    """(id, c1, c2, c3) from sizes predicted at routing time: boosted regressors of their logarithms for each fold, all side by side.
+
+    ``df`` comes from :func:`fold_features`, or holds features that were not fitted on any rows.
+    """
     from .costs import tier_costs
 
     targets = ("context_tokens", "gen_tokens", "n_llm_calls")
-
-    def one(k: int) -> DataFrame:
-        train, own = sides(df, k, fold)
-        for t in targets:
-            model = GBTRegressor(featuresCol="features", labelCol="_y", predictionCol=f"_{t}", maxDepth=depth, maxIter=rounds, stepSize=min(0.3, 0.06 * 200 / rounds) if rounds < 200 else 0.06, seed=13).fit(train.withColumn("_y", F.log1p(t)))
-            own = model.transform(own)
-        return own.select(id_col, *[F.greatest(F.expm1(f"_{t}"), F.lit(1.0 if t == "n_llm_calls" else 0.0)).alias(t) for t in targets])
-
-    return tier_costs(each_fold(df, one, fold), tier_prices, id_col=id_col)
+    if "test" not in df.columns:
+        df = df.crossJoin(F.broadcast(df.select(F.col(fold).alias("test")).distinct()))
+    train = df.filter(F.col(fold) != F.col("test")).select("features", "test", *[F.log1p(t).alias(f"_{t}") for t in targets])
+    model = fit_boosted(train, [f"_{t}" for t in targets], model="test", rounds=rounds, depth=depth)
+    own = df.filter(F.col(fold) == F.col("test")).select(id_col, model.predict(F.col("features"), F.col("test").cast("long")).alias("_s"))
+    sized = own.select(id_col, *[F.greatest(F.expm1(F.col("_s")[i]), F.lit(1.0 if t == "n_llm_calls" else 0.0)).alias(t) for i, t in enumerate(targets)])
+    return tier_costs(sized, tier_prices, id_col=id_col)
 
 
 def stack(df: DataFrame, level0: dict[str, Fitter], fold: str = "fold", inner: int = 4, group: str = "workspace", id_col: str = "trajectory_id") -> DataFrame:

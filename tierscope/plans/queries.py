@@ -706,6 +706,21 @@ def method_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ml.ladder(_ranked_tasks(spark, sf_dir), fitters))
 
 
+@query()
+def boosted_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold class probabilities of 200 rounds of boosted trees."""
+    return rounded(ml.oof_boosted(_ranked_tasks(spark, sf_dir)).select("trajectory_id", "fold", "p_d1", "p_d2"))
+
+
+@query()
+def predicted_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task costs from sizes that 200 rounds of boosted trees predict out of fold."""
+    rows = ml.group_folds(A.tasks(spark, sf_dir), "workspace")
+    sized = rows.withColumn("context_tokens", F.col("usr_tokens") * 10).withColumn("gen_tokens", F.col("n_commas")).withColumn("n_llm_calls", F.col("n_lines"))
+    made = ml.fold_features(sized.withColumns({f"x_{f}": F.col(f) for f in A.FEATURES[1:]}), [f"x_{f}" for f in A.FEATURES[1:]], ["context_tokens", "gen_tokens", "n_llm_calls"])
+    return rounded(ml.oof_costs(made, io.tier_prices(spark)), 9)
+
+
 @query()
 def cluster_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trajectory_id"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
