@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,6 +236,21 @@ def pick_winner(results: DataFrame, value: str = "auc") -> DataFrame:
     return fair.agg(F.max_by("method", F.struct(value, "method")).alias("method"), F.max(value).alias(value))
 
 
+def rescored_winner(aware: DataFrame, blind: DataFrame, kinds: tuple[str, ...] = ("tau", "lambda", "lambda_sized"), id_col: str = "trajectory_id") -> DataFrame:
+    """(method, auc, knee_quality, knee_cost, auc_blind): the best sweep under cache-aware costs, and what it comes to under cache-blind ones.
+
+    Both tables hold the same rows (id, p_d1, p_d2, difficulty, c1..c3) with their own costs;
+    a rule that reads costs reads those of its table.
+    """
+    def scored(df: DataFrame) -> DataFrame:
+        made = [frontier_metrics(sweep(df, k)).select(F.lit(k).alias("method"), "*") for k in kinds]
+        return reduce(DataFrame.unionByName, made)
+
+    first = written(scored(aware), "frontiers")  # a row for each method
+    best = pick_winner(first.withColumn("auc", F.round("auc", 9))).select("method")
+    return first.join(best, "method").select("method", "auc", "knee_quality", "knee_cost").join(scored(blind).select("method", F.col("auc").alias("auc_blind")), "method")
+
+
 def adoption_frontier(routes: DataFrame, quality: Column | None = None, steps: int = 10) -> DataFrame:
     """(adopt_frac, cost_usd, quality): the cheapest share of trajectories adopts its route, the rest stays.
 

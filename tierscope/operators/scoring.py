@@ -172,6 +172,11 @@ def cuts_by_fold(df: DataFrame, score: str, label: str, fold: str, out: str = "t
     return over(df, q, [fold]).withColumn(out, F.when(F.col(score) <= F.col("q1"), 1).when(F.col(score) <= F.col("q2"), 2).otherwise(3)).drop("q1", "q2")
 
 
+def blend_by_fold(df: DataFrame, ml: str, heuristic: str, label: str, fold: str, alpha: float = 0.5, id_col: str = "trajectory_id") -> DataFrame:
+    """``df`` with an even blend of both scores' ranks and the ``tier`` that the other folds' labels and blends give."""
+    return cuts_by_fold(blend(df, ml, heuristic, alpha, id_col), "blend", label, fold)
+
+
 def cluster_tiers(df: DataFrame, features: list[str], score: str, method: str = "kmeans", seed: int = 13, weights: dict | None = None, fit_on: Column | None = None) -> DataFrame:
     """``df`` with ``tier``: three clusters of the (weighted) features, ordered by their mean score on the fitted rows; an empty cluster comes last."""
     from pyspark.ml.clustering import GaussianMixture, KMeans

@@ -286,6 +286,33 @@ def lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.sweep(_policy(spark, sf_dir), "lambda").drop("knob2"))
 
 
+_SIZED = ", ".join(f"({i}, {g[0]!r}::DOUBLE)" for i, g in enumerate(evaluate.default_grid("lambda_sized")))
+
+
+@query(f"WITH {_POLICY}, g(point, knob) AS (VALUES {_SIZED}), w AS (SELECT *, CASE WHEN c1 + knob * c3 * (1 - p_d1) <= c2 + knob * c3 * (1 - p_d2) AND c1 + knob * c3 * (1 - p_d1) <= c3 THEN 1 WHEN c2 + knob * c3 * (1 - p_d2) <= c3 THEN 2 ELSE 3 END AS tier FROM p, g), pts AS (SELECT point, knob, {_POINT} FROM w GROUP BY point, knob) SELECT point, round(knob, 6) AS knob, {_ROUNDED_POINT} FROM pts")
+def sized_lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.sweep(_policy(spark, sf_dir), "lambda_sized").drop("knob2"))
+
+
+def _winner_sql() -> str:
+    blind = ", ".join("(context_tokens * {0}::DOUBLE + gen_tokens * {2}::DOUBLE) / 1e6 AS c{k}".format(*io.TIER_PRICES[k], k=k) for k in (1, 2, 3))
+    least = lambda w: f"CASE WHEN c1 + {w} * (1 - p_d1) <= c2 + {w} * (1 - p_d2) AND c1 + {w} * (1 - p_d1) <= c3 THEN 1 WHEN c2 + {w} * (1 - p_d2) <= c3 THEN 2 ELSE 3 END"
+    rules = {"tau": (_TAUS, "CASE WHEN p_d1 >= knob THEN 1 WHEN p_d2 >= knob THEN 2 ELSE 3 END"), "lambda": (_LAMS, least("knob")), "lambda_sized": (_SIZED, least("knob * c3"))}
+    grids = ", ".join(f"g_{m}(point, knob) AS (VALUES {grid})" for m, (grid, _) in rules.items())
+    swept = " UNION ALL ".join(f"SELECT kind, '{m}' AS method, point, difficulty, c1, c2, c3, {tier} AS tier FROM pk, g_{m}" for m, (_, tier) in rules.items())
+    return f"""WITH {_POLICY}, pk AS (SELECT 'aware' AS kind, p_d1, p_d2, difficulty, c1, c2, c3 FROM p UNION ALL SELECT 'blind', p_d1, p_d2, difficulty, {blind} FROM p), {grids}, w AS ({swept}),
+pts AS (SELECT kind || '/' || method AS k, point, sum({_OWN}) / sum(c3) AS x, avg((tier >= difficulty)::INT) AS y FROM w GROUP BY ALL), {_area_sql("k")}, kn AS (SELECT k, arg_max(x, y - x) AS knee_cost, arg_max(y, y - x) AS knee_quality FROM (SELECT DISTINCT k, x, y FROM pts) GROUP BY k),
+a AS (SELECT split_part(k, '/', 2) AS method, auc, knee_cost, knee_quality FROM ar JOIN kn USING (k) WHERE k LIKE 'aware/%'), b AS (SELECT split_part(k, '/', 2) AS method, auc AS auc_blind FROM ar WHERE k LIKE 'blind/%')
+SELECT method, round(auc, 6) AS auc, round(knee_quality, 6) AS knee_quality, round(knee_cost, 6) AS knee_cost, round(auc_blind, 6) AS auc_blind FROM a JOIN b USING (method) ORDER BY round(auc, 9) DESC, method DESC LIMIT 1"""
+
+
+@query(_winner_sql)
+def winner_under_blind_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(A.order_policy(spark, sf_dir), "policy")
+    aware, blind = (written(rows.join(costs.tier_costs(rows, io.tier_prices(spark), cache_aware=a), "trajectory_id"), "policy") for a in (True, False))
+    return rounded(evaluate.rescored_winner(aware, blind))
+
+
 def _cuts_knobs(sf_sql: str) -> str:
     shares = sorted({min(x, 1.0) for g in evaluate.default_grid("cuts") for x in g})
     at = {s: i + 1 for i, s in enumerate(shares)}
@@ -405,14 +432,28 @@ def evaluator_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TASKS = f"{_TEXT_SQL}, lab AS (SELECT t.*, (1 + (1 - quality) + toxic)::INT AS difficulty, (('0x' || substr(md5(workspace), 1, 8))::BIGINT % 5)::INT AS fold FROM t JOIN labels ON doc_id = trajectory_id)"
 
 
-@query(f"""WITH {_TASKS}, k AS (SELECT DISTINCT fold AS test FROM lab), tr AS (SELECT k.test, l.* FROM k JOIN lab l ON l.fold <> k.test), sh AS (SELECT test, avg((difficulty = 1)::INT) AS p1, avg((difficulty <= 2)::INT) AS p2, list_sort(list(usr_tokens)) AS v FROM tr GROUP BY test),
+_FOLD_CUTS = f"""WITH {_TASKS}, k AS (SELECT DISTINCT fold AS test FROM lab), tr AS (SELECT k.test, l.* FROM k JOIN lab l ON l.fold <> k.test), sh AS (SELECT test, avg((difficulty = 1)::INT) AS p1, avg((difficulty <= 2)::INT) AS p2, list_sort(list(usr_tokens)) AS v FROM tr GROUP BY test),
 q AS (SELECT test, v[1 + floor(p1 * (len(v) - 1))::INT] + (v[least(len(v), 2 + floor(p1 * (len(v) - 1))::INT)] - v[1 + floor(p1 * (len(v) - 1))::INT]) * (p1 * (len(v) - 1) - floor(p1 * (len(v) - 1))) AS q1, v[1 + floor(p2 * (len(v) - 1))::INT] + (v[least(len(v), 2 + floor(p2 * (len(v) - 1))::INT)] - v[1 + floor(p2 * (len(v) - 1))::INT]) * (p2 * (len(v) - 1) - floor(p2 * (len(v) - 1))) AS q2 FROM sh)
-SELECT trajectory_id, fold, CASE WHEN usr_tokens <= q1 THEN 1 WHEN usr_tokens <= q2 THEN 2 ELSE 3 END AS tier FROM lab JOIN q ON q.test = lab.fold""")
+SELECT trajectory_id, fold, CASE WHEN usr_tokens <= q1 THEN 1 WHEN usr_tokens <= q2 THEN 2 ELSE 3 END AS tier FROM lab JOIN q ON q.test = lab.fold"""
+
+
+@query(_FOLD_CUTS)
 def fold_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ml.group_folds(A.tasks(spark, sf_dir), "workspace")
     return scoring.cuts_by_fold(rows, "usr_tokens", "difficulty", "fold").select("trajectory_id", "fold", "tier")
 
 
+def _fold_blend_sql() -> str:
+    blended = f"round(0.5::DOUBLE * ({_rank_sql('usr_tokens')}) + 0.5::DOUBLE * ({_rank_sql('n_commas')}), 12)"
+    return _FOLD_CUTS.replace(_TASKS, f"{_TASKS}, bl AS (SELECT * REPLACE ({blended} AS usr_tokens) FROM lab)").replace("JOIN lab l", "JOIN bl l").replace("FROM lab JOIN q ON q.test = lab.fold", "FROM bl JOIN q ON q.test = bl.fold")
+
+
+@query(_fold_blend_sql)
+def fold_blend_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(ml.group_folds(A.tasks(spark, sf_dir), "workspace").select("trajectory_id", "fold", "difficulty", "usr_tokens", "n_commas"), "tasks")
+    return scoring.blend_by_fold(rows, "usr_tokens", "n_commas", "difficulty", "fold").select("trajectory_id", "fold", "tier")
+
+
 @query(f"""WITH {_TASKS}, sh AS (SELECT avg((difficulty = 1)::INT) AS p1, avg((difficulty <= 2)::INT) AS p2, list_sort(list(usr_tokens)) AS v FROM lab),
 q AS (SELECT v[1 + floor(p1 * (len(v) - 1))::INT] + (v[least(len(v), 2 + floor(p1 * (len(v) - 1))::INT)] - v[1 + floor(p1 * (len(v) - 1))::INT]) * (p1 * (len(v) - 1) - floor(p1 * (len(v) - 1))) AS q1, v[1 + floor(p2 * (len(v) - 1))::INT] + (v[least(len(v), 2 + floor(p2 * (len(v) - 1))::INT)] - v[1 + floor(p2 * (len(v) - 1))::INT]) * (p2 * (len(v) - 1) - floor(p2 * (len(v) - 1))) AS q2 FROM sh)
 SELECT trajectory_id, CASE WHEN usr_tokens <= q1 THEN 1 WHEN usr_tokens <= q2 THEN 2 ELSE 3 END AS tier FROM lab, q""")
