@@ -91,8 +91,8 @@ def split_chains(requests: DataFrame) -> DataFrame:
     return flagged.join(F.broadcast(known), "part", "left").withColumn("above", none("array<struct<n:int,pos:bigint,first:bigint,goes_on:boolean>>")).groupBy("part").applyInPandas(_heads, "pos long, n int, key string, head long")
 
 
-def reconstruct(requests: DataFrame) -> DataFrame:
-    """(pos, trajectory_id, call_index, request_id, trajectory_key, group_key) of requests (pos, key, hashes).
+def chain_heads(requests: DataFrame) -> DataFrame:
+    """(pos, n, key, head) of requests (pos, key, hashes): each with the first request of its chain.
 
     A group whose requests nest one in the next, in order of length, is one chain: a window
     tells that without moving any text. Only the other groups go through the greedy split, on
@@ -108,7 +108,12 @@ def reconstruct(requests: DataFrame) -> DataFrame:
     split = checked.filter("not _nests").select("pos", "key", "hashes", "n")
     split = split_chains(split)
     solo = rows.filter(F.col("key").isNull()).select("pos", "n", "key", F.col("pos").alias("head"))
-    members = plain.unionByName(split).unionByName(solo)
+    return plain.unionByName(split).unionByName(solo)
+
+
+def reconstruct(requests: DataFrame) -> DataFrame:
+    """(pos, trajectory_id, call_index, request_id, trajectory_key, group_key) of requests (pos, key, hashes): chains by the place of their heads."""
+    members = chain_heads(requests)
     members = members.withColumn("call_index", F.row_number().over(Window.partitionBy("head").orderBy("n", "pos")))
 
     # Dense ids on the table of chain heads: counts of runs of 65,536 places, then places within a run.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -508,6 +509,21 @@ def group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.calls(spark, sf_dir).select("pos", "key", F.size("hashes").alias("n"))
 
 
+@query(f"WITH RECURSIVE {_BRANCHES} SELECT pos, m.key, head, row_number() OVER (PARTITION BY head ORDER BY n, pos)::INT AS call_index FROM m")
+def streamed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The branching calls as a stream of three files, one a micro-batch, that arrive out of order."""
+    from ..sources.tables import scratch_dir
+    from ..streaming.linking import link_stream, linked_so_far
+
+    home = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    calls = written(A.branching_calls(spark, sf_dir), "calls")
+    for part in (1, 2, 0):
+        calls.filter(F.col("pos") % 3 == part).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    link_stream(stream, f"{home}/out", f"{home}/checkpoint").awaitTermination()
+    return linked_so_far(spark, f"{home}/out")
+
+
 _PROFILES = f"""{_CALLS}, o AS (SELECT *, conv_id AS trajectory_id, row_number() OVER (PARTITION BY conv_id ORDER BY n, pos)::INT AS call_index FROM calls),
 l AS (SELECT *, lag(items) OVER (PARTITION BY conv_id ORDER BY call_index) AS before FROM o),
 prof AS (SELECT trajectory_id, call_index, model, coalesce(list_sum(toks), 0)::BIGINT AS tokens, coalesce(list_sum([toks[i] FOR i IN range(1, len(items) + 1) IF before IS NOT NULL AND i <= len(before) AND items[1:i] = before[1:i]]), 0)::BIGINT AS shared FROM l)"""
