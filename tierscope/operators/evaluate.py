@@ -172,8 +172,7 @@ def random_baseline(df: DataFrame, cuts: list, n: int = 100, id_col: str = "traj
     """
     spark = df.sparkSession
     draws = df.crossJoin(F.broadcast(spark.range(n).select(F.col("id").alias("draw"))))
-    unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col("draw").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    area = frontier_metrics(cut_points(draws.withColumn("_u", unit), "_u", cuts, ("draw",)), by=("draw",))
+    area = frontier_metrics(cut_points(draws.withColumn("_u", unit_draw(F.col(id_col), F.col("draw"))), "_u", cuts, ("draw",)), by=("draw",))
     ends = area.groupBy().agg(F.avg("auc").alias("auc_mean"), F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))  # a row a draw
     return ends.select("auc_mean", F.col("_q")[0].alias("auc_low"), F.col("_q")[1].alias("auc_high"))
 

@@ -184,13 +184,13 @@ m AS (SELECT l_orderkey AS trajectory_id, (sum(l_quantity) * 100)::BIGINT AS con
 cost AS (SELECT trajectory_id, (context_tokens * 0.2::DOUBLE + context_tokens * (n_llm_calls - 1) / 2 * 0.02::DOUBLE + gen_tokens * 1.2::DOUBLE) / 1e6 AS c1, (context_tokens * 2.0::DOUBLE + context_tokens * (n_llm_calls - 1) / 2 * 0.2::DOUBLE + gen_tokens * 12.0::DOUBLE) / 1e6 AS c2, (context_tokens * 4.0::DOUBLE + context_tokens * (n_llm_calls - 1) / 2 * 0.4::DOUBLE + gen_tokens * 20.0::DOUBLE) / 1e6 AS c3 FROM m)"""
 
 
-def _unit_sql(salt: str) -> str:
+def _salted_sql(salt: str) -> str:
     return f"('0x' || substr(md5(trajectory_id || '|{salt}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
 _POLICY = f"""{_ORDERS},
-p1 AS (SELECT m.*, CASE WHEN n_llm_calls <= 2 THEN 1 WHEN n_llm_calls <= 5 THEN 2 ELSE 3 END AS difficulty, round(greatest(0.02::DOUBLE, least(0.98::DOUBLE, (6.5::DOUBLE - n_llm_calls) / 7 + ({_unit_sql("a")} - 0.5) * 0.6)), 6) AS p_d1 FROM m),
-p2 AS (SELECT *, round(p_d1 + (1 - p_d1) * (0.3 + 0.6 * {_unit_sql("b")}), 6) AS p_d2, (n_llm_calls + round({_unit_sql("c")} * 3, 3))::DOUBLE AS heuristic FROM p1),
+p1 AS (SELECT m.*, CASE WHEN n_llm_calls <= 2 THEN 1 WHEN n_llm_calls <= 5 THEN 2 ELSE 3 END AS difficulty, round(greatest(0.02::DOUBLE, least(0.98::DOUBLE, (6.5::DOUBLE - n_llm_calls) / 7 + ({_salted_sql("a")} - 0.5) * 0.6)), 6) AS p_d1 FROM m),
+p2 AS (SELECT *, round(p_d1 + (1 - p_d1) * (0.3 + 0.6 * {_salted_sql("b")}), 6) AS p_d2, (n_llm_calls + round({_salted_sql("c")} * 3, 3))::DOUBLE AS heuristic FROM p1),
 p AS (SELECT *, round(1 - (p_d1 + p_d2) / 2, 9) AS score FROM p2 JOIN cost USING (trajectory_id))"""
 
 
