@@ -127,9 +127,9 @@ def test_forest_across_any_borders():
             at = b
         assert at == len(args)
         df = pd.DataFrame(whole, columns=columns)
-        sums = df[df.open].groupby(["key", "parent_key", "depth", "width"], dropna=False).agg({"conv_id": "min", "n_convs": "sum", "n_children": "sum", "n_leaves": "sum", "saved_tokens": "sum", "ends_sha256": "max"}).reset_index()
+        sums = df[df.open].groupby(["key", "parent_key", "depth", "width"], dropna=False).agg({"conv_id": "min", "n_convs": "sum", "n_children": "sum", "n_leaves": "sum", "saved_tokens": "sum", "ends_sha256": lambda e: max((x for x in e if isinstance(x, str)), default="")}).reset_index()
         sums["parent_key"] = [None if not isinstance(k, bytes) else k for k in sums["parent_key"]]
-        sums["ends_sha256"] = [e if isinstance(e, str) else None for e in sums["ends_sha256"]]
+        sums["ends_sha256"] = [e or None for e in sums["ends_sha256"]]
         nodes = prefix_trie._merged(sums) if len(sums) else pd.DataFrame(columns=["key", *prefix_trie._NODE])
         up = dict(zip(nodes["key"], nodes["conv_id"], strict=True))
         rows = [tuple(r) for r in nodes[prefix_trie._NODE].itertuples(index=False)]
