@@ -178,3 +178,38 @@ def test_boosting_is_the_same_however_rows_lie(spark, monkeypatch):
     alone = boosting.fit_boosted(df.filter("m = 1"), ["c"], loss="multinomial", rounds=6)
     assert (alone.cut[0] == many.cut[1]).all()  # models side by side don't touch each other
     assert boosting.fit_boosted(df.limit(0), ["y"], rounds=2).models == []
+
+
+def test_matching_in_ranges_is_the_sequential_one(spark):
+    """Few and many ranges, crowds on either side, ties, one score that holds a third of the rows, rows without a score."""
+    from test_operators import brute_pairs
+
+    draw = random.Random(5)
+    for n, share, decimals, gap, size in ((100, 0.5, 2, 0.05, 18), (90, 0.2, 3, 0.05, 30), (90, 0.8, 1, 0.2, 18), (60, 0.5, 6, 0.02, 1000)):
+        rows = [(i, "m", round(draw.random(), decimals) if i % 3 else 0.5, 3 if draw.random() < share else draw.choice((1, 2))) for i in range(n)]
+        df = spark.createDataFrame([*rows, (n, "m", None, 3), (n + 1, "m", float("nan"), 1)], "trajectory_id long, model string, score double, tier int")
+        got = offpolicy.matched_pairs(df, gap, None, size=size).collect()
+        scores = {r[0]: r[2] for r in rows}
+        assert sorted((r.low_id, r.high_id) for r in got) == sorted(brute_pairs(rows, gap))
+        assert all(r.score_gap == round(abs(scores[r.low_id] - scores[r.high_id]), 4) for r in got)
+    first = offpolicy.matched_pairs(df, gap, 5).collect()
+    assert [r.low_id for r in first] == [i for i, _ in brute_pairs(rows, gap)][:5]
+    assert offpolicy.matched_pairs(df.limit(0), gap, None).count() == 0
+    assert offpolicy.matched_pairs(df.filter("tier = 3"), gap, None).count() == 0
+
+
+def test_matching_rounds_and_needs(spark, monkeypatch):
+    """No more rounds than ranges, and a range asks for no more high rows ahead than it has low rows, in whole ranges."""
+    from tierscope.operators import matching
+
+    seen = []
+    n, size = 160, 20
+    df = spark.range(n).select("id", (F.col("id") % 7 / 7).alias("score"), (F.col("id") % 2 == 0).alias("high"))
+    monkeypatch.setattr(matching, "written", lambda t, name, w=matching.written: (seen.append(w(t, name)) or seen[-1]) if name == "match-round" else w(t, name))
+    matching.greedy_pairs(df, "id", "high", [], 0.3, size).count()
+    placed, starts = matching._placed(df, ["score", "high", "id"], n // size)
+    ranges_of = matching._Ranges(placed, starts, 0.3)
+    now = ranges_of.entering()
+    assert 1 <= len(seen) <= len(ranges_of.parts)
+    assert max(r["count"] for r in placed.groupBy("part").count().collect()) <= 3 * size
+    assert all(sum(ranges_of.of[q].high for q in ranges_of.ahead(p, now[p][0])) <= ranges_of.of[p].low + 3 * size for p in ranges_of.parts)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .matching import greedy_pairs
 from .ranks import apply_ecdf, fit_ecdf, quantile_bucket, quantiles, running, split_halves
 
 #: P(Poisson(1) <= k) for k = 0, 1, ...
@@ -187,51 +187,15 @@ def diff_in_diff_ci(cells: DataFrame, n: int = 5000, id_col: str = "trajectory_i
     return out.withColumn("verdict", verdict).drop("_err", "_streak", "least")
 
 
-def matched_pairs(df: DataFrame, max_gap: float = 0.05, limit: int | None = 50, id_col: str = "trajectory_id") -> DataFrame:
+def matched_pairs(df: DataFrame, max_gap: float = 0.05, limit: int | None = 50, id_col: str = "trajectory_id", size: int = 250_000) -> DataFrame:
     """(low_id, high_id, low_model, high_model, score_gap): each low-tier row in score order takes the nearest free high-tier row within ``max_gap``.
 
-    Runs of scores without a gap over ``max_gap`` can't compete with each other, so each run is
-    matched by itself. ``limit`` keeps the first pairs in score order, a report's top.
+    Matched in ranges of ``size`` rows, see :func:`tierscope.operators.matching.greedy_pairs`. Rows
+    without a tier count as tier 2. ``limit`` keeps the first pairs in score order, a report's top.
     """
-    rows = df.select(F.col(id_col).alias("id"), "model", "score", F.coalesce("tier", F.lit(2)).alias("tier"))
-    # Runs: cells of max_gap without an empty cell between; tallied on cells, not on rows.
-    cell = F.floor(F.col("score") / max_gap)
-    cells = rows.select(cell.alias("cell")).distinct()
-    new = (F.col("cell") - F.coalesce(F.lag("cell").over(Window.orderBy("cell")), F.col("cell") - 2) > 1).cast("int")
-    runs = cells.withColumn("_new", new).withColumn("run", F.sum("_new").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))).select("cell", "run")
-
-    def match(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(["score", "id"], kind="stable")
-        low, high = run[run.tier <= 2], run[run.tier == 3]
-        scores, ids, models = high.score.tolist(), high.id.tolist(), high.model.tolist()
-        left = list(range(-1, len(scores) - 1))
-        right = list(range(1, len(scores) + 1))
-        free = [True] * len(scores)
-
-        def walk(i: int, to: list[int]) -> int:
-            path = []
-            while 0 <= i < len(scores) and not free[i]:
-                path.append(i)
-                i = to[i]
-            for p in path:
-                to[p] = i
-            return i
-
-        out = []
-        for i, model, score in zip(low.id, low.model, low.score, strict=True):
-            at = bisect.bisect_left(scores, score)
-            a, b = walk(at - 1, left), walk(at, right)
-            picks = [(abs(scores[k] - score), k) for k in (a, b) if 0 <= k < len(scores)]
-            if picks and min(picks)[0] <= max_gap:
-                gap, k = min(picks)
-                first = bisect.bisect_left(scores, scores[k])
-                k = walk(first, right) if scores[k] < score or first < k else k
-                free[k] = False
-                out.append((i, ids[k], model, models[k], score, round(gap, 4)))
-        return pd.DataFrame(out, columns=["low_id", "high_id", "low_model", "high_model", "low_score", "score_gap"])
-
-    pairs = rows.withColumn("cell", cell).join(F.broadcast(runs), "cell").groupBy("run").applyInPandas(match, "low_id long, high_id long, low_model string, high_model string, low_score double, score_gap double")
-    return (pairs.orderBy("low_score", "low_id").limit(limit) if limit else pairs).drop("low_score")
+    rows = df.select(F.col(id_col), "model", "score", F.coalesce("tier", F.lit(2)).alias("tier")).filter("tier <= 3")
+    pairs = greedy_pairs(rows.withColumn("high", F.col("tier") == 3), id_col, "high", ["model"], max_gap, size)
+    return (pairs.orderBy("low_place").limit(limit) if limit else pairs).withColumn("score_gap", F.round("score_gap", 4)).drop("low_score", "low_place")
 
 
 def ks_statistic(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
