@@ -682,7 +682,16 @@ def interaction_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(offpolicy.diff_in_diff_ci(_cells(spark, sf_dir)))
 
 
-@query()
+#: One step for each low row in score order, with the list of high rows that are taken.
+_NEAREST = "arg_min(h.k, {'gap': abs(h.score - l.score), 'k': h.k})"
+
+
+@query(f"""WITH RECURSIVE {_TEXT_SQL}, {_composite_sql()},
+lo AS (SELECT trajectory_id AS id, composite AS score, row_number() OVER (ORDER BY composite, trajectory_id) AS i FROM comp WHERE trajectory_id % 3 <> 0),
+hi AS (SELECT trajectory_id AS id, composite AS score, row_number() OVER (ORDER BY composite, trajectory_id) AS k FROM comp WHERE trajectory_id % 3 = 0),
+g AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS pick, []::BIGINT[] AS used UNION ALL
+SELECT l.i, {_NEAREST}, CASE WHEN count(h.k) = 0 THEN g.used ELSE list_append(g.used, {_NEAREST}) END FROM g JOIN lo l ON l.i = g.i + 1 LEFT JOIN hi h ON abs(h.score - l.score) <= 0.05 AND NOT list_contains(g.used, h.k) GROUP BY l.i, g.used)
+SELECT lo.id AS low_id, hi.id AS high_id, 'm1' AS low_model, 'm3' AS high_model, round(abs(hi.score - lo.score), 4) AS score_gap FROM g JOIN lo ON lo.i = g.i JOIN hi ON hi.k = g.pick""")
 def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _composite(spark, sf_dir, A.text_features(spark, sf_dir)).withColumnRenamed("composite", "score").withColumn("tier", F.when(F.col("trajectory_id") % 3 == 0, 3).otherwise(1)).withColumn("model", F.concat(F.lit("m"), F.col("tier")))
     return offpolicy.matched_pairs(rows, max_gap=0.05, limit=None)
