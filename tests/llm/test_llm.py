@@ -495,6 +495,48 @@ def test_near_dedup_against_exact_jaccard(spark, monkeypatch):
         assert got == want
 
 
+def small_sets():
+    """Texts of 1 to 24 shingles with the shortest similar ones, at 0.8 and just below it, and crowds that share most of a common line."""
+    rng, rows = np.random.default_rng(4), []
+    text = lambda words: rows.append((len(rows), " ".join(words)))
+    for n in range(1, 20):
+        for most in (n * 5 // 4, n * 5 // 4 + 1):
+            for _ in range(4):
+                words = [f"w{x}" for x in rng.integers(0, 10**9, most + 4)]
+                text(words[: n + 4])
+                text(words)
+    line = [f"c{x}" for x in range(18)]
+    for i in range(60):
+        text([*line[: 8 + i % 11], *[f"u{i}x{k}" for k in range(i % 7)]])
+    return rows
+
+
+@pytest.mark.parametrize("size", [10**4, 10**9])
+def test_near_dedup_of_small_sets_is_exact(spark, monkeypatch, size):
+    """Whatever the plan of the search, which follows the number of documents."""
+    own = near_dedup.plan_search
+    monkeypatch.setattr(near_dedup, "plan_search", lambda n, *rest: own(size, *rest))
+    rows = small_sets()
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute_groups(rows)
+
+
+def test_near_dedup_recall_by_size():
+    """Of pairs at 0.8 whose smaller set has 20 shingles or more, 0.95 meet in a segment within the limits, for plans of all sizes."""
+    rng = np.random.default_rng(3)
+    for docs in (10**4, 10**7, 10**9):
+        plan = near_dedup.plan_search(docs)
+        met = {}
+        for n in range(20, 41, 4):
+            both = [rng.integers(0, 1 << 63, n * 5 // 4, dtype=np.uint64) for _ in range(100)]
+            a = np.stack([near_dedup.fingerprint(s[:n], plan.lanes) for s in both])
+            b = np.stack([near_dedup.fingerprint(s, plan.lanes) for s in both])
+            near = (np.bitwise_count(a ^ b).sum(axis=1) <= plan.most) & (np.bitwise_count(a[:, -1] ^ b[:, -1]) <= plan.lane_most)
+            shared = [len(np.intersect1d(x, y)) > 0 for x, y in zip(near_dedup._points(a, plan), near_dedup._points(b, plan), strict=True)]
+            met[n] = (near & np.array(shared)).mean()
+        assert np.mean(list(met.values())) >= 0.95 and min(met.values()) >= 0.9, (docs, met)
+
+
 def test_near_dedup_edges(spark, odd, docs):
     got = near_dedup.near_groups(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (2, 3, 4)} == {2}

@@ -5,6 +5,11 @@ into segments; around each segment's value the ball of radius 1 is enumerated on
 sides, so values that differ in up to 2 bits meet in a common point. What meets is verified
 on one lane, then on the complete fingerprints, then on the shingle sets themselves.
 
+A fingerprint of a small set says little: of an even number of hashes many bits are ties, which
+one more shingle flips. Sets of up to ``SMALL`` shingles therefore also meet exactly: sets that are
+similar enough share one of each one's rarest shingles (prefix filtering), so those are points
+too, and no fingerprint is compared between two small sets.
+
 Points that very many documents share are never listed pair by pair. Each chunk of
 documents, and then each point, first picks leaders and links the others to them; of these
 links each document's nearest and first are verified and give components. A second pass
@@ -22,13 +27,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
 from .scan import chunks, fold_ascii, mixed, runs, text_bytes, token_hashes, words
-from .shared import broadcast_if_small, drop_written, free_name, shuffle_partitions, written
+from .shared import broadcast_if_small, drop_written, free_name, shuffle_partitions, skew_join, written
 
 #: Odd constants that scramble the shingle hashes anew for each lane.
 _STEP = 0x9E3779B97F4A7C15
@@ -42,6 +48,10 @@ DENSE = 128
 #: Two to this power blocks form a tile; dense block pairs of two tiles are decided together.
 TILE = 3
 BUFFER = 1 << 19
+#: Sets of up to so many shingles meet by their rarest ones.
+SMALL = 24
+#: Of a lane the top bit says that the set is small; the others are compared.
+_TOP = np.uint64(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -130,11 +140,28 @@ def _points(prints: np.ndarray, plan: Plan) -> np.ndarray:
     parts = bits.reshape(len(prints), plan.segments, plan.bits).astype(np.int64)
     value = (parts << np.arange(plan.bits)).sum(axis=2) | (np.arange(plan.segments, dtype=np.int64) << plan.bits)
     masks = np.concatenate(([0], 1 << np.arange(plan.bits, dtype=np.int64)))
-    return (value[:, :, None] ^ masks).reshape(len(prints), -1)
+    return (value[:, :, None] ^ masks).reshape(len(prints), plan.segments * len(masks))
+
+
+def _spread(batch: pa.RecordBatch, plan: Plan, least: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``batch``, point) of all points of its classes, and each class's last lane.
+
+    A set whose similar ones are all small has its rarest shingles as points (``points``), a large
+    one the segments' balls, one between them both.
+    """
+    prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(-1, plan.lanes)
+    n = batch.column("n").to_numpy(zero_copy_only=False)
+    lane = (prints[:, -1] & ~_TOP) | np.where(n <= SMALL, _TOP, np.uint64(0))
+    wide = np.flatnonzero(n > SMALL * least.numerator // least.denominator)
+    points = _points(prints[wide], plan)
+    rare = batch.column("points")
+    sizes = pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False)
+    own = np.concatenate((np.repeat(wide, points.shape[1]), np.repeat(np.arange(len(n)), sizes)))
+    return own, np.concatenate((points.ravel(), pc.list_flatten(rare).to_numpy(zero_copy_only=False))), lane
 
 
 def _near(f: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(f[a] ^ f[b]) <= most
+    return (np.bitwise_count((f[a] ^ f[b]) & ~_TOP) <= most) | (f[a] & f[b] >= _TOP)
 
 
 def leaders(point: np.ndarray, f: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -178,23 +205,47 @@ def _edge_batch(cid: np.ndarray, f: np.ndarray, pairs: list[tuple[np.ndarray, np
     return pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.bitwise_count(f[a] ^ f[b]).astype(np.int64))], _NAMES)
 
 
-def _class_arrays(batch: pa.RecordBatch, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("cid").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(-1, lanes)
+def _rarest(marked: DataFrame, classes: DataFrame, n_words: int, least: Fraction, extra: dict[str, str]) -> tuple[DataFrame, list[DataFrame]]:
+    """``classes`` with ``points``, and the tables it reads.
 
+    ``points`` are the rarest shingles of small sets, one more than a similar set may lack; null without any that others
+    share. Rarity is the number of small sets that hold a shingle; what only one holds comes first and makes no point.
+    """
+    small = classes.filter(F.col("n") <= SMALL)
+    if small.isEmpty():
+        return classes.withColumn("points", F.lit(None).cast("array<long>")), []
+    held = _sets(marked, small, n_words, extra)
 
-def _first_meetings(classes: DataFrame, plan: Plan) -> DataFrame:
+    def each(batches):
+        for batch in batches:
+            sizes = [len(b) // 8 for b in batch.column(1).to_pylist()]
+            shingles = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(shingles)], ["cid", "n", "s"])
+
+    listed = held.mapInArrow(each, "cid long, n long, s long")
+    shared = listed.groupBy("s").agg(F.count(F.lit(1)).alias("of")).filter("of > 1")
+    known = skew_join(listed, shared, ["s"], "of").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("of", "s"))).alias("known"))
+    needed = F.floor((F.col("n") * least.numerator + least.denominator - 1) / least.denominator)
+    spare = F.size("known") - needed + 1
+    # The top bit keeps them apart from the segments' points.
+    points = F.transform(F.slice("known", F.lit(1), F.greatest(spare, F.lit(0)).cast("int")), lambda k: k["s"].bitwiseOR(F.lit(-(1 << 63))))
+    rare = written(known.select("cid", points.alias("points")).filter(F.size("points") > 0), "rarest")
+    drop_written(held)
+    return classes.join(broadcast_if_small(rare, rare.count()), "cid", "left"), [rare]
+
+
+def _first_meetings(classes: DataFrame, plan: Plan, least: Fraction) -> DataFrame:
     """Links of followers to leaders (point null: cid and f are the two classes, n their distance), and points of more than ``CROWD`` classes (cid null)."""
 
     def local(batches):
         for batch in batches:
             for at in range(0, len(batch), 2048):
-                cid, prints = _class_arrays(batch.slice(at, 2048), plan.lanes)
-                points = _points(prints, plan)
-                rep = np.repeat(np.arange(len(cid)), points.shape[1])
-                flat = points.ravel()
+                part = batch.slice(at, 2048)
+                cid = part.column("cid").to_numpy(zero_copy_only=False)
+                rep, flat, lane = _spread(part, plan, least)
                 order = np.argsort(flat, kind="stable")
                 point, own = flat[order], rep[order]
-                f, n = prints[own, -1], np.ones(len(own), np.int64)
+                f, n = lane[own], np.ones(len(own), np.int64)
                 lead, pairs = leaders(point, f, n, plan.lane_most)
                 if pairs:
                     yield _edge_batch(cid[own], f, pairs)
@@ -222,7 +273,7 @@ def _first_meetings(classes: DataFrame, plan: Plan) -> DataFrame:
                 big = total > CROWD
                 yield pa.RecordBatch.from_arrays([pa.array(point[heads[big]]), pa.nulls(int(big.sum()), pa.int64()), pa.nulls(int(big.sum()), pa.int64()), pa.array(total[big])], _NAMES)
 
-    found = classes.select("cid", "print").mapInArrow(local, MEETINGS)
+    found = classes.select("cid", "print", "n", "points").mapInArrow(local, MEETINGS)
     sent = found.repartition(shuffle_partitions(classes.sparkSession), F.col("point"), F.when(F.col("point").isNull(), F.col("f"))).sortWithinPartitions("point", "cid")
     return sent.mapInArrow(meet, MEETINGS)
 
@@ -257,7 +308,7 @@ def _picked(links: DataFrame) -> DataFrame:
 
 def _blocked(classes: DataFrame, cluster: DataFrame) -> DataFrame:
     """``classes`` with ``block`` and ``slot``: runs of classes, those of a cluster side by side, of ``BLOCK`` classes and ``BLOCK_BYTES`` at most (or one larger class)."""
-    rows = classes.join(cluster, "cid", "left").select("cid", "n", "print", "first", F.coalesce("cluster", "cid").alias("cluster"))
+    rows = classes.join(cluster, "cid", "left").select("cid", "n", "print", "points", "first", F.coalesce("cluster", "cid").alias("cluster"))
     ordered = rows.repartitionByRange(shuffle_partitions(classes.sparkSession), "cluster", "cid").sortWithinPartitions("cluster", "cid")
 
     def number(batches):
@@ -277,7 +328,7 @@ def _blocked(classes: DataFrame, cluster: DataFrame) -> DataFrame:
     return ordered.mapInArrow(number, T.StructType([*ordered.schema.fields, T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType())]))
 
 
-def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, plan: Plan) -> DataFrame:
+def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, plan: Plan, least: Fraction) -> DataFrame:
     """(left, right, pairs, n): blocks, and which n pairs of their classes are of different components, share a point and are near on the last lane.
 
     ``pairs`` holds 16-bit numbers, the left slot times ``BLOCK`` plus the right one.
@@ -287,18 +338,16 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
     their own; a point of one component is left out.
     """
     known = classes.join(comp, "cid", "left")
-    rows = known.select((F.col("block") * BLOCK + F.col("slot")).alias("cid"), "print", F.coalesce("component", "cid").alias("component"))
+    rows = known.select((F.col("block") * BLOCK + F.col("slot")).alias("cid"), "print", "n", "points", F.coalesce("component", "cid").alias("component"))
     schema = "point long, cid long, f long, component long"
 
     def spread(batches):
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
-                cid, prints = _class_arrays(part, plan.lanes)
-                points = _points(prints, plan)
-                own = np.repeat(np.arange(len(cid)), points.shape[1])
-                component = part.column("component").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(points.ravel()), pa.array(cid[own]), pa.array(prints[own, -1].view(np.int64)), pa.array(component[own])], ["point", "cid", "f", "component"])
+                own, points, lane = _spread(part, plan, least)
+                cid, component = (part.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "component"))
+                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(cid[own]), pa.array(lane[own].view(np.int64)), pa.array(component[own])], ["point", "cid", "f", "component"])
 
     def meet(batches):
         held, found = None, {}
@@ -401,13 +450,14 @@ def _sets(marked: DataFrame, wanted: DataFrame, n_words: int, extra: dict[str, s
 
 
 def _verified(marked: DataFrame, classes: DataFrame, pairs: DataFrame, plan: Plan, n_words: int, least: Fraction, extra: dict[str, str]) -> DataFrame:
-    """The pairs (a, b) within the complete distance whose shingle sets are as similar as ``least``."""
+    """The pairs (a, b) within the complete distance, or both small, whose shingle sets are as similar as ``least``."""
     p, q = least.numerator, least.denominator
 
     def close(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, plan.lanes) for k in (2, 3))
-            ok = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= plan.most
+            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
+            ok = (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= plan.most) | (np.maximum(n, m) <= SMALL)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     def similar(batches):
@@ -420,7 +470,7 @@ def _verified(marked: DataFrame, classes: DataFrame, pairs: DataFrame, plan: Pla
     side = lambda c, v, m: classes.select(F.col("cid").alias(c), F.col("print").alias(v), F.col("n").alias(m))
     # Sets of too different sizes cannot be similar.
     able = (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)
-    near = written(pairs.join(side("a", "x", "na"), "a").join(side("b", "y", "nb"), "b").filter(able).select("a", "b", "x", "y").mapInArrow(close, "a long, b long"), "near")
+    near = written(pairs.join(side("a", "x", "na"), "a").join(side("b", "y", "nb"), "b").filter(able).select("a", "b", "x", "y", "na", "nb").mapInArrow(close, "a long, b long"), "near")
     wanted = classes.join(near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct(), "cid", "left_semi")
     held = _sets(marked, wanted, n_words, extra)
     whole = near.join(held.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
@@ -479,7 +529,8 @@ def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan:
                 one, other = held[left], held[right]
                 i, j = code // BLOCK, code % BLOCK
                 n, m = one[2][i], other[2][j]
-                ok = (np.bitwise_count(one[1][i] ^ other[1][j]).sum(axis=1, dtype=np.int64) <= plan.most) & (n * least.denominator >= m * least.numerator) & (m * least.denominator >= n * least.numerator)
+                near = (np.bitwise_count(one[1][i] ^ other[1][j]).sum(axis=1, dtype=np.int64) <= plan.most) | (np.maximum(n, m) <= SMALL)
+                ok = near & (n * least.denominator >= m * least.numerator) & (m * least.denominator >= n * least.numerator)
                 # What this block pair has linked already needs no more links.
                 root: dict[int, int] = {}
                 found = []
@@ -537,14 +588,15 @@ def _grouped(docs: DataFrame, n_words: int, least: Fraction, recall: float) -> t
     grouped = marked.groupBy(F.col(extra["digest"]).alias("digest")).agg(first.alias("first"), F.first(extra["n"]).alias("n"), F.first(extra["print"]).alias("print"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     search = classes.filter("n > 0")
-    met = written(_first_meetings(search, plan), "met")
+    pointed, rare = _rarest(marked, search, n_words, least, extra)
+    met = written(_first_meetings(pointed, plan, least), "met")
     pairs = written(_picked(met.filter("point is null")), "pairs")
     links = _verified(marked, search, pairs, plan, n_words, least, extra)
     member = components(links)
     comp = lambda: member.select(F.col("node").alias("cid"), "component")
     cluster = components(pairs).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
-    blocked = written(_blocked(search, cluster), "blocked")
-    more = written(_second_meetings(blocked, comp(), met.filter("cid is null"), plan), "blockpairs")
+    blocked = written(_blocked(pointed, cluster), "blocked")
+    more = written(_second_meetings(blocked, comp(), met.filter("cid is null"), plan, least), "blockpairs")
     found = []
     for part, decide in ((more.filter(F.col("n") > DENSE), lambda p: _across_blocks(marked, blocked, p, plan, n_words, least, extra)), (more.filter(F.col("n") <= DENSE), lambda p: _verified(marked, search, _single_pairs(p, blocked), plan, n_words, least, extra))):
         if not part.isEmpty():
@@ -555,7 +607,7 @@ def _grouped(docs: DataFrame, n_words: int, least: Fraction, recall: float) -> t
             stars = member.select(F.col("node").alias("a"), F.col("component").alias("b"))
             member = components(stars.unionByName(again))
         drop_written(*found)
-    drop_written(met, pairs, more, links, blocked)
+    drop_written(met, pairs, more, links, blocked, *rare)
     classes = classes.join(comp(), "cid", "left").select("digest", "first", F.coalesce("component", "cid").alias("component"))
     return marked, classes, extra
 
@@ -566,7 +618,7 @@ def near_groups(docs: DataFrame, n_words: int = 5, least: Fraction = Fraction(4,
     Similarity is Jaccard's of the sets of ``n_words``-word shingles (64-bit hashes), A-Z
     lower-cased; a shorter text is one shingle. Every link is decided on the whole sets, so none
     lies below ``least``; of the pairs at ``least`` itself about ``recall`` meet in a segment, of
-    more similar ones more (sets of fewer than ten shingles somewhat less). Texts of equal
+    more similar ones more, and of pairs whose smaller set has up to 19 shingles all. Texts of equal
     sets, and those without words, null ones too, are one class. A null doc_id takes part and
     names a component only when no other id is in it (then null). Repeated rows are in one
     class. An empty table gives no rows; extra columns are ignored.
