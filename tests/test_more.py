@@ -2,8 +2,8 @@
 
 import json
 
+import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tierscope.operators import costs, effort, evaluate, ml, offpolicy, scoring, trajectories
@@ -40,8 +40,36 @@ def test_text_heads(rows, spark):
     wide = rows.join(vec, "trajectory_id")
     grid = ml.text_grid(wide, {"user": "text_vec"}, cs=(1.0, 10.0), ordinal=(True, False), numeric="features")
     assert grid.count() == 4 and grid.filter("exact between 0 and 1").count() == 4
-    head = ml.svd_text_head(wide.withColumn("ranks", array_to_vector(F.array("a", "b"))), "text_vec", "ranks", dims=3)
-    assert head(wide.withColumn("ranks", array_to_vector(F.array("a", "b")))).filter("p_d1 <= p_d2").count() == 48
+    counts = ml.term_counts(texts, "text").withColumnRenamed("id", "trajectory_id")
+    for ranks in ("features", None):
+        made = ml.svd_text_head(rows, counts, ranks, dims=6)(rows)
+        assert made.filter("p_d1 <= p_d2").count() == 48 and "_u" not in made.columns
+        # The text names the class.
+        assert made.filter("(difficulty = 1) = (p_d1 > 0.5) AND (difficulty <= 2) = (p_d2 > 0.5)").count() >= 44
+    assert ml.svd_text_head(rows, counts.limit(0), "features")(rows).count() == 48
+
+
+def test_truncated_svd(spark, monkeypatch):
+    """Against a dense SVD: values and projections; rows without terms, one term only, no rows."""
+    from tierscope.operators import textsvd
+
+    rng = np.random.default_rng(2)
+    dense = (rng.random((90, 40)) < 0.15) * rng.random((90, 40)) * (1 + np.arange(40) % 5) + np.outer(rng.random(90), rng.random(40)) * (rng.random((90, 1)) < 0.9)
+    dense[7] = 0
+    entries = [(i, [int(k) for k in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for i, r in enumerate(dense)]
+    df = spark.createDataFrame([*entries, (90, None, None)], "id int, slots array<int>, weights array<double>").repartition(4)
+    monkeypatch.setattr(textsvd, "_ROOM", 200)
+    monkeypatch.setattr(textsvd, "BLOCK", 7)
+    svd = textsvd.fit_svd(df.filter("slots is not null"), 40, dims=5, extra=15, passes=8)
+    _, values, vt = np.linalg.svd(dense, full_matrices=False)
+    assert np.allclose(svd.values, values[:5], rtol=1e-6)
+    assert np.allclose(np.abs(svd.components.T @ vt[:5].T), np.eye(5), atol=1e-4)
+    got = {r.id: r.z for r in svd.transform(df).collect()}
+    assert np.allclose([got[i] for i in range(90)], dense @ svd.components) and not any(got[7]) and not any(got[90])
+    assert all(abs(np.linalg.norm(r.z) - 1) < 1e-9 for r in svd.transform(df, unit=True).collect() if r.id not in (7, 90))
+    one = textsvd.fit_svd(df.filter("id = 0"), 40, dims=5)
+    assert len(one.values) == 1 and np.isclose(one.values[0], np.linalg.norm(dense[0]))
+    assert textsvd.fit_svd(df.limit(0), 0).transform(df.limit(0)).count() == 0
 
 
 def test_reports(rows, spark):

@@ -7,10 +7,9 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from .boosting import fit_boosted
 from .evaluate import class_report
 from .ranks import fold_ranks, melt, quantiles
 from .scoring import cuts_by_fold, cuts_known_marginals, score_of
+from .textsvd import fit_svd, sparse_rows, with_slots
 
 Fitter = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
@@ -92,8 +92,6 @@ def tfidf(df: DataFrame, text: str, fit: DataFrame, ngrams: tuple[int, int] = (1
 
 def hashed_vectors(weights: DataFrame, width: int = 1024, id_col: str = "id") -> DataFrame:
     """(id, text_vec): sparse vectors of the weights summed by hashed term."""
-    from pyspark.ml.functions import array_to_vector
-
     slots = weights.groupBy(id_col, F.pmod(F.xxhash64("term"), F.lit(width)).cast("int").alias("slot")).agg(F.sum("weight").alias("w"))
     packed = slots.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
@@ -208,11 +206,31 @@ def oof_boosted(df: DataFrame, fold: str = "fold", label: str = "difficulty", ba
     return _cumulative(df.filter(F.col(fold) == F.col("test")), model.predict(F.col("features"), F.col("test").cast("long")))
 
 
-def svd_text_head(train: DataFrame, text_vec: str, ranks: str, dims: int = 80, c: float = 1.0, label: str = "difficulty") -> Callable[[DataFrame], DataFrame]:
-    """Text vectors reduced to ``dims`` and scaled, beside the ranks, into an ordinal head."""
-    pipe = Pipeline(stages=[PCA(k=dims, inputCol=text_vec, outputCol="_z"), Normalizer(inputCol="_z", outputCol="_u"), VectorAssembler(inputCols=["_u", ranks], outputCol="features")]).fit(train.drop("features"))
-    head = fit_ordinal(pipe.transform(train.drop("features")), c, label)
-    return lambda df: head(pipe.transform(df.drop("features"))).drop("_z", "_u")
+def svd_text_head(train: DataFrame, counts: DataFrame, ranks: str | None = "features", dims: int = 80, c: float = 1.0, label: str = "difficulty", id_col: str = "trajectory_id", min_df: int = 3, max_features: int = 20_000) -> Callable[[DataFrame], DataFrame]:
+    """Texts reduced to ``dims`` and scaled to length 1, beside the vector of ``ranks`` if there is one, into an ordinal head.
+
+    ``counts`` are the :func:`term_counts` of training and test rows alike; vocabulary, inverse
+    frequencies and reduction are fitted on the training rows. Rows without a known term are zeros.
+    """
+    own = lambda df: counts.join(df.select(id_col), id_col, "left_semi")
+    slots = with_slots(tfidf_fit(train, "", min_df=min_df, max_features=max_features, id_col=id_col, counts=own(train)), max_features)
+    packed = lambda df: sparse_rows(tfidf(df, "", slots, id_col=id_col, counts=own(df)), slots, id_col)
+    rows = packed(train)
+    svd = fit_svd(rows, slots.count(), dims)
+
+    def reduced(df: DataFrame, rows: DataFrame) -> DataFrame:
+        text = svd.transform(df.select(id_col).join(rows, id_col, "left"), "_u", unit=True).select(id_col, array_to_vector("_u").alias("_u"))
+        wide = df.join(text, id_col)
+        wide = wide.withColumnRenamed(ranks, "_ranks") if ranks else wide.drop("features")
+        return assembled(wide, ["_u", *(["_ranks"] if ranks else [])])
+
+    head = fit_ordinal(written(reduced(train, rows), "svd-train"), c, label)
+
+    def apply(df: DataFrame) -> DataFrame:
+        made = head(reduced(df, packed(df)))
+        return (made.drop("features").withColumnRenamed("_ranks", ranks) if ranks else made).drop("_u")
+
+    return apply
 
 
 def oof_probs(df: DataFrame, fitter: Fitter, fold: str = "fold", id_col: str = "trajectory_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import costs, effort, evaluate, ml, offpolicy, ranks, scoring, trajectories
+from ..operators import costs, effort, evaluate, ml, offpolicy, ranks, scoring, textsvd, trajectories
 from ..sources import io
 from ..sources.tables import written
 from . import adapters as A
@@ -772,6 +772,26 @@ def method_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ml.ladder(_ranked_tasks(spark, sf_dir), fitters))
 
 
+@query()
+def text_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word TF-IDF of all documents reduced to 80 dimensions: how much of a text's unit length is kept, and its first coordinate."""
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    counts = ml.term_counts(docs, "text")
+    slots = textsvd.with_slots(ml.tfidf_fit(docs, "text", min_df=3, max_features=20_000, counts=counts), 20_000)
+    rows = textsvd.sparse_rows(ml.tfidf(docs, "text", slots, counts=counts), slots)
+    reduced = textsvd.fit_svd(rows, slots.count()).transform(docs.select("id").join(rows, "id", "left"))
+    return rounded(reduced.select("id", F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x).alias("kept"), F.col("z")[0].alias("first")))
+
+
+@query()
+def text_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text heads out of fold: words of the tasks' texts reduced by SVD, with and without the ranks, beside the ranks alone."""
+    texts = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("trajectory_id"), "text")
+    counts = ml.term_counts(texts, "text", id_col="trajectory_id")
+    fitters = {"ranks": ml.fit_ordinal, "words": lambda t: ml.svd_text_head(t, counts, None), "words and ranks": lambda t: ml.svd_text_head(t, counts)}
+    return rounded(ml.ladder(_ranked_tasks(spark, sf_dir), fitters))
+
+
 @query()
 def boosted_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold class probabilities of 200 rounds of boosted trees."""
