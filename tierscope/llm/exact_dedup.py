@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .shared import SPACES, drop_folder, drop_written, free_name, new_path, skew_join, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The stores of an executor share one bound of native memory; without it each has buffers of its own.
+STATE = {"changelogCheckpointing.enabled": "true", "allowFAllocate": "false", "boundedMemoryUsage": "true", "maxMemoryUsageMB": "256", "writeBufferSizeMB": "16"}
 
 
 def normalized(text: Column) -> Column:
@@ -67,8 +69,9 @@ def keyed_state(spark: SparkSession, arrivals: str, schema, files_per_trigger: i
     The state store's settings hold in a session of the stream's own.
     """
     told, spark = spark, SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    for k, v in {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}.items():
-        spark.conf.set(k, v)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for k, v in STATE.items():
+        spark.conf.set(f"spark.sql.streaming.stateStore.rocksdb.{k}", v)
     reader = spark.readStream.schema(schema)
     reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader.option("maxBytesPerTrigger", 64 << 30)
     keyed = reader.parquet(arrivals).groupBy("digest").agg(F.count(F.lit(1)).alias("n_rows"), F.max(_order(F.col("n_points"), F.col("doc_id"), F.col("_locator"))).alias("best"))
