@@ -5,6 +5,7 @@ import itertools
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
@@ -495,6 +496,42 @@ def test_near_dedup_against_exact_jaccard(spark, monkeypatch):
         assert got == want
 
 
+def test_near_dedup_pairs_of_able_sizes():
+    """At a shared point only classes of other components and of sizes that can reach 0.8 are paired, in plain and in split points."""
+    sizes, components = np.array([10, 12, 13, 100, 12], np.int32), np.array([1, 2, 3, 4, 2])
+    want = {(a, b) for a, b in itertools.combinations(range(5), 2) if components[a] != components[b] and 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b])}
+    assert want == {(0, 1), (0, 4), (1, 2), (2, 4)}
+    point, f, cid = np.full(5, 7), np.zeros(5, np.int64), np.arange(5)
+    plain = [point, point * 0, point * 0 - 1, point * 0, cid, f, components, sizes]
+    split = [np.tile(x, 2) for x in (point, point * 0, point * 0)] + [np.repeat([0, 1], 5)] + [np.tile(x, 2) for x in (cid, f, components, sizes)]
+    for rows in (plain, split):
+        found = list(near_dedup._across(np.array([0]), len(rows[0]), rows, 20, Fraction(4, 5)))
+        assert {(c // near_dedup.BLOCK, c % near_dedup.BLOCK) for _, code in found for c in code.tolist()} == want
+
+
+def test_near_dedup_batches_are_bounded(spark):
+    """Blocks of shingle sets are rows of a megabyte: an Arrow batch holds a few of them, and the session's own settings come back."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    told = [spark.conf.get(k, None) for k in keys]
+    seen, own = [], near_dedup._groups
+
+    def spied(docs, *rest):
+        rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 1000000) AS x")
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+        seen.extend(r.n for r in rows.mapInArrow(sizes, "n long").collect())
+        return own(docs, *rest)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near_dedup, "_groups", spied)
+        near_dedup.near_groups(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    assert sum(seen) == 40 and max(seen) <= 6
+    assert [spark.conf.get(k, None) for k in keys] == told
+
+
 def small_sets():
     """Texts of 1 to 24 shingles with the shortest similar ones, at 0.8 and just below it, and crowds that share most of a common line."""
     rng, rows = np.random.default_rng(4), []

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .scan import chunks, fold_ascii, mixed, runs, text_bytes, token_hashes, words
-from .shared import broadcast_if_small, drop_written, free_name, shuffle_partitions, skew_join, written
+from .shared import broadcast_if_small, drop_written, free_name, settings, shuffle_partitions, skew_join, written
 
 #: Odd constants that scramble the shingle hashes anew for each lane.
 _STEP = 0x9E3779B97F4A7C15
@@ -47,7 +47,9 @@ BLOCK, BLOCK_BYTES = 256, 1 << 20
 DENSE = 128
 #: Two to this power blocks form a tile; dense block pairs of two tiles are decided together.
 TILE = 3
-BUFFER = 1 << 19
+BUFFER = 1 << 18
+#: Rows and bytes of an Arrow batch: shingle sets and blocks of them are long rows.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 #: Sets of up to so many shingles meet by their rarest ones.
 SMALL = 24
 #: Of a lane the top bit says that the set is small; the others are compared.
@@ -329,7 +331,7 @@ def _blocked(classes: DataFrame, cluster: DataFrame) -> DataFrame:
 
 
 def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, plan: Plan, least: Fraction) -> DataFrame:
-    """(left, right, pairs, n): blocks, and which n pairs of their classes are of different components, share a point and are near on the last lane.
+    """(left, right, pairs, n): blocks, and which n pairs of their classes are of different components, share a point, are near on the last lane and of sizes that can be similar.
 
     ``pairs`` holds 16-bit numbers, the left slot times ``BLOCK`` plus the right one.
 
@@ -339,15 +341,15 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
     """
     known = classes.join(comp, "cid", "left")
     rows = known.select((F.col("block") * BLOCK + F.col("slot")).alias("cid"), "print", "n", "points", F.coalesce("component", "cid").alias("component"))
-    schema = "point long, cid long, f long, component long"
+    schema = "point long, cid long, f long, component long, n int"
 
     def spread(batches):
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
                 own, points, lane = _spread(part, plan, least)
-                cid, component = (part.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "component"))
-                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(cid[own]), pa.array(lane[own].view(np.int64)), pa.array(component[own])], ["point", "cid", "f", "component"])
+                cid, component, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "component", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(cid[own]), pa.array(lane[own].view(np.int64)), pa.array(component[own]), pa.array(n[own], pa.int32())], ["point", "cid", "f", "component", "n"])
 
     def meet(batches):
         held, found = None, {}
@@ -359,7 +361,7 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
             starts = np.flatnonzero(new)
             cut = len(point) if last else int(starts[-1]) if len(starts) else 0
             # A task's pairs of the same two blocks gather, as a bounded set of numbers for each.
-            for key, code in _across(starts[starts < cut], cut, rows, plan.lane_most):
+            for key, code in _across(starts[starts < cut], cut, rows, plan.lane_most, least):
                 found[key] = np.unique(np.concatenate((found[key], code))) if key in found else code
             if last or sum(map(len, found.values())) > BUFFER:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["left", "right", "pairs"])
@@ -379,10 +381,10 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
         top = written(top, "crowded")
         mixed_rows = inside.join(broadcast_if_small(top, n_crowd), "point")
         salt = lambda k: F.pmod(F.xxhash64("cid"), F.col(k)).cast("int")
-        lefts = mixed_rows.select("point", salt("lefts").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(0).alias("side"), "cid", "f", "component")
-        rights = mixed_rows.filter("component != main").select("point", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), salt("rights").alias("right"), F.lit(1).alias("side"), "cid", "f", "component")
+        lefts = mixed_rows.select("point", salt("lefts").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(0).alias("side"), "cid", "f", "component", "n")
+        rights = mixed_rows.filter("component != main").select("point", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), salt("rights").alias("right"), F.lit(1).alias("side"), "cid", "f", "component", "n")
         plain = points.join(mark, "point", "left_anti")
-    shaped = plain.select("point", F.lit(0).alias("left"), F.lit(-1).alias("right"), F.lit(0).alias("side"), "cid", "f", "component")
+    shaped = plain.select("point", F.lit(0).alias("left"), F.lit(-1).alias("right"), F.lit(0).alias("side"), "cid", "f", "component", "n")
     if n_crowd:
         shaped = shaped.unionByName(lefts).unionByName(rights)
     def unique(batches):
@@ -395,19 +397,19 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
     return gathered.mapInArrow(unique, "left long, right long, pairs binary, n int")
 
 
-def _across(starts: np.ndarray, cut: int, rows: list[np.ndarray], most: int):
-    """Near pairs of different components within each group of rows: ((left block, right block), numbers of the pairs)."""
+def _across(starts: np.ndarray, cut: int, rows: list[np.ndarray], most: int, least: Fraction):
+    """Near pairs of different components, of sizes that can be similar, within each group of rows: ((left block, right block), numbers of the pairs)."""
     if not len(starts):
         return
-    _, _, right, side, cid, f, comp = rows
-    f = f.view(np.uint64)
+    _, _, right, side, cid, f, comp, n = rows
+    f, n = f.view(np.uint64), n.astype(np.int64)
     sizes = np.diff(np.concatenate((starts, [cut])))
     high, low = np.maximum.reduceat(comp[:cut], starts), np.minimum.reduceat(comp[:cut], starts)
     several = (sizes > 1) & (high != low)
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
-        ok = _near(f, a, b, most) & (comp[a] != comp[b])
+        ok = _near(f, a, b, most) & (comp[a] != comp[b]) & _able(n[a], n[b], least)
         if ok.any():
             found.append((a[ok], b[ok]))
 
@@ -432,6 +434,11 @@ def _across(starts: np.ndarray, cut: int, rows: list[np.ndarray], most: int):
             yield (int(blocks[a, 0]), int(blocks[a, 1])), code[a:b]
 
 
+def _able(n: np.ndarray, m: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether sets of n and m shingles can be as similar as ``least``."""
+    return (n * least.denominator >= m * least.numerator) & (m * least.denominator >= n * least.numerator)
+
+
 def _alike(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both * least.denominator >= least.numerator * (len(x) + len(y) - both)
@@ -497,8 +504,8 @@ def _single_pairs(met: DataFrame, classes: DataFrame) -> DataFrame:
     return met.mapInArrow(each, "x long, y long").join(at("x", "p"), "x").join(at("y", "q"), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
-def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan: Plan, n_words: int, least: Fraction, extra: dict[str, str]) -> DataFrame:
-    """Links (a, b) among the pairs of blocks (left, right, pairs), decided like those of :func:`_verified`; as many as join the components."""
+def _across_blocks(marked: DataFrame, classes: DataFrame, comp: DataFrame, met: DataFrame, plan: Plan, n_words: int, least: Fraction, extra: dict[str, str]) -> DataFrame:
+    """Links (a, b) among the pairs of blocks (left, right, pairs), decided like those of :func:`_verified`; as many as join the components, and between those (named by their least class)."""
 
     def named(batches):
         held = np.zeros(0, np.int64)
@@ -513,11 +520,13 @@ def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan:
     at = F.col("block") * BLOCK + F.col("slot")
     wanted = classes.join(met.mapInArrow(named, "at long").distinct(), at == F.col("at"), "left_semi")
     held = _sets(marked, wanted, n_words, extra)
-    members = wanted.select("cid", "block", "slot", "print").join(held, "cid")
-    blocks = written(members.groupBy("block").agg(F.collect_list(F.struct("slot", "cid", "print", "shingles")).alias("rows")), "blocks")
+    members = wanted.select("cid", "block", "slot", "print").join(held, "cid").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    blocks = written(members.groupBy("block").agg(F.collect_list(F.struct("slot", "component", "print", "shingles")).alias("rows")), "blocks")
 
     def decide(batches):
         tile, held = None, {}
+        # What this task has linked already needs no more links.
+        root: dict[int, int] = {}
         for batch in batches:
             for k, (one_tile, other_tile, left, right) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("tl", "tr", "left", "right")], strict=True)):
                 if (one_tile, other_tile) != tile:
@@ -530,14 +539,14 @@ def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan:
                 i, j = code // BLOCK, code % BLOCK
                 n, m = one[2][i], other[2][j]
                 near = (np.bitwise_count(one[1][i] ^ other[1][j]).sum(axis=1, dtype=np.int64) <= plan.most) | (np.maximum(n, m) <= SMALL)
-                ok = near & (n * least.denominator >= m * least.numerator) & (m * least.denominator >= n * least.numerator)
-                # What this block pair has linked already needs no more links.
-                root: dict[int, int] = {}
+                ok = near & _able(n, m, least)
+                if len(root) > BUFFER:
+                    root = {}
                 found = []
                 for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                    x, y = int(one[0][a]), int(other[0][b])
-                    if _root(root, x) != _root(root, y) and _alike(one[3][a], other[3][b], least):
-                        root[_root(root, x)] = _root(root, y)
+                    x, y = _root(root, int(one[0][a])), _root(root, int(other[0][b]))
+                    if x != y and _alike(one[3][a], other[3][b], least):
+                        root[max(x, y)] = min(x, y)
                         found.append((min(x, y), max(x, y)))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
@@ -555,19 +564,20 @@ def _across_blocks(marked: DataFrame, classes: DataFrame, met: DataFrame, plan:
 
 
 def _root(parents: dict[int, int], x: int) -> int:
-    while parents.get(x, x) != x:
-        x = parents[x]
+    while (up := parents.get(x, x)) != x:
+        parents[x] = parents.get(up, up)
+        x = up
     return x
 
 
 def _block_arrays(rows, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """By slot: class, fingerprint, set size, and the sets."""
-    cid, prints, n, sets = np.zeros(BLOCK, np.int64), np.zeros((BLOCK, lanes), np.uint64), np.zeros(BLOCK, np.int64), {}
+    """By slot: component, fingerprint, set size, and the sets."""
+    component, prints, n, sets = np.zeros(BLOCK, np.int64), np.zeros((BLOCK, lanes), np.uint64), np.zeros(BLOCK, np.int64), {}
     for slot, own, fp, shingles in zip(*[rows.values.field(k) for k in range(4)], strict=True):
         k = slot.as_py()
         sets[k] = np.frombuffer(shingles.as_buffer(), np.uint64)
-        cid[k], prints[k], n[k] = own.as_py(), np.frombuffer(fp.as_buffer(), np.uint64), len(sets[k])
-    return cid, prints, n, sets
+        component[k], prints[k], n[k] = own.as_py(), np.frombuffer(fp.as_buffer(), np.uint64), len(sets[k])
+    return component, prints, n, sets
 
 
 def _order(doc_id: Column, row: Column) -> Column:
@@ -576,7 +586,12 @@ def _order(doc_id: Column, row: Column) -> Column:
 
 
 def _grouped(docs: DataFrame, n_words: int, least: Fraction, recall: float) -> tuple[DataFrame, DataFrame, dict[str, str]]:
-    """(marked rows, classes with their component, names of the added columns)."""
+    """(marked rows, classes with their component, names of the added columns); all written, by Arrow batches of ``BATCH_ROWS`` and ``BATCH_BYTES`` at most."""
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}):
+        return _groups(docs, n_words, least, recall)
+
+
+def _groups(docs: DataFrame, n_words: int, least: Fraction, recall: float) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     names = list(docs.columns)
     extra = {}
     for k in ("row", "digest", "n", "print"):
@@ -598,7 +613,7 @@ def _grouped(docs: DataFrame, n_words: int, least: Fraction, recall: float) -> t
     blocked = written(_blocked(pointed, cluster), "blocked")
     more = written(_second_meetings(blocked, comp(), met.filter("cid is null"), plan, least), "blockpairs")
     found = []
-    for part, decide in ((more.filter(F.col("n") > DENSE), lambda p: _across_blocks(marked, blocked, p, plan, n_words, least, extra)), (more.filter(F.col("n") <= DENSE), lambda p: _verified(marked, search, _single_pairs(p, blocked), plan, n_words, least, extra))):
+    for part, decide in ((more.filter(F.col("n") > DENSE), lambda p: _across_blocks(marked, blocked, comp(), p, plan, n_words, least, extra)), (more.filter(F.col("n") <= DENSE), lambda p: _verified(marked, search, _single_pairs(p, blocked), plan, n_words, least, extra))):
         if not part.isEmpty():
             found.append(decide(part))
     if found:
