@@ -333,6 +333,20 @@ def test_substring_edges(spark, odd):
     assert substring_dedup.drop_repeats(odd.limit(0)).count() == 0
 
 
+def test_substring_texts_travel_packed(spark):
+    """What meets the spans is the packed text, and it comes back whole, whatever its bytes and size."""
+    rng = np.random.default_rng(9)
+    texts = [None, "", " ", "\x00 a\u2028b \U0001f600", "w " * 60_000, *[" ".join(f"{rng.choice(['an', 'the', 'onti', 'eror'])}{rng.choice(['ing', 'er', 'sh'])}" for _ in range(300)) for _ in range(20)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text_key", "text"])
+    parts = list(substring_dedup.packed_texts(iter([batch])))
+    packed, sizes = ([x for p in parts for x in p.column(k).to_pylist()] for k in (2, 3))
+    assert [None if t is None else len(t.encode()) for t in texts] == sizes and packed[0] is None
+    assert sum(map(len, packed[5:])) < 0.6 * sum(sizes[5:])
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_removed(rows, 20)
+
+
 def test_windows_are_told_apart_by_64_bits():
     """Hashes of one anchor and place that differ in one bit, high or low, are different windows."""
     h = 0x0123456789ABCDEF
