@@ -523,6 +523,34 @@ def test_near_dedup_pairs_of_able_sizes():
         assert {(c // near_dedup.BLOCK, c % near_dedup.BLOCK) for _, code in found for c in code.tolist()} == want
 
 
+def test_near_dedup_lists_no_chance_pairs(spark):
+    """Documents that share a segment's point by chance, which grow with the square of their number, hardly give links or pairs (one lane: 1529 and 909)."""
+    plan, rng = near_dedup.plan_search(50_000), np.random.default_rng(5)
+    rows = [(i, rng.integers(0, 256, 8 * plan.lanes, dtype=np.uint8).tobytes(), 100, None, i // near_dedup.BLOCK, i % near_dedup.BLOCK) for i in range(6000)]
+    classes = spark.createDataFrame(rows, "cid long, print binary, n long, points array<long>, block long, slot int").repartition(4)
+    met = near_dedup._first_meetings(classes, plan, Fraction(4, 5))
+    assert met.filter("point is null").count() <= 10
+    comp, none = (spark.createDataFrame([], schema) for schema in ("cid long, component long", "point long"))
+    assert sum(r.n for r in near_dedup._second_meetings(classes, comp, none, plan, Fraction(4, 5)).collect()) <= 10
+
+
+def test_near_dedup_meetings_of_a_pair():
+    """A pair counts at one point of each segment in which it meets, and of pairs at 0.8 that meet 0.98 are near on the two lanes."""
+    plan, rng, near = near_dedup.plan_search(50_000), np.random.default_rng(6), []
+    for _ in range(300):
+        shingles = rng.integers(0, 1 << 63, 250, dtype=np.uint64)
+        prints = [near_dedup.fingerprint(s, plan.lanes).tobytes() for s in (shingles[:200], shingles)]
+        batch = pa.RecordBatch.from_arrays([pa.array(prints), pa.array([200, 250]), pa.nulls(2, pa.list_(pa.int64()))], ["print", "n", "points"])
+        own, point, turned, lane = near_dedup._spread(batch, plan, Fraction(4, 5))
+        (one, i), (other, j) = ((point[own == k], turned[own == k]) for k in (0, 1))
+        common, a, b = np.intersect1d(one, other, assume_unique=True, return_indices=True)
+        kept = common[near_dedup._least_meeting(common, i[a], j[b])]
+        assert sorted(kept >> plan.bits) == sorted(set((common >> plan.bits).tolist()))
+        if len(common):
+            near.append(near_dedup._near(lane, np.array([0]), np.array([1]), plan.lane_most)[0])
+    assert len(near) >= 0.95 * 300 and np.mean(near) >= 0.98
+
+
 def test_near_dedup_batches_are_bounded(spark):
     """Blocks of shingle sets are rows of a megabyte: an Arrow batch holds a few of them, and the session's own settings come back."""
     keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")

@@ -3,7 +3,8 @@
 A document's set of shingles gives a fingerprint of several 64-bit lanes. Its bits are cut
 into segments; around each segment's value the ball of radius 1 is enumerated on both
 sides, so values that differ in up to 2 bits meet in a common point. What meets is verified
-on one lane, then on the complete fingerprints, then on the shingle sets themselves.
+on two lanes, then on the complete fingerprints, then on the shingle sets themselves. One lane
+would not do: what meets by chance grows with the square of the documents, and one such pair in 400 is near on 64 bits.
 
 A fingerprint of a small set says little: of an even number of hashes many bits are ties, which
 one more shingle flips. Sets of up to ``SMALL`` shingles therefore also meet exactly: sets that are
@@ -47,7 +48,8 @@ BLOCK, BLOCK_BYTES = 256, 1 << 20
 DENSE = 128
 #: Two to this power blocks form a tile; dense block pairs of two tiles are decided together.
 TILE = 3
-BUFFER = 1 << 18
+#: Rows of points that a task holds at once, and classes whose points it makes at once (four megabytes of rows).
+BUFFER, SLICE = 1 << 16, 512
 #: Rows and bytes of an Arrow batch: shingle sets and blocks of them are long rows.
 BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 #: Sets of up to so many shingles meet by their rarest ones.
@@ -64,7 +66,7 @@ class Plan:
     segments: int
     lanes: int
     most: int  #: differing bits of the complete fingerprints
-    lane_most: int  #: differing bits of the last lane
+    lane_most: int  #: differing bits of the last two lanes
 
 
 def plan_search(n: int, least: Fraction = Fraction(4, 5), recall: float = 0.98) -> Plan:
@@ -81,7 +83,7 @@ def plan_search(n: int, least: Fraction = Fraction(4, 5), recall: float = 0.98)
     segments = math.ceil(math.log(1 - recall) / math.log(1 - meets))
     lanes = -(-segments * bits // 64)
     limit = lambda size: math.ceil(size * p + 3.3 * math.sqrt(size * p * (1 - p)))
-    return Plan(bits, segments, lanes, limit(64 * lanes), limit(64))
+    return Plan(bits, segments, lanes, limit(64 * lanes), limit(64 * min(lanes, 2)))
 
 
 def shingle_sets(column: pa.Array, n_words: int) -> list[np.ndarray]:
@@ -145,29 +147,46 @@ def _points(prints: np.ndarray, plan: Plan) -> np.ndarray:
     return (value[:, :, None] ^ masks).reshape(len(prints), plan.segments * len(masks))
 
 
-def _spread(batch: pa.RecordBatch, plan: Plan, least: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in ``batch``, point) of all points of its classes, and each class's last lane.
+def _spread(batch: pa.RecordBatch, plan: Plan, least: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``batch``, point, turned) of all points of its classes, and each class's last two lanes.
 
     A set whose similar ones are all small has its rarest shingles as points (``points``), a large
-    one the segments' balls, one between them both.
+    one the segments' balls, one between them both. ``turned`` is the place, from 1, of the bit in which a point
+    differs from its segment's value, or 0. Of two lanes by chance hardly two are near; of one, one in 400 is.
     """
     prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(-1, plan.lanes)
     n = batch.column("n").to_numpy(zero_copy_only=False)
-    lane = (prints[:, -1] & ~_TOP) | np.where(n <= SMALL, _TOP, np.uint64(0))
+    top = (prints[:, -1] & ~_TOP) | np.where(n <= SMALL, _TOP, np.uint64(0))
+    lane = np.stack([top, prints[:, -2] if plan.lanes > 1 else np.zeros_like(top)], axis=1)
     wide = np.flatnonzero(n > SMALL * least.numerator // least.denominator)
     points = _points(prints[wide], plan)
     rare = batch.column("points")
     sizes = pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False)
     own = np.concatenate((np.repeat(wide, points.shape[1]), np.repeat(np.arange(len(n)), sizes)))
-    return own, np.concatenate((points.ravel(), pc.list_flatten(rare).to_numpy(zero_copy_only=False))), lane
+    turned = np.concatenate((np.tile(np.arange(plan.bits + 1, dtype=np.int8), len(wide) * plan.segments), np.zeros(int(sizes.sum()), np.int8)))
+    return own, np.concatenate((points.ravel(), pc.list_flatten(rare).to_numpy(zero_copy_only=False))), turned, lane
+
+
+def _apart(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits of the two lanes differ."""
+    return np.bitwise_count((f[a, 0] ^ f[b, 0]) & ~_TOP).astype(np.int64) + np.bitwise_count(f[a, 1] ^ f[b, 1])
 
 
 def _near(f: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    return (np.bitwise_count((f[a] ^ f[b]) & ~_TOP) <= most) | (f[a] & f[b] >= _TOP)
+    return (_apart(f, a, b) <= most) | (f[a, 0] & f[b, 0] >= _TOP)
+
+
+def _least_meeting(point: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether ``point`` is the only one of those that two values share in their segment to count; ``i`` and ``j`` are their ``turned``.
+
+    Equal values count at their own point, others at the smaller of the two points between them.
+    """
+    upper = np.maximum(i, j).astype(np.int64)
+    return np.where(i == j, i == 0, (point >> np.maximum(upper - 1, 0)) & 1 == 0)
 
 
 def leaders(point: np.ndarray, f: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Which rows lead, and the (leader, follower) pairs. Rows are in order of point; ``n`` moves from followers to their leaders.
+    """Which rows lead, and the (leader, follower) pairs. Rows are in order of point; ``f`` has two lanes a row; ``n`` moves from followers to their leaders.
 
     In each point the first row left leads and takes all near rows; then the first of the rest does.
     """
@@ -188,10 +207,10 @@ def leaders(point: np.ndarray, f: np.ndarray, n: np.ndarray, most: int) -> tuple
     return lead, pairs
 
 
-MEETINGS = "point long, cid long, f long, n long"
+MEETINGS = "point long, cid long, f long, g long, n long"
 
 
-_NAMES = ["point", "cid", "f", "n"]
+_NAMES = ["point", "cid", "f", "g", "n"]
 
 
 def _distinct(cid: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +220,15 @@ def _distinct(cid: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tu
 
 
 def _edge_batch(cid: np.ndarray, f: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Pairs as rows without a point: (null, a, b, their distance on the last lane)."""
+    """Pairs as rows without a point: (null, a, b, null, their distance on the last lanes)."""
     both, at = _distinct(cid, pairs)
     a, b = (np.concatenate([p[k] for p in pairs])[at] for k in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.bitwise_count(f[a] ^ f[b]).astype(np.int64))], _NAMES)
+    none = pa.nulls(len(both), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.array(both[:, 0]), pa.array(both[:, 1]), none, pa.array(_apart(f, a, b))], _NAMES)
+
+
+def _lanes(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return np.stack([f, g], axis=1).view(np.uint64)
 
 
 def _rarest(marked: DataFrame, classes: DataFrame, n_words: int, least: Fraction, extra: dict[str, str]) -> tuple[DataFrame, list[DataFrame]]:
@@ -241,39 +265,41 @@ def _first_meetings(classes: DataFrame, plan: Plan, least: Fraction) -> DataFram
 
     def local(batches):
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
                 cid = part.column("cid").to_numpy(zero_copy_only=False)
-                rep, flat, lane = _spread(part, plan, least)
+                rep, flat, _, lane = _spread(part, plan, least)
                 order = np.argsort(flat, kind="stable")
                 point, own = flat[order], rep[order]
                 f, n = lane[own], np.ones(len(own), np.int64)
                 lead, pairs = leaders(point, f, n, plan.lane_most)
                 if pairs:
                     yield _edge_batch(cid[own], f, pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(x[lead]) for x in (point, cid[own], f.view(np.int64), n)], _NAMES)
+                f = f.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[lead]) for x in (point, cid[own], f[:, 0], f[:, 1], n)], _NAMES)
 
     def meet(batches):
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
         for now, last in _buffered(batches):
             if now.num_rows and now.column(0).null_count:
                 yield now.filter(now.column(0).is_null())
                 now = now.filter(now.column(0).is_valid())
             rows = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, now.columns, strict=True)]
-            point, cid, f, n = rows
-            n = n.copy()
-            lead, pairs = leaders(point, f.view(np.uint64), n, plan.lane_most)
+            point, cid, f, g, n = rows
+            n, both = n.copy(), _lanes(f, g)
+            lead, pairs = leaders(point, both, n, plan.lane_most)
             if pairs:
-                yield _edge_batch(cid, f.view(np.uint64), pairs)
-            point, cid, f, n = (x[lead] for x in (point, cid, f, n))
+                yield _edge_batch(cid, both, pairs)
+            point, cid, f, g, n = (x[lead] for x in (point, cid, f, g, n))
             # Of the last point, which may go on, the leaders stay.
             cut = len(point) if last else int(np.searchsorted(point, point[-1])) if len(point) else 0
-            held = [x[cut:] for x in (point, cid, f, n)]
+            held = [x[cut:] for x in (point, cid, f, g, n)]
             if cut:
                 heads = np.flatnonzero(np.concatenate(([True], point[1:cut] != point[: cut - 1])))
                 total = np.add.reduceat(n[:cut], heads)
                 big = total > CROWD
-                yield pa.RecordBatch.from_arrays([pa.array(point[heads[big]]), pa.nulls(int(big.sum()), pa.int64()), pa.nulls(int(big.sum()), pa.int64()), pa.array(total[big])], _NAMES)
+                none = pa.nulls(int(big.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(point[heads[big]]), none, none, none, pa.array(total[big])], _NAMES)
 
     found = classes.select("cid", "print", "n", "points").mapInArrow(local, MEETINGS)
     sent = found.repartition(shuffle_partitions(classes.sparkSession), F.col("point"), F.when(F.col("point").isNull(), F.col("f"))).sortWithinPartitions("point", "cid")
@@ -331,7 +357,7 @@ def _blocked(classes: DataFrame, cluster: DataFrame) -> DataFrame:
 
 
 def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, plan: Plan, least: Fraction) -> DataFrame:
-    """(left, right, pairs, n): blocks, and which n pairs of their classes are of different components, share a point, are near on the last lane and of sizes that can be similar.
+    """(left, right, pairs, n): blocks, and which n pairs of their classes are of different components, share a point, are near on the last two lanes and of sizes that can be similar.
 
     ``pairs`` holds 16-bit numbers, the left slot times ``BLOCK`` plus the right one.
 
@@ -341,15 +367,18 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
     """
     known = classes.join(comp, "cid", "left")
     rows = known.select((F.col("block") * BLOCK + F.col("slot")).alias("cid"), "print", "n", "points", F.coalesce("component", "cid").alias("component"))
-    schema = "point long, cid long, f long, component long, n int"
+    schema = "point long, cid long, f long, component long, n int, g long, turned byte"
+
+    told = ["cid", "f", "component", "n", "g", "turned"]
 
     def spread(batches):
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                own, points, lane = _spread(part, plan, least)
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                own, points, turned, lane = _spread(part, plan, least)
                 cid, component, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "component", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(cid[own]), pa.array(lane[own].view(np.int64)), pa.array(component[own]), pa.array(n[own], pa.int32())], ["point", "cid", "f", "component", "n"])
+                f = lane[own].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(points), *[pa.array(x) for x in (cid[own], f[:, 0], component[own])], pa.array(n[own], pa.int32()), pa.array(f[:, 1]), pa.array(turned)], ["point", *told])
 
     def meet(batches):
         held, found = None, {}
@@ -381,10 +410,10 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
         top = written(top, "crowded")
         mixed_rows = inside.join(broadcast_if_small(top, n_crowd), "point")
         salt = lambda k: F.pmod(F.xxhash64("cid"), F.col(k)).cast("int")
-        lefts = mixed_rows.select("point", salt("lefts").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(0).alias("side"), "cid", "f", "component", "n")
-        rights = mixed_rows.filter("component != main").select("point", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), salt("rights").alias("right"), F.lit(1).alias("side"), "cid", "f", "component", "n")
+        lefts = mixed_rows.select("point", salt("lefts").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(0).alias("side"), *told)
+        rights = mixed_rows.filter("component != main").select("point", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), salt("rights").alias("right"), F.lit(1).alias("side"), *told)
         plain = points.join(mark, "point", "left_anti")
-    shaped = plain.select("point", F.lit(0).alias("left"), F.lit(-1).alias("right"), F.lit(0).alias("side"), "cid", "f", "component", "n")
+    shaped = plain.select("point", F.lit(0).alias("left"), F.lit(-1).alias("right"), F.lit(0).alias("side"), *told)
     if n_crowd:
         shaped = shaped.unionByName(lefts).unionByName(rights)
     def unique(batches):
@@ -398,18 +427,21 @@ def _second_meetings(classes: DataFrame, comp: DataFrame, crowded: DataFrame, pl
 
 
 def _across(starts: np.ndarray, cut: int, rows: list[np.ndarray], most: int, least: Fraction):
-    """Near pairs of different components, of sizes that can be similar, within each group of rows: ((left block, right block), numbers of the pairs)."""
+    """Near pairs of different components, of sizes that can be similar, within each group of rows: ((left block, right block), numbers of the pairs). Rows without the columns g and turned have one lane and unturned points."""
     if not len(starts):
         return
-    _, _, right, side, cid, f, comp, n = rows
-    f, n = f.view(np.uint64), n.astype(np.int64)
+    point, _, right, side, cid, f, comp, n, *more = rows
+    g, turned = more or (np.zeros_like(f), np.zeros_like(n))
+    f, n = _lanes(f, g), n.astype(np.int64)
     sizes = np.diff(np.concatenate((starts, [cut])))
     high, low = np.maximum.reduceat(comp[:cut], starts), np.minimum.reduceat(comp[:cut], starts)
     several = (sizes > 1) & (high != low)
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
-        ok = _near(f, a, b, most) & (comp[a] != comp[b]) & _able(n[a], n[b], least)
+        ok = (comp[a] != comp[b]) & _least_meeting(point[a], turned[a], turned[b])
+        a, b = a[ok], b[ok]
+        ok = _near(f, a, b, most) & _able(n[a], n[b], least)
         if ok.any():
             found.append((a[ok], b[ok]))
 
