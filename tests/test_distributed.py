@@ -213,3 +213,66 @@ def test_matching_rounds_and_needs(spark, monkeypatch):
     assert 1 <= len(seen) <= len(ranges_of.parts)
     assert max(r["count"] for r in placed.groupBy("part").count().collect()) <= 3 * size
     assert all(sum(ranges_of.of[q].high for q in ranges_of.ahead(p, now[p][0])) <= ranges_of.of[p].low + 3 * size for p in ranges_of.parts)
+
+
+def test_cut_cells_match_the_rows_of_every_draw(many_ranges):
+    """Sums by quantiles of many scores, made in the tasks, against a row for each score; ties, few rows, no rows, several cells and sends."""
+    from tierscope.operators import draws
+
+    rng = np.random.default_rng(8)
+    n, shares = 700, [0.0, 0.1, 0.25, 0.5, 0.55, 0.85, 0.999, 1.0]
+    data = [(i, float(rng.integers(0, 6)) / 4 - 0.5, float(rng.normal()), int(rng.integers(0, 3)), *map(float, rng.random(3))) for i in range(n)]
+    df = many_ranges.createDataFrame(data, "id long, a double, b double, class int, c1 double, c2 double, c3 double").repartition(3)
+
+    def scores(batch):
+        every = np.arange(len(batch))
+        yield 0, batch["a"].to_numpy(), every
+        yield 1, np.tanh(batch["b"].to_numpy()), every
+        odd = np.flatnonzero(batch["id"].to_numpy() % 2)
+        yield 5, np.tanh(batch["b"].to_numpy())[odd], odd
+
+    for counters, held in ((1 << 24, 1 << 20), (100, 10)):
+        old = draws._COUNTERS, draws._HELD
+        draws._COUNTERS, draws._HELD = counters, held
+        try:
+            got = {(r.key, r["_bin"]): r for r in draws.cut_cells(df, scores, 6, shares, -1.0, 1.0).collect()}
+            assert draws.cut_cells(df.limit(0), scores, 6, shares, -1.0, 1.0).count() == 0
+            lone = draws.cut_cells(df.filter("id = 4"), scores, 6, shares, -1.0, 1.0).collect()
+        finally:
+            draws._COUNTERS, draws._HELD = old
+        assert {(r.key, r["_bin"], r.n) for r in lone} == {(0, 0, 1.0), (1, 0, 1.0)}
+        want = defaultdict(lambda: np.zeros(8))
+        for key, own in ((0, [(r[1], r) for r in data]), (1, [(np.tanh(r[2]), r) for r in data]), (5, [(np.tanh(r[2]), r) for r in data if r[0] % 2])):
+            q = np.quantile([s for s, _ in own], shares)
+            for s, r in own:
+                d, c = r[3], r[4:]
+                want[key, int((q < s).sum())] += [*c, c[2] * (d == 0), c[2] * (d <= 1), d == 0, d <= 1, 1]
+        assert set(got) == set(want)
+        for k, v in want.items():
+            assert np.allclose([got[k][c] for c in ("c1", "c2", "c3", "w1", "w2", "n1", "n2", "n")], v)
+
+
+def test_md5_side_by_side():
+    from tierscope.operators import draws
+
+    prefixes, endings = [f"{i}|" for i in (1, 22, 333, 4444, 10**9)] + ["", "é|", "x" * 54, "x" * 55], ["0", "7", "99"]
+    for e, u, which in draws.unit_draws(prefixes, endings):
+        assert u.tolist() == [int(hashlib.md5((p + endings[e]).encode()).hexdigest()[:8], 16) / 2**32 for p in prefixes] and which.tolist() == list(range(len(prefixes)))
+
+
+def test_random_orders_repeat_no_row(spark):
+    """No plan of the query has a row for each draw: the largest written table has one for each task."""
+    df = spark.range(400).select(F.col("id").alias("trajectory_id"), (F.col("id") % 3 + 1).cast("int").alias("difficulty"), *[F.lit(float(i)).alias(f"c{i}") for i in (1, 2, 3)])
+    sizes, own = [], evaluate.written
+
+    def counted(df, name):
+        made = own(df, name)
+        sizes.append((name, made.count()))
+        return made
+
+    evaluate.written = counted
+    try:
+        row = evaluate.random_baseline(df, evaluate.default_grid("cuts"), 20).first()
+    finally:
+        evaluate.written = own
+    assert dict(sizes)["policy"] == 400 and 0 < row.auc_low <= row.auc_mean <= row.auc_high

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
-from . import scoring
+from . import draws, scoring
 from .ranks import melt, over, places, quantile_cut, quantiles, running, self_rank
 
 BUDGETS = [0.25 + 0.01 * i for i in range(76)]
@@ -108,16 +108,22 @@ def cut_points(df: DataFrame, score: str, cuts: list, by: tuple[str, ...] = (),
     """
     keys = list(by)
     shares = sorted({min(x, 1.0) for g in cuts for x in g})
-    at = {s: i for i, s in enumerate(shares)}
     marked = over(df, quantiles(df, score, shares, by), keys).withColumn("_bin", places(F.col("_q"), len(shares), lambda x: x < F.col(score)))
     enough = lambda t, v: F.sum(F.when(F.col(label) <= t, v).otherwise(F.lit(0.0)))
     one, top = F.lit(1.0), F.col("c3")
     cells = marked.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(c) for c in ("c1", "c2", "c3")], enough(1, top).alias("w1"), enough(2, top).alias("w2"), enough(1, one).alias("n1"), enough(2, one).alias("n2"), F.sum(one).alias("n"))
+    return _points(cells, cuts, keys)
+
+
+def _points(cells: DataFrame, cuts: list, keys: list[str]) -> DataFrame:
+    """The points of :func:`cut_points` from a row for each key and number of cut scores below."""
+    shares = sorted({min(x, 1.0) for g in cuts for x in g})
+    at = {s: i for i, s in enumerate(shares)}
     upto = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_bin")  # a row for each cut at most
     sums = ("c1", "c2", "c3", "w1", "w2", "n1", "n2", "n")
     run = cells.select(*keys, "_bin", *[F.sum(c).over(upto).alias(c) for c in sums])
     each = (run.groupBy(*keys) if keys else run.groupBy()).agg(F.array_sort(F.collect_list(F.struct("_bin", *sums))).alias("_l")).withColumn("_bins", F.transform("_l", lambda x: x["_bin"])).filter(F.size("_l") > 0)
-    knobs = df.sparkSession.createDataFrame([(i, float(a), float(b), at[min(a, 1.0)], at[min(b, 1.0)]) for i, (a, b) in enumerate(cuts)], "point int, knob double, knob2 double, _i int, _j int")
+    knobs = cells.sparkSession.createDataFrame([(i, float(a), float(b), at[min(a, 1.0)], at[min(b, 1.0)]) for i, (a, b) in enumerate(cuts)], "point int, knob double, knob2 double, _i int, _j int")
     found = lambda k: F.get("_l", places(F.col("_bins"), len(shares) + 1, lambda b: b <= F.col(k)) - 1)
     wide = each.crossJoin(F.broadcast(knobs)).select(*keys, "point", "knob", "knob2", found("_i").alias("a"), found("_j").alias("b"), F.element_at("_l", -1).alias("t"))
     v = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(0.0))
@@ -168,11 +174,14 @@ def reference_points(df: DataFrame, label: str = "difficulty") -> DataFrame:
 def random_baseline(df: DataFrame, cuts: list, n: int = 100, id_col: str = "trajectory_id") -> DataFrame:
     """One row: mean and 95 % interval of the frontier area of ``n`` random orders, drawn by md5 of id and draw.
 
-    A random order is a uniform score, so its quantiles are those of the draws themselves.
+    A random order is a uniform score, so its quantiles are those of the draws themselves. The
+    draws are made in the tasks, twice, and no row is repeated for them.
     """
-    spark = df.sparkSession
-    draws = df.crossJoin(F.broadcast(spark.range(n).select(F.col("id").alias("draw"))))
-    area = frontier_metrics(cut_points(draws.withColumn("_u", unit_draw(F.col(id_col), F.col("draw"))), "_u", cuts, ("draw",)), by=("draw",))
+    shares = sorted({min(x, 1.0) for g in cuts for x in g})
+    rows = written(draws.classed(df, F.concat(F.col(id_col).cast("string"), F.lit("|")).alias("_id")), "policy")  # md5 leaves a null id out
+    names = [str(i) for i in range(n)]
+    cells = draws.cut_cells(rows, lambda batch: draws.unit_draws(batch["_id"].fillna("").tolist(), names), n, shares, 0.0, 1.0).withColumnRenamed("key", "draw")
+    area = frontier_metrics(written(_points(cells, cuts, ["draw"]), "points"), by=("draw",))
     ends = area.groupBy().agg(F.avg("auc").alias("auc_mean"), F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))  # a row a draw
     return ends.select("auc_mean", F.col("_q")[0].alias("auc_low"), F.col("_q")[1].alias("auc_high"))
 
