@@ -276,3 +276,30 @@ def test_random_orders_repeat_no_row(spark):
     finally:
         evaluate.written = own
     assert dict(sizes)["policy"] == 400 and 0 < row.auc_low <= row.auc_mean <= row.auc_high
+
+
+def test_weight_search_repeats_no_row(spark):
+    """The picks of a row for each draw, from a table of one row a task and fold; a group without a rank does not count."""
+    rng = np.random.default_rng(5)
+    groups = {"ask": (1, ()), "harness": (1, ()), "breadth": (-1, ())}
+    means = [(i, t, g, float(rng.integers(1, 40)) / 40) for i in range(150) for t in (0, 2) for g in groups if (i + t) % 9 or g == "ask"]
+    labelled = spark.createDataFrame([(i, int(rng.integers(1, 4)), *sorted(map(float, rng.random(3)))) for i in range(150)], "trajectory_id long, difficulty int, c1 double, c2 double, c3 double")
+    group_means = spark.createDataFrame(means, "trajectory_id long, test int, grp string, mean_rank double")
+    draws, cuts, sizes, own = evaluate.weight_draws(spark, 4, groups), evaluate.default_grid("cuts")[::9], {}, evaluate.written
+    scored = group_means.join(draws, "grp").groupBy("trajectory_id", "test", "draw").agg(F.round(F.sum(F.col("sign") * F.col("weight") * F.col("mean_rank")) / F.sum("weight"), 9).alias("score"))
+    rows = labelled.join(scored, "trajectory_id")
+    area = evaluate.frontier_metrics(evaluate.cut_points(rows, "score", cuts, ("test", "draw")), by=("test", "draw")).collect()
+    want = {t: max((round(r.auc, 9), -r.draw) for r in area if r.test == t) for t in (0, 2)}
+
+    def counted(df, name):
+        made = own(df, name)
+        sizes[name] = made.count()
+        return made
+
+    evaluate.written = counted
+    try:
+        got = {r.test: (r.auc, -r.draw) for r in evaluate.search_group_weights(group_means, labelled, draws, cuts, ("test",)).collect()}
+    finally:
+        evaluate.written = own
+    assert set(got) == set(want) and all(got[t][1] == want[t][1] and got[t][0] == pytest.approx(want[t][0], abs=1e-8) for t in want)
+    assert sizes["draws"] == 300

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
-from . import draws, scoring
+from . import scoring
+from .draws import classed, cut_cells, unit_draws
 from .ranks import melt, over, places, quantile_cut, quantiles, running, self_rank
 
 BUDGETS = [0.25 + 0.01 * i for i in range(76)]
@@ -178,9 +180,9 @@ def random_baseline(df: DataFrame, cuts: list, n: int = 100, id_col: str = "traj
     draws are made in the tasks, twice, and no row is repeated for them.
     """
     shares = sorted({min(x, 1.0) for g in cuts for x in g})
-    rows = written(draws.classed(df, F.concat(F.col(id_col).cast("string"), F.lit("|")).alias("_id")), "policy")  # md5 leaves a null id out
+    rows = written(classed(df, F.concat(F.col(id_col).cast("string"), F.lit("|")).alias("_id")), "policy")  # md5 leaves a null id out
     names = [str(i) for i in range(n)]
-    cells = draws.cut_cells(rows, lambda batch: draws.unit_draws(batch["_id"].fillna("").tolist(), names), n, shares, 0.0, 1.0).withColumnRenamed("key", "draw")
+    cells = cut_cells(rows, lambda batch: unit_draws(batch["_id"].fillna("").tolist(), names), n, shares, 0.0, 1.0).withColumnRenamed("key", "draw")
     area = frontier_metrics(written(_points(cells, cuts, ["draw"]), "points"), by=("draw",))
     ends = area.groupBy().agg(F.avg("auc").alias("auc_mean"), F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))  # a row a draw
     return ends.select("auc_mean", F.col("_q")[0].alias("auc_low"), F.col("_q")[1].alias("auc_high"))
@@ -201,13 +203,46 @@ def weight_draws(spark, n: int, groups: dict | None = None) -> DataFrame:
 def search_group_weights(group_means: DataFrame, labelled: DataFrame, draws: DataFrame, cuts: list, by: tuple[str, ...] = (), id_col: str = "trajectory_id") -> DataFrame:
     """(by, draw, auc): the draw of group weights with the largest frontier area, for each value of ``by`` (say, each test fold's training rows).
 
-    ``group_means``: (id, by, grp, mean_rank); ``labelled``: (id, difficulty, c1..c3). All
-    draws are scored in one job.
+    ``group_means``: (id, by, grp, mean_rank); ``labelled``: (id, difficulty, c1..c3). The tasks
+    score a row with all draws, twice, and no row is repeated for them.
     """
-    keys = list(by)
-    scored = group_means.join(draws, "grp").groupBy(id_col, *keys, "draw").agg(F.round(F.sum(F.col("sign") * F.col("weight") * F.col("mean_rank")) / F.sum("weight"), 9).alias("score"))
-    rows = written(labelled.join(scored, id_col).select(*keys, "draw", "score", "difficulty", "c1", "c2", "c3"), "draws")
-    area = frontier_metrics(cut_points(rows, "score", cuts, (*keys, "draw")), by=(*keys, "draw"))
+    spark, keys = labelled.sparkSession, list(by)
+    table = draws.select("draw", "grp", "sign", "weight").collect()  # a row for each draw and group
+    names, at = sorted({r["grp"] for r in table}), {d: i for i, d in enumerate(sorted({r["draw"] for r in table}))}
+    weight = np.zeros((len(names), len(at)))
+    signed = np.zeros((len(names), len(at)))
+    for r in table:
+        i, j = names.index(r["grp"]), at[r["draw"]]
+        weight[i, j], signed[i, j] = r["weight"], r["sign"] * r["weight"]
+    # A null for a group without a rank, whose weight does not count.
+    means = group_means.filter(F.col("grp").isin(*names)).groupBy(id_col, *keys).agg(*[F.max(F.when(F.col("grp") == g, F.col("mean_rank"))).alias(f"_m{i}") for i, g in enumerate(names)])
+    wide = labelled.join(means, id_col)
+    ends = [f"_m{i}" for i in range(len(names))]
+    rows = written(classed(wide, id_col, *keys, *ends).repartitionByRange(*keys, id_col), "draws")  # a task has few values of by
+    kinds = rows.select(*keys).distinct().collect() if keys else [()]
+    known = {tuple(r): i for i, r in enumerate(kinds)}
+
+    def scores(batch):
+        mean = batch[ends].to_numpy(np.float64)
+        own = np.array([known[tuple(r)] for r in batch[keys].itertuples(index=False, name=None)], np.int64) if keys else np.zeros(len(batch), np.int64)
+        for k in np.unique(own):
+            which = np.flatnonzero((own == k) & ~np.isnan(mean).all(axis=1))
+            m = mean[which]
+            there = ~np.isnan(m)
+            m = np.where(there, m, 0.0)
+            for j in range(len(at)):
+                total, whole = np.zeros(len(which)), np.zeros(len(which))
+                for i in range(len(names)):
+                    total += signed[i, j] * m[:, i]
+                    whole += weight[i, j] * there[:, i]
+                s = total / whole
+                yield int(k) * len(at) + j, np.sign(s) * np.floor(np.abs(s) * 1e9 + 0.5) / 1e9, which
+
+    shares = sorted({min(x, 1.0) for g in cuts for x in g})
+    cells = cut_cells(rows, scores, max(len(kinds), 1) * len(at), shares, -1.0, 1.0)
+    found = spark.createDataFrame([(i * len(at) + j, *r, d) for i, r in enumerate(kinds) for d, j in at.items()], ", ".join(["key long", *[f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema], "draw long"]))
+    points = written(_points(cells, cuts, ["key"]).join(F.broadcast(found), "key"), "points")
+    area = frontier_metrics(points, by=(*keys, "draw"))
     return area.groupBy(*keys).agg(F.max_by("draw", F.struct(F.round("auc", 9), -F.col("draw"))).alias("draw"), F.max("auc").alias("auc"))
 
 
