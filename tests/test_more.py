@@ -141,3 +141,43 @@ def test_matched_pairs_at_the_reference_gap(spark, monkeypatch):
     monkeypatch.setattr(offpolicy, "matched_pairs", lambda df, **options: seen.append(options.get("max_gap", 0.05)) or own(df, **options))
     gaps = [r.score_gap for r in queries.QUERIES["matched_pairs"](spark, "/root/testdata/sf0.001").collect()]
     assert seen == [0.05] and gaps and max(gaps) <= 0.05
+
+
+def test_hashed_terms_match_counted_terms(spark, monkeypatch):
+    """Summaries from hashed terms against a row for each text and term; repeated ids, empty and null texts, several sends and blocks."""
+    from tierscope.operators import termhash
+
+    rng = np.random.default_rng(6)
+    words = ["a", "on", "thé", "den", "und_x", "42", "Über", "ab"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 30)))) for i in range(60)] + [(3, "den den, on"), (3, "und_x on"), (70, ""), (71, None), (72, "a"), (73, "lone words")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    counts = ml.term_counts(df, "text")
+    old = ml.tfidf(df, "text", ml.tfidf_fit(df, "text", counts=counts), counts=counts)
+    want = {r.id: (r.terms, pytest.approx(r.heaviest)) for r in old.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.max("weight").alias("heaviest")).collect()}
+    for held, block in ((1 << 22, 1 << 23), (5, 7)):
+        monkeypatch.setattr(termhash, "_HELD", held)
+        monkeypatch.setattr(termhash, "BLOCK", block)
+        monkeypatch.setattr(termhash, "_WORDS", block)
+        texts = termhash.split_texts(df, ml.text_words("text"), "id")
+        table = termhash.tally(texts)
+        assert len(list(termhash.blocks(table))) == 1 or block == 7
+        assert {r.id: (r.terms, r.heaviest) for r in termhash.tfidf_summary(texts, table, df.count(), "id").collect()} == want
+        assert termhash.tfidf_summary(texts.limit(0), termhash.tally(texts.limit(0)), 0, "id").count() == 0
+
+
+def test_word_tfidf_writes_no_term_rows(spark, monkeypatch):
+    """The largest table that the query writes has a row a document, not one for each of its terms."""
+    from tierscope.operators import termhash
+    from tierscope.plans import queries
+
+    sizes, own = [], termhash.written
+    monkeypatch.setattr(ml, "written", lambda df, name: pytest.fail(f"{name} written"))
+
+    def counted(df, name):
+        made = own(df, name)
+        sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(termhash, "written", counted)
+    n = queries.QUERIES["word_tfidf"](spark, "/root/testdata/sf0.001").count()
+    assert sizes and max(sizes) <= max(n, 1 << termhash._BITS)
