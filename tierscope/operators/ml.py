@@ -18,6 +18,7 @@ from .boosting import fit_boosted
 from .evaluate import class_report
 from .ranks import fold_ranks, melt, quantiles
 from .scoring import cuts_by_fold, cuts_known_marginals, score_of
+from .termhash import repeated_ids
 from .textsvd import fit_svd, sparse_rows, with_slots
 
 Fitter = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
@@ -40,8 +41,8 @@ def group_folds(df: DataFrame, group: str, k: int = 5, mode: str = "hash", out:
     return df.join(dealt, df[group].eqNullSafe(dealt["_g"])).drop("_g")
 
 
-def _terms(df: DataFrame, text: str, analyzer: str, ngrams: tuple[int, int], id_col: str) -> DataFrame:
-    """(id, term): every occurrence. The words are a column of their own, so runs over them don't split the text again."""
+def _terms(df: DataFrame, text: str, analyzer: str, ngrams: tuple[int, int], id_col: str, once: bool = False) -> DataFrame:
+    """(id, term): every occurrence, or ``once`` for each row. The words are a column of their own, so runs over them don't split the text again."""
     lo, hi = ngrams
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     if analyzer == "word":
@@ -49,8 +50,10 @@ def _terms(df: DataFrame, text: str, analyzer: str, ngrams: tuple[int, int], id_
         made = [_word_runs(F.col("_words"), n) for n in range(lo, hi + 1)]
     else:
         words = F.transform(F.filter(F.split(lower, r"(?U)\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+        words = F.array_distinct(words) if once else words
         made = [F.flatten(F.transform("_words", _char_runs(n))) for n in range(lo, hi + 1)]
-    return df.select(id_col, words.alias("_words")).select(id_col, F.explode(F.concat(*made)).alias("term"))
+    terms = F.array_distinct(F.concat(*made)) if once else F.concat(*made)
+    return df.select(id_col, words.alias("_words")).select(id_col, F.explode(terms).alias("term"))
 
 
 def text_words(text: str) -> Column:
@@ -77,10 +80,25 @@ def term_counts(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2), anal
     return written(_terms(df, text, analyzer, ngrams, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
 
 
+def _document_frequencies(df: DataFrame, text: str, ngrams: tuple[int, int], analyzer: str, id_col: str) -> DataFrame:
+    """(term, df): a text's distinct terms are found in its row, so only each task's sums move; texts of one id count once."""
+    many, rows = repeated_ids(df, id_col), df
+    if many is not None:
+        rows = df.join(many, df[id_col].eqNullSafe(many["_id"]), "left_anti")
+    found = _terms(rows, text, analyzer, ngrams, id_col, once=True).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if many is None:
+        return found
+    again = _terms(df.join(many, df[id_col].eqNullSafe(many["_id"]), "left_semi"), text, analyzer, ngrams, id_col, once=True)
+    return found.unionByName(again.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
+
+
 def tfidf_fit(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2), analyzer: str = "word", min_df: int = 2, max_features: int | None = None, id_col: str = "id", counts: DataFrame | None = None) -> DataFrame:
     """(term, idf): ln((1+n)/(1+df))+1 of terms in ``min_df`` texts or more, the most frequent ``max_features`` of them."""
-    counts = counts if counts is not None else _terms(df, text, analyzer, ngrams, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    tally = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    if counts is None and not max_features:
+        tally = _document_frequencies(df, text, ngrams, analyzer, id_col).filter(F.col("df") >= min_df)
+    else:
+        counts = counts if counts is not None else _terms(df, text, analyzer, ngrams, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+        tally = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     if max_features:
         tally = tally.orderBy(F.desc("total"), "term").limit(max_features)
     n = df.agg(F.count(F.lit(1)).alias("_n"))
