@@ -181,3 +181,30 @@ def test_word_tfidf_writes_no_term_rows(spark, monkeypatch):
     monkeypatch.setattr(termhash, "written", counted)
     n = queries.QUERIES["word_tfidf"](spark, "/root/testdata/sf0.001").count()
     assert sizes and max(sizes) <= max(n, 1 << termhash._BITS)
+
+
+def test_frequent_hashed_terms_match_counted_terms(spark, monkeypatch):
+    """Vocabulary and sparse rows from hashed terms against those of counted terms, and document frequencies of repeated ids."""
+    from tierscope.operators import termhash, textsvd
+
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice(["on", "thé", "den", "und_x", "42", "über", "ab"], rng.integers(1, 30)))) for i in range(60)] + [(3, "den den, on"), (70, ""), (71, None), (72, "lone words")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    counts = ml.term_counts(df, "text")
+    fit = textsvd.with_slots(ml.tfidf_fit(df, "text", min_df=3, max_features=20, counts=counts))
+    want = {r.id: (r.slots, pytest.approx(r.weights)) for r in textsvd.sparse_rows(ml.tfidf(df, "text", fit, counts=counts), fit).collect()}
+    names, own = [], termhash.written
+    monkeypatch.setattr(termhash, "written", lambda d, name: names.append((name, made := own(d, name), made.count())) or made)
+    texts = termhash.split_texts(df, ml.text_words("text"), "id")
+    slots = termhash.frequent_terms(texts, termhash.tally(texts, min_df=3), df.count(), 20)
+    assert [(r.term, r.slot, r.df) for r in slots.orderBy("slot").collect()] == [(r.term, r.slot, r.df) for r in fit.orderBy("slot").collect()]
+    got = {r.id: (r.slots, r.weights) for r in termhash.sparse_texts(texts, slots, ["id"]).collect()}
+    assert len(got) == 63 and {k: v for k, v in got.items() if v[0]} == want
+    assert {n for name, _, n in names if name == "sparse"} == {63}
+    for analyzer, ngrams in (("word", (1, 2)), ("char_wb", (3, 5))):
+        old = ml.tfidf_fit(df, "text", ngrams, analyzer, 2, counts=ml.term_counts(df, "text", ngrams, analyzer))
+        new = ml.tfidf_fit(df, "text", ngrams, analyzer, 2)
+        assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
+    # Where each text has its own id, no shuffle has a row for each text and term.
+    lone = ml.tfidf_fit(df.filter("id <> 3"), "text", (3, 5), "char_wb", 2)
+    assert "hashpartitioning(id" not in lone._jdf.queryExecution().executedPlan().toString()
